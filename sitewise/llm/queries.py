@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc_fold, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -19,6 +20,23 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), fold=0, folds=5)
+    scored = score_toxicity(docs, model, threshold=0.5)
+    return scored.select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit_languages, label_languages
+
+    docs = table(spark, sf_dir, "documents")
+    labelled = label_languages(docs, fit_languages(docs, fold=2, folds=4), spans=False)
+    return labelled.select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -33,6 +51,8 @@ def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op4_toxicity": op4_toxicity,
+    "op7_language_id": op7_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_unigram_pieces": op10_unigram_pieces,
 }
