@@ -29,6 +29,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_quality, quality_rules
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import fit_languages, label_languages
 
@@ -52,6 +59,7 @@ def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op4_toxicity": op4_toxicity,
+    "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_unigram_pieces": op10_unigram_pieces,
