@@ -20,6 +20,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import labelled_strings, markov_ratio, scan_secrets, spans_text
+
+    docs = table(spark, sf_dir, "documents")
+    found = scan_secrets(docs, markov_ratio(labelled_strings(docs)))
+    of = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
+        F.sha2(spans_text(F.filter("found", lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
+        spans_text(F.col("found")).alias("spans"), of(3).alias("n_random"),
+    )
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit_toxicity, score_toxicity
 
@@ -58,6 +71,7 @@ def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_secret_scans": op2_secret_scans,
     "op4_toxicity": op4_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
