@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: ASCII blanks: what ends a word in the contracts of this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
+written: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +43,7 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,10 +52,10 @@ def discard(df: DataFrame) -> None:
     files = df.inputFiles()
     if files:
         parent = files[0].rsplit("/", 1)[0]
-        for entry in list(_written):
+        for entry in list(written):
             if parent.endswith(entry[1].rsplit("/", 1)[1]):
                 _remove(*entry)
-                _written.remove(entry)
+                written.remove(entry)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -69,7 +69,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _cleanup() -> None:
-    for entry in _written:
+    for entry in written:
         _remove(*entry)
 
 
