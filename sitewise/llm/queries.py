@@ -48,6 +48,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import hex_digits, near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), words=3, most=3)
+    return found.select("doc_id", hex_digits().alias("fingerprint"), "component_id")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit_quality, quality_rules
 
@@ -63,6 +70,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    kept = dedup_lines(table(spark, sf_dir, "documents"), percent=80)
+    return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -80,8 +94,10 @@ QUERIES = {
     "op2_secret_scans": op2_secret_scans,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_toxicity": op4_toxicity,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
+    "op8_line_dedup": op8_line_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_unigram_pieces": op10_unigram_pieces,
 }

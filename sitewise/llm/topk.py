@@ -54,7 +54,8 @@ class _Block:
         for i, r in enumerate(rows):
             by.setdefault(len(r["whole"]), []).append(i)
         self.groups = {n: (np.array(at), np.array([rows[i]["whole"] for i in at]).reshape(len(at), n)) for n, at in by.items()}
-        bound = np.array([int(min(np.sqrt(r["squares"]) * reach * (1 + 1e-9) + 2, _LIMIT)) for r in rows], np.int64)
+        reached = [np.sqrt(r["squares"]) * reach * (1 + 1e-9) + 2 if np.isfinite(reach) else np.inf for r in rows]
+        bound = np.array([int(x) if x < _LIMIT else _LIMIT for x in reached], np.int64)
         self.low, self.high = -bound, bound  # inclusive
         self.above = np.zeros(len(rows), np.int64)
         self.done = np.zeros(len(rows), bool)
