@@ -1,15 +1,79 @@
-"""A corpus pipeline: quality rules, line dedup, near-dedup, secrets, packing."""
+"""A corpus pipeline: quality rules, line dedup, near-dedup, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame. ``run`` writes
+each stage's rows as Parquet into the shared folder and reads them back as the
+next one's documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sitewise.llm.common import materialize, table
+from sitewise.llm.line_dedup import dedup_lines
+from sitewise.llm.packing import pack_documents
+from sitewise.llm.quality import fit_quality, keep_good
+from sitewise.llm.queries import tokenizer_path
+from sitewise.llm.secrets import labelled_strings, markov_ratio, redact_secrets
+from sitewise.llm.simhash import near_duplicates
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep; rejected ones go."""
+    return keep_good(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat earlier ones; every document stays."""
+    return dedup_lines(docs, percent=80).drop("_n_lines", "_n_removed")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component: that of the smallest id.
+
+    The fingerprints are of five-word shingles. Documents that line dedup left
+    without a word are copies of each other like any others. Of rows that share
+    an id and a text one stays; rows without an id stay.
+    """
+    found = near_duplicates(docs, words=5, most=3)
+    copies = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
+    if not repeated.isEmpty():
+        digest = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64("text", "doc_id")), F.monotonically_increasing_id())
+        kept = kept.withColumn("_same", digest).dropDuplicates(["_same", "doc_id"]).drop("_same")
+    return kept
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with every secret in their text replaced; every document stays."""
+    return redact_secrets(docs, markov_ratio(labelled_strings(docs)))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed into sequences of at most 2048 tokens."""
+    return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), capacity=2048, end_id=0)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("simhash near-dedup", near_dedup),
+    ("secret scans", secrets),
+    ("best-fit packing", packing),
+]
 
-STAGES: list = []
+# Token ids and fingerprints are not SQL's to compute: tests/llm compares each
+# stage with a brute-force version instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """The packed pieces of ``documents`` after all stages."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs)
     return docs
