@@ -9,6 +9,7 @@ blocks side by side.
 
 from __future__ import annotations
 
+from array import array
 from zlib import crc32
 
 import numpy as np
@@ -133,10 +134,14 @@ class ChainModel:
         if not len(words):
             return self
         lengths = np.array([n for t in texts for n in [BLOCK] * (len(t) // BLOCK) + [len(t) % BLOCK] if n], np.int64)
-        feats = [affix_features(w) for w in vocab]
-        f_word = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-        f_id = np.concatenate([np.array(f, np.int64) for f in feats])
-        used, f_id = np.unique(f_id, return_inverse=True)
+        ids, counts = array("i"), array("i")
+        for w in vocab:
+            f = affix_features(w)
+            ids.extend(f)
+            counts.append(len(f))
+        f_word = np.repeat(np.arange(len(counts), dtype=np.int32), np.frombuffer(counts, np.int32))
+        used, f_id = np.unique(np.frombuffer(ids, np.int32), return_inverse=True)
+        f_id = f_id.astype(np.int32)
         lex = [(i, j) for w, i in vocab.items() for j in self.extra.get(w, ())]
         lex_w, lex_f = np.array([x for x, _ in lex], np.int64), np.array([y for _, y in lex], np.int64)
         k, n, v = len(self.labels), len(words), len(vocab)
@@ -155,8 +160,11 @@ class ChainModel:
         def per(index, values, size):
             return np.stack([np.bincount(index, values[:, c], size) for c in range(k)], 1)
 
+        def gather(index, source, at, size):
+            return np.stack([np.bincount(index, source[at, c], size) for c in range(k)], 1)
+
         for _ in range(rounds):
-            word_scores = per(f_word, theta[f_id], v)
+            word_scores = gather(f_word, theta, f_id, v)
             if len(lex):
                 word_scores += per(lex_w, self.lexicon[lex_f].astype(float), v)
             scores = word_scores[words]
@@ -171,7 +179,7 @@ class ChainModel:
             pair = a * ((left / z[:, None]).T @ right)
             seen = np.zeros((k, k))
             np.add.at(seen, (gold[inner - 1], gold[inner]), 1)
-            step(theta, per(f_id, g_word[f_word], len(used)) / n - l2 * theta, sums[0])
+            step(theta, gather(f_id, g_word, f_word, len(used)) / n - l2 * theta, sums[0])
             step(self.moves, (seen - pair) / n, sums[1])
             step(self.begin, (hot - marginal)[first].sum(0) / n, sums[2])
             if len(lex):

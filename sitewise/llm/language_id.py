@@ -70,34 +70,24 @@ def fit_languages(docs: DataFrame, fold: int = 2, folds: int = 4, id_col: str =
     SAMPLE_LANGUAGES languages the commonest are learned.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where(F.col("i").isNotNull() & F.col("l").isNotNull() & (crc_fold("i", folds) != fold))
-    langs = [r["l"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(SAMPLE_LANGUAGES).collect()]
     rows = rows.where(F.length("t").between(1, SAMPLE_CHARS))
-    found = []
-    if langs:
-        # One pass: the first rows of each language, kept as a bounded heap.
-        found = rows.where(F.col("l").isin(langs)).select("l", "t", F.xxhash64("i").alias("h"), "i")
-        n = SAMPLE_PER_LANGUAGE
-        found = found.mapInPandas(_first_of_each(n), found.schema)
-        found = found.toPandas().sort_values(["l", "h", "i", "t"]).groupby("l").head(n)
-    if not len(found):
+    langs = {r["l"]: r["count"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(SAMPLE_LANGUAGES).collect()}
+    if not langs:
         return None
-    return train_language_model(found["t"].tolist(), found["l"].tolist())
-
-
-def _first_of_each(n: int):
-    """Of each task's rows, the n of each language with the smallest hashes."""
-
-    def run(frames):
-        import pandas as pd
-
-        kept = None
-        for f in frames:
-            kept = f if kept is None else pd.concat([kept, f])
-            kept = kept.sort_values(["h", "i"]).groupby("l").head(n)
-        if kept is not None:
-            yield kept
-
-    return run
+    # Half again as many as are asked for, by hash; the smallest hashes stay.
+    span = 1 << 30
+    bound = F.lit(0)
+    for lang, n in sorted(langs.items()):
+        bound = F.when(F.col("l") == lang, min(span, int(1.5 * SAMPLE_PER_LANGUAGE / n * span) + 1)).otherwise(bound)
+    picked = rows.withColumn("h", F.pmod(F.xxhash64("i"), F.lit(span))).where(F.col("h") < bound)
+    found = picked.limit(4 * SAMPLE_PER_LANGUAGE * len(langs)).select("l", "h", "i", "t").collect()
+    found.sort(key=lambda r: (r["l"], r["h"], str(r["i"]), r["t"]))
+    kept, have = [], Counter()
+    for r in found:
+        have[r["l"]] += 1
+        if have[r["l"]] <= SAMPLE_PER_LANGUAGE:
+            kept.append(r)
+    return train_language_model([r["t"] for r in kept], [r["l"] for r in kept])
 
 
 def label_languages(docs: DataFrame, model: ChainModel | None, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:

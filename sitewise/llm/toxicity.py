@@ -23,9 +23,9 @@ from .crf import ChainModel, ChainScorer
 
 #: The bounded sample the model is fitted on: documents of each class, taken in
 #: the order of a hash of the id, and the longest text among them.
-SAMPLE_TOXIC = 1200
-SAMPLE_CLEAN = 2000
-SAMPLE_CHARS = 20_000
+SAMPLE_TOXIC = 800
+SAMPLE_CLEAN = 1600
+SAMPLE_CHARS = 5000
 #: A cue is so much commoner in toxic documents that, over all candidates, so
 #: many such words would be expected by chance.
 CUE_CHANCE = 0.02
