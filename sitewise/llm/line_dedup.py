@@ -13,9 +13,10 @@ earliest of them, so that groups of copies need no comparison of all pairs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,72 +32,136 @@ REPORTED = 4
 #: Bits of a token, and lines whose tokens are sorted at once: 64 bits together.
 TOKEN_BITS = 52
 LINES_AT_ONCE = 1 << (64 - TOKEN_BITS)
-#: Bits of the filter for lines that may have a partner: fixed, so it is broadcast.
+#: Bits of the filter for lines that may have a partner, and of the one for
+#: tokens that stand in two lines: fixed, so they can be broadcast.
 FILTER_BITS = 1 << 24
+TOKEN_FILTER_BITS = 1 << 27
+TOKEN_RANGES = 64
+#: Bytes of text analysed at once; longer texts are cut between lines.
+CHUNK_BYTES = 1 << 20
 #: A token shared by more lines than this leaves the counting task unfiltered.
 HEAVY_ROWS = 200_000
-#: Rows of one part of a token's lines in the last comparison.
-PART_ROWS = 512
 
 _RANKED = np.uint64(1) << np.uint64(TOKEN_BITS - 1)
 _odd = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1) for k in range(SHINGLE_WORDS)]
+_BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2^64
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, 9, 10, 11, 12, 13]] = True
+
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word) >> 1
-        return h
 
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
-def line_words(text: str | None) -> list[list[bytes]]:
-    """The words of each line of a text; blanks are ASCII's alone."""
-    return [line.split() for line in (text or "").encode().lower().split(b"\n")]
 
+class Lines:
+    """The lines of some texts: doc, number, words (their count), key, and the
+    hashes of all words, one line after the other. Letters A-Z are lower-cased
+    and words end at ASCII blanks; equal word sequences have equal keys.
+    """
 
-def line_key(words: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+    _up = _powers(_BASE, CHUNK_BYTES * 2)
+    _down = _powers(pow(_BASE, -1, 1 << 64), CHUNK_BYTES * 2)
+
+    def __init__(self, pieces: list[tuple[int, int, bytes]]):
+        raw = np.frombuffer(b"\n".join(p for _, _, p in pieces) + b"\n", np.uint8)
+        n = len(raw)
+        if n > len(Lines._up):
+            Lines._up, Lines._down = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
+        per = np.array([p.count(b"\n") + 1 for _, _, p in pieces], np.int64)
+        self.doc = np.repeat(np.array([d for d, _, _ in pieces], np.int64), per)
+        self.number = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + np.repeat(np.array([k for _, k, _ in pieces], np.int64), per)
+        blank = _BLANK[raw]
+        edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        if n and not blank[0]:
+            edge = np.concatenate([[0], edge])
+        start, end = edge[0::2], edge[1::2]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * Lines._up[:n], dtype=np.uint64)])
+        self.hashes = _mix((total[end] - total[start]) * Lines._down[start])
+        line = np.searchsorted(np.flatnonzero(raw == 10), start)
+        self.words = np.bincount(line, minlength=len(self.doc))
+        first = np.cumsum(self.words) - self.words
+        within = np.arange(len(line)) - first[line]
+        odd = (np.uint64(2) * within.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(self.hashes ^ odd), dtype=np.uint64)])
+        key = sums[first + self.words] - sums[first]
+        self.key = _mix(key + self.words.astype(np.uint64)).view(np.int64)
+
+
+def chunks(texts: list) -> Iterator[Lines]:
+    """Lines of all texts, about CHUNK_BYTES at a time; doc is the text's place."""
+    pieces, size = [], 0
+    for i, text in enumerate(texts):
+        if text is None:
+            continue
+        raw, at, number = text.encode().lower(), 0, 0
+        while True:
+            cut = len(raw)
+            if cut - at > CHUNK_BYTES:
+                cut = raw.rfind(b"\n", at, at + CHUNK_BYTES)
+                cut = cut if cut >= 0 else raw.find(b"\n", at)
+                cut = cut if cut >= 0 else len(raw)
+            pieces.append((i, number, raw[at:cut]))
+            size += cut - at
+            if size >= CHUNK_BYTES or len(pieces) >= 4 * LINES_AT_ONCE:
+                yield Lines(pieces)
+                pieces, size = [], 0
+            if cut >= len(raw):
+                break
+            number += raw.count(b"\n", at, cut) + 1
+            at = cut + 1
+    if pieces:
+        yield Lines(pieces)
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted values and how often each stands there."""
+    x = np.sort(x)
+    start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return x[start], np.diff(np.concatenate([start, [len(x)]]))
 
 
 class Tokenizer:
     """Token sets of lines, as sorted arrays of TOKEN_BITS-bit numbers."""
 
     def __init__(self, ranked: list[int] | None = None):
-        self._hash = _WordHashes()
         hashes = np.array(ranked or [], np.uint64)
         self._order = np.argsort(hashes)
         self._ranked = hashes[self._order]
 
-    def shingles(self, lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """The line and the hash of every shingle; lines without words have none."""
-        sizes = np.array([len(w) for w in lines], np.int64)
-        flat = [w for line in lines for w in line]
-        h = np.fromiter(map(self._hash.__getitem__, flat), np.uint64, len(flat))
-        total = len(flat)
-        if not total:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        starts = np.cumsum(sizes) - sizes
+    @staticmethod
+    def shingles(lines: Lines, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The line (a place in ``pick``) and the hash of every shingle."""
+        sizes = lines.words[pick]
+        starts = (np.cumsum(lines.words) - lines.words)[pick]
         n = np.where(sizes > 0, np.maximum(sizes - SHINGLE_WORDS + 1, 1), 0)
-        line = np.repeat(np.arange(len(lines)), n)
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + starts[line]
+        line = np.repeat(np.arange(len(pick)), n)
+        if not len(line):
+            return line, np.zeros(0, np.uint64)
+        at = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n) + starts[line]
         left = (starts + sizes)[line] - at  # words from here to the line's end
-        mixed = np.zeros(len(at), np.uint64)
-        for k in range(SHINGLE_WORDS):
-            part = h[np.minimum(at + k, total - 1)] * _odd[k]
-            mixed += np.where(left > k, part, np.uint64(0))
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(32)
-        return line, mixed >> np.uint64(64 - TOKEN_BITS + 1)
-
-    def sets(self, lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        h, last = lines.hashes, len(lines.hashes) - 1
+        mixed = h[at] * _odd[0]
+        for k in range(1, SHINGLE_WORDS):
+            part = h[np.minimum(at + k, last)] * _odd[k]
+            part[left <= k] = 0
+            mixed += part
+        return line, _mix(mixed) >> np.uint64(64 - TOKEN_BITS + 1)
+
+    def sets(self, lines: Lines, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The line and the token of every different token, rarest first in a line.
 
-        A ranked token is its rank with the top bit set, so it sorts after all
-        others, and a rarer one before a more frequent one.
+        ``pick`` holds LINES_AT_ONCE lines at most. A ranked token is its rank
+        with the top bit set, so it sorts after all others, and a rarer one
+        before a more frequent one.
         """
-        line, token = self.shingles(lines)
+        line, token = self.shingles(lines, pick)
         if len(self._ranked) and len(token):
             i = np.minimum(np.searchsorted(self._ranked, token), len(self._ranked) - 1)
             known = self._ranked[i] == token
@@ -109,24 +174,20 @@ class Tokenizer:
 
 
 def _key_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Lines (id, line, key) and reports of frequent tokens (token, n)."""
+    """Lines with a word (id, line, key) and reports of frequent tokens (token, n)."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    names = ["_id", "line", "key", "token", "n"]
 
     def run(batches):
-        tok = Tokenizer()
         for b in batches:
-            at, number, key, lines = [], [], [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                for k, words in enumerate(line_words(text)):
-                    if words:
-                        at.append(i), number.append(k), key.append(line_key(words)), lines.append(words)
-            n = len(at)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(key, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], ["_id", "line", "key", "token", "n"])
-            _, token = tok.shingles(lines)
-            token, count = np.unique(token, return_counts=True)
-            often = count >= REPORTED
-            m = int(often.sum())
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, b.column(0).type), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(token[often].astype(np.int64)), pa.array(count[often])], ["_id", "line", "key", "token", "n"])
+            for lines in chunks(b.column(1).to_pylist()):
+                some = np.flatnonzero(lines.words > 0)
+                n = len(some)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(lines.doc[some])), pa.array(lines.number[some].astype(np.int32)), pa.array(lines.key[some]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+                token, count = _runs(Tokenizer.shingles(lines, some)[1])
+                often = count >= REPORTED
+                m = int(often.sum())
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, b.column(0).type), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(token[often].astype(np.int64)), pa.array(count[often])], names)
 
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {id_type}, line int, key long, token long, n long")
 
@@ -135,27 +196,81 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
-def _prefix_rows(docs: DataFrame, text_col: str, ranked, percent: int) -> DataFrame:
-    """Prefix tokens of lines: token, key, n (tokens of the line), pos."""
+def _prefixes(tok: Tokenizer, texts: list, percent: int):
+    """token, key, n (tokens of the line) and pos of the prefix tokens of lines."""
+    for lines in chunks(texts):
+        some = np.flatnonzero(lines.words > 0)
+        some = some[np.unique(lines.key[some], return_index=True)[1]] if len(some) else some
+        for lo in range(0, len(some), LINES_AT_ONCE):
+            pick = some[lo : lo + LINES_AT_ONCE]
+            line, token = tok.sets(lines, pick)
+            n = np.bincount(line, minlength=len(pick))
+            pos = np.arange(len(line)) - (np.cumsum(n) - n)[line]
+            # Different lines of few tokens can't reach the threshold.
+            use = (pos < prefix_length(n, percent)[line]) & (100 * n[line] >= percent * (n[line] + 1))
+            line = line[use]
+            yield token[use], lines.key[pick][line], n[line], pos[use]
+
+
+def _bucket(token: np.ndarray) -> np.ndarray:
+    return (token * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TOKEN_FILTER_BITS.bit_length() + 1)
+
+
+def _token_filter(docs: DataFrame, text_col: str, ranked, percent: int) -> bytes:
+    """Bits, by a token's bucket, that are set if two prefix rows fall into it.
+
+    A token whose bit is not set stands in one line alone and can't link any.
+    """
+    width = TOKEN_FILTER_BITS // TOKEN_RANGES
+
+    def sketch(batches):
+        tok, seen = Tokenizer(ranked.value), []
+        for b in batches:
+            seen += [_bucket(token).astype(np.uint32) for token, _, _, _ in _prefixes(tok, b.column(0).to_pylist(), percent)]
+            if sum(map(len, seen)) > 4_000_000:
+                yield from flush(seen)
+                seen = []
+        yield from flush(seen)
+
+    def flush(seen):
+        bucket, count = _runs(np.concatenate(seen)) if seen else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        cut = np.searchsorted(bucket, np.arange(TOKEN_RANGES + 1) * width)
+        for r in range(TOKEN_RANGES):
+            own, c = bucket[cut[r] : cut[r + 1]] - np.uint32(r * width), count[cut[r] : cut[r + 1]]
+            if len(own):
+                blobs = [np.diff(x, prepend=np.uint32(0)).tobytes() for x in (own, own[c > 1])]
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array(blobs[:1], pa.binary()), pa.array(blobs[1:], pa.binary())], ["r", "seen", "twice"])
+
+    def merge(batches):
+        once: dict[int, np.ndarray] = {}
+        twice: dict[int, np.ndarray] = {}
+        for b in batches:
+            for r, s, t in zip(*(c.to_pylist() for c in b.columns)):
+                if r not in once:
+                    once[r], twice[r] = np.zeros(width, bool), np.zeros(width, bool)
+                own, more = (np.cumsum(np.frombuffer(x, np.uint32), dtype=np.uint32) for x in (s, t))
+                twice[r][own[once[r][own]]] = True
+                twice[r][more] = True
+                once[r][own] = True
+        for r, bits in twice.items():
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["r", "bits"])
+
+    parts = docs.select(text_col).mapInArrow(sketch, "r int, seen binary, twice binary")
+    merged = parts.repartition("r").mapInArrow(merge, "r int, bits binary")
+    found = {row["r"]: row["bits"] for row in merged.toLocalIterator()}  # TOKEN_FILTER_BITS bits in all
+    return b"".join(found.get(r, bytes(width // 8)) for r in range(TOKEN_RANGES))
+
+
+def _prefix_rows(docs: DataFrame, text_col: str, ranked, shared, percent: int) -> DataFrame:
+    """Prefix rows token, key, n, pos of tokens that the filter lets through."""
 
     def run(batches):
-        tok = Tokenizer(ranked.value)
+        tok, bits = Tokenizer(ranked.value), np.frombuffer(shared.value, np.uint8)
         for b in batches:
-            pending: dict[int, list[bytes]] = {}
-            for text in b.column(0).to_pylist():
-                for words in line_words(text):
-                    if words:
-                        pending[line_key(words)] = words
-            keys = np.fromiter(pending, np.int64, len(pending))
-            lines = list(pending.values())
-            for lo in range(0, len(lines), LINES_AT_ONCE):
-                line, token = tok.sets(lines[lo : lo + LINES_AT_ONCE])
-                n = np.bincount(line, minlength=1)
-                pos = np.arange(len(line)) - (np.cumsum(n) - n)[line]
-                # Different lines of few tokens can't reach the threshold.
-                use = (pos < prefix_length(n, percent)[line]) & (100 * (n[line]) >= percent * (n[line] + 1))
-                line, pos = line[use], pos[use]
-                yield pa.RecordBatch.from_arrays([pa.array(token[use].astype(np.int64)), pa.array(keys[lo + line]), pa.array(n[line].astype(np.int32)), pa.array(pos.astype(np.int32))], ["token", "key", "n", "pos"])
+            for token, key, n, pos in _prefixes(tok, b.column(0).to_pylist(), percent):
+                place = _bucket(token)
+                use = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                yield pa.RecordBatch.from_arrays([pa.array(token[use].astype(np.int64)), pa.array(key[use]), pa.array(n[use].astype(np.int32)), pa.array(pos[use].astype(np.int32))], ["token", "key", "n", "pos"])
 
     return docs.select(text_col).mapInArrow(run, "token long, key long, n int, pos int")
 
@@ -246,53 +361,54 @@ def _set_rows(docs: DataFrame, text_col: str, ranked, maybe) -> DataFrame:
         tok = Tokenizer(ranked.value)
         bits = np.unpackbits(np.frombuffer(maybe.value, np.uint8)).astype(bool)
         for b in batches:
-            pending: dict[int, list[bytes]] = {}
-            for text in b.column(0).to_pylist():
-                for words in line_words(text):
-                    if words:
-                        pending[line_key(words)] = words
-            keys = np.fromiter(pending, np.int64, len(pending))
-            passed = np.ones(len(keys), bool)
-            for place in _places(keys):
-                passed &= bits[place]
-            found = keys[passed].tolist()
-            for lo in range(0, len(found), LINES_AT_ONCE):
-                own = found[lo : lo + LINES_AT_ONCE]
-                line, token = tok.sets([pending[k] for k in own])
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(own)))])
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(token.astype(np.int64)))], ["key", "toks"])
+            for lines in chunks(b.column(0).to_pylist()):
+                passed = lines.words > 0
+                for place in _places(lines.key):
+                    passed &= bits[place]
+                some = np.flatnonzero(passed)
+                some = some[np.unique(lines.key[some], return_index=True)[1]] if len(some) else some
+                for lo in range(0, len(some), LINES_AT_ONCE):
+                    pick = some[lo : lo + LINES_AT_ONCE]
+                    line, token = tok.sets(lines, pick)
+                    offsets = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(pick)))])
+                    yield pa.RecordBatch.from_arrays([pa.array(lines.key[pick]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(token.astype(np.int64)))], ["key", "toks"])
 
     return docs.select(text_col).mapInArrow(run, "key long, toks array<long>")
 
 
-def _similar(a: str, b: str, percent: int):
-    """Length, position and then the sets themselves; a is the later line."""
-    x = lambda side, c: F.col(f"{side}.{c}")
-    n1, n2 = x(a, "n"), x(b, "n")
+def _fitting(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
+    """Pairs late, early of lines with a common token that pass every filter."""
+    joined = a.alias("a").join(b.alias("b"), "token")
+    n1, n2 = F.col("a.n"), F.col("b.n")
     need = F.ceil(F.lit(percent) * (n1 + n2) / F.lit(100 + percent))
-    both = F.size(F.array_intersect(x(a, "toks"), x(b, "toks")))
-    return (x(a, "ord") > x(b, "ord")) & (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (F.least(n1 - x(a, "pos"), n2 - x(b, "pos")) >= need) & (both * (100 + percent) >= (n1 + n2) * percent)
+    fits = (F.col("a.ord") > F.col("b.ord")) & (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (F.least(n1 - F.col("a.pos"), n2 - F.col("b.pos")) >= need)
+    return joined.where(fits).select(F.col("a.key").alias("late"), F.col("b.key").alias("early")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The late lines (column key) of pairs whose Jaccard similarity suffices."""
+    one = pairs.join(sets.select(F.col("key").alias("early"), F.col("toks").alias("x")), "early")
+    two = one.join(sets.select(F.col("key").alias("late"), F.col("toks").alias("y")), "late")
+    both = F.size(F.array_intersect("x", "y"))
+    return two.where(both * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select(F.col("late").alias("key")).distinct()
 
 
 def _near_keys(docs: DataFrame, text_col: str, first: DataFrame, ranked, percent: int) -> DataFrame:
     """Keys of lines that have an earlier, different and similar line."""
     spark = docs.sparkSession
-    prefix = _prefix_rows(docs, text_col, ranked, percent)
-    rows = materialize(prefix.repartition("token").sortWithinPartitions("token", "key").mapInArrow(_shared_rows(percent), "token long, key long, n int, pos int"))
-    maybe = spark.sparkContext.broadcast(np.packbits(_key_filter(rows.select("key"))).tobytes())
-    sets = _set_rows(docs, text_col, ranked, maybe)
-    wanted = rows.select("key").distinct().join(sets, "key").groupBy("key").agg(F.first("toks").alias("toks"))
-    known = wanted.join(first, "key").select("key", "toks", "ord")
-    full = materialize(rows.join(known, "key"))
-
-    hub = full.groupBy("token").agg(F.min_by(F.struct("n", "pos", "toks", "ord"), "ord").alias("hub")).select("token", "hub.*")
-    near_hub = materialize(full.alias("a").join(hub.alias("b"), "token").where(_similar("a", "b", percent)).select("a.key").distinct())
-    probes = full.join(near_hub, "key", "left_anti")
-    counts = full.groupBy("token").agg(F.count("*").alias("m"))
-    parts = F.ceil(F.col("m") / PART_ROWS).cast("int")
-    index = full.join(counts, "token").withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int")).drop("m")
-    asked = probes.join(counts, "token").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("m")
-    late = asked.alias("a").join(index.alias("b"), ["token", "part"]).where(_similar("a", "b", percent)).select("a.key").distinct()
+    shared = spark.sparkContext.broadcast(_token_filter(docs, text_col, ranked, percent))
+    prefix = _prefix_rows(docs, text_col, ranked, shared, percent)
+    found = materialize(prefix.repartition("token").sortWithinPartitions("token", "key").mapInArrow(_shared_rows(percent), "token long, key long, n int, pos int"))
+    maybe = spark.sparkContext.broadcast(np.packbits(_key_filter(found.select("key"))).tobytes())
+    keys = found.select("key").distinct()
+    sets = materialize(_set_rows(docs, text_col, ranked, maybe).dropDuplicates(["key"]).join(keys, "key", "left_semi"))
+    rows = materialize(found.join(first.join(keys, "key", "left_semi"), "key"))
+
+    # Each token's earliest line first: it settles groups of copies.
+    hub = rows.groupBy("token").agg(F.min_by(F.struct("key", "n", "pos", "ord"), "ord").alias("hub")).select("token", "hub.*")
+    near_hub = materialize(_verified(_fitting(rows, hub, percent), sets, percent))
+    rest = rows.join(near_hub, "key", "left_anti")
+    late = _verified(_fitting(rest, rows, percent), sets, percent)
     return near_hub.unionByName(late).distinct()
 
 
