@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .settle import settle
+
 
 def mixed(key: Column, seed: int = 0) -> Column:
     """An integer hash that any SQL engine can compute: two rounds modulo a prime."""
@@ -32,7 +34,7 @@ def ranked(df: DataFrame, order: Sequence, keys: Sequence[str] = (), buckets: in
     if keys:
         w = Window.partitionBy(*keys)
         return df.withColumn("rn", F.row_number().over(w.orderBy(*order)) - 1).withColumn("total", F.count("*").over(w))
-    spread = df.repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id()).checkpoint()
+    spread = settle(df.repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id()))
     sizes = spread.groupBy("_p").agg(F.count("*").alias("_n"))
     base = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("total"))
     local = spread.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .settle import settle
 from .vectors import DIGITS, similarity_join, unit_vectors
 
 
@@ -25,10 +26,10 @@ def iterative_search(db: DataFrame, seeds: DataFrame, cutoffs: DataFrame, iterat
     for i in range(1, iterations + 1):
         asked = frontier.join(F.broadcast(cutoffs.select(group, "cutoff")), group)
         asked = asked.select(F.col("id").alias("query"), "u", group, "cutoff")
-        hits = similarity_join(asked, db, "cutoff", "query", "id", group).withColumn("iter", F.lit(i)).checkpoint()
+        hits = settle(similarity_join(asked, db, "cutoff", "query", "id", group).withColumn("iter", F.lit(i)))
         out = hits if out is None else out.unionByName(hits)
         reached = hits.select("id").distinct()
-        fresh = reached.join(used, "id", "left_anti").checkpoint()
+        fresh = settle(reached.join(used, "id", "left_anti"))
         if fresh.isEmpty():
             break
         frontier = db.join(reached if spread_all else fresh, "id", "left_semi").select("id", "u", group)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables
 from ..functions.columns import distance
+from .settle import settle
 
 XYZ = ("x", "y", "z")
 
@@ -76,7 +77,7 @@ def nearest_point(queries: DataFrame, points: DataFrame, query: str, point: str,
     left, found = queries, None
     groups = points.select(*keys).distinct() if keys else None
     for _ in range(64):
-        got = nearest_point(left, points, query, point, radius, keys).checkpoint()
+        got = settle(nearest_point(left, points, query, point, radius, keys))
         found = got if found is None else found.unionByName(got)
         left = left.join(got.select(query, *keys), [query, *keys], "left_anti")
         if groups is not None:

@@ -11,13 +11,33 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query, with SQL for the same rows where SQL can say it."""
+
+    def add(f: Query) -> Query:
+        if name in _QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        _QUERIES[name] = f
+        if sql:
+            _ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from .plans import queries_features, queries_search, queries_sequence, queries_tables  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
-    return _QUERIES
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ORACLES
+    _load()
+    return dict(_ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _QUERIES["iterative_site_search"](spark, sf_dir)
+    return queries()["iterative_site_search"](spark, sf_dir)
