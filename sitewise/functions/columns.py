@@ -78,9 +78,9 @@ def is_predicted(path: Column) -> Column:
 def record_chain(record_id: Column) -> Column:
     """lower(id)_chain of "...|pdb|ID|CHAIN" (chain A if blank), ACC_A of "...|sp|ACC"; else null."""
     part = F.split(record_id, r"\|")
-    kind = F.try_element_at(part, F.lit(2))
-    name = F.try_element_at(part, F.lit(3))
-    chain_id = F.coalesce(F.nullif(F.try_element_at(part, F.lit(4)), F.lit("")), F.lit("A"))
+    kind = F.try_element_at(part, F.lit(3))
+    name = F.try_element_at(part, F.lit(4))
+    chain_id = F.coalesce(F.nullif(F.try_element_at(part, F.lit(5)), F.lit("")), F.lit("A"))
     return F.when((kind == "pdb") & (name != ""), F.concat_ws("_", F.lower(name), chain_id)).when(kind == "sp", F.concat(name, F.lit("_A")))
 
 

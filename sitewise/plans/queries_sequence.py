@@ -1 +1,175 @@
-"""Placeholder."""
+"""Queries along sequences: confidence runs and alignment columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..functions import tables
+from ..operators import sampling, sequence
+from ..registry import query
+from .standins import MSA_SQL, aligned_rows, table
+
+SERIES_SQL = """series AS (
+    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, least(value, 100.0) AS conf, count(*) OVER (PARTITION BY user_id) AS n FROM events
+), kern AS (SELECT k, exp(-k * k / 50.0) / (SELECT sum(exp(-j * j / 50.0)) FROM range(-20, 21) s(j)) AS w FROM range(-20, 21) t(k)
+), smooth AS (
+    SELECT a.user_id, a.pos, sum(w * b.conf) AS smooth FROM series a, kern, series b
+    WHERE b.user_id = a.user_id AND b.pos = CASE WHEN (a.pos + k + 20 * a.n) % (2 * a.n) >= a.n THEN 2 * a.n - 1 - (a.pos + k + 20 * a.n) % (2 * a.n) ELSE (a.pos + k + 20 * a.n) % (2 * a.n) END
+    GROUP BY a.user_id, a.pos
+)"""
+LETTERS20 = ", ".join(f"'{x}'" for x in [*tables.LETTERS[:20], *map(str.lower, tables.LETTERS[:20])])
+
+
+def _series(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return e.select("user_id", (F.row_number().over(w) - 1).cast("long").alias("pos"), F.least("value", F.lit(100.0)).alias("conf"))
+
+
+def _cells(spark, sf_dir):
+    return sequence.alignment_cells(aligned_rows(spark, sf_dir), ["doc_id", "lang"], "seq")
+
+
+@query("gaussian_smooth", f"WITH {SERIES_SQL} SELECT user_id, pos, round(smooth, 6) AS smooth FROM smooth")
+def gaussian_smooth(spark, sf_dir):
+    s = sequence.gaussian_smooth(_series(spark, sf_dir), ["user_id"], "pos", "conf")
+    return s.select("user_id", "pos", F.round("smooth", 6).alias("smooth"))
+
+
+@query("confidence_runs", f"""WITH {SERIES_SQL}, high AS (SELECT *, pos - row_number() OVER (PARTITION BY user_id ORDER BY pos) AS island FROM smooth WHERE round(smooth, 9) >= 45),
+    r AS (SELECT *, min(pos) OVER (PARTITION BY user_id, island) AS run_start, count(*) OVER (PARTITION BY user_id, island) AS run_length FROM high)
+    SELECT user_id, pos, run_start, run_length FROM r WHERE run_length > 20""")
+def confidence_runs(spark, sf_dir):
+    s = sequence.gaussian_smooth(_series(spark, sf_dir), ["user_id"], "pos", "conf").withColumn("smooth", F.round("smooth", 9))
+    return sequence.high_runs(s, ["user_id"], "pos", "smooth", 45.0, 20).select("user_id", "pos", "run_start", "run_length")
+
+
+@query("msa_entropy", f"""WITH {MSA_SQL}, n AS (SELECT lang, col, ch, count(*) AS n FROM cells WHERE ch <> '-' GROUP BY ALL), t AS (SELECT lang, col, sum(n) AS t FROM n GROUP BY ALL),
+    h AS (SELECT lang, col, -sum(n / t * log2(n / t)) AS h FROM n JOIN t USING (lang, col) GROUP BY lang, col)
+    SELECT c.lang, c.col, round(coalesce(h, 0), 6) AS entropy FROM (SELECT DISTINCT lang, col FROM cells) c LEFT JOIN h ON h.lang = c.lang AND h.col = c.col""")
+def msa_entropy(spark, sf_dir):
+    return sequence.column_entropy(_cells(spark, sf_dir), ["lang"]).select("lang", "col", F.round("entropy", 6).alias("entropy"))
+
+
+@query("msa_conservation", f"""WITH {MSA_SQL}, n AS (SELECT lang, col, ch, count(*) AS n FROM cells WHERE ch <> '-' GROUP BY ALL), t AS (SELECT lang, col, sum(n) AS t FROM n GROUP BY ALL),
+    h AS (SELECT lang, col, -sum(n / t * log2(n / t)) AS h FROM n JOIN t USING (lang, col) GROUP BY lang, col)
+    SELECT c.lang, c.col, round(1 / (coalesce(h, 0) + 1), 6) AS conservation FROM (SELECT DISTINCT lang, col FROM cells) c LEFT JOIN h ON h.lang = c.lang AND h.col = c.col""")
+def msa_conservation(spark, sf_dir):
+    return sequence.column_entropy(_cells(spark, sf_dir), ["lang"]).select("lang", "col", F.round("conservation", 6).alias("conservation"))
+
+
+@query("gap_positions", f"WITH {MSA_SQL} SELECT doc_id, col, CASE WHEN ch = '-' THEN -1 ELSE col - CAST(sum(CASE WHEN ch = '-' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY col) AS BIGINT) END AS seq_pos FROM cells")
+def gap_positions(spark, sf_dir):
+    return sequence.ungapped_positions(_cells(spark, sf_dir), ["doc_id"]).select("doc_id", "col", "seq_pos")
+
+
+@query("sequence_positions", f"WITH {MSA_SQL} SELECT doc_id, col, col - CAST(coalesce(sum(CASE WHEN ch IN ('-', 'X') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS seq_pos FROM cells")
+def sequence_positions(spark, sf_dir):
+    return sequence.sequence_positions(_cells(spark, sf_dir), ["doc_id"]).select("doc_id", "col", "seq_pos")
+
+
+@query("aligned_columns", f"WITH {MSA_SQL} SELECT doc_id // 4 AS family, col FROM cells GROUP BY ALL HAVING bool_and(ch <> '-')")
+def aligned_columns(spark, sf_dir):
+    cells = _cells(spark, sf_dir).withColumn("family", F.expr("doc_id div 4"))
+    return sequence.aligned_columns(cells, ["family"])
+
+
+@query("domain_bounds", f"WITH {MSA_SQL} SELECT doc_id, min(col) AS first_col, max(col) AS last_col FROM cells WHERE ch <> '-' GROUP BY doc_id")
+def domain_bounds(spark, sf_dir):
+    return sequence.domain_bounds(_cells(spark, sf_dir), ["doc_id"])
+
+
+def _pairs(spark, sf_dir):
+    a = aligned_rows(spark, sf_dir).withColumn("family", F.expr("doc_id div 5"))
+    b = a.select("family", F.col("doc_id").alias("other"), F.col("seq").alias("seq2"))
+    return a.join(b, "family").where("doc_id < other")
+
+
+PAIR_SQL = f"{MSA_SQL}, pairs AS (SELECT a.doc_id, b.doc_id AS other, a.seq, b.seq AS seq2 FROM msa a JOIN msa b ON a.doc_id // 5 = b.doc_id // 5 AND a.doc_id < b.doc_id), pc AS (SELECT p.doc_id, other, c AS col, substr(seq, c + 1, 1) AS x, substr(seq2, c + 1, 1) AS y FROM pairs p, range(60) t(c))"
+
+
+@query("seq_identity", f"WITH {PAIR_SQL} SELECT doc_id, other, round(avg(CASE WHEN x = y THEN 1.0 ELSE 0.0 END) FILTER (NOT (x = '-' AND y = '-')), 6) AS identity FROM pc GROUP BY doc_id, other")
+def seq_identity(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("doc_id", "other", F.round(sequence.pair_identity(F.col("seq"), F.col("seq2")), 6).alias("identity"))
+
+
+@query("valid_pair_columns", f"WITH {PAIR_SQL} SELECT doc_id, other, CAST(col AS INTEGER) AS col FROM pc WHERE x IN ({LETTERS20}) AND y IN ({LETTERS20})")
+def valid_pair_columns(spark, sf_dir):
+    letters = [*tables.LETTERS[:20], *map(str.lower, tables.LETTERS[:20])]
+    cols = sequence.valid_pair_columns(F.col("seq"), F.col("seq2"), letters)
+    return _pairs(spark, sf_dir).select("doc_id", "other", F.explode(cols).alias("col"))
+
+
+@query("position_pair_sample", f"""WITH {PAIR_SQL}, v AS (SELECT doc_id, other, col FROM pc WHERE x IN ({LETTERS20}) AND y IN ({LETTERS20})), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, other ORDER BY ((col * 48271 + 11) % 2147483647 * 69621 + 1) % 2147483647, col) AS k FROM v)
+    SELECT doc_id, other, CAST(col AS INTEGER) AS col FROM r WHERE k <= 2""")
+def position_pair_sample(spark, sf_dir):
+    return sampling.take_hashed(valid_pair_columns(spark, sf_dir), 2, "col", ["doc_id", "other"])
+
+
+@query("norm_levenshtein", f"""WITH {PAIR_SQL}, s AS (SELECT doc_id, other, string_agg(x, '' ORDER BY col) AS a, string_agg(y, '' ORDER BY col) AS b, count(*) AS n FROM pc WHERE NOT (x = '-' AND y = '-') AND ascii(x) < 128 AND ascii(y) < 128 GROUP BY doc_id, other)
+    SELECT doc_id, other, round(levenshtein(a, b) / CAST(n AS DOUBLE), 6) AS distance FROM s""")
+def norm_levenshtein(spark, sf_dir):
+    """Columns with a character beyond ASCII are cut first: engines count those differently."""
+    both = _pairs(spark, sf_dir)
+    keep = F.filter(F.sequence(F.lit(1), F.lit(60)), lambda i: (F.ascii(F.substring("seq", i, F.lit(1))) < 128) & (F.ascii(F.substring("seq2", i, F.lit(1))) < 128))
+    cut = lambda c: F.array_join(F.transform("keep", lambda i: F.substring(F.col(c), i, F.lit(1))), "")
+    rows = both.withColumn("keep", keep).select("doc_id", "other", cut("seq").alias("a"), cut("seq2").alias("b"))
+    return rows.select("doc_id", "other", F.round(C.normalized_edits(F.col("a"), F.col("b")), 6).alias("distance")).where("distance is not null")
+
+
+@query("all_pairs_distance", """WITH n AS (SELECT n_name, n_regionkey FROM nation) SELECT a.n_name AS a, b.n_name AS b, round(levenshtein(a.n_name, b.n_name) / CAST(greatest(length(a.n_name), length(b.n_name)) AS DOUBLE), 6) AS distance FROM n a JOIN n b ON a.n_regionkey = b.n_regionkey""")
+def all_pairs_distance(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    a, b = (n.select("n_regionkey", F.col("n_name").alias(x)) for x in "ab")
+    return a.join(b, "n_regionkey").select("a", "b", F.round(C.normalized_edits(F.col("a"), F.col("b")), 6).alias("distance"))
+
+
+CHAIN_SQL = "chains AS (SELECT conv_id, turn, ['ALA', 'ARG', 'CYS', 'TRP', 'HOH'][turn % 5 + 1] AS resname FROM conversations)"
+
+
+@query("chain_sequence", f"""WITH {CHAIN_SQL}, l AS (SELECT *, CASE resname WHEN 'ALA' THEN 'A' WHEN 'ARG' THEN 'R' WHEN 'CYS' THEN 'C' WHEN 'TRP' THEN 'W' ELSE 'X' END AS l FROM chains)
+    SELECT conv_id, string_agg(l, '' ORDER BY turn, l) AS sequence, string_agg(l || turn, ',' ORDER BY turn, l) AS resids, CAST(count(*) AS INTEGER) AS n FROM l GROUP BY conv_id""")
+def chain_sequence(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    rows = c.select("conv_id", "turn", F.element_at(F.array(*[F.lit(x) for x in ("ALA", "ARG", "CYS", "TRP", "HOH")]), (F.col("turn") % 5 + 1).cast("int")).alias("resname"))
+    return sequence.chain_sequences(rows, ["conv_id"], "turn", "resname", "turn").withColumn("resids", F.array_join("resids", ","))
+
+
+@query("fasta_render", f"""WITH {CHAIN_SQL}, l AS (SELECT *, CASE resname WHEN 'ALA' THEN 'A' WHEN 'ARG' THEN 'R' WHEN 'CYS' THEN 'C' WHEN 'TRP' THEN 'W' ELSE 'X' END AS l FROM chains)
+    SELECT conv_id, '>' || conv_id || chr(10) || string_agg(l, '' ORDER BY turn, l) || chr(10) AS record FROM l GROUP BY conv_id""")
+def fasta_render(spark, sf_dir):
+    s = chain_sequence(spark, sf_dir)
+    return s.select("conv_id", F.concat(F.lit(">"), F.col("conv_id").cast("string"), F.lit("\n"), "sequence", F.lit("\n")).alias("record"))
+
+
+@query("record_match", """WITH s AS (SELECT 'supplier' || chr(35) || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS key FROM supplier), r AS (SELECT s_suppkey AS ord, lower(s_name) || '|x' AS rid FROM supplier UNION ALL SELECT s_suppkey + 1000000, lower(s_name) || '|y' FROM supplier)
+    , m AS (SELECT key, rid, row_number() OVER (PARTITION BY key ORDER BY ord) AS k FROM s JOIN r ON contains(rid, key)) SELECT key, rid FROM m WHERE k = 1""")
+def record_match(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    keys = s.select(F.concat(F.lit("supplier#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("key"))
+    one = s.select(F.col("s_suppkey").alias("ord"), F.concat(F.lower("s_name"), F.lit("|x")).alias("rid"))
+    two = s.select((F.col("s_suppkey") + 1000000).alias("ord"), F.concat(F.lower("s_name"), F.lit("|y")).alias("rid"))
+    return sequence.match_records(keys, one.unionAll(two), "key", "rid", "ord").select("key", "rid")
+
+
+@query("ema_schedule", """WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE user_id < 20),
+    f AS (SELECT user_id, CAST(1 AS BIGINT) AS k, 0.0 * 0.9 + value * 0.1 AS s FROM o WHERE k = 1 UNION ALL SELECT f.user_id, o.k, f.s * 0.9 + o.value * 0.1 FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)
+    SELECT user_id, round(arg_max(s, k), 6) AS state FROM f GROUP BY user_id""")
+def ema_schedule(spark, sf_dir):
+    """A recurrence along each user's events, as a fold."""
+    e = table(spark, sf_dir, "events").where("user_id < 20").withColumn("o", F.struct("ts", "event_id"))
+    return sequence.ordered_fold(e, ["user_id"], "o", "value", 0.0, lambda s, v: s * 0.9 + v * 0.1).withColumn("state", F.round("state", 6))
+
+
+@query("running_mean", "SELECT event_id, user_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 10) AS mean FROM events")
+def running_mean(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, sf_dir, "events").select("event_id", "user_id", F.round(F.avg("value").over(w), 10).alias("mean"))
+
+
+@query("family_columns", f"""WITH {MSA_SQL} SELECT lang, col, count(*) AS n_rows, count(DISTINCT ch) AS n_symbols FROM cells WHERE ch <> '-' GROUP BY lang, col""")
+def family_columns(spark, sf_dir):
+    """Rows with a residue in each alignment column."""
+    return _cells(spark, sf_dir).where("ch <> '-'").groupBy("lang", "col").agg(F.count("*").alias("n_rows"), F.countDistinct("ch").alias("n_symbols"))
