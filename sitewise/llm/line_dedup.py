@@ -42,6 +42,7 @@ CHUNK_BYTES = 1 << 20
 #: A token shared by more lines than this leaves the counting task unfiltered.
 HEAVY_ROWS = 200_000
 
+PARITY = ["p0", "p1", "p2", "p3"]
 _RANKED = np.uint64(1) << np.uint64(TOKEN_BITS - 1)
 _odd = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1) for k in range(SHINGLE_WORDS)]
 _BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2^64
@@ -355,7 +356,10 @@ def _places(keys: np.ndarray):
 
 
 def _set_rows(docs: DataFrame, text_col: str, ranked, maybe) -> DataFrame:
-    """key and toks (its token set) of lines that the filter lets through."""
+    """key, toks (its token set) and four words of parity bits of lines that the
+    filter lets through. A token flips one of the 256 bits, so sets that share o
+    of their n + m tokens differ in n + m - 2 o bits at most.
+    """
 
     def run(batches):
         tok = Tokenizer(ranked.value)
@@ -371,18 +375,28 @@ def _set_rows(docs: DataFrame, text_col: str, ranked, maybe) -> DataFrame:
                     pick = some[lo : lo + LINES_AT_ONCE]
                     line, token = tok.sets(lines, pick)
                     offsets = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(pick)))])
-                    yield pa.RecordBatch.from_arrays([pa.array(lines.key[pick]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(token.astype(np.int64)))], ["key", "toks"])
+                    place = (token * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(56)
+                    flips = np.uint64(1) << (place & np.uint64(63))
+                    parity = [np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == w, flips, np.uint64(0)), offsets[:-1]).view(np.int64) for w in range(4)]
+                    yield pa.RecordBatch.from_arrays([pa.array(lines.key[pick]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(token.astype(np.int64))), *map(pa.array, parity)], ["key", "toks", *PARITY])
 
-    return docs.select(text_col).mapInArrow(run, "key long, toks array<long>")
+    return docs.select(text_col).mapInArrow(run, "key long, toks array<long>, " + ", ".join(f"{c} long" for c in PARITY))
 
 
 def _fitting(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
-    """Pairs late, early of lines with a common token that pass every filter."""
+    """Pairs late, early of lines with a common token that pass every filter,
+    with the number of parity bits in which they differ."""
     joined = a.alias("a").join(b.alias("b"), "token")
     n1, n2 = F.col("a.n"), F.col("b.n")
     need = F.ceil(F.lit(percent) * (n1 + n2) / F.lit(100 + percent))
-    fits = (F.col("a.ord") > F.col("b.ord")) & (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (F.least(n1 - F.col("a.pos"), n2 - F.col("b.pos")) >= need)
-    return joined.where(fits).select(F.col("a.key").alias("late"), F.col("b.key").alias("early")).distinct()
+    differ = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in PARITY[1:]), F.bit_count(F.col("a.p0").bitwiseXOR(F.col("b.p0"))))
+    fits = (F.col("a.ord") > F.col("b.ord")) & (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (F.least(n1 - F.col("a.pos"), n2 - F.col("b.pos")) >= need) & (n1 + n2 - differ >= 2 * need)
+    return joined.where(fits).select(F.col("a.key").alias("late"), F.col("b.key").alias("early"), differ.alias("differ")).distinct()
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """Of each late line the partner that differs least."""
+    return pairs.groupBy("late").agg(F.min(F.struct("differ", "early")).alias("p")).select("late", "p.early", "p.differ")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -402,14 +416,17 @@ def _near_keys(docs: DataFrame, text_col: str, first: DataFrame, ranked, percent
     maybe = spark.sparkContext.broadcast(np.packbits(_key_filter(found.select("key"))).tobytes())
     keys = found.select("key").distinct()
     sets = materialize(_set_rows(docs, text_col, ranked, maybe).dropDuplicates(["key"]).join(keys, "key", "left_semi"))
-    rows = materialize(found.join(first.join(keys, "key", "left_semi"), "key"))
-
-    # Each token's earliest line first: it settles groups of copies.
-    hub = rows.groupBy("token").agg(F.min_by(F.struct("key", "n", "pos", "ord"), "ord").alias("hub")).select("token", "hub.*")
-    near_hub = materialize(_verified(_fitting(rows, hub, percent), sets, percent))
-    rest = rows.join(near_hub, "key", "left_anti")
-    late = _verified(_fitting(rest, rows, percent), sets, percent)
-    return near_hub.unionByName(late).distinct()
+    about = sets.select("key", *PARITY).join(first, "key")
+    rows = materialize(found.join(about, "key"))
+
+    # One likely partner settles most lines: first each token's earliest line,
+    # then any; only what is left is compared with all its partners.
+    hub = rows.groupBy("token").agg(F.min(F.struct("ord", "key", "n", "pos", *PARITY)).alias("hub")).select("token", "hub.*")
+    settled = materialize(_verified(_likeliest(_fitting(rows, hub, percent)), sets, percent))
+    pairs = materialize(_fitting(rows.join(settled, "key", "left_anti"), rows, percent))
+    more = materialize(_verified(_likeliest(pairs), sets, percent))
+    last = pairs.join(more.withColumnRenamed("key", "late"), "late", "left_anti").join(_likeliest(pairs), ["late", "early"], "left_anti")
+    return settled.unionByName(more).unionByName(_verified(last, sets, percent)).distinct()
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
