@@ -126,3 +126,62 @@ def families(records: DataFrame, structures: DataFrame, family: str, least: int
     joined = records.join(structures, "pdb_chain")
     big = joined.groupBy(family).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(family)
     return joined.join(big, family, "left_semi")
+
+
+def subunits(ensembles: DataFrame, keys: list[str], name: str = "subunit") -> DataFrame:
+    """One row per ensemble: its ligand and receptor subunits, bound and unbound.
+
+    Ensembles of two subunits serve as both forms; four are told apart by the
+    suffixes of their names. Any other number is an error.
+    """
+    n = F.countDistinct(name).alias("n")
+    ends = lambda s: F.min(F.when(F.col(name).endswith(s), F.col(name)))
+    found = ensembles.groupBy(*keys).agg(n, F.min(name).alias("a"), F.max(name).alias("b"), *[ends(s).alias(s) for s in ("ligand_bound", "receptor_bound", "ligand_unbound", "receptor_unbound")])
+    checked = found.withColumn("ok", F.when(F.col("n").isin(2, 4), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("2 or 4 subunits expected, not "), F.col("n").cast("string")))))
+    pick = lambda c, other: F.when(F.col("ok") & (F.col("n") == 2), F.col(other)).otherwise(F.col(c)).alias(c)
+    return checked.select(*keys, pick("ligand_bound", "a"), pick("receptor_bound", "b"), pick("ligand_unbound", "a"), pick("receptor_unbound", "b"))
+
+
+def interface_examples(left: DataFrame, right: DataFrame, cutoff: float, n: int = 10, ratio: int = 1, radius: float = 10.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labelled residue pairs of two subunits, and the environments of both sides.
+
+    Residues have a whole number; environments are centered at their CA.
+    """
+    pos = spatial.interface_pairs(left, right, cutoff, ["residue"])
+    neg = spatial.negative_pairs(left, right, pos, ["residue"])
+    key = (F.col("residue0") * 1_000_003 + F.col("residue1")).alias("k")
+    pairs = sampling.label_sample(pos.select("*", key), neg.select("*", key), "k", n, ratio).drop("k")
+    sides = []
+    for side, atoms in (("0", left), ("1", right)):
+        wanted = pairs.select(F.col("residue" + side).alias("residue")).distinct()
+        centers = spatial.ca_centers(atoms.join(wanted, "residue", "left_semi"), ["residue"])
+        sides.append(spatial.radius_join(centers, atoms, radius))
+    return pairs, sides[0], sides[1]
+
+
+def site_neighbor_environments(site_atoms: DataFrame, atoms: DataFrame, residue: list[str], reach: float = 3.5, radius: float = 10.0) -> DataFrame:
+    """Environments of every residue within ``reach`` of a site."""
+    near = spatial.site_neighbors(site_atoms, atoms, reach, residue)
+    centers = spatial.ca_centers(atoms.join(near, residue, "left_semi"), residue)
+    return spatial.radius_join(centers, atoms, radius)
+
+
+def labelled_sites(coords: DataFrame, atoms: DataFrame, held_out: bool) -> DataFrame:
+    """The residue nearest each labelled coordinate of a structure, by class.
+
+    ``coords`` has site, pdb, x, y, z and label (1, 0): TP and TN of a main set,
+    FN and FP of a held-out one.
+    """
+    names = ("FN", "FP") if held_out else ("TP", "TN")
+    near = spatial.nearest_point(coords, atoms, "site", "atom_idx", keys=["pdb"])
+    kind = F.when(F.col("label") == 1, names[0]).otherwise(names[1])
+    return near.join(coords.select("site", "pdb", "label"), ["site", "pdb"]).select("site", "pdb", "atom_idx", "dist", kind.alias("kind"))
+
+
+def alignment_column_pairs(cells: DataFrame, residues: DataFrame, keys: list[str], row: str) -> DataFrame:
+    """For each alignment column every residue that stands there: keys, col, row,
+    seq_pos, conservation and the residue's columns. ``residues`` has row and seq_pos.
+    """
+    conserved = sequence.column_entropy(cells, keys).select(*keys, "col", "conservation")
+    placed = sequence.ungapped_positions(cells, [*keys, row]).where("seq_pos >= 0")
+    return placed.join(conserved, [*keys, "col"]).join(residues, [row, "seq_pos"])

@@ -215,3 +215,51 @@ def mutation_environments(spark, sf_dir):
     a = named(spark, sf_dir)
     centers = spatial.ca_centers(a, ["chain", "residue"]).where("residue % 10 = 0")
     return spatial.radius_join(centers, a.select("atom_idx", "x", "y", "z"), 0.2).select("chain", "residue", F.col("p_atom_idx").alias("atom"))
+
+
+@query("interface_examples", f"""{PPI}, pos AS (SELECT DISTINCT a.residue AS residue0, b.residue AS residue1 FROM l a JOIN r b ON {D} < 0.2),
+    neg AS (SELECT p.a AS residue0, p.b AS residue1 FROM (SELECT DISTINCT a.residue AS a, b.residue AS b FROM l a, r b) p LEFT JOIN pos ON pos.residue0 = p.a AND pos.residue1 = p.b WHERE pos.residue0 IS NULL),
+    hp AS (SELECT *, residue0 * 1000003 + residue1 AS k FROM pos ORDER BY ((k * 48271 + 11) % 2147483647 * 69621 + 1) % 2147483647, k LIMIT 10),
+    hn AS (SELECT *, residue0 * 1000003 + residue1 AS k FROM neg ORDER BY ((k * 48271 + 11) % 2147483647 * 69621 + 1) % 2147483647, k LIMIT (SELECT count(*) FROM hp)),
+    p AS (SELECT residue0 AS residue FROM hp UNION SELECT residue0 FROM hn),
+    c AS (SELECT residue, arg_min(x, atom_idx) AS x, arg_min(y, atom_idx) AS y, arg_min(z, atom_idx) AS z FROM l WHERE name = 'CA' AND residue IN (SELECT residue FROM p) GROUP BY residue)
+    SELECT a.residue, b.atom_idx AS atom FROM c a JOIN l b ON {D} <= 0.3""")
+def interface_examples(spark, sf_dir):
+    """Environments of the first side of sampled interface pairs."""
+    from .pipelines import interface_examples as build
+
+    left, right = _sides(spark, sf_dir)
+    return build(left, right, 0.2, radius=0.3)[1].select("residue", F.col("p_atom_idx").alias("atom"))
+
+
+@query("site_neighbor_environments", f"""WITH {NAMED_SQL}, near AS (SELECT DISTINCT b.chain, b.residue FROM named a JOIN named b ON {D} <= 0.1 WHERE a.residue % 25 = 0),
+    c AS (SELECT n.chain, n.residue, arg_min(x, atom_idx) AS x, arg_min(y, atom_idx) AS y, arg_min(z, atom_idx) AS z FROM named n JOIN near USING (chain, residue) WHERE name = 'CA' GROUP BY n.chain, n.residue)
+    SELECT a.chain, a.residue, b.atom_idx AS atom FROM c a JOIN named b ON {D} <= 0.2""")
+def site_neighbor_environments(spark, sf_dir):
+    from .pipelines import site_neighbor_environments as build
+
+    a = named(spark, sf_dir)
+    return build(a.where("residue % 25 = 0"), a, ["chain", "residue"], 0.1, 0.2).select("chain", "residue", F.col("p_atom_idx").alias("atom"))
+
+
+@query("labelled_sites", f"""WITH {ATOMS_SQL}, r AS (SELECT a.atom_idx AS site, a.chain AS pdb, b.atom_idx, {D} AS dist, row_number() OVER (PARTITION BY a.atom_idx ORDER BY {D}, b.atom_idx) AS k FROM atoms a JOIN atoms b ON a.chain = b.chain AND b.atom_idx % 9 <> 0 WHERE a.atom_idx % 9 = 0)
+    SELECT site, pdb, atom_idx, round(dist, 6) AS dist, CASE WHEN site % 2 = 1 THEN 'TP' ELSE 'TN' END AS kind FROM r WHERE k = 1""")
+def labelled_sites(spark, sf_dir):
+    from .pipelines import labelled_sites as build
+
+    a = atoms(spark, sf_dir).withColumnRenamed("chain", "pdb")
+    coords = a.where("atom_idx % 9 = 0").withColumn("label", (F.col("atom_idx") % 2).cast("int")).withColumnRenamed("atom_idx", "site")
+    return build(coords, a.where("atom_idx % 9 <> 0"), held_out=False).withColumn("dist", F.round("dist", 6))
+
+
+@query("subunit_roles", """WITH s AS (SELECT s_suppkey // 4 AS e, ['ligand_bound', 'receptor_bound', 'ligand_unbound', 'receptor_unbound'][s_suppkey % 4 + 1] AS part, s_suppkey FROM supplier), n AS (SELECT e, count(*) AS n FROM s GROUP BY e HAVING count(*) IN (2, 4)),
+    u AS (SELECT s.e, n.n, 'x' || s.e || '_' || part AS u, part FROM s JOIN n ON n.e = s.e)
+    SELECT e, CASE WHEN n = 2 THEN min(u) ELSE min(u) FILTER (part = 'ligand_bound') END AS ligand_bound, CASE WHEN n = 2 THEN max(u) ELSE min(u) FILTER (part = 'receptor_bound') END AS receptor_bound,
+           CASE WHEN n = 2 THEN min(u) ELSE min(u) FILTER (part = 'ligand_unbound') END AS ligand_unbound, CASE WHEN n = 2 THEN max(u) ELSE min(u) FILTER (part = 'receptor_unbound') END AS receptor_unbound FROM u GROUP BY e, n""")
+def subunit_roles(spark, sf_dir):
+    from .pipelines import subunits
+
+    part = F.element_at(F.array(*[F.lit(x) for x in ("ligand_bound", "receptor_bound", "ligand_unbound", "receptor_unbound")]), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    s = table(spark, sf_dir, "supplier").select(F.expr("s_suppkey div 4").alias("e"), part.alias("part"))
+    whole = s.groupBy("e").count().where("count IN (2, 4)").select("e")
+    return subunits(s.join(whole, "e").withColumn("subunit", F.concat(F.lit("x"), F.col("e").cast("string"), F.lit("_"), "part")), ["e"])

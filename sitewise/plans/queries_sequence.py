@@ -173,3 +173,17 @@ def running_mean(spark, sf_dir):
 def family_columns(spark, sf_dir):
     """Rows with a residue in each alignment column."""
     return _cells(spark, sf_dir).where("ch <> '-'").groupBy("lang", "col").agg(F.count("*").alias("n_rows"), F.countDistinct("ch").alias("n_symbols"))
+
+
+@query("column_residues", f"""WITH {MSA_SQL}, n AS (SELECT lang, col, ch, count(*) AS n FROM cells WHERE ch <> '-' GROUP BY ALL), t AS (SELECT lang, col, sum(n) AS t FROM n GROUP BY ALL),
+    h AS (SELECT lang, col, 1 / (1 - sum(n / t * log2(n / t))) AS c FROM n JOIN t USING (lang, col) GROUP BY lang, col),
+    p AS (SELECT doc_id, lang, col, ch, col - CAST(sum(CASE WHEN ch = '-' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY col) AS BIGINT) AS seq_pos FROM cells)
+    SELECT p.doc_id, p.lang, p.col, p.seq_pos, round(h.c, 6) AS conservation FROM p JOIN h ON h.lang = p.lang AND h.col = p.col WHERE p.ch <> '-' AND p.seq_pos % 10 = 0""")
+def column_residues(spark, sf_dir):
+    """Residues standing in each alignment column, with its conservation."""
+    from .pipelines import alignment_column_pairs
+
+    cells = _cells(spark, sf_dir)
+    residues = aligned_rows(spark, sf_dir).select("doc_id", F.explode(F.expr("transform(sequence(0, 5), i -> cast(i * 10 as bigint))")).alias("seq_pos"))
+    out = alignment_column_pairs(cells, residues, ["lang"], "doc_id")
+    return out.select("doc_id", "lang", "col", "seq_pos", F.round("conservation", 6).alias("conservation"))
