@@ -85,10 +85,10 @@ class Lines:
         start, end = edge[0::2], edge[1::2]
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * Lines._up[:n], dtype=np.uint64)])
         self.hashes = _mix((total[end] - total[start]) * Lines._down[start])
-        line = np.searchsorted(np.flatnonzero(raw == 10), start)
-        self.words = np.bincount(line, minlength=len(self.doc))
-        first = np.cumsum(self.words) - self.words
-        within = np.arange(len(line)) - first[line]
+        upto = np.searchsorted(start, np.flatnonzero(raw == 10))
+        self.words = np.diff(upto, prepend=0)
+        first = upto - self.words
+        within = np.arange(len(start)) - np.repeat(first, self.words)
         odd = (np.uint64(2) * within.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(self.hashes ^ odd), dtype=np.uint64)])
         key = sums[first + self.words] - sums[first]
@@ -135,6 +135,8 @@ class Tokenizer:
         hashes = np.array(ranked or [], np.uint64)
         self._order = np.argsort(hashes)
         self._ranked = hashes[self._order]
+        self._hint = np.zeros(1 << 20, bool)
+        self._hint[hashes & np.uint64((1 << 20) - 1)] = True
 
     @staticmethod
     def shingles(lines: Lines, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,16 +145,20 @@ class Tokenizer:
         starts = (np.cumsum(lines.words) - lines.words)[pick]
         n = np.where(sizes > 0, np.maximum(sizes - SHINGLE_WORDS + 1, 1), 0)
         line = np.repeat(np.arange(len(pick)), n)
-        if not len(line):
-            return line, np.zeros(0, np.uint64)
-        at = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n) + starts[line]
-        left = (starts + sizes)[line] - at  # words from here to the line's end
-        h, last = lines.hashes, len(lines.hashes) - 1
-        mixed = h[at] * _odd[0]
-        for k in range(1, SHINGLE_WORDS):
-            part = h[np.minimum(at + k, last)] * _odd[k]
-            part[left <= k] = 0
-            mixed += part
+        h, total = lines.hashes, len(lines.hashes)
+        mixed = np.zeros(len(line), np.uint64)
+        if total >= SHINGLE_WORDS:  # all runs of five words, then those within a line
+            runs = h[: total - SHINGLE_WORDS + 1] * _odd[0]
+            for k in range(1, SHINGLE_WORDS):
+                runs += h[k : total - SHINGLE_WORDS + 1 + k] * _odd[k]
+            at = np.arange(len(line)) + np.repeat(starts - (np.cumsum(n) - n), n)
+            mixed = runs[np.minimum(at, len(runs) - 1)]
+        short = np.flatnonzero((sizes > 0) & (sizes < SHINGLE_WORDS))
+        if len(short):
+            part = np.zeros(len(short), np.uint64)
+            for k in range(SHINGLE_WORDS - 1):
+                part += np.where(sizes[short] > k, h[np.minimum(starts[short] + k, total - 1)] * _odd[k], np.uint64(0))
+            mixed[(np.cumsum(n) - n)[short]] = part
         return line, _mix(mixed) >> np.uint64(64 - TOKEN_BITS + 1)
 
     def sets(self, lines: Lines, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,10 +170,11 @@ class Tokenizer:
         """
         line, token = self.shingles(lines, pick)
         if len(self._ranked) and len(token):
-            i = np.minimum(np.searchsorted(self._ranked, token), len(self._ranked) - 1)
-            known = self._ranked[i] == token
-            rank = (len(self._ranked) - 1 - self._order[i]).astype(np.uint64)
-            token = np.where(known, _RANKED | rank, token)
+            maybe = np.flatnonzero(self._hint[token & np.uint64(len(self._hint) - 1)])
+            i = np.minimum(np.searchsorted(self._ranked, token[maybe]), len(self._ranked) - 1)
+            known = self._ranked[i] == token[maybe]
+            rank = (len(self._ranked) - 1 - self._order[i[known]]).astype(np.uint64)
+            token[maybe[known]] = _RANKED | rank
         both = np.sort((line.astype(np.uint64) << np.uint64(TOKEN_BITS)) | token)
         if len(both):
             both = both[np.concatenate([[True], both[1:] != both[:-1]])]
@@ -295,6 +302,12 @@ def _shared_rows(percent: int):
         both = two[_fits(n[two], p[two], n[two + 1], p[two + 1], percent)]
         keep[both] = keep[both + 1] = True
         for s, c in zip(start[size > 2].tolist(), size[size > 2].tolist()):
+            if c <= 32:
+                a, b = n[s : s + c], p[s : s + c]
+                fit = _fits(a[:, None], b[:, None], a, b, percent)
+                np.fill_diagonal(fit, False)
+                keep[s : s + c] = fit.any(1)
+                continue
             combos, index, count = np.unique(np.stack([n[s : s + c], p[s : s + c]], 1), axis=0, return_inverse=True, return_counts=True)
             ok = np.zeros(len(combos), bool)
             for i, (a, b) in enumerate(combos):
