@@ -90,3 +90,15 @@ def batches_of(sizes: list[int], most: int) -> list[tuple[int, int]]:
     if start < len(sizes):
         out.append((start, len(sizes)))
     return out
+
+
+def hashed_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """``most`` rows at most, by a hash of the key: those with the smallest.
+
+    Rows beyond twice that share of the hashes are dropped where they are read,
+    so what meets in one task to be ordered is bounded whatever the input.
+    """
+    span, total = 1 << 40, df.count()
+    bound = span if total <= 2 * most else min(span, int(span * (2 * most + 64) / total))
+    placed = df.withColumn("_h", F.pmod(F.xxhash64(key), F.lit(span))).where(F.col("_h") < bound)
+    return placed.orderBy("_h", key).limit(most).drop("_h")

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hashed_sample
+
 #: The base patterns, in the order in which kinds are listed, with
 #: the group whose length counts and the least length.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -80,7 +82,8 @@ def labelled_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.upper(F.regexp_replace(F.base64(F.unhex(digest)), "[^A-Za-z0-9]", "")), F.translate(F.base64(F.unhex(digest)), "+/", "-_"),
     )
     made = spark.range(RANDOM_SAMPLES).select(F.lit(True).alias("random"), F.explode(forms).alias("s"))
-    texts = docs.where(F.length(text_col).between(1, IDENTIFIER_CHARS)).select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("t")).orderBy("h", "t").limit(IDENTIFIER_DOCUMENTS)
+    own = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    texts = hashed_sample(own, "i", IDENTIFIER_DOCUMENTS).where(F.length("t") <= IDENTIFIER_CHARS)
     words = F.regexp_extract_all("t", F.lit("[A-Za-z]+"), F.lit(0))
     grouped = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.struct((F.pmod(i, F.lit(5)) + 1).alias("n"), F.slice(F.col("w"), i, F.pmod(i, F.lit(5)) + 1).alias("p")))
     joined = texts.select(words.alias("w")).where(F.size("w") > 0).select(F.explode(grouped).alias("g")).select(F.array_join("g.p", "").alias("a"), F.array_join("g.p", "_").alias("b"), F.array_join("g.p", "-").alias("c"))

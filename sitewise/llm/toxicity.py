@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, crc_fold
+from .common import batches_of, crc_fold, hashed_sample
 from .crf import ChainModel, ChainScorer
 
 #: The bounded sample the model is fitted on: documents of each class, taken in
@@ -112,7 +112,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 0, folds: int =
     """
     rows = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isin(0, 1)).where(crc_fold("i", folds) != fold)
     rows = rows.groupBy("i").agg(F.max("y").alias("y"))
-    picked = [rows.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
+    picked = [hashed_sample(rows.where(F.col("y") == y), "i", n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # at most the two sample sizes
     found = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.length("t").between(1, SAMPLE_CHARS)).join(ids, "i").select("i", "y", "t").collect()
     found.sort(key=lambda r: (r["i"], r["t"]))
