@@ -214,8 +214,9 @@ def _prefixes(tok: Tokenizer, texts: list, percent: int):
             line, token = tok.sets(lines, pick)
             n = np.bincount(line, minlength=len(pick))
             pos = np.arange(len(line)) - (np.cumsum(n) - n)[line]
-            # Different lines of few tokens can't reach the threshold.
-            use = (pos < prefix_length(n, percent)[line]) & (100 * n[line] >= percent * (n[line] + 1))
+            # No different line has the one token of a line shorter than a shingle.
+            # Longer ones can repeat their shingles, and so share all of few tokens.
+            use = (pos < prefix_length(n, percent)[line]) & (lines.words[pick] >= SHINGLE_WORDS)[line]
             line = line[use]
             yield token[use], lines.key[pick][line], n[line], pos[use]
 

@@ -309,6 +309,15 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_repeating_words(spark):
+    units = ["-", "ha ho", "a b c", "u v w x", "one two three four five"]
+    rows = [(10 * i + k, "\n".join(" ".join((u.split() * 20)[:n]) for n in range(1 + k, 24, 3))) for i, u in enumerate(units) for k in range(3)]
+    rows += [(90, "- - - - - y\n- - - - - - - y"), (91, "y - - - - -\ny - - - - - - -\nb a b a b a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_lines(rows)
+    assert {(False, r["_id"], k) for r in line_dedup.repeated_lines(df).collect() for k in r["lines"]} == want and len(want) > 40
+
+
 def test_unigram_is_the_best_path(spark, docs):
     model = unigram.UnigramModel(public_tokenizers.path("piece_bpe_32k.model"))
     codec = unigram.UnigramCodec(model)
