@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewise.llm.common import materialize, table
+from sitewise.llm.common import materialize, numbered, row_order, table
 from sitewise.llm.line_dedup import dedup_lines
 from sitewise.llm.packing import pack_documents
 from sitewise.llm.quality import fit_quality, keep_good
@@ -33,17 +33,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: that of the smallest id.
 
     The fingerprints are of five-word shingles. Documents that line dedup left
-    without a word are copies of each other like any others. Of rows that share
-    an id and a text one stays; rows without an id stay.
+    without a word are copies of each other like any others. Each row is a
+    document of its own, whatever its id; rows without an id come last.
     """
-    found = near_duplicates(docs, words=5, most=3)
-    copies = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
-    if not repeated.isEmpty():
-        digest = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64("text", "doc_id")), F.monotonically_increasing_id())
-        kept = kept.withColumn("_same", digest).dropDuplicates(["_same", "doc_id"]).drop("_same")
-    return kept
+    rows = numbered(docs)
+    found = near_duplicates(rows.select(row_order().alias("_ord"), F.col("_row.text").alias("text")), "_ord", words=5, most=3)
+    copies = found.where(F.col("_ord") != F.col("component_id")).select(F.col("_ord.rid").alias("_rid"))
+    return rows.join(copies, "_rid", "left_anti").select("_row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,6 +47,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Columns _row (a row of ``docs``), _id and _rid, a number of the row's own.
+
+    The rows are written once, so a row keeps its number however often it is read.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return materialize(docs.select(row, F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_rid")))
+
+
+def row_order(*more: str) -> Column:
+    """The order of numbered rows: by id, those without one last, then by number."""
+    return F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_rid").alias("rid"), *more)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a materialised table that nothing will read again."""
     files = df.inputFiles()

@@ -1,8 +1,8 @@
 """Operator 8: line deduplication by an exact set-similarity join.
 
 A line's tokens are its shingles of five words (its whole word sequence if it is
-shorter), letters A-Z lower-cased. A line goes if an earlier line, by document id
-and line number, has a Jaccard similarity of at least the threshold to it.
+shorter), letters A-Z lower-cased. A line goes if an earlier line, by document id,
+row and line number, has a Jaccard similarity of at least the threshold to it.
 
 Equal lines are found by a key. Among different lines, tokens are ordered by
 rarity, and a line is indexed under its prefix alone: similar lines must share a
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, numbered, row_order
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -181,23 +181,24 @@ class Tokenizer:
         return (both >> np.uint64(TOKEN_BITS)).astype(np.int64), both & ((np.uint64(1) << np.uint64(TOKEN_BITS)) - np.uint64(1))
 
 
-def _key_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Lines with a word (id, line, key) and reports of frequent tokens (token, n)."""
-    id_type = docs.schema[id_col].dataType.simpleString()
-    names = ["_id", "line", "key", "token", "n"]
+def _key_rows(rows: DataFrame) -> DataFrame:
+    """Lines with a word (row, id, line, key) and reports of frequent tokens (token, n)."""
+    id_type = rows.schema["_id"].dataType.simpleString()
+    names = ["_rid", "_id", "line", "key", "token", "n"]
 
     def run(batches):
         for b in batches:
-            for lines in chunks(b.column(1).to_pylist()):
+            for lines in chunks(b.column(2).to_pylist()):
                 some = np.flatnonzero(lines.words > 0)
                 n = len(some)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(lines.doc[some])), pa.array(lines.number[some].astype(np.int32)), pa.array(lines.key[some]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+                doc = pa.array(lines.doc[some])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(doc), b.column(1).take(doc), pa.array(lines.number[some].astype(np.int32)), pa.array(lines.key[some]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
                 token, count = _runs(Tokenizer.shingles(lines, some)[1])
                 often = count >= REPORTED
                 m = int(often.sum())
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, b.column(0).type), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(token[often].astype(np.int64)), pa.array(count[often])], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, b.column(1).type), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(token[often].astype(np.int64)), pa.array(count[often])], names)
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {id_type}, line int, key long, token long, n long")
+    return rows.select("_rid", "_id", "_text").mapInArrow(run, f"_rid long, _id {id_type}, line int, key long, token long, n long")
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -440,35 +441,47 @@ def _near_keys(docs: DataFrame, text_col: str, first: DataFrame, ranked, percent
     pairs = materialize(_fitting(rows.join(settled, "key", "left_anti"), rows, percent))
     more = materialize(_verified(_likeliest(pairs), sets, percent))
     last = pairs.join(more.withColumnRenamed("key", "late"), "late", "left_anti").join(_likeliest(pairs), ["late", "early"], "left_anti")
-    return settled.unionByName(more).unionByName(_verified(last, sets, percent)).distinct()
+    near = materialize(settled.unionByName(more).unionByName(_verified(last, sets, percent)).distinct())
+    for done in (found, sets, rows, settled, pairs, more):
+        discard(done)
+    return near
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """Per id, lines: the numbers (from 0) of the lines to remove, in no order."""
-    all_rows = materialize(_key_rows(docs, id_col, text_col))
-    lines = all_rows.where(F.col("key").isNotNull()).select("_id", "line", "key")
+def _repeated(rows: DataFrame, percent: int) -> DataFrame:
+    """Per row of ``rows`` (_rid, _id, _text) with lines to remove: _rid, _id, lines."""
+    all_rows = materialize(_key_rows(rows))
+    lines = all_rows.where(F.col("key").isNotNull()).select("_rid", "_id", "line", "key")
     often = all_rows.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(RANKED_TOKENS).collect()
-    ranked = docs.sparkSession.sparkContext.broadcast([r["token"] for r in often])  # RANKED_TOKENS numbers
-    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("line").alias("line"))
+    ranked = rows.sparkSession.sparkContext.broadcast([r["token"] for r in often])  # RANKED_TOKENS numbers
+    order = row_order("line")
     first = materialize(lines.groupBy("key").agg(F.min(order).alias("ord")))
-    near = _near_keys(docs, text_col, first, ranked, percent).withColumn("near", F.lit(True))
-    fate = first.join(near, "key", "left")
+    near = _near_keys(rows, "_text", first, ranked, percent)
+    fate = first.join(near.withColumn("near", F.lit(True)), "key", "left")
     gone = lines.join(fate, "key").where((order > F.col("ord")) | F.coalesce("near", F.lit(False)))
-    return gone.groupBy("_id").agg(F.collect_set("line").alias("lines"))
+    found = materialize(gone.groupBy("_rid").agg(F.first("_id").alias("_id"), F.collect_set("line").alias("lines")))
+    for done in (all_rows, first, near):
+        discard(done)
+    return found
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """Per row with lines to remove its row number, id and lines: the numbers
+    (from 0) of those lines, in no order."""
+    return _repeated(numbered(docs, id_col).select("_rid", "_id", F.col("_row").getField(text_col).alias("_text")), percent)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with its columns, without the lines that repeat earlier ones, and
     _n_lines and _n_removed at the end.
 
-    Lines without a word stay. A null text stays null and has no lines. Rows
-    that share an id count as one document's, so a line is never a later match
-    of the same line number there; null ids come last and count as one document.
+    Lines without a word stay. A null text stays null and has no lines. Each row
+    is a document of its own, in the order of ids; null ids come last. Rows that
+    share an id, or have none, follow each other in the order they are read.
     An empty table gives no rows. A column n_chars follows the text.
     """
-    gone = repeated_lines(docs, id_col, text_col, percent)
-    data = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"))
-    joined = data.join(gone.withColumnRenamed("_id", "_gone_id"), F.col("_id").eqNullSafe(F.col("_gone_id")), "left").select("_row", "lines")
+    data = numbered(docs, id_col)
+    gone = _repeated(data.select("_rid", "_id", F.col("_row").getField(text_col).alias("_text")), percent)
+    joined = data.select("_row", "_rid").join(gone.select("_rid", "lines"), "_rid", "left").select("_row", "lines")
     parts = F.split(F.col(f"_row.{text_col}"), "\n", -1)
     kept = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("lines", s["i"]))
     text = F.when(F.col("lines").isNull() | F.col(f"_row.{text_col}").isNull(), F.col(f"_row.{text_col}")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))

@@ -318,6 +318,17 @@ def test_line_dedup_of_repeating_words(spark):
     assert {(False, r["_id"], k) for r in line_dedup.repeated_lines(df).collect() for k in r["lines"]} == want and len(want) > 40
 
 
+def test_line_dedup_of_rows_that_share_ids(spark):
+    head = "this line stands at the top of every document"
+    rows = [(i, f"{head}\nonly row {k} of id {i} has the words of line {k} here\nsame") for i in (None, 1, 2) for k in range(20)]
+    rows += [(None, f"a text without an id and with words of its own {k} {k}") for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = [r["text"].split("\n") for r in line_dedup.dedup_lines(df).collect()]
+    left = Counter(x for lines in out for x in lines)
+    assert len(out) == len(rows) and set(left.values()) == {1}
+    assert set(left) == {x for _, t in rows for x in t.split("\n")}
+
+
 def test_unigram_is_the_best_path(spark, docs):
     model = unigram.UnigramModel(public_tokenizers.path("piece_bpe_32k.model"))
     codec = unigram.UnigramCodec(model)

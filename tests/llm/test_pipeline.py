@@ -47,3 +47,11 @@ def test_null_and_repeated_rows(spark, sf):
         stage(spark, docs, sf).collect()
         assert stage(spark, docs.limit(0), sf).count() == 0
     assert len([r for r in pipeline.near_dedup(spark, docs, sf).collect() if r["doc_id"] == 1]) == 1
+
+
+def test_near_dedup_decides_by_row(spark, sf):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, text(0)), (1, text(1)), (2, text(1)), (2, text(2)), (None, text(2)), (None, text(3)), (None, text(3)), (3, text(0))]
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in pipeline.near_dedup(spark, docs, sf).collect()]
+    assert Counter(kept) == Counter([(1, text(0)), (1, text(1)), (2, text(2)), (None, text(3))])
