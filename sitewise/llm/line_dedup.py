@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, numbered, row_order
+from .common import WORD, discard, materialize, numbered, row_order
+from .components import connected_components
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -42,6 +43,9 @@ CHUNK_BYTES = 1 << 20
 #: A token shared by more lines than this leaves the counting task unfiltered.
 HEAVY_ROWS = 200_000
 
+#: Words of 64 parity bits that tell long token sets apart, of documents.
+SKETCH_WORDS = 64
+
 PARITY = ["p0", "p1", "p2", "p3"]
 _RANKED = np.uint64(1) << np.uint64(TOKEN_BITS - 1)
 _odd = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1) for k in range(SHINGLE_WORDS)]
@@ -370,11 +374,22 @@ def _places(keys: np.ndarray):
         yield ((u * np.uint64(odd)) >> np.uint64(40)) % np.uint64(FILTER_BITS)
 
 
-def _set_rows(docs: DataFrame, text_col: str, ranked, maybe) -> DataFrame:
+def _sketches(line: np.ndarray, token: np.ndarray, lines: int) -> np.ndarray:
+    """SKETCH_WORDS words of parity bits of each line's tokens."""
+    bits = np.zeros(lines * SKETCH_WORDS * 64, bool)
+    place = (token * np.uint64(0x165667B19E3779F9)) >> np.uint64(64 - (SKETCH_WORDS * 64 - 1).bit_length())
+    at, count = _runs(line * (SKETCH_WORDS * 64) + place.astype(np.int64))
+    bits[at[count % 2 == 1]] = True
+    return np.packbits(bits).view(np.int64)
+
+
+def _set_rows(docs: DataFrame, text_col: str, ranked, maybe, sketch: bool = False) -> DataFrame:
     """key, toks (its token set) and four words of parity bits of lines that the
     filter lets through. A token flips one of the 256 bits, so sets that share o
-    of their n + m tokens differ in n + m - 2 o bits at most.
+    of their n + m tokens differ in n + m - 2 o bits at most. ``sketch`` adds n and
+    a sketch of more such bits.
     """
+    added = ["n", "sketch"] if sketch else []
 
     def run(batches):
         tok = Tokenizer(ranked.value)
@@ -393,19 +408,23 @@ def _set_rows(docs: DataFrame, text_col: str, ranked, maybe) -> DataFrame:
                     place = (token * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(56)
                     flips = np.uint64(1) << (place & np.uint64(63))
                     parity = [np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == w, flips, np.uint64(0)), offsets[:-1]).view(np.int64) for w in range(4)]
-                    yield pa.RecordBatch.from_arrays([pa.array(lines.key[pick]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(token.astype(np.int64))), *map(pa.array, parity)], ["key", "toks", *PARITY])
+                    more = [pa.array(np.diff(offsets).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(len(pick) + 1) * SKETCH_WORDS, pa.int32()), pa.array(_sketches(line, token, len(pick))))] if sketch else []
+                    yield pa.RecordBatch.from_arrays([pa.array(lines.key[pick]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(token.astype(np.int64))), *map(pa.array, parity), *more], ["key", "toks", *PARITY, *added])
 
-    return docs.select(text_col).mapInArrow(run, "key long, toks array<long>, " + ", ".join(f"{c} long" for c in PARITY))
+    return docs.select(text_col).mapInArrow(run, "key long, toks array<long>, " + ", ".join(f"{c} long" for c in PARITY) + (", n int, sketch array<long>" if sketch else ""))
 
 
-def _fitting(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
+def _fitting(a: DataFrame, b: DataFrame, percent: int, apart: bool = False) -> DataFrame:
     """Pairs late, early of lines with a common token that pass every filter,
-    with the number of parity bits in which they differ."""
+    with the number of parity bits in which they differ; if ``apart``, of lines
+    with different roots alone."""
     joined = a.alias("a").join(b.alias("b"), "token")
     n1, n2 = F.col("a.n"), F.col("b.n")
     need = F.ceil(F.lit(percent) * (n1 + n2) / F.lit(100 + percent))
     differ = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in PARITY[1:]), F.bit_count(F.col("a.p0").bitwiseXOR(F.col("b.p0"))))
     fits = (F.col("a.ord") > F.col("b.ord")) & (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (F.least(n1 - F.col("a.pos"), n2 - F.col("b.pos")) >= need) & (n1 + n2 - differ >= 2 * need)
+    if apart:
+        fits = fits & (F.col("a.root") != F.col("b.root"))
     return joined.where(fits).select(F.col("a.key").alias("late"), F.col("b.key").alias("early"), differ.alias("differ")).distinct()
 
 
@@ -414,47 +433,98 @@ def _likeliest(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("late").agg(F.min(F.struct("differ", "early")).alias("p")).select("late", "p.early", "p.differ")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The late lines (column key) of pairs whose Jaccard similarity suffices."""
+def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their sketches don't rule out; differ is that of the sketches."""
+    one = pairs.select("late", "early").join(sets.select(F.col("key").alias("early"), F.col("n").alias("n1"), F.col("sketch").alias("x")), "early")
+    two = one.join(sets.select(F.col("key").alias("late"), F.col("n").alias("n2"), F.col("sketch").alias("y")), "late")
+    bits = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda a, b: a + b)
+    both = F.col("n1") + F.col("n2")
+    return two.select("late", "early", bits.alias("differ"), both.alias("both")).where(F.col("both") - F.col("differ") >= 2 * F.ceil(F.lit(percent) * F.col("both") / F.lit(100 + percent))).drop("both")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs late, early whose Jaccard similarity suffices."""
     one = pairs.join(sets.select(F.col("key").alias("early"), F.col("toks").alias("x")), "early")
     two = one.join(sets.select(F.col("key").alias("late"), F.col("toks").alias("y")), "late")
     both = F.size(F.array_intersect("x", "y"))
-    return two.where(both * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select(F.col("late").alias("key")).distinct()
+    return two.where(both * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("late", "early")
 
 
-def _near_keys(docs: DataFrame, text_col: str, first: DataFrame, ranked, percent: int) -> DataFrame:
-    """Keys of lines that have an earlier, different and similar line."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The late lines (column key) of pairs whose Jaccard similarity suffices."""
+    return _similar(pairs, sets, percent).select(F.col("late").alias("key")).distinct()
+
+
+def _candidates(docs: DataFrame, text_col: str, first: DataFrame, ranked, percent: int, sketch: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Prefix rows of lines that may have a partner, and the token sets of those lines."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_token_filter(docs, text_col, ranked, percent))
     prefix = _prefix_rows(docs, text_col, ranked, shared, percent)
     found = materialize(prefix.repartition("token").sortWithinPartitions("token", "key").mapInArrow(_shared_rows(percent), "token long, key long, n int, pos int"))
     maybe = spark.sparkContext.broadcast(np.packbits(_key_filter(found.select("key"))).tobytes())
     keys = found.select("key").distinct()
-    sets = materialize(_set_rows(docs, text_col, ranked, maybe).dropDuplicates(["key"]).join(keys, "key", "left_semi"))
+    sets = materialize(_set_rows(docs, text_col, ranked, maybe, sketch).dropDuplicates(["key"]).join(keys, "key", "left_semi"))
     about = sets.select("key", *PARITY).join(first, "key")
     rows = materialize(found.join(about, "key"))
+    discard(found)
+    return rows, sets
+
+
+def _hubs(rows: DataFrame, *more: str) -> DataFrame:
+    """Each token's earliest line."""
+    return rows.groupBy("token").agg(F.min(F.struct("ord", "key", "n", "pos", *PARITY, *more)).alias("hub")).select("token", "hub.*")
+
+
+def _near_keys(docs: DataFrame, text_col: str, first: DataFrame, ranked, percent: int) -> DataFrame:
+    """Keys of lines that have an earlier, different and similar line."""
+    rows, sets = _candidates(docs, text_col, first, ranked, percent)
 
     # One likely partner settles most lines: first each token's earliest line,
     # then any; only what is left is compared with all its partners.
-    hub = rows.groupBy("token").agg(F.min(F.struct("ord", "key", "n", "pos", *PARITY)).alias("hub")).select("token", "hub.*")
+    hub = _hubs(rows)
     settled = materialize(_verified(_likeliest(_fitting(rows, hub, percent)), sets, percent))
     pairs = materialize(_fitting(rows.join(settled, "key", "left_anti"), rows, percent))
     more = materialize(_verified(_likeliest(pairs), sets, percent))
     last = pairs.join(more.withColumnRenamed("key", "late"), "late", "left_anti").join(_likeliest(pairs), ["late", "early"], "left_anti")
     near = materialize(settled.unionByName(more).unionByName(_verified(last, sets, percent)).distinct())
-    for done in (found, sets, rows, settled, pairs, more):
+    for done in (sets, rows, settled, pairs, more):
         discard(done)
     return near
 
 
-def _repeated(rows: DataFrame, percent: int) -> DataFrame:
-    """Per row of ``rows`` (_rid, _id, _text) with lines to remove: _rid, _id, lines."""
+def _near_links(docs: DataFrame, text_col: str, first: DataFrame, ranked, percent: int) -> DataFrame:
+    """Links a, b between the keys of different, similar lines, whose components
+    are those of all such pairs. Every link is such a pair.
+    """
+    rows, sets = _candidates(docs, text_col, first, ranked, percent, sketch=True)
+    # Most groups are one component by their tokens' earliest lines already. Of
+    # two rows of a token with different roots one is apart from the earliest.
+    near = materialize(_similar(_likeliest(_alike(_fitting(rows, _hubs(rows), percent), sets, percent)), sets, percent))
+    roots = connected_components(near.select(F.col("late").alias("a"), F.col("early").alias("b")))
+    placed = materialize(rows.join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+    apart = materialize(placed.join(_hubs(placed, "root").select("token", F.col("root").alias("hub")), "token").where(F.col("root") != F.col("hub")).drop("hub"))
+    pairs = _fitting(apart, placed, percent, apart=True).unionByName(_fitting(placed, apart, percent, apart=True)).distinct()
+    links = materialize(near.unionByName(_similar(_alike(pairs, sets, percent), sets, percent)).select(F.col("late").alias("a"), F.col("early").alias("b")))
+    for done in (rows, sets, near, placed, apart):
+        discard(done)
+    return links
+
+
+def _keyed(rows: DataFrame):
+    """Lines with a word (_rid, _id, line, key), from a table written once, which
+    comes too; each key's first line; and the tokens that have a rank."""
     all_rows = materialize(_key_rows(rows))
     lines = all_rows.where(F.col("key").isNotNull()).select("_rid", "_id", "line", "key")
     often = all_rows.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(RANKED_TOKENS).collect()
     ranked = rows.sparkSession.sparkContext.broadcast([r["token"] for r in often])  # RANKED_TOKENS numbers
+    first = materialize(lines.groupBy("key").agg(F.min(row_order("line")).alias("ord")))
+    return all_rows, lines, first, ranked
+
+
+def _repeated(rows: DataFrame, percent: int) -> DataFrame:
+    """Per row of ``rows`` (_rid, _id, _text) with lines to remove: _rid, _id, lines."""
+    all_rows, lines, first, ranked = _keyed(rows)
     order = row_order("line")
-    first = materialize(lines.groupBy("key").agg(F.min(order).alias("ord")))
     near = _near_keys(rows, "_text", first, ranked, percent)
     fate = first.join(near.withColumn("near", F.lit(True)), "key", "left")
     gone = lines.join(fate, "key").where((order > F.col("ord")) | F.coalesce("near", F.lit(False)))
@@ -464,6 +534,29 @@ def _repeated(rows: DataFrame, percent: int) -> DataFrame:
     return found
 
 
+def near_copies(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """_rid of the rows of ``rows`` (_rid, _id, _text) that aren't the first of
+    their component, in the order of ids and then of row numbers.
+
+    Texts whose shingle sets have a Jaccard similarity of at least the threshold
+    are linked, as are texts without a word; a text is one line here, wherever
+    it is broken. No similar pair is missed.
+    """
+    flat = rows.withColumn("_text", F.replace("_text", F.lit("\n"), F.lit(" ")))
+    all_rows, lines, first, ranked = _keyed(flat)
+    roots = connected_components(_near_links(flat, "_text", first, ranked, percent))
+    rooted = first.join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    least = rooted.groupBy("root").agg(F.min("ord").alias("least"))
+    fate = rooted.join(least, "root").select("key", "least")
+    copies = lines.join(fate, "key").where(row_order("line") > F.col("least")).select("_rid")
+    empty = rows.where(~F.coalesce(F.col("_text").rlike(WORD), F.lit(False))).select(row_order().alias("ord"))
+    kept = empty.agg(F.min("ord").alias("least"))  # one row
+    found = materialize(copies.unionByName(empty.crossJoin(F.broadcast(kept)).where("ord > least").select("ord.rid").withColumnRenamed("rid", "_rid")))
+    for done in (all_rows, first):
+        discard(done)
+    return found
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row with lines to remove its row number, id and lines: the numbers
     (from 0) of those lines, in no order."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
@@ -55,3 +56,40 @@ def test_near_dedup_decides_by_row(spark, sf):
     docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = [(r["doc_id"], r["text"]) for r in pipeline.near_dedup(spark, docs, sf).collect()]
     assert Counter(kept) == Counter([(1, text(0)), (1, text(1)), (2, text(2)), (None, text(3))])
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+
+def edited_copies(seed=4):
+    """Re-wrapped copies, and copies of copies, with a few words replaced."""
+    rng = random.Random(seed)
+    texts = []
+    for g in range(12):
+        group = [[f"g{g}w{i}" for i in range(rng.choice([3, 6, 40, 120, 300]))]]
+        for k in range(6):
+            w = list(rng.choice(group))
+            for _ in range(rng.randint(0, max(1, len(w) // 40))):
+                w[rng.randrange(len(w))] = f"e{k}x{rng.randrange(99)}"
+            group.append(w)
+        texts += ["".join(x + rng.choice(" \n  ") for x in w) for w in group]
+    rng.shuffle(texts)
+    return texts
+
+
+def test_near_dedup_at_four_fifths(spark, sf):
+    texts = [*edited_copies(), "", " \n", None]
+    ids = [*range(len(texts) - 3), 900, None, None]
+    sets = [shingles(t or "") for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    want = Counter(ids[i] for i in range(len(texts)) if root[i] == i)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip(ids, texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert Counter(r["doc_id"] for r in pipeline.near_dedup(spark, docs, sf).collect()) == want
+    assert 20 < len(want) < len(texts) - 20
