@@ -133,3 +133,15 @@ def test_group_folds_never_split_a_group(spark):
     df = spark.createDataFrame([(i, f"g{i % 13}") for i in range(100)], "o int, g string")
     got = sampling.group_folds(df, "g", "o", 5).groupBy("g").agg(F.countDistinct("fold").alias("n")).collect()
     assert len(got) == 13 and all(r["n"] == 1 for r in got)
+
+
+def test_ema_schedule_folds_every_user(spark, tmp_path):
+    from sitewise import registry
+
+    rows = [(i, i * 7 % 45, f"2024-01-{1 + i * 11 % 28:02d}", float(i % 13)) for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    want = {}
+    for event, user, ts, value in sorted(rows, key=lambda r: (r[2], r[0])):
+        want[user] = want.get(user, 0.0) * 0.9 + value * 0.1
+    got = {r["user_id"]: r["state"] for r in registry.queries()["ema_schedule"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(45)) and all(abs(got[u] - want[u]) < 2e-6 for u in want)
