@@ -33,15 +33,23 @@ REPORTED = 4
 #: Bits of a token, and lines whose tokens are sorted at once: 64 bits together.
 TOKEN_BITS = 52
 LINES_AT_ONCE = 1 << (64 - TOKEN_BITS)
-#: Bits of the filter for lines that may have a partner, and of the one for
-#: tokens that stand in two lines: fixed, so they can be broadcast.
-FILTER_BITS = 1 << 24
-TOKEN_FILTER_BITS = 1 << 27
-TOKEN_RANGES = 64
+#: Prefix rows travel in blobs of one range of tokens. A task sorts so many rows
+#: into blobs at once, a blob holds so many at most, and there are as many ranges
+#: as keep the expected rows of one near the third figure.
+ROWS_AT_ONCE = 1_000_000
+BLOB_ROWS = 2_000
+RANGE_ROWS = 400_000
+#: A range that has come to hold so many times its expected rows hands on, as they
+#: are, the tokens that fill it: whatever is shared that often needs no filter.
+RANGE_SLACK = 4
+#: The filter of lines that may have a partner has 16 bits a line, up to a bound
+#: that can be broadcast: beyond it more lines pass, and none is lost.
+LEAST_FILTER_BITS, MOST_FILTER_BITS = 1 << 20, 1 << 30
+SEGMENT_BITS = 1 << 20
 #: Bytes of text analysed at once; longer texts are cut between lines.
-CHUNK_BYTES = 1 << 20
-#: A token shared by more lines than this leaves the counting task unfiltered.
-HEAVY_ROWS = 200_000
+CHUNK_BYTES = 1 << 18
+#: Keys of more than one line in so many are joined by broadcast: fewer keys than that.
+HOT_SHARE = 4096
 
 #: Words of 64 parity bits that tell long token sets apart, of documents.
 SKETCH_WORDS = 64
@@ -50,6 +58,7 @@ PARITY = ["p0", "p1", "p2", "p3"]
 _RANKED = np.uint64(1) << np.uint64(TOKEN_BITS - 1)
 _odd = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1) for k in range(SHINGLE_WORDS)]
 _BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2^64
+_CHECK = 0xC2B2AE3D27D4EB4F
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 
@@ -68,13 +77,14 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Lines:
     """The lines of some texts: doc, number, words (their count), key, and the
     hashes of all words, one line after the other. Letters A-Z are lower-cased
-    and words end at ASCII blanks; equal word sequences have equal keys.
+    and words end at ASCII blanks; equal word sequences have equal keys. If
+    ``checked``, check is a second 64-bit number of the word sequence.
     """
 
     _up = _powers(_BASE, CHUNK_BYTES * 2)
     _down = _powers(pow(_BASE, -1, 1 << 64), CHUNK_BYTES * 2)
 
-    def __init__(self, pieces: list[tuple[int, int, bytes]]):
+    def __init__(self, pieces: list[tuple[int, int, bytes]], checked: bool = False):
         raw = np.frombuffer(b"\n".join(p for _, _, p in pieces) + b"\n", np.uint8)
         n = len(raw)
         if n > len(Lines._up):
@@ -96,10 +106,23 @@ class Lines:
         odd = (np.uint64(2) * within.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(self.hashes ^ odd), dtype=np.uint64)])
         key = sums[first + self.words] - sums[first]
+        self.first = first
         self.key = _mix(key + self.words.astype(np.uint64)).view(np.int64)
+        if checked:
+            more = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix((self.hashes + np.uint64(_CHECK)) ^ (odd << np.uint64(1))), dtype=np.uint64)])
+            self.check = _mix(more[first + self.words] - more[first]).view(np.int64)
 
+    def looped(self) -> np.ndarray:
+        """Whether a line has one word twice within a distance of three."""
+        out, line_end = np.zeros(len(self.words), bool), self.first + self.words
+        for d in (1, 2, 3):
+            at = np.flatnonzero(self.hashes[:-d] == self.hashes[d:])
+            line = np.searchsorted(line_end, at, "right")
+            out[line[at + d < line_end[line]]] = True
+        return out
 
-def chunks(texts: list) -> Iterator[Lines]:
+
+def chunks(texts: list, checked: bool = False) -> Iterator[Lines]:
     """Lines of all texts, about CHUNK_BYTES at a time; doc is the text's place."""
     pieces, size = [], 0
     for i, text in enumerate(texts):
@@ -115,14 +138,14 @@ def chunks(texts: list) -> Iterator[Lines]:
             pieces.append((i, number, raw[at:cut]))
             size += cut - at
             if size >= CHUNK_BYTES or len(pieces) >= 4 * LINES_AT_ONCE:
-                yield Lines(pieces)
+                yield Lines(pieces, checked)
                 pieces, size = [], 0
             if cut >= len(raw):
                 break
             number += raw.count(b"\n", at, cut) + 1
             at = cut + 1
     if pieces:
-        yield Lines(pieces)
+        yield Lines(pieces, checked)
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,24 +208,27 @@ class Tokenizer:
         return (both >> np.uint64(TOKEN_BITS)).astype(np.int64), both & ((np.uint64(1) << np.uint64(TOKEN_BITS)) - np.uint64(1))
 
 
-def _key_rows(rows: DataFrame) -> DataFrame:
-    """Lines with a word (row, id, line, key) and reports of frequent tokens (token, n)."""
+def _key_rows(rows: DataFrame, percent: int) -> DataFrame:
+    """Lines with a word (row, id, line, key, check) and reports (token, n): how
+    often a frequent token stands in a batch and, as token -1, its prefix rows."""
     id_type = rows.schema["_id"].dataType.simpleString()
-    names = ["_rid", "_id", "line", "key", "token", "n"]
+    names = ["_rid", "_id", "line", "key", "check", "token", "n"]
 
     def run(batches):
         for b in batches:
-            for lines in chunks(b.column(2).to_pylist()):
+            for lines in chunks(b.column(2).to_pylist(), checked=True):
                 some = np.flatnonzero(lines.words > 0)
                 n = len(some)
                 doc = pa.array(lines.doc[some])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(doc), b.column(1).take(doc), pa.array(lines.number[some].astype(np.int32)), pa.array(lines.key[some]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(doc), b.column(1).take(doc), pa.array(lines.number[some].astype(np.int32)), pa.array(lines.key[some]), pa.array(lines.check[some]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
                 token, count = _runs(Tokenizer.shingles(lines, some)[1])
                 often = count >= REPORTED
-                m = int(often.sum())
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, b.column(1).type), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(token[often].astype(np.int64)), pa.array(count[often])], names)
+                whole = prefix_length(np.maximum(lines.words[some] - SHINGLE_WORDS + 1, 0), percent)
+                token, count = np.append(token[often].astype(np.int64), -1), np.append(count[often], whole.sum())
+                m = len(token)
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, b.column(1).type), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(token), pa.array(count)], names)
 
-    return rows.select("_rid", "_id", "_text").mapInArrow(run, f"_rid long, _id {id_type}, line int, key long, token long, n long")
+    return rows.select("_rid", "_id", "_text").mapInArrow(run, f"_rid long, _id {id_type}, line int, key long, check long, token long, n long")
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -212,81 +238,64 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 def _prefixes(tok: Tokenizer, texts: list, percent: int):
     """token, key, n (tokens of the line) and pos of the prefix tokens of lines."""
     for lines in chunks(texts):
-        some = np.flatnonzero(lines.words > 0)
+        some = np.flatnonzero(lines.words >= SHINGLE_WORDS)
         some = some[np.unique(lines.key[some], return_index=True)[1]] if len(some) else some
+        looped = lines.looped()
         for lo in range(0, len(some), LINES_AT_ONCE):
             pick = some[lo : lo + LINES_AT_ONCE]
             line, token = tok.sets(lines, pick)
             n = np.bincount(line, minlength=len(pick))
             pos = np.arange(len(line)) - (np.cumsum(n) - n)[line]
             # No different line has the one token of a line shorter than a shingle.
-            # Longer ones can repeat their shingles, and so share all of few tokens.
-            use = (pos < prefix_length(n, percent)[line]) & (lines.words[pick] >= SHINGLE_WORDS)[line]
+            # A line of so few tokens that only an equal set is similar has no
+            # partner either, unless its shingles can follow each other in another
+            # order: then one starts where an earlier one ends, three words back
+            # at most, and a word is repeated at that distance.
+            alone = (n <= 3) & (100 * n < percent * (n + 1)) & (n == lines.words[pick] - SHINGLE_WORDS + 1) & ~looped[pick]
+            use = (pos < prefix_length(n, percent)[line]) & ~alone[line]
             line = line[use]
             yield token[use], lines.key[pick][line], n[line], pos[use]
 
 
-def _bucket(token: np.ndarray) -> np.ndarray:
-    return (token * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TOKEN_FILTER_BITS.bit_length() + 1)
-
+def _prefix_blobs(docs: DataFrame, text_col: str, ranked, percent: int, ranges: int) -> DataFrame:
+    """Prefix rows as blobs of one range (r) of tokens: token, key, n, pos in turn."""
 
-def _token_filter(docs: DataFrame, text_col: str, ranked, percent: int) -> bytes:
-    """Bits, by a token's bucket, that are set if two prefix rows fall into it.
-
-    A token whose bit is not set stands in one line alone and can't link any.
-    """
-    width = TOKEN_FILTER_BITS // TOKEN_RANGES
+    def flush(held):
+        token, key, n, pos = (np.concatenate(x) for x in zip(*held))
+        r = ((token * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(ranges)
+        order = np.argsort(r.astype(np.uint32), kind="stable")
+        r, cols = r[order], [token[order], key[order], n[order].astype("<u4"), pos[order].astype("<u4")]
+        starts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        which, blobs = [], []
+        for lo, end in zip(starts.tolist(), [*starts[1:].tolist(), len(r)]):
+            for a in range(lo, end, BLOB_ROWS):
+                which.append(int(r[a]))
+                blobs.append(b"".join(c[a : min(a + BLOB_ROWS, end)].tobytes() for c in cols))
+        return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(blobs, pa.binary())], ["r", "blob"])
 
-    def sketch(batches):
-        tok, seen = Tokenizer(ranked.value), []
-        for b in batches:
-            seen += [_bucket(token).astype(np.uint32) for token, _, _, _ in _prefixes(tok, b.column(0).to_pylist(), percent)]
-            if sum(map(len, seen)) > 4_000_000:
-                yield from flush(seen)
-                seen = []
-        yield from flush(seen)
-
-    def flush(seen):
-        bucket, count = _runs(np.concatenate(seen)) if seen else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        cut = np.searchsorted(bucket, np.arange(TOKEN_RANGES + 1) * width)
-        for r in range(TOKEN_RANGES):
-            own, c = bucket[cut[r] : cut[r + 1]] - np.uint32(r * width), count[cut[r] : cut[r + 1]]
-            if len(own):
-                blobs = [np.diff(x, prepend=np.uint32(0)).tobytes() for x in (own, own[c > 1])]
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array(blobs[:1], pa.binary()), pa.array(blobs[1:], pa.binary())], ["r", "seen", "twice"])
-
-    def merge(batches):
-        once: dict[int, np.ndarray] = {}
-        twice: dict[int, np.ndarray] = {}
+    def run(batches):
+        tok, held, size = Tokenizer(ranked.value), [], 0
         for b in batches:
-            for r, s, t in zip(*(c.to_pylist() for c in b.columns)):
-                if r not in once:
-                    once[r], twice[r] = np.zeros(width, bool), np.zeros(width, bool)
-                own, more = (np.cumsum(np.frombuffer(x, np.uint32), dtype=np.uint32) for x in (s, t))
-                twice[r][own[once[r][own]]] = True
-                twice[r][more] = True
-                once[r][own] = True
-        for r, bits in twice.items():
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["r", "bits"])
+            for found in _prefixes(tok, b.column(0).to_pylist(), percent):
+                held.append(found)
+                size += len(found[0])
+                if size >= ROWS_AT_ONCE:
+                    yield flush(held)
+                    held, size = [], 0
+        if size:
+            yield flush(held)
 
-    parts = docs.select(text_col).mapInArrow(sketch, "r int, seen binary, twice binary")
-    merged = parts.repartition("r").mapInArrow(merge, "r int, bits binary")
-    found = {row["r"]: row["bits"] for row in merged.toLocalIterator()}  # TOKEN_FILTER_BITS bits in all
-    return b"".join(found.get(r, bytes(width // 8)) for r in range(TOKEN_RANGES))
+    return docs.select(text_col).mapInArrow(run, "r int, blob binary")
 
 
-def _prefix_rows(docs: DataFrame, text_col: str, ranked, shared, percent: int) -> DataFrame:
-    """Prefix rows token, key, n, pos of tokens that the filter lets through."""
+def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
+    sizes = [len(x) // 24 for x in blobs]
+    cut = lambda kind, at: np.concatenate([np.frombuffer(x, kind, k, at * k) for x, k in zip(blobs, sizes)])
+    return [cut("<u8", 0), cut("<i8", 8), cut("<u4", 16).astype(np.int64), cut("<u4", 20).astype(np.int64)]
 
-    def run(batches):
-        tok, bits = Tokenizer(ranked.value), np.frombuffer(shared.value, np.uint8)
-        for b in batches:
-            for token, key, n, pos in _prefixes(tok, b.column(0).to_pylist(), percent):
-                place = _bucket(token)
-                use = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                yield pa.RecordBatch.from_arrays([pa.array(token[use].astype(np.int64)), pa.array(key[use]), pa.array(n[use].astype(np.int32)), pa.array(pos[use].astype(np.int32))], ["token", "key", "n", "pos"])
 
-    return docs.select(text_col).mapInArrow(run, "token long, key long, n int, pos int")
+def _packed(cols: list[np.ndarray], use) -> bytes:
+    return b"".join(c[use].astype(kind).tobytes() for c, kind in zip(cols, ("<u8", "<i8", "<u4", "<u4")))
 
 
 def _fits(n1, p1, n2, p2, percent):
@@ -295,83 +304,118 @@ def _fits(n1, p1, n2, p2, percent):
     return (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & (np.minimum(n1 - p1, n2 - p2) >= need)
 
 
-def _shared_rows(percent: int):
-    """Of rows sorted by token and key, those that another row of the token fits."""
-
-    def settle(t, k, n, p):
-        first = np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])])
-        t, k, n, p = t[first], k[first], n[first], p[first]  # copies of a line from several tasks
-        start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        size = np.diff(np.concatenate([start, [len(t)]]))
-        keep = np.zeros(len(t), bool)
-        two = start[size == 2]
-        both = two[_fits(n[two], p[two], n[two + 1], p[two + 1], percent)]
-        keep[both] = keep[both + 1] = True
-        for s, c in zip(start[size > 2].tolist(), size[size > 2].tolist()):
-            if c <= 32:
-                a, b = n[s : s + c], p[s : s + c]
-                fit = _fits(a[:, None], b[:, None], a, b, percent)
-                np.fill_diagonal(fit, False)
-                keep[s : s + c] = fit.any(1)
-                continue
-            combos, index, count = np.unique(np.stack([n[s : s + c], p[s : s + c]], 1), axis=0, return_inverse=True, return_counts=True)
-            ok = np.zeros(len(combos), bool)
-            for i, (a, b) in enumerate(combos):
-                fit = _fits(a, b, combos[:, 0], combos[:, 1], percent)
-                fit[i] &= count[i] > 1
-                ok[i] = fit.any()
-            keep[s : s + c] = ok[index.reshape(-1)]
-        return t[keep], k[keep], n[keep], p[keep]
+def _settled(t, k, n, p, percent):
+    """Of some tokens' rows those that another row of the token fits, copies once."""
+    order = np.argsort(t, kind="stable")
+    t = t[order]
+    again = np.flatnonzero(t[1:] == t[:-1])
+    some = np.zeros(len(t), bool)
+    some[again] = some[again + 1] = True
+    t, order = t[some], order[some]
+    k, n, p = k[order], n[order], p[order]
+    order = np.lexsort((k, t))
+    t, k, n, p = t[order], k[order], n[order], p[order]
+    if not len(t):
+        return t, k, n, p
+    first = np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])])
+    t, k, n, p = t[first], k[first], n[first], p[first]  # copies of a line from several tasks
+    start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+    size = np.diff(np.concatenate([start, [len(t)]]))
+    keep = np.zeros(len(t), bool)
+    two = start[size == 2]
+    both = two[_fits(n[two], p[two], n[two + 1], p[two + 1], percent)]
+    keep[both] = keep[both + 1] = True
+    for s, c in zip(start[size > 2].tolist(), size[size > 2].tolist()):
+        if c <= 32:
+            a, b = n[s : s + c], p[s : s + c]
+            fit = _fits(a[:, None], b[:, None], a, b, percent)
+            np.fill_diagonal(fit, False)
+            keep[s : s + c] = fit.any(1)
+            continue
+        combos, index, count = np.unique(np.stack([n[s : s + c], p[s : s + c]], 1), axis=0, return_inverse=True, return_counts=True)
+        ok = np.zeros(len(combos), bool)
+        for i, (a, b) in enumerate(combos):
+            fit = _fits(a, b, combos[:, 0], combos[:, 1], percent)
+            fit[i] &= count[i] > 1
+            ok[i] = fit.any()
+        keep[s : s + c] = ok[index.reshape(-1)]
+    return t[keep], k[keep], n[keep], p[keep]
+
+
+def _shared_rows(percent: int, most: int):
+    """Of blobs sorted by range, the prefix rows that another row of the token fits.
+
+    One range is held at a time. If it comes to more than ``most`` rows, the
+    tokens with the most rows go on unjudged, and so do their later rows.
+    """
 
     def rows(found):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["token", "key", "n", "pos"])
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], ["token", "key", "n", "pos"])
 
     def run(batches):
-        held, heavy = None, None
+        now, held, size, heavy, limit = None, [], 0, np.zeros(0, np.uint64), most
         for b in batches:
-            now = [c.to_numpy() for c in b.columns]
-            if held is not None:
-                now = [np.concatenate([x, y]) for x, y in zip(held, now)]
-            if not len(now[0]):
-                continue
-            last = int(np.searchsorted(now[0], now[0][-1], "left"))  # sorted: where the last token begins
-            done, held = [x[:last] for x in now], [x[last:] for x in now]
-            if heavy is not None and last:
-                cut = int(np.searchsorted(done[0], heavy, "right"))
-                yield rows([x[:cut] for x in done])
-                done = [x[cut:] for x in done]
-                heavy = None
-            if len(done[0]):
-                yield rows(settle(*done))
-            if len(held[0]) > HEAVY_ROWS or heavy is not None:
-                yield rows(held)  # too many to hold: all go on
-                heavy, held = int(held[0][0]), None
-        if held is not None and len(held[0]):
-            yield rows(settle(*held))
+            for r, blob in zip(b.column(0).to_pylist(), b.column(1)):
+                if r != now:
+                    if held:
+                        yield rows(_settled(*_unpacked(held), percent))
+                    now, held, size, heavy, limit = r, [], 0, np.zeros(0, np.uint64), most
+                blob = blob.as_py()
+                if len(heavy):
+                    cols = _unpacked([blob])
+                    out = np.isin(cols[0], heavy)
+                    yield rows([c[out] for c in cols])
+                    blob = _packed(cols, ~out)
+                held.append(blob)
+                size += len(blob) // 24
+                if size > limit:
+                    cols = _unpacked(held)
+                    token, count = _runs(cols[0])
+                    by = np.argsort(-count, kind="stable")
+                    top = token[by[: int(np.searchsorted(np.cumsum(count[by]), size // 2)) + 1]]
+                    if len(top) * 64 < size:  # few tokens fill the range
+                        heavy = np.concatenate([heavy, top])
+                        out = np.isin(cols[0], top)
+                        yield rows([c[out] for c in cols])
+                        held = [_packed(cols, ~out)]
+                        size = int((~out).sum())
+                    else:  # many tokens: the range is larger than was expected
+                        limit = 2 * size
+        if held:
+            yield rows(_settled(*_unpacked(held), percent))
 
     return run
 
 
-def _key_filter(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of keys, FILTER_BITS bits whatever their number."""
+def _key_filter(keys: DataFrame, bits: int) -> bytes:
+    """A Bloom filter of keys: ``bits`` packed bits, built in segments."""
 
-    def run(batches):
-        bits = np.zeros(FILTER_BITS, bool)
+    def mark(batches):
         for b in batches:
-            for place in _places(b.column(0).to_numpy()):
-                bits[place] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+            place = np.unique(np.concatenate([x for x in _places(b.column(0).to_numpy(), bits)]))
+            seg = (place // np.uint64(SEGMENT_BITS)).astype(np.int64)
+            starts = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]])) if len(seg) else []
+            inner = (place % np.uint64(SEGMENT_BITS)).astype("<u4")
+            ends = [*starts[1:], len(seg)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(seg[i]) for i in starts], pa.int32()), pa.array([inner[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary())], ["seg", "at"])
 
-    total = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in keys.coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
-        total |= np.frombuffer(r["bits"], np.uint8)
-    return np.unpackbits(total).astype(bool)
+    def merge(batches):
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            for seg, at in zip(*(c.to_pylist() for c in b.columns)):
+                found.setdefault(seg, np.zeros(SEGMENT_BITS, bool))[np.frombuffer(at, "<u4")] = True
+        for seg, on in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())], ["seg", "bits"])
 
+    merged = keys.mapInArrow(mark, "seg int, at binary").repartition("seg").mapInArrow(merge, "seg int, bits binary")
+    parts = {row["seg"]: row["bits"] for row in merged.toLocalIterator()}  # MOST_FILTER_BITS bits at most
+    return b"".join(parts.get(i, bytes(SEGMENT_BITS // 8)) for i in range(bits // SEGMENT_BITS))
 
-def _places(keys: np.ndarray):
+
+def _places(keys: np.ndarray, bits: int):
     u = keys.view(np.uint64)
     for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9):
-        yield ((u * np.uint64(odd)) >> np.uint64(40)) % np.uint64(FILTER_BITS)
+        yield ((u * np.uint64(odd)) >> np.uint64(30)) % np.uint64(bits)
 
 
 def _sketches(line: np.ndarray, token: np.ndarray, lines: int) -> np.ndarray:
@@ -393,13 +437,13 @@ def _set_rows(docs: DataFrame, text_col: str, ranked, maybe, sketch: bool = Fals
 
     def run(batches):
         tok = Tokenizer(ranked.value)
-        bits = np.unpackbits(np.frombuffer(maybe.value, np.uint8)).astype(bool)
+        bits = np.frombuffer(maybe.value, np.uint8)
         for b in batches:
             for lines in chunks(b.column(0).to_pylist()):
-                passed = lines.words > 0
-                for place in _places(lines.key):
-                    passed &= bits[place]
-                some = np.flatnonzero(passed)
+                some = np.flatnonzero(lines.words >= SHINGLE_WORDS)
+                for place in _places(lines.key, 8 * len(bits)):
+                    own = place[some]
+                    some = some[(bits[own >> np.uint64(3)] >> (own & np.uint64(7)).astype(np.uint8)) & 1 == 1]
                 some = some[np.unique(lines.key[some], return_index=True)[1]] if len(some) else some
                 for lo in range(0, len(some), LINES_AT_ONCE):
                     pick = some[lo : lo + LINES_AT_ONCE]
@@ -455,13 +499,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _similar(pairs, sets, percent).select(F.col("late").alias("key")).distinct()
 
 
-def _candidates(docs: DataFrame, text_col: str, first: DataFrame, ranked, percent: int, sketch: bool = False) -> tuple[DataFrame, DataFrame]:
+def _candidates(docs: DataFrame, text_col: str, first: DataFrame, ranked, expected: int, percent: int, sketch: bool = False) -> tuple[DataFrame, DataFrame]:
     """Prefix rows of lines that may have a partner, and the token sets of those lines."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_token_filter(docs, text_col, ranked, percent))
-    prefix = _prefix_rows(docs, text_col, ranked, shared, percent)
-    found = materialize(prefix.repartition("token").sortWithinPartitions("token", "key").mapInArrow(_shared_rows(percent), "token long, key long, n int, pos int"))
-    maybe = spark.sparkContext.broadcast(np.packbits(_key_filter(found.select("key"))).tobytes())
+    ranges = min(max(64, expected // RANGE_ROWS), 1 << 20)
+    most = RANGE_SLACK * max(RANGE_ROWS, expected // ranges)
+    blobs = _prefix_blobs(docs, text_col, ranked, percent, ranges).repartition("r").sortWithinPartitions("r")
+    found = materialize(blobs.mapInArrow(_shared_rows(percent, most), "token long, key long, n long, pos long").select("token", "key", F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos")))
+    bits = min(max(1 << (16 * found.count()).bit_length(), LEAST_FILTER_BITS), MOST_FILTER_BITS)
+    maybe = spark.sparkContext.broadcast(_key_filter(found.select("key"), bits))
     keys = found.select("key").distinct()
     sets = materialize(_set_rows(docs, text_col, ranked, maybe, sketch).dropDuplicates(["key"]).join(keys, "key", "left_semi"))
     about = sets.select("key", *PARITY).join(first, "key")
@@ -475,9 +521,9 @@ def _hubs(rows: DataFrame, *more: str) -> DataFrame:
     return rows.groupBy("token").agg(F.min(F.struct("ord", "key", "n", "pos", *PARITY, *more)).alias("hub")).select("token", "hub.*")
 
 
-def _near_keys(docs: DataFrame, text_col: str, first: DataFrame, ranked, percent: int) -> DataFrame:
+def _near_keys(docs: DataFrame, text_col: str, first: DataFrame, ranked, expected: int, percent: int) -> DataFrame:
     """Keys of lines that have an earlier, different and similar line."""
-    rows, sets = _candidates(docs, text_col, first, ranked, percent)
+    rows, sets = _candidates(docs, text_col, first, ranked, expected, percent)
 
     # One likely partner settles most lines: first each token's earliest line,
     # then any; only what is left is compared with all its partners.
@@ -492,11 +538,11 @@ def _near_keys(docs: DataFrame, text_col: str, first: DataFrame, ranked, percent
     return near
 
 
-def _near_links(docs: DataFrame, text_col: str, first: DataFrame, ranked, percent: int) -> DataFrame:
+def _near_links(docs: DataFrame, text_col: str, first: DataFrame, ranked, expected: int, percent: int) -> DataFrame:
     """Links a, b between the keys of different, similar lines, whose components
     are those of all such pairs. Every link is such a pair.
     """
-    rows, sets = _candidates(docs, text_col, first, ranked, percent, sketch=True)
+    rows, sets = _candidates(docs, text_col, first, ranked, expected, percent, sketch=True)
     # Most groups are one component by their tokens' earliest lines already. Of
     # two rows of a token with different roots one is apart from the earliest.
     near = materialize(_similar(_likeliest(_alike(_fitting(rows, _hubs(rows), percent), sets, percent)), sets, percent))
@@ -510,24 +556,34 @@ def _near_links(docs: DataFrame, text_col: str, first: DataFrame, ranked, percen
     return links
 
 
-def _keyed(rows: DataFrame):
-    """Lines with a word (_rid, _id, line, key), from a table written once, which
-    comes too; each key's first line; and the tokens that have a rank."""
-    all_rows = materialize(_key_rows(rows))
-    lines = all_rows.where(F.col("key").isNotNull()).select("_rid", "_id", "line", "key")
-    often = all_rows.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(RANKED_TOKENS).collect()
+def _keyed(rows: DataFrame, percent: int):
+    """Lines with a word (_rid, _id, line, key, check), from a table written once,
+    which comes too; each different line's first place and how often it stands;
+    the tokens that have a rank; and about how many prefix rows there are."""
+    all_rows = materialize(_key_rows(rows, percent))
+    lines = all_rows.where(F.col("key").isNotNull()).select("_rid", "_id", "line", "key", "check")
+    often = all_rows.where(F.col("token") >= 0).groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(RANKED_TOKENS).collect()
     ranked = rows.sparkSession.sparkContext.broadcast([r["token"] for r in often])  # RANKED_TOKENS numbers
-    first = materialize(lines.groupBy("key").agg(F.min(row_order("line")).alias("ord")))
-    return all_rows, lines, first, ranked
+    expected = all_rows.where(F.col("token") == -1).agg(F.sum("n")).first()[0] or 0
+    first = materialize(lines.groupBy("key", "check").agg(F.min(row_order("line")).alias("ord"), F.count("*").alias("n")))
+    return all_rows, lines, first, ranked, expected
+
+
+def _fates(lines: DataFrame, fate: DataFrame, total: int) -> DataFrame:
+    """``lines`` with the columns of ``fate`` by key and check. Lines that stand
+    in more than one place of HOT_SHARE are joined where they are."""
+    hot = fate.where(F.col("n") * HOT_SHARE > total)  # HOT_SHARE rows at most
+    rest = lines.join(F.broadcast(hot.select("key", "check")), ["key", "check"], "left_anti")
+    return lines.join(F.broadcast(hot), ["key", "check"]).unionByName(rest.join(fate.where(F.col("n") * HOT_SHARE <= total), ["key", "check"]))
 
 
 def _repeated(rows: DataFrame, percent: int) -> DataFrame:
     """Per row of ``rows`` (_rid, _id, _text) with lines to remove: _rid, _id, lines."""
-    all_rows, lines, first, ranked = _keyed(rows)
-    order = row_order("line")
-    near = _near_keys(rows, "_text", first, ranked, percent)
+    all_rows, lines, first, ranked, expected = _keyed(rows, percent)
+    near = _near_keys(rows, "_text", first.select("key", "ord"), ranked, expected, percent)
     fate = first.join(near.withColumn("near", F.lit(True)), "key", "left")
-    gone = lines.join(fate, "key").where((order > F.col("ord")) | F.coalesce("near", F.lit(False)))
+    total = first.agg(F.sum("n")).first()[0] or 0
+    gone = _fates(lines, fate.where(F.col("near") | (F.col("n") > 1)), total).where((row_order("line") > F.col("ord")) | F.coalesce("near", F.lit(False)))
     found = materialize(gone.groupBy("_rid").agg(F.first("_id").alias("_id"), F.collect_set("line").alias("lines")))
     for done in (all_rows, first, near):
         discard(done)
@@ -543,12 +599,13 @@ def near_copies(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     it is broken. No similar pair is missed.
     """
     flat = rows.withColumn("_text", F.replace("_text", F.lit("\n"), F.lit(" ")))
-    all_rows, lines, first, ranked = _keyed(flat)
-    roots = connected_components(_near_links(flat, "_text", first, ranked, percent))
+    all_rows, lines, first, ranked, expected = _keyed(flat, percent)
+    roots = connected_components(_near_links(flat, "_text", first.select("key", "ord"), ranked, expected, percent))
     rooted = first.join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rooted.groupBy("root").agg(F.min("ord").alias("least"))
-    fate = rooted.join(least, "root").select("key", "least")
-    copies = lines.join(fate, "key").where(row_order("line") > F.col("least")).select("_rid")
+    fate = rooted.join(least, "root").select("key", "check", "n", "least")
+    total = first.agg(F.sum("n")).first()[0] or 0
+    copies = _fates(lines, fate, total).where(row_order("line") > F.col("least")).select("_rid")
     empty = rows.where(~F.coalesce(F.col("_text").rlike(WORD), F.lit(False))).select(row_order().alias("ord"))
     kept = empty.agg(F.min("ord").alias("least"))  # one row
     found = materialize(copies.unionByName(empty.crossJoin(F.broadcast(kept)).where("ord > least").select("ord.rid").withColumnRenamed("rid", "_rid")))
@@ -563,6 +620,23 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return _repeated(numbered(docs, id_col).select("_rid", "_id", F.col("_row").getField(text_col).alias("_text")), percent)
 
 
+def _masks(gone: DataFrame) -> DataFrame:
+    """_rid, n (lines to remove) and gone: whether each line goes, up to the last that does."""
+
+    def run(batches):
+        for b in batches:
+            masks = []
+            for lines in b.column(1).to_pylist():
+                mask = np.zeros(max(lines) + 1, bool)
+                mask[lines] = True
+                masks.append(mask)
+            cuts = np.concatenate([[0], np.cumsum([len(m) for m in masks])])
+            flat = pa.array(np.concatenate(masks)) if masks else pa.array([], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int(m.sum()) for m in masks], pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)], ["_rid", "n", "gone"])
+
+    return gone.select("_rid", "lines").mapInArrow(run, "_rid long, n long, gone array<boolean>")
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with its columns, without the lines that repeat earlier ones, and
     _n_lines and _n_removed at the end.
@@ -570,16 +644,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines without a word stay. A null text stays null and has no lines. Each row
     is a document of its own, in the order of ids; null ids come last. Rows that
     share an id, or have none, follow each other in the order they are read.
-    An empty table gives no rows. A column n_chars follows the text.
+    An empty table gives no rows. A column n_chars follows the text. Texts are
+    read in chunks cut between lines, so a long text is no different from others;
+    only a line longer than a chunk is read in one.
     """
     data = numbered(docs, id_col)
-    gone = _repeated(data.select("_rid", "_id", F.col("_row").getField(text_col).alias("_text")), percent)
-    joined = data.select("_row", "_rid").join(gone.select("_rid", "lines"), "_rid", "left").select("_row", "lines")
-    parts = F.split(F.col(f"_row.{text_col}"), "\n", -1)
-    kept = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("lines", s["i"]))
-    text = F.when(F.col("lines").isNull() | F.col(f"_row.{text_col}").isNull(), F.col(f"_row.{text_col}")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
-    removed = F.coalesce(F.when(F.col(f"_row.{text_col}").isNotNull(), F.size(F.filter("lines", lambda i: i < F.size(parts)))), F.lit(0))
-    rows = joined.select("_row", text.alias("_text"), F.coalesce(F.when(F.col(f"_row.{text_col}").isNotNull(), F.size(parts)), F.lit(0)).cast("long").alias("_n_lines"), F.greatest(removed, F.lit(0)).cast("long").alias("_n_removed"))
+    gone = _masks(_repeated(data.select("_rid", "_id", F.col("_row").getField(text_col).alias("_text")), percent))
+    joined = data.select("_row", "_rid").join(gone, "_rid", "left").select("_row", "n", "gone")
+    text = F.col("_row").getField(text_col)
+    kept = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.coalesce(F.get("gone", i), F.lit(False)))
+    cut = F.when(F.col("n") > 0, F.array_join(kept, "\n")).otherwise(text)
+    n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    rows = joined.select("_row", cut.alias("_text"), F.coalesce(n_lines, F.lit(0)).cast("long").alias("_n_lines"), F.coalesce("n", F.lit(0)).cast("long").alias("_n_removed"))
     cols = []
     for c in docs.columns:
         if c == text_col:
