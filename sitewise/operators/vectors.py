@@ -1,8 +1,8 @@
 """Similarity joins and statistics of embedding vectors.
 
-A join scores one side against blocks of the other by matrix products on Arrow
-batches. A block has a fixed number of rows, so what is broadcast never grows
-with the data; further blocks are further passes.
+A join scores blocks of one side against blocks of the other by matrix products.
+A block has a bounded number of rows, and each pair of blocks is a task's work of
+its own: nothing is broadcast or sent to the driver, and the plan does not grow.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.columns import doubles, unit
 
-BLOCK_ROWS = 8192
-CHUNK_ROWS = 4096
+BLOCK_ROWS = 4096
+CHUNK_ROWS = 1024
 #: Cosines are compared after rounding to so many digits, so that the order of
 #: a sum's terms does not decide.
 DIGITS = 9
@@ -28,54 +29,66 @@ def unit_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return df.withColumn("u", unit(doubles(F.col(vector))))
 
 
-def similarity_join(queries: DataFrame, db: DataFrame, cutoff: float | str, query_id: str, db_id: str, group: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similarity_join(queries: DataFrame, db: DataFrame, cutoff: float | str, query_id: str, db_id: str, group: str | None = None, block_rows: int = BLOCK_ROWS, best: int | None = None, folds: int | None = None) -> DataFrame:
     """Pairs with a cosine above the cutoff: query_id, db_id, cos.
 
     Both sides have a column u of unit vectors. ``cutoff`` is a number or a
     column of the queries. With ``group``, a column of both sides must agree.
-    Rows with a null vector or group match nothing.
+    Rows with a null group, and vectors that are null, hold a null or differ in
+    length, match nothing. With ``best``, a query keeps of each block its pairs
+    of the so many highest cosines, ties included: enough for its nearest rows
+    over all blocks; itself, or with ``folds`` its fold (id modulo folds), is none.
     """
-    spark = db.sparkSession
     cut = F.lit(float(cutoff)) if not isinstance(cutoff, str) else F.col(cutoff)
-    q = queries.where(F.col("u").isNotNull()).select(F.col(query_id).alias("q"), "u", cut.cast("double").alias("cut"), (F.col(group).cast("string") if group else F.lit("")).alias("g"))
     q_type, d_type = queries.schema[query_id].dataType.simpleString(), db.schema[db_id].dataType.simpleString()
-    d = db.where(F.col("u").isNotNull()).select(F.col(db_id).alias("d"), "u", (F.col(group).cast("string") if group else F.lit("")).alias("g"))
-    n = q.count()
-    n_blocks = max(1, -(-n // block_rows))
-    place = F.pmod(F.xxhash64("q", "u"), F.lit(n_blocks))
-    schema = f"q {q_type}, d {d_type}, cos double"
-    out = None
-    for i in range(n_blocks):
-        rows = (q.where(place == i) if n_blocks > 1 else q).collect()
-        by: dict[str, list] = {}
-        for r in rows:
-            if r["g"] is not None:
-                by.setdefault(r["g"], []).append(r)
-        block = {g: ([r["q"] for r in own], np.array([r["u"] for r in own], np.float64), np.array([r["cut"] for r in own], np.float64)) for g, own in by.items()}
-        shipped = spark.sparkContext.broadcast(block)  # block_rows vectors at most
-        part = d.mapInArrow(_match(shipped), schema)
-        out = part if out is None else out.unionAll(part)
-    return out.withColumnsRenamed({"q": query_id, "d": db_id})
-
-
-def _match(shipped):
-    def run(batches):
-        for b in batches:
-            groups = np.array(b.column(2).to_pylist(), object)
-            ids = b.column(0)
-            vectors = b.column(1)
-            width = len(vectors[0]) if len(vectors) else 0
-            flat = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if width else np.zeros((len(b), 0))
-            for g in set(groups) - {None}:
-                if g not in shipped.value:
-                    continue
-                q_ids, q, cut = shipped.value[g]
-                rows = np.flatnonzero(groups == g)
-                for lo in range(0, len(rows), CHUNK_ROWS):
-                    own = rows[lo : lo + CHUNK_ROWS]
-                    cos = q @ flat[own].T
-                    i, j = np.nonzero(np.round(cos, DIGITS) > np.round(cut, DIGITS)[:, None])
-                    yield pa.RecordBatch.from_arrays([pa.array([q_ids[k] for k in i.tolist()]), ids.take(pa.array(own[j])), pa.array(cos[i, j])], ["q", "d", "cos"])
+    q = _grouped(queries, query_id, "q", group).select("q", "u", "g", cut.cast("double").alias("cut"))
+    d = _grouped(db, db_id, "d", group).select("d", F.col("u").alias("v"), F.col("g").alias("h"))
+    n, m = (max(1, -(-x.count() // block_rows)) for x in (q, d))
+    # Every block of one side meets every block of the other in a task of its own.
+    place = lambda c, v, k: F.pmod(F.xxhash64(c, v), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = q.withColumn("i", place("q", "u", n)).withColumn("j", each(m))
+    right = d.withColumn("l", place("d", "v", m)).withColumn("k", each(n))
+    out = pa.schema([("q", to_arrow_type(queries.schema[query_id].dataType)), ("d", to_arrow_type(db.schema[db_id].dataType)), ("cos", pa.float64())])
+    pairs = left.groupBy("g", "i", "j").cogroup(right.groupBy("h", "k", "l")).applyInArrow(_match(best, folds, out), f"q {q_type}, d {d_type}, cos double")
+    return pairs.withColumnsRenamed({"q": query_id, "d": db_id})
+
+
+def _grouped(df: DataFrame, id_col: str, name: str, group: str | None) -> DataFrame:
+    """``df`` with its id as ``name`` and g, the group and the vector's length."""
+    own = df.where(F.col("u").isNotNull() & ~F.exists("u", lambda x: x.isNull()))
+    if group:
+        own = own.where(F.col(group).isNotNull())
+    size = F.size("u").cast("string")
+    return own.withColumn(name, F.col(id_col)).withColumn("g", F.concat_ws(":", size, F.col(group).cast("string")) if group else size)
+
+
+def _match(best: int | None, folds: int | None, schema: pa.Schema):
+    def matrix(t: pa.Table, name: str) -> np.ndarray:
+        flat = t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return flat.reshape(len(t), -1)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        q_ids, d_ids = left.column("q").combine_chunks(), right.column("d").combine_chunks()
+        q, d, cut = matrix(left, "u"), matrix(right, "v"), np.round(left.column("cut").to_numpy(), DIGITS)
+        parts = []
+        for lo in range(0, len(q), CHUNK_ROWS):
+            own = slice(lo, lo + CHUNK_ROWS)
+            cos = q[own] @ d.T
+            shown = np.round(cos, DIGITS)
+            ok = shown > cut[own, None]
+            if best is not None:
+                a, b = q_ids.slice(lo, CHUNK_ROWS).to_numpy(zero_copy_only=False), d_ids.to_numpy(zero_copy_only=False)
+                ok &= (a[:, None] != b) if folds is None else (a % folds)[:, None] != b % folds
+                if len(d) > best:
+                    ranked = np.where(ok, shown, -np.inf)
+                    ok &= ranked >= np.partition(ranked, len(d) - best, axis=1)[:, len(d) - best, None]
+            i, j = np.nonzero(ok)
+            parts.append((i + lo, j, cos[i, j]))
+        i, j, cos = (np.concatenate(x) for x in zip(*parts))
+        return pa.table([q_ids.take(pa.array(i)), d_ids.take(pa.array(j)), pa.array(cos)], schema=schema)
 
     return run
 
@@ -93,8 +106,7 @@ def nearest_vote(df: DataFrame, id_col: str, label: str, k: int = 5, folds: int
     """
     own = df.select(F.col(id_col).alias("q"), "u", F.col(label).alias("truth"))
     other = df.select(F.col(id_col).alias("d"), "u", F.col(label).alias("vote"))
-    near = similarity_join(own, other, -2.0, "q", "d").withColumn("cos", F.round("cos", DIGITS))
-    near = near.where(F.col("q") != F.col("d") if folds is None else F.pmod("q", F.lit(folds)) != F.pmod("d", F.lit(folds)))
+    near = similarity_join(own, other, -2.0, "q", "d", best=k, folds=folds).withColumn("cos", F.round("cos", DIGITS))
     w = Window.partitionBy("q").orderBy(F.desc("cos"), "d")
     top = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).join(other.select("d", "vote"), "d")
     votes = top.groupBy("q", "vote").agg(F.count("*").alias("n"))
