@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,6 @@ Encoder = Callable[[pd.DataFrame], list]
 
 def toy_encoder(width: int = 512) -> Encoder:
     """NOT a model: sums of sines of the nodes' classes and places."""
-    import numpy as np
 
     def encode(batch: pd.DataFrame) -> list:
         k = np.arange(1, width + 1)
@@ -36,16 +36,33 @@ def toy_encoder(width: int = 512) -> Encoder:
     return encode
 
 
+#: What tells structures apart, as far as a table has it.
+STRUCTURE = ("ensemble", "subunit", "structure", "model")
+
+
+def structure_keys(atoms: DataFrame) -> list[str]:
+    return [c for c in STRUCTURE if c in atoms.columns]
+
+
 def environments(centers: DataFrame, atoms: DataFrame, radius: float = 10.0, scope: str = "chain") -> DataFrame:
-    """Atoms around each center: of its own chain, or of all (``scope="all"``)."""
-    return spatial.radius_join(centers, atoms, radius, ["chain"] if scope == "chain" else [])
+    """Atoms around each center: of its own chain, or of all of its structure (``scope="all"``)."""
+    return spatial.radius_join(centers, atoms, radius, structure_keys(centers) + ["chain"] * (scope == "chain"))
+
+
+def _edges(nodes, radius: float) -> list[tuple[int, int]]:
+    """Ordered pairs (places in ``nodes``) of different nodes within the radius."""
+    at = np.array([[n["dx"], n["dy"], n["dz"]] for n in nodes])
+    apart = at[:, None] - at
+    return [(int(i), int(j)) for i, j in zip(*np.nonzero((apart * apart).sum(2) <= radius * radius)) if i != j]
 
 
 def encode(env: DataFrame, keys: list[str], encoder: Encoder, edge_radius: float = 4.5) -> DataFrame:
-    """Runs the encoder on each environment's nodes: keys and embedding.
+    """Runs the encoder on each environment's graph: keys and embedding.
 
-    An environment is bounded by its ball, and its nodes travel as one array;
-    graph edges follow from the places within ``edge_radius``.
+    The encoder sees the columns nodes (atom_idx, atom_type, dx, dy, dz by rising
+    atom_idx) and edges (pairs of nodes within ``edge_radius``, both ways). An
+    environment is bounded by its ball, and its nodes travel as one array. Null
+    keys are keys like any other.
     """
     node = F.struct(F.col("p_atom_idx").alias("atom_idx"), C.element_label(F.col("p_element")).alias("atom_type"), *[(F.col("p_" + c) - F.col(c)).alias("d" + c) for c in "xyz"])
     graphs = env.groupBy(*keys).agg(F.array_sort(F.collect_list(node)).alias("nodes"))
@@ -53,25 +70,28 @@ def encode(env: DataFrame, keys: list[str], encoder: Encoder, edge_radius: float
 
     def run(frames):
         for f in frames:
+            f = f.assign(edges=[_edges(n, edge_radius) for n in f["nodes"]])
             yield f[keys].assign(embedding=encoder(f))
 
     return graphs.mapInPandas(run, f"{fields}, embedding array<double>")
 
 
 def embed_protein(atoms: DataFrame, encoder: Encoder, radius: float = 10.0, edge_radius: float = 4.5, hetero_residues: bool = True, scope: str = "chain") -> DataFrame:
-    """One row per standard residue: chain, resid, confidence and embedding.
+    """One row per standard residue: what tells its structure apart, chain, resid,
+    confidence and embedding. Structures never see each other's atoms.
 
     Residues without a center, and centers without atoms around them, are left out.
     """
     rows = atoms if hetero_residues else atoms.where(F.col("resname").isin(tables.RESIDUES))
     known = rows.where(F.col("resname").isin(tables.STANDARD_RESIDUES))
-    keys = ["chain", "residue", "resname"]
+    whole = structure_keys(atoms)
+    keys = [*whole, "chain", "residue", "resname"]
     centers = spatial.functional_centers(known, keys).where("x is not null")
     confidence = known.groupBy(*keys).agg(F.min_by("bfactor", "atom_idx").alias("confidence"))
     vectors_ = encode(environments(centers, rows, radius, scope), keys, encoder, edge_radius)
     out = vectors_.join(confidence, keys)
     resid = C.render_resid(C.residue_to_letter(F.col("resname")), F.col("residue"))
-    return out.select("chain", resid.alias("resid"), "confidence", "embedding")
+    return out.select(*whole, "chain", resid.alias("resid"), "confidence", "embedding")
 
 
 def embed_residue(atoms: DataFrame, chain, resid: str, encoder: Encoder, **options) -> DataFrame:
