@@ -45,10 +45,12 @@ def high_runs(df: DataFrame, keys: Sequence[str], pos: str, value: str, least: f
 
 
 def alignment_cells(df: DataFrame, keys: Sequence[str], seq: str, width: Column | None = None) -> DataFrame:
-    """One row per character: keys, col (from 0), ch; short rows end in gaps up to ``width``."""
-    n = F.length(seq) if width is None else width
-    cells = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("col"), F.coalesce(F.nullif(F.substring(F.col(seq), i + 1, F.lit(1)), F.lit("")), F.lit(GAP)).alias("ch")))
-    return df.where(n > 0).select(*keys, F.explode(cells).alias("c")).select(*keys, "c.col", "c.ch")
+    """One row per character: keys, col (from 0), ch; short rows end in gaps up to
+    ``width``. Null and empty rows have no cells."""
+    own = F.split(F.col(seq), "")
+    if width is not None:
+        own = F.slice(F.concat(own, F.array_repeat(F.lit(GAP), F.greatest(width - F.length(seq), F.lit(0)))), F.lit(1), width)
+    return df.where(F.length(seq) > 0).select(*keys, F.posexplode(own).alias("col", "ch"))
 
 
 def column_entropy(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -84,23 +86,26 @@ def domain_bounds(cells: DataFrame, row: Sequence[str]) -> DataFrame:
     return cells.where(F.col("ch") != GAP).groupBy(*row).agg(F.min("col").alias("first_col"), F.max("col").alias("last_col"))
 
 
+def _columns(a: Column, b: Column) -> Column:
+    """The characters x, y of both rows by column; the shorter row ends in gaps."""
+    gap = lambda c: F.coalesce(c, F.lit(GAP))
+    chars = lambda c: F.when(F.length(c) > 0, F.split(c, "")).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.zip_with(chars(a), chars(b), lambda x, y: F.struct(gap(x).alias("x"), gap(y).alias("y")))
+
+
 def pair_identity(a: Column, b: Column) -> Column:
     """Share of equal characters over columns that aren't gaps in both; null without one."""
-    n = F.greatest(F.length(a), F.length(b))
-    ch = lambda s, i: F.substring(s, i, F.lit(1))
-    at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.expr("cast(array() as array<int>)"))
-    used = F.filter(at, lambda i: ~((ch(a, i) == GAP) & (ch(b, i) == GAP)))
-    same = F.size(F.filter(used, lambda i: ch(a, i) == ch(b, i)))
-    return F.try_divide(same.cast("double"), F.size(used))
+    used = F.filter(_columns(a, b), lambda c: ~((c["x"] == GAP) & (c["y"] == GAP)))
+    n = F.struct(F.lit(0).alias("same"), F.lit(0).alias("all"))
+    count = lambda s, c: F.struct((s["same"] + (c["x"] == c["y"]).cast("int")).alias("same"), (s["all"] + 1).alias("all"))
+    return F.aggregate(used, n, count, lambda s: F.try_divide(s["same"].cast("double"), s["all"]))
 
 
 def valid_pair_columns(a: Column, b: Column, letters: Sequence[str]) -> Column:
     """Columns (from 0) in which both rows have one of the letters."""
-    n = F.least(F.length(a), F.length(b))
     ok = F.array(*[F.lit(x) for x in letters])
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    ch = lambda s, i: F.substring(s, i + 1, F.lit(1))
-    return F.filter(at, lambda i: F.array_contains(ok, ch(a, i)) & F.array_contains(ok, ch(b, i)))
+    valid = F.transform(_columns(a, b), lambda c, i: F.when(F.array_contains(ok, c["x"]) & F.array_contains(ok, c["y"]), i))
+    return F.filter(valid, lambda i: i.isNotNull())
 
 
 def chain_sequences(residues: DataFrame, keys: Sequence[str], order: str, resname: str = "resname", number: str = "residue") -> DataFrame:

@@ -31,10 +31,10 @@ def _r(*names):
     return [F.round(n, 6).alias(n) for n in names]
 
 
-@query("radius_env", f"WITH {ATOMS_SQL} SELECT a.atom_idx AS env, b.atom_idx AS atom, round({D}, 6) AS dist FROM atoms a JOIN atoms b ON {D} <= 0.12 WHERE a.atom_idx % 5 = 0")
+@query("radius_env", f"WITH {ATOMS_SQL} SELECT a.atom_idx AS env, b.atom_idx AS atom, round({D}, 6) AS dist FROM atoms a JOIN atoms b ON {D} <= 0.12")
 def radius_env(spark, sf_dir):
     a = atoms(spark, sf_dir)
-    return spatial.radius_join(a.where("atom_idx % 5 = 0"), a, 0.12).select(F.col("atom_idx").alias("env"), F.col("p_atom_idx").alias("atom"), *_r("dist"))
+    return spatial.radius_join(a, a, 0.12).select(F.col("atom_idx").alias("env"), F.col("p_atom_idx").alias("atom"), *_r("dist"))
 
 
 @query("chain_env", f"WITH {ATOMS_SQL} SELECT a.atom_idx AS env, b.atom_idx AS atom, a.chain, round({D}, 6) AS dist FROM atoms a JOIN atoms b ON a.chain = b.chain AND {D} <= 0.2")
@@ -200,20 +200,32 @@ def suffix_rename(spark, sf_dir):
     return filters.with_suffix(named(spark, sf_dir).select("chain", "residue", "atom_idx"), "0", ["chain", "residue"])
 
 
-@query("embed_environments", None)
+@query("embed_environments", f"""WITH {NAMED_SQL}, known AS (SELECT * FROM named WHERE resname <> 'UNK'),
+    k AS (SELECT *, (resname = 'CYS' AND name = 'SG') OR (resname = 'GLY' AND name = 'CA') OR (resname = 'ALA' AND name = 'CB') AS is_key FROM known),
+    c AS (SELECT structure, model, chain, residue, resname, coalesce(avg(x) FILTER (is_key), avg(x) FILTER (name = 'CA')) AS x, coalesce(avg(y) FILTER (is_key), avg(y) FILTER (name = 'CA')) AS y, coalesce(avg(z) FILTER (is_key), avg(z) FILTER (name = 'CA')) AS z, arg_min(x, atom_idx) AS confidence FROM k GROUP BY ALL),
+    env AS (SELECT a.structure, a.model, a.chain, a.residue, a.resname, a.confidence, b.atom_idx, b.x, b.y, b.z, CASE b.element WHEN 'C' THEN 0 WHEN 'N' THEN 1 WHEN 'O' THEN 2 ELSE 9 END AS t FROM c a JOIN named b ON a.structure = b.structure AND a.model = b.model AND a.chain = b.chain AND {D} <= 0.25),
+    e AS (SELECT a.structure, a.model, a.chain, a.residue, count(*) AS n FROM env a JOIN env b ON a.structure = b.structure AND a.model = b.model AND a.chain = b.chain AND a.residue = b.residue AND a.atom_idx <> b.atom_idx AND {D} <= 0.15 GROUP BY ALL)
+    SELECT g.structure, g.model, g.chain, CASE resname WHEN 'CYS' THEN 'C' WHEN 'GLY' THEN 'G' ELSE 'A' END || g.residue AS resid, round(confidence, 6) AS confidence, CAST(n_nodes AS DOUBLE) AS nodes, CAST(coalesce(n, 0) AS DOUBLE) AS edges, CAST(carbons AS DOUBLE) AS carbons
+    FROM (SELECT structure, model, chain, residue, resname, confidence, count(*) AS n_nodes, count(*) FILTER (t = 0) AS carbons FROM env GROUP BY ALL) g LEFT JOIN e ON e.structure = g.structure AND e.model = g.model AND e.chain = g.chain AND e.residue = g.residue""")
 def embed_environments(spark, sf_dir):
-    """Functional centres, their environments, graphs, and the plug-in encoder."""
-    from .pipelines import embed_protein, toy_encoder
+    """Functional centres, their environments and graphs over several structures
+    and models; the plug-in encoder counts nodes, edges and carbons."""
+    from .pipelines import embed_protein
 
-    return embed_protein(named(spark, sf_dir).withColumn("bfactor", F.col("x")), toy_encoder(8), radius=0.25, edge_radius=0.15)
+    def counts(batch):
+        carbon = [sum(n["atom_type"] == 0 for n in nodes) for nodes in batch["nodes"]]
+        return [[float(len(n)), float(len(e)), float(c)] for n, e, c in zip(batch["nodes"], batch["edges"], carbon)]
+
+    out = embed_protein(named(spark, sf_dir).withColumn("bfactor", F.col("x")), counts, radius=0.25, edge_radius=0.15)
+    return out.select("structure", "model", "chain", "resid", *_r("confidence"), *[F.element_at("embedding", i + 1).alias(c) for i, c in enumerate(("nodes", "edges", "carbons"))])
 
 
 @query("mutation_environments", f"""WITH {NAMED_SQL}, c AS (SELECT chain, residue, arg_min(x, atom_idx) AS x, arg_min(y, atom_idx) AS y, arg_min(z, atom_idx) AS z FROM named WHERE name = 'CA' GROUP BY chain, residue)
-    SELECT a.chain, a.residue, b.atom_idx AS atom FROM c a JOIN named b ON {D} <= 0.2 WHERE a.residue % 10 = 0""")
+    SELECT a.chain, a.residue, b.atom_idx AS atom FROM c a JOIN named b ON {D} <= 0.2""")
 def mutation_environments(spark, sf_dir):
     """Environments around the CA of mutated residues, over all chains."""
     a = named(spark, sf_dir)
-    centers = spatial.ca_centers(a, ["chain", "residue"]).where("residue % 10 = 0")
+    centers = spatial.ca_centers(a, ["chain", "residue"])
     return spatial.radius_join(centers, a.select("atom_idx", "x", "y", "z"), 0.2).select("chain", "residue", F.col("p_atom_idx").alias("atom"))
 
 

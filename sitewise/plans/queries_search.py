@@ -40,10 +40,10 @@ def cosine_pairs(spark, sf_dir):
 
 @query("cosine_range_search", f"""WITH {DB_SQL}
     SELECT q.id AS query, d.id AS id, round({COS.format('q.e', 'd.e')}, 6) AS cos FROM db q JOIN db d ON q.letter = d.letter
-    WHERE q.id % 10 = 0 AND round({COS.format('q.e', 'd.e')}, 9) > 0.2""")
+    WHERE q.id % 50 = 0 AND round({COS.format('q.e', 'd.e')}, 9) > 0.2""")
 def cosine_range_search(spark, sf_dir):
     db = site_db(spark, sf_dir)
-    q = db.where("id % 10 = 0").withColumnRenamed("id", "query")
+    q = db.where("id % 50 = 0").withColumnRenamed("id", "query")
     return vectors.similarity_join(q, db, 0.2, "query", "id", "letter").withColumn("cos", F.round("cos", 6))
 
 

@@ -87,7 +87,8 @@ def _pairs(spark, sf_dir):
     return a.join(b, "family").where("doc_id < other")
 
 
-PAIR_SQL = f"{MSA_SQL}, pairs AS (SELECT a.doc_id, b.doc_id AS other, a.seq, b.seq AS seq2 FROM msa a JOIN msa b ON a.doc_id // 5 = b.doc_id // 5 AND a.doc_id < b.doc_id), pc AS (SELECT p.doc_id, other, c AS col, substr(seq, c + 1, 1) AS x, substr(seq2, c + 1, 1) AS y FROM pairs p, range(60) t(c))"
+PAIR_SQL = f"""{MSA_SQL}, chars AS (SELECT doc_id, string_split(seq, '') AS s FROM msa), pairs AS (SELECT a.doc_id, b.doc_id AS other, a.s, b.s AS t FROM chars a JOIN chars b ON a.doc_id // 5 = b.doc_id // 5 AND a.doc_id < b.doc_id),
+    placed AS (SELECT doc_id, other, s, t, unnest(range(greatest(len(s), len(t)))) AS col FROM pairs), pc AS (SELECT doc_id, other, col, coalesce(s[col + 1], '-') AS x, coalesce(t[col + 1], '-') AS y FROM placed)"""
 
 
 @query("seq_identity", f"WITH {PAIR_SQL} SELECT doc_id, other, round(avg(CASE WHEN x = y THEN 1.0 ELSE 0.0 END) FILTER (NOT (x = '-' AND y = '-')), 6) AS identity FROM pc GROUP BY doc_id, other")
@@ -108,15 +109,16 @@ def position_pair_sample(spark, sf_dir):
     return sampling.take_hashed(valid_pair_columns(spark, sf_dir), 2, "col", ["doc_id", "other"])
 
 
-@query("norm_levenshtein", f"""WITH {PAIR_SQL}, s AS (SELECT doc_id, other, string_agg(x, '' ORDER BY col) AS a, string_agg(y, '' ORDER BY col) AS b, count(*) AS n FROM pc WHERE NOT (x = '-' AND y = '-') AND ascii(x) < 128 AND ascii(y) < 128 GROUP BY doc_id, other)
-    SELECT doc_id, other, round(levenshtein(a, b) / CAST(n AS DOUBLE), 6) AS distance FROM s""")
+@query("norm_levenshtein", """WITH m AS (SELECT p_partkey, rpad(translate(p_name, ' ', '-'), (SELECT max(length(p_name))::INTEGER FROM part), '-') AS seq FROM part), p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, string_split(a.seq, '') AS s, string_split(b.seq, '') AS t FROM m a JOIN m b ON a.p_partkey // 5 = b.p_partkey // 5 AND a.p_partkey < b.p_partkey),
+    c AS (SELECT a, b, unnest(range(len(s))) AS col, unnest(s) AS x, unnest(t) AS y FROM p), k AS (SELECT a, b, string_agg(x, '' ORDER BY col) AS s, string_agg(y, '' ORDER BY col) AS t, count(*) AS n FROM c WHERE NOT (x = '-' AND y = '-') GROUP BY a, b)
+    SELECT a, b, round(levenshtein(s, t) / CAST(n AS DOUBLE), 6) AS distance FROM k""")
 def norm_levenshtein(spark, sf_dir):
-    """Columns with a character beyond ASCII are cut first: engines count those differently."""
-    both = _pairs(spark, sf_dir)
-    keep = F.filter(F.sequence(F.lit(1), F.lit(60)), lambda i: (F.ascii(F.substring("seq", i, F.lit(1))) < 128) & (F.ascii(F.substring("seq2", i, F.lit(1))) < 128))
-    cut = lambda c: F.array_join(F.transform("keep", lambda i: F.substring(F.col(c), i, F.lit(1))), "")
-    rows = both.withColumn("keep", keep).select("doc_id", "other", cut("seq").alias("a"), cut("seq2").alias("b"))
-    return rows.select("doc_id", "other", F.round(C.normalized_edits(F.col("a"), F.col("b")), 6).alias("distance")).where("distance is not null")
+    """Edit distances of whole aligned rows: the names of parts, padded to one width."""
+    p = table(spark, sf_dir, "part")
+    width = p.agg(F.max(F.length("p_name")).alias("w"))  # one row
+    rows = p.crossJoin(F.broadcast(width)).select("p_partkey", F.expr("p_partkey div 5").alias("family"), F.rpad(F.translate("p_name", " ", "-"), F.col("w"), F.lit("-")).alias("seq"))
+    pairs = rows.join(rows.select("family", F.col("p_partkey").alias("other"), F.col("seq").alias("seq2")), "family").where("p_partkey < other")
+    return pairs.select(F.col("p_partkey").alias("a"), F.col("other").alias("b"), F.round(C.normalized_edits(F.col("seq"), F.col("seq2")), 6).alias("distance"))
 
 
 @query("all_pairs_distance", """WITH n AS (SELECT n_name, n_regionkey FROM nation) SELECT a.n_name AS a, b.n_name AS b, round(levenshtein(a.n_name, b.n_name) / CAST(greatest(length(a.n_name), length(b.n_name)) AS DOUBLE), 6) AS distance FROM n a JOIN n b ON a.n_regionkey = b.n_regionkey""")
@@ -154,11 +156,11 @@ def record_match(spark, sf_dir):
     return sequence.match_records(keys, one.unionAll(two), "key", "rid", "ord").select("key", "rid")
 
 
-@query("ema_schedule", """WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE user_id < 20),
+@query("ema_schedule", """WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
     f AS (SELECT user_id, CAST(1 AS BIGINT) AS k, 0.0 * 0.9 + value * 0.1 AS s FROM o WHERE k = 1 UNION ALL SELECT f.user_id, o.k, f.s * 0.9 + o.value * 0.1 FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)
     SELECT user_id, round(arg_max(s, k), 6) AS state FROM f GROUP BY user_id""")
 def ema_schedule(spark, sf_dir):
-    """A recurrence along every user's events, as a fold; the SQL covers users below 20 alone."""
+    """A recurrence along every user's events, as a fold."""
     e = table(spark, sf_dir, "events").withColumn("o", F.struct("ts", "event_id"))
     return sequence.ordered_fold(e, ["user_id"], "o", "value", 0.0, lambda s, v: s * 0.9 + v * 0.1).withColumn("state", F.round("state", 6))
 
@@ -178,12 +180,12 @@ def family_columns(spark, sf_dir):
 @query("column_residues", f"""WITH {MSA_SQL}, n AS (SELECT lang, col, ch, count(*) AS n FROM cells WHERE ch <> '-' GROUP BY ALL), t AS (SELECT lang, col, sum(n) AS t FROM n GROUP BY ALL),
     h AS (SELECT lang, col, 1 / (1 - sum(n / t * log2(n / t))) AS c FROM n JOIN t USING (lang, col) GROUP BY lang, col),
     p AS (SELECT doc_id, lang, col, ch, col - CAST(sum(CASE WHEN ch = '-' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY col) AS BIGINT) AS seq_pos FROM cells)
-    SELECT p.doc_id, p.lang, p.col, p.seq_pos, round(h.c, 6) AS conservation FROM p JOIN h ON h.lang = p.lang AND h.col = p.col WHERE p.ch <> '-' AND p.seq_pos % 10 = 0""")
+    SELECT p.doc_id, p.lang, p.col, p.seq_pos, round(h.c, 6) AS conservation FROM p JOIN h ON h.lang = p.lang AND h.col = p.col WHERE p.ch <> '-'""")
 def column_residues(spark, sf_dir):
     """Residues standing in each alignment column, with its conservation."""
     from .pipelines import alignment_column_pairs
 
     cells = _cells(spark, sf_dir)
-    residues = aligned_rows(spark, sf_dir).select("doc_id", F.explode(F.expr("transform(sequence(0, 5), i -> cast(i * 10 as bigint))")).alias("seq_pos"))
+    residues = sequence.ungapped_positions(cells, ["doc_id"]).where("seq_pos >= 0").select("doc_id", "seq_pos")
     out = alignment_column_pairs(cells, residues, ["lang"], "doc_id")
     return out.select("doc_id", "lang", "col", "seq_pos", F.round("conservation", 6).alias("conservation"))

@@ -35,13 +35,14 @@ def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aligned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, lang and seq: the first 60 characters, blanks and line ends as gaps."""
+    """doc_id, lang and seq: the whole text, blanks and line ends as gaps. A row
+    has a cell for each of its own characters and none beyond."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", "lang", F.translate(F.rpad(F.substring("text", 1, 60), 60, "-"), " \n", "--").alias("seq"))
+    return d.select("doc_id", "lang", F.translate("text", " \n", "--").alias("seq"))
 
 
 MSA_SQL = """msa AS (
-    SELECT doc_id, lang, translate(rpad(substr(text, 1, 60), 60, '-'), ' ' || chr(10), '--') AS seq FROM documents
+    SELECT doc_id, lang, translate(text, ' ' || chr(10), '--') AS seq FROM documents
 ), cells AS (
-    SELECT doc_id, lang, CAST(c AS INTEGER) AS col, substr(seq, CAST(c AS BIGINT) + 1, 1) AS ch FROM msa, range(60) t(c)
+    SELECT doc_id, lang, CAST(unnest(range(length(seq))) AS INTEGER) AS col, unnest(string_split(seq, '')) AS ch FROM msa
 )"""
