@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 def settle(df: DataFrame) -> DataFrame:
     """A checkpoint in the folder of ``spark.checkpoint.dir``.
 
-    Only where no folder is set, as in tests on one machine, a temporary one is.
+    Only where no folder is set and the master is local, as in tests, a temporary
+    one is; on a cluster executors could not share it.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='sitewise-')}")
     return df.checkpoint()

@@ -42,8 +42,11 @@ def read_site_coordinates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """path, ord (place of the record in the partition's reading order), id, description, seq."""
-    raw = spark.read.option("lineSep", ">").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value").withColumn("ord", F.monotonically_increasing_id())
+    """path, ord (place of the record in the partition's reading order), id, description, seq.
+
+    A record begins at a line that begins with >; the sign may stand in a header too.
+    """
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "^>", "").alias("value")).withColumn("ord", F.monotonically_increasing_id())
     lines = F.split("value", "\r?\n")
     head = F.try_element_at(lines, F.lit(1))
     seq = F.array_join(F.transform(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda x: F.trim(x)), "")
