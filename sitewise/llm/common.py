@@ -22,29 +22,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees, from ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, a temporary folder
-    takes its place.
+    Only where that is unset and the master is local, as in tests, a temporary
+    folder takes its place; on a cluster executors could not share it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='sitewise-')}"
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, by: str | None = None, buckets: int = 0) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs later steps only their own
-    tasks. The files go when the driver ends.
+    tasks. The files go when the driver ends. With ``by`` the table has
+    ``buckets`` of that column, so that joins on it don't shuffle it again; its
+    rows are to be partitioned likewise, or each task writes a file a bucket.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    name = f"table_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    # Texts and hashes hardly repeat, so dictionaries would be built in vain.
+    if by is None:
+        df.write.option("parquet.enable.dictionary", "false").parquet(path)
+        written.append((spark, path))
+        return spark.read.schema(df.schema).parquet(path)
+    df.write.bucketBy(buckets, by).option("parquet.enable.dictionary", "false").option("path", path).format("parquet").saveAsTable(name)
     written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.table(name)
+
+
+def bucket_count(rows: int) -> int:
+    """Buckets of a table of so many rows: about 100,000 rows each, 65,536 at most."""
+    return min(max(8, rows // 100_000), 1 << 16)
 
 
 def numbered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -74,6 +89,9 @@ def discard(df: DataFrame) -> None:
 
 def _remove(spark: SparkSession, path: str) -> None:
     try:
+        name = path.rsplit("/", 1)[1]
+        if spark.catalog.tableExists(name):
+            spark.sql(f"DROP TABLE {name}")
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

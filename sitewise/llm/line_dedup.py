@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, materialize, numbered, row_order
+from .common import WORD, bucket_count, discard, materialize, numbered, row_order
 from .components import connected_components
+from .simhash import MOST_BITS, close_links
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -36,9 +37,9 @@ LINES_AT_ONCE = 1 << (64 - TOKEN_BITS)
 #: Prefix rows travel in blobs of one range of tokens. A task sorts so many rows
 #: into blobs at once, a blob holds so many at most, and there are as many ranges
 #: as keep the expected rows of one near the third figure.
-ROWS_AT_ONCE = 1_000_000
+ROWS_AT_ONCE = 250_000
 BLOB_ROWS = 2_000
-RANGE_ROWS = 400_000
+RANGE_ROWS = 200_000
 #: A range that has come to hold so many times its expected rows hands on, as they
 #: are, the tokens that fill it: whatever is shared that often needs no filter.
 RANGE_SLACK = 4
@@ -58,7 +59,9 @@ PARITY = ["p0", "p1", "p2", "p3"]
 _RANKED = np.uint64(1) << np.uint64(TOKEN_BITS - 1)
 _odd = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1) for k in range(SHINGLE_WORDS)]
 _BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2^64
-_CHECK = 0xC2B2AE3D27D4EB4F
+_CHECK = 0xC2B2AE3D27D4EB4E  # even, so that what it flips stays odd
+_SPREAD = 0x9E3779B97F4A7C15
+_TOKEN_MASK = np.uint64((1 << TOKEN_BITS) - 1)
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 
@@ -109,7 +112,7 @@ class Lines:
         self.first = first
         self.key = _mix(key + self.words.astype(np.uint64)).view(np.int64)
         if checked:
-            more = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix((self.hashes + np.uint64(_CHECK)) ^ (odd << np.uint64(1))), dtype=np.uint64)])
+            more = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * (odd ^ np.uint64(_CHECK)), dtype=np.uint64)])
             self.check = _mix(more[first + self.words] - more[first]).view(np.int64)
 
     def looped(self) -> np.ndarray:
@@ -257,20 +260,45 @@ def _prefixes(tok: Tokenizer, texts: list, percent: int):
             yield token[use], lines.key[pick][line], n[line], pos[use]
 
 
+def _packed(cols: list[np.ndarray]) -> bytes:
+    """A blob of rows: steps of place and the keys, lengths and positions, byte by
+    byte of all rows, so that the bytes that are mostly zero lie together."""
+    place, key, n, pos = cols
+    order = np.argsort(place, kind="stable")
+    step = np.diff(place[order], prepend=np.uint64(0))
+    parts = (step.astype("<u8"), key[order].astype("<i8"), n[order].astype("<u4"), pos[order].astype("<u4"))
+    return b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in parts)
+
+
+def _unpacked(blob: bytes) -> list[np.ndarray]:
+    k, at, out = len(blob) // 24, 0, []
+    for kind, width in (("<u8", 8), ("<i8", 8), ("<u4", 4), ("<u4", 4)):
+        planes = np.frombuffer(blob, np.uint8, k * width, at).reshape(width, k)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += k * width
+    return [np.cumsum(out[0], dtype=np.uint64), out[1], out[2].astype(np.int64), out[3].astype(np.int64)]
+
+
+def _joined(parts: list) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*parts)]
+
+
 def _prefix_blobs(docs: DataFrame, text_col: str, ranked, percent: int, ranges: int) -> DataFrame:
-    """Prefix rows as blobs of one range (r) of tokens: token, key, n, pos in turn."""
+    """Prefix rows as blobs of one range (r) of tokens, a token as its place in
+    an order that mixes frequent tokens among the others."""
 
     def flush(held):
-        token, key, n, pos = (np.concatenate(x) for x in zip(*held))
-        r = ((token * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(ranges)
+        token, *rest = _joined(held)
+        place = (token * np.uint64(_SPREAD)) & _TOKEN_MASK
+        r = ((place >> np.uint64(20)) * np.uint64(ranges)) >> np.uint64(TOKEN_BITS - 20)
         order = np.argsort(r.astype(np.uint32), kind="stable")
-        r, cols = r[order], [token[order], key[order], n[order].astype("<u4"), pos[order].astype("<u4")]
+        r, cols = r[order], [c[order] for c in (place, *rest)]
         starts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
         which, blobs = [], []
         for lo, end in zip(starts.tolist(), [*starts[1:].tolist(), len(r)]):
             for a in range(lo, end, BLOB_ROWS):
                 which.append(int(r[a]))
-                blobs.append(b"".join(c[a : min(a + BLOB_ROWS, end)].tobytes() for c in cols))
+                blobs.append(_packed([c[a : min(a + BLOB_ROWS, end)] for c in cols]))
         return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(blobs, pa.binary())], ["r", "blob"])
 
     def run(batches):
@@ -288,16 +316,6 @@ def _prefix_blobs(docs: DataFrame, text_col: str, ranked, percent: int, ranges:
     return docs.select(text_col).mapInArrow(run, "r int, blob binary")
 
 
-def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
-    sizes = [len(x) // 24 for x in blobs]
-    cut = lambda kind, at: np.concatenate([np.frombuffer(x, kind, k, at * k) for x, k in zip(blobs, sizes)])
-    return [cut("<u8", 0), cut("<i8", 8), cut("<u4", 16).astype(np.int64), cut("<u4", 20).astype(np.int64)]
-
-
-def _packed(cols: list[np.ndarray], use) -> bytes:
-    return b"".join(c[use].astype(kind).tobytes() for c, kind in zip(cols, ("<u8", "<i8", "<u4", "<u4")))
-
-
 def _fits(n1, p1, n2, p2, percent):
     """Length and positional filter of two rows of one token."""
     need = -(-percent * (n1 + n2) // (100 + percent))
@@ -348,9 +366,12 @@ def _shared_rows(percent: int, most: int):
     One range is held at a time. If it comes to more than ``most`` rows, the
     tokens with the most rows go on unjudged, and so do their later rows.
     """
+    back = np.uint64(pow(_SPREAD, -1, 1 << TOKEN_BITS))
 
     def rows(found):
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], ["token", "key", "n", "pos"])
+        place, *rest = found
+        token = (place * back) & _TOKEN_MASK
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (token, *rest)], ["token", "key", "n", "pos"])
 
     def run(batches):
         now, held, size, heavy, limit = None, [], 0, np.zeros(0, np.uint64), most
@@ -358,31 +379,30 @@ def _shared_rows(percent: int, most: int):
             for r, blob in zip(b.column(0).to_pylist(), b.column(1)):
                 if r != now:
                     if held:
-                        yield rows(_settled(*_unpacked(held), percent))
+                        yield rows(_settled(*_joined(held), percent))
                     now, held, size, heavy, limit = r, [], 0, np.zeros(0, np.uint64), most
-                blob = blob.as_py()
+                cols = _unpacked(blob.as_py())
                 if len(heavy):
-                    cols = _unpacked([blob])
                     out = np.isin(cols[0], heavy)
                     yield rows([c[out] for c in cols])
-                    blob = _packed(cols, ~out)
-                held.append(blob)
-                size += len(blob) // 24
+                    cols = [c[~out] for c in cols]
+                held.append(cols)
+                size += len(cols[0])
                 if size > limit:
-                    cols = _unpacked(held)
-                    token, count = _runs(cols[0])
+                    cols = _joined(held)
+                    place, count = _runs(cols[0])
                     by = np.argsort(-count, kind="stable")
-                    top = token[by[: int(np.searchsorted(np.cumsum(count[by]), size // 2)) + 1]]
+                    top = place[by[: int(np.searchsorted(np.cumsum(count[by]), size // 2)) + 1]]
                     if len(top) * 64 < size:  # few tokens fill the range
                         heavy = np.concatenate([heavy, top])
                         out = np.isin(cols[0], top)
                         yield rows([c[out] for c in cols])
-                        held = [_packed(cols, ~out)]
+                        held = [[c[~out] for c in cols]]
                         size = int((~out).sum())
                     else:  # many tokens: the range is larger than was expected
-                        limit = 2 * size
+                        held, limit = [cols], 2 * size
         if held:
-            yield rows(_settled(*_unpacked(held), percent))
+            yield rows(_settled(*_joined(held), percent))
 
     return run
 
@@ -430,10 +450,10 @@ def _sketches(line: np.ndarray, token: np.ndarray, lines: int) -> np.ndarray:
 def _set_rows(docs: DataFrame, text_col: str, ranked, maybe, sketch: bool = False) -> DataFrame:
     """key, toks (its token set) and four words of parity bits of lines that the
     filter lets through. A token flips one of the 256 bits, so sets that share o
-    of their n + m tokens differ in n + m - 2 o bits at most. ``sketch`` adds n and
-    a sketch of more such bits.
+    of their n + m tokens differ in n + m - 2 o bits at most. With ``sketch`` n and
+    a sketch of more such bits stand for the tokens.
     """
-    added = ["n", "sketch"] if sketch else []
+    kinds = {"n": "int", "sketch": "array<long>"} if sketch else {"toks": "array<long>"}
 
     def run(batches):
         tok = Tokenizer(ranked.value)
@@ -452,17 +472,32 @@ def _set_rows(docs: DataFrame, text_col: str, ranked, maybe, sketch: bool = Fals
                     place = (token * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(56)
                     flips = np.uint64(1) << (place & np.uint64(63))
                     parity = [np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == w, flips, np.uint64(0)), offsets[:-1]).view(np.int64) for w in range(4)]
-                    more = [pa.array(np.diff(offsets).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(len(pick) + 1) * SKETCH_WORDS, pa.int32()), pa.array(_sketches(line, token, len(pick))))] if sketch else []
-                    yield pa.RecordBatch.from_arrays([pa.array(lines.key[pick]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(token.astype(np.int64))), *map(pa.array, parity), *more], ["key", "toks", *PARITY, *added])
+                    if sketch:
+                        cuts, flat = np.arange(len(pick) + 1) * SKETCH_WORDS, _sketches(line, token, len(pick))
+                        own = [pa.array(np.diff(offsets).astype(np.int32)), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat))]
+                    else:
+                        own = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(token.astype(np.int64)))]
+                    yield pa.RecordBatch.from_arrays([pa.array(lines.key[pick]), *map(pa.array, parity), *own], ["key", *PARITY, *kinds])
+
+    return docs.select(text_col).mapInArrow(run, ", ".join(f"{c} {t}" for c, t in ({"key": "long"} | dict.fromkeys(PARITY, "long") | kinds).items()))
+
 
-    return docs.select(text_col).mapInArrow(run, "key long, toks array<long>, " + ", ".join(f"{c} long" for c in PARITY) + (", n int, sketch array<long>" if sketch else ""))
+def _sets_of(docs: DataFrame, text_col: str, ranked, keys: DataFrame, sketch: bool = False) -> DataFrame:
+    """The token sets (or sketches) of the lines whose key is in ``keys``, written once."""
+    count = keys.count()
+    bits = min(max(1 << (16 * count).bit_length(), LEAST_FILTER_BITS), MOST_FILTER_BITS)
+    maybe = docs.sparkSession.sparkContext.broadcast(_key_filter(keys, bits))
+    buckets = bucket_count(count)
+    made = _set_rows(docs, text_col, ranked, maybe, sketch).repartition(buckets, "key").dropDuplicates(["key"])
+    wanted = keys.repartition(buckets, "key").distinct()
+    return materialize(made.join(wanted.hint("merge"), "key", "left_semi"), "key", buckets)
 
 
 def _fitting(a: DataFrame, b: DataFrame, percent: int, apart: bool = False) -> DataFrame:
     """Pairs late, early of lines with a common token that pass every filter,
     with the number of parity bits in which they differ; if ``apart``, of lines
     with different roots alone."""
-    joined = a.alias("a").join(b.alias("b"), "token")
+    joined = a.alias("a").join(b.alias("b").hint("merge"), "token")
     n1, n2 = F.col("a.n"), F.col("b.n")
     need = F.ceil(F.lit(percent) * (n1 + n2) / F.lit(100 + percent))
     differ = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in PARITY[1:]), F.bit_count(F.col("a.p0").bitwiseXOR(F.col("b.p0"))))
@@ -479,8 +514,8 @@ def _likeliest(pairs: DataFrame) -> DataFrame:
 
 def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that their sketches don't rule out; differ is that of the sketches."""
-    one = pairs.select("late", "early").join(sets.select(F.col("key").alias("early"), F.col("n").alias("n1"), F.col("sketch").alias("x")), "early")
-    two = one.join(sets.select(F.col("key").alias("late"), F.col("n").alias("n2"), F.col("sketch").alias("y")), "late")
+    one = pairs.select("late", "early").join(sets.select(F.col("key").alias("early"), F.col("n").alias("n1"), F.col("sketch").alias("x")).hint("merge"), "early")
+    two = one.join(sets.select(F.col("key").alias("late"), F.col("n").alias("n2"), F.col("sketch").alias("y")).hint("merge"), "late")
     bits = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda a, b: a + b)
     both = F.col("n1") + F.col("n2")
     return two.select("late", "early", bits.alias("differ"), both.alias("both")).where(F.col("both") - F.col("differ") >= 2 * F.ceil(F.lit(percent) * F.col("both") / F.lit(100 + percent))).drop("both")
@@ -488,8 +523,8 @@ def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs late, early whose Jaccard similarity suffices."""
-    one = pairs.join(sets.select(F.col("key").alias("early"), F.col("toks").alias("x")), "early")
-    two = one.join(sets.select(F.col("key").alias("late"), F.col("toks").alias("y")), "late")
+    one = pairs.join(sets.select(F.col("key").alias("early"), F.col("toks").alias("x")).hint("merge"), "early")
+    two = one.join(sets.select(F.col("key").alias("late"), F.col("toks").alias("y")).hint("merge"), "late")
     both = F.size(F.array_intersect("x", "y"))
     return two.where(both * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("late", "early")
 
@@ -500,18 +535,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, text_col: str, first: DataFrame, ranked, expected: int, percent: int, sketch: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Prefix rows of lines that may have a partner, and the token sets of those lines."""
-    spark = docs.sparkSession
+    """Prefix rows of lines that may have a partner, and the token sets (or
+    sketches) of those lines."""
     ranges = min(max(64, expected // RANGE_ROWS), 1 << 20)
     most = RANGE_SLACK * max(RANGE_ROWS, expected // ranges)
     blobs = _prefix_blobs(docs, text_col, ranked, percent, ranges).repartition("r").sortWithinPartitions("r")
     found = materialize(blobs.mapInArrow(_shared_rows(percent, most), "token long, key long, n long, pos long").select("token", "key", F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos")))
-    bits = min(max(1 << (16 * found.count()).bit_length(), LEAST_FILTER_BITS), MOST_FILTER_BITS)
-    maybe = spark.sparkContext.broadcast(_key_filter(found.select("key"), bits))
-    keys = found.select("key").distinct()
-    sets = materialize(_set_rows(docs, text_col, ranked, maybe, sketch).dropDuplicates(["key"]).join(keys, "key", "left_semi"))
-    about = sets.select("key", *PARITY).join(first, "key")
-    rows = materialize(found.join(about, "key"))
+    sets = _sets_of(docs, text_col, ranked, found.select("key"), sketch)
+    about = sets.select("key", *PARITY).join(first.hint("merge"), "key")
+    buckets = bucket_count(found.count())
+    rows = materialize(found.hint("merge").join(about, "key").repartition(buckets, "token"), "token", buckets)
     discard(found)
     return rows, sets
 
@@ -542,16 +575,28 @@ def _near_links(docs: DataFrame, text_col: str, first: DataFrame, ranked, expect
     """Links a, b between the keys of different, similar lines, whose components
     are those of all such pairs. Every link is such a pair.
     """
-    rows, sets = _candidates(docs, text_col, first, ranked, expected, percent, sketch=True)
+    rows, sketches = _candidates(docs, text_col, first, ranked, expected, percent, sketch=True)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Tokens are read again for the few texts that sketches leave in pairs."""
+        pairs = materialize(pairs.select("late", "early"))
+        sets = _sets_of(docs, text_col, ranked, pairs.select(F.explode(F.array("late", "early")).alias("key")))
+        out = materialize(_similar(pairs, sets, percent))
+        discard(pairs)
+        discard(sets)
+        return out
+
     # Most groups are one component by their tokens' earliest lines already. Of
     # two rows of a token with different roots one is apart from the earliest.
-    near = materialize(_similar(_likeliest(_alike(_fitting(rows, _hubs(rows), percent), sets, percent)), sets, percent))
+    near = verified(_likeliest(_alike(_fitting(rows, _hubs(rows), percent), sketches, percent)))
     roots = connected_components(near.select(F.col("late").alias("a"), F.col("early").alias("b")))
-    placed = materialize(rows.join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
-    apart = materialize(placed.join(_hubs(placed, "root").select("token", F.col("root").alias("hub")), "token").where(F.col("root") != F.col("hub")).drop("hub"))
+    rooted = rows.join(roots.withColumnRenamed("v", "key").hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    buckets = bucket_count(rows.count())
+    placed = materialize(rooted.repartition(buckets, "token"), "token", buckets)
+    apart = materialize(placed.join(_hubs(placed, "root").select("token", F.col("root").alias("hub")).hint("merge"), "token").where(F.col("root") != F.col("hub")).drop("hub"))
     pairs = _fitting(apart, placed, percent, apart=True).unionByName(_fitting(placed, apart, percent, apart=True)).distinct()
-    links = materialize(near.unionByName(_similar(_alike(pairs, sets, percent), sets, percent)).select(F.col("late").alias("a"), F.col("early").alias("b")))
-    for done in (rows, sets, near, placed, apart):
+    links = near.unionByName(verified(_alike(pairs, sketches, percent))).select(F.col("late").alias("a"), F.col("early").alias("b"))
+    for done in (rows, sketches, placed, apart):
         discard(done)
     return links
 
@@ -581,7 +626,7 @@ def _repeated(rows: DataFrame, percent: int) -> DataFrame:
     """Per row of ``rows`` (_rid, _id, _text) with lines to remove: _rid, _id, lines."""
     all_rows, lines, first, ranked, expected = _keyed(rows, percent)
     near = _near_keys(rows, "_text", first.select("key", "ord"), ranked, expected, percent)
-    fate = first.join(near.withColumn("near", F.lit(True)), "key", "left")
+    fate = first.join(near.withColumn("near", F.lit(True)).hint("merge"), "key", "left")
     total = first.agg(F.sum("n")).first()[0] or 0
     gone = _fates(lines, fate.where(F.col("near") | (F.col("n") > 1)), total).where((row_order("line") > F.col("ord")) | F.coalesce("near", F.lit(False)))
     found = materialize(gone.groupBy("_rid").agg(F.first("_id").alias("_id"), F.collect_set("line").alias("lines")))
@@ -590,17 +635,31 @@ def _repeated(rows: DataFrame, percent: int) -> DataFrame:
     return found
 
 
-def near_copies(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+def _print_links(lines: DataFrame, prints: DataFrame, most: int) -> DataFrame:
+    """Links a, b between keys of texts whose fingerprints differ in few bits."""
+    of = materialize(lines.select("_rid", "key").join(prints, "_rid").select("key", "fingerprint").distinct())
+    least = materialize(of.groupBy("fingerprint").agg(F.min("key").alias("k")))
+    same = of.join(least, "fingerprint").select(F.col("key").alias("a"), F.col("k").alias("b")).where("a != b")
+    end = lambda c: least.select(F.col("fingerprint").alias(c), F.col("k").alias("key_" + c))
+    near = close_links(least.select("fingerprint"), most=most).join(end("a"), "a").join(end("b"), "b")
+    return same.unionByName(near.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
+
+
+def near_copies(rows: DataFrame, percent: int = PERCENT, prints: DataFrame | None = None, most: int = MOST_BITS) -> DataFrame:
     """_rid of the rows of ``rows`` (_rid, _id, _text) that aren't the first of
     their component, in the order of ids and then of row numbers.
 
     Texts whose shingle sets have a Jaccard similarity of at least the threshold
     are linked, as are texts without a word; a text is one line here, wherever
-    it is broken. No similar pair is missed.
+    it is broken. No similar pair is missed. With ``prints`` (_rid, fingerprint)
+    texts whose fingerprints differ in ``most`` bits at most are linked too.
     """
     flat = rows.withColumn("_text", F.replace("_text", F.lit("\n"), F.lit(" ")))
     all_rows, lines, first, ranked, expected = _keyed(flat, percent)
-    roots = connected_components(_near_links(flat, "_text", first.select("key", "ord"), ranked, expected, percent))
+    links = _near_links(flat, "_text", first.select("key", "ord"), ranked, expected, percent)
+    if prints is not None:
+        links = links.unionByName(_print_links(lines, prints, most))
+    roots = connected_components(links)
     rooted = first.join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rooted.groupBy("root").agg(F.min("ord").alias("least"))
     fate = rooted.join(least, "root").select("key", "check", "n", "least")
@@ -650,7 +709,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     data = numbered(docs, id_col)
     gone = _masks(_repeated(data.select("_rid", "_id", F.col("_row").getField(text_col).alias("_text")), percent))
-    joined = data.select("_row", "_rid").join(gone, "_rid", "left").select("_row", "n", "gone")
+    joined = data.select("_row", "_rid").join(gone.hint("merge"), "_rid", "left").select("_row", "n", "gone")
     text = F.col("_row").getField(text_col)
     kept = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.coalesce(F.get("gone", i), F.lit(False)))
     cut = F.when(F.col("n") > 0, F.array_join(kept, "\n")).otherwise(text)
