@@ -16,11 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import batches_of
+
 SPACE = "▁"
 #: How much worse than the worst piece an uncovered character scores.
 UNKNOWN_PENALTY = 10.0
 CACHE_ENTRIES = 200_000
 CACHED_CHARS = 64
+#: Characters of texts whose new words are learned at once, and words that go
+#: through one Viterbi side by side.
+CHARS_AT_ONCE = 2_000_000
+WORDS_AT_ONCE = 8192
+ROWS_AT_ONCE = 1024
 
 
 class DoubleArrayTrie:
@@ -113,26 +120,6 @@ class UnigramModel:
         self.decoded = [b"" if k == kind.CONTROL else " ⁇ ".encode() if k in control else byte_of.get(i, p.encode()) for i, (p, k) in enumerate(zip(self.pieces, self.kinds))]
 
 
-class _Words(dict):
-    """Word to its ids, bounded: when full, it becomes the older generation."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self._encode, self._old = encode, {}
-
-    def __missing__(self, word: str) -> bytes:
-        found = self._old.get(word)
-        if found is None:
-            found = np.array(self._encode(word), "<u4").tobytes()
-            if len(word) > CACHED_CHARS:
-                return found
-        if len(self) >= CACHE_ENTRIES:
-            self._old = dict(self)
-            self.clear()
-        self[word] = found
-        return found
-
-
 class UnigramCodec:
     """Encoding and decoding on a worker, with a bounded cache."""
 
@@ -141,7 +128,11 @@ class UnigramCodec:
         t = model.trie
         self._base, self._check, self._value = t.base.tolist(), t.check.tolist(), t.value.tolist()
         self._words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall if model.by_word else lambda text: [text] if text else []
-        self._cache = _Words(self.viterbi)
+        self._known: dict[str, bytes] = {}
+        self._scores = np.array(model.scores)
+        self._byte_ids = np.array([model.bytes_at[b] for b in range(256)] if model.bytes_at else [model.unknown])
+        #: Bytes of the character that a byte begins.
+        self._width = np.repeat([1, 2, 3, 4], [0xC0, 0x20, 0x10, 0x10])
 
     def normalized(self, text: str) -> str:
         m = self.model
@@ -194,9 +185,92 @@ class UnigramCodec:
             at = start
         return out[::-1]
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit.
+
+        Every different word is encoded once, CHARS_AT_ONCE characters of texts
+        at a time, and remembered as long as the worker's memory of words lasts.
+        """
+        out = []
+        for lo, hi in batches_of([len(t) for t in texts], CHARS_AT_ONCE):
+            parts = [self._words(self.normalized(t)) for t in texts[lo:hi]]
+            words = set().union(*parts)
+            new = sorted(words.difference(self._known), key=len)
+            short = [w for w in new if len(w) <= CACHED_CHARS]
+            for at in range(0, len(short), WORDS_AT_ONCE):
+                some = short[at : at + WORDS_AT_ONCE]
+                self._known.update(zip(some, self._side_by_side(some)))
+            for word in new[len(short) :]:
+                self._known[word] = np.array(self.viterbi(word), "<u4").tobytes()
+            ids = self._known.__getitem__
+            out += [b"".join(map(ids, p)) for p in parts]
+            for word in new[len(short) :]:
+                del self._known[word]
+            if len(self._known) > CACHE_ENTRIES:
+                self._known = {w: self._known[w] for w in words if w in self._known}
+        return out
+
+    def _side_by_side(self, words: list[str]) -> list[bytes]:
+        """``viterbi`` of many words at once, as bytes."""
+        t, m, scores = self.model.trie, self.model, self._scores
+        raw = [w.encode() for w in words]
+        size = np.array([len(x) for x in raw])
+        n, most = len(raw), int(size.max(initial=0))
+        text = np.zeros((n, most), np.int64)
+        text[np.arange(most) < size[:, None]] = np.frombuffer(b"".join(raw), np.uint8)
+        best = np.full((n, most + 1), -np.inf)
+        best[:, 0] = 0.0
+        back, by = np.zeros((n, most + 1), np.int32), np.full((n, most + 1), -1, np.int32)
+        for start in range(most):
+            on = np.flatnonzero((size > start) & (best[:, start] > -np.inf))
+            here, ends = best[on, start], start + self._width[text[on, start]]
+            single = np.zeros(n, bool)
+            row, node, score0 = on, np.zeros(len(on), np.int64), here
+            for end in range(start, most):
+                to = t.base[node] + text[row, end] + 1
+                to = np.where(to < len(t.check), to, 0)
+                go = (t.check[to] == node) & (to != 0) & (size[row] > end)
+                row, node, score0 = row[go], to[go], score0[go]
+                if not len(row):
+                    break
+                piece = t.value[node]
+                hit = np.flatnonzero(piece >= 0)
+                if len(hit):
+                    at, r, p = end + 1, row[hit], piece[hit]
+                    score = score0[hit] + scores[p]
+                    more = score > best[r, at]
+                    r = r[more]
+                    best[r, at], back[r, at], by[r, at] = score[more], start, p[more]
+                    single[row[hit]] |= end + 1 - start == self._width[text[row[hit], start]]
+            bare = ~single[on]
+            r, at = on[bare], ends[bare]
+            score = here[bare] + m.unknown_score
+            more = score > best[r, at]
+            r, at = r[more], at[more]
+            best[r, at], back[r, at], by[r, at] = score[more], start, -1
+        found, at, row = [], size.copy(), np.arange(n)
+        while len(row):
+            end = at[row]
+            at[row] = back[row, end]
+            found.append((row, by[row, end], at[row], end))
+            row = row[at[row] > 0]
+        rows, ids, begin, end = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(rows, kind="stable")[::-1]  # last word first, each from its first piece on
+        rows, ids, begin, end = rows[order], ids[order], begin[order], end[order]
+        bare = np.flatnonzero(ids < 0)
+        count = np.ones(len(ids), np.int64)
+        if m.bytes_at:
+            count[bare] = (end - begin)[bare]  # an uncovered character is its bytes
+        ids, first = np.repeat(ids, count), np.cumsum(count) - count
+        for i in bare.tolist():
+            c = count[i]
+            ids[first[i] : first[i] + c] = self._byte_ids[text[rows[i], begin[i] : end[i]] if m.bytes_at else [0]]
+        flat, cuts = ids.astype("<u4").tobytes(), np.cumsum(np.bincount(rows, count, minlength=n).astype(np.int64)[::-1])
+        return [flat[4 * a : 4 * z] for a, z in zip([0, *cuts[:-1].tolist()], cuts.tolist())][::-1]
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit."""
-        return b"".join(map(self._cache.__getitem__, self._words(self.normalized(text))))
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """Text of ids; bytes that are not UTF-8 become U+FFFD."""
@@ -209,9 +283,13 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     """One row per row of ``docs``: the id, and ids as array<int>.
 
     A null or empty text gives an empty array. Null and repeated ids keep their
-    rows; an empty table gives no rows; other columns play no part.
+    rows; an empty table gives no rows; other columns play no part. A text of any
+    length is encoded whole: word by word, or at one go where it is one word.
     """
-    return _apply(docs, model_path, id_col, text_col, "string", "ids array<int>", lambda codec, text: (np.frombuffer(codec.encode(text or ""), "<u4").astype(np.int32).tolist(),), [pa.list_(pa.int32())])
+    def many(codec, texts):
+        return [(np.frombuffer(x, "<u4").astype(np.int32).tolist(),) for x in codec.encode_all([t or "" for t in texts])]
+
+    return _apply(docs, model_path, id_col, text_col, "string", "ids array<int>", many, [pa.list_(pa.int32())])
 
 
 def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -225,7 +303,10 @@ def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", i
         clean = [i if i is not None and 0 <= i < n else codec.model.unknown for i in ids] if ids is not None else []
         return (codec.decode(np.array(clean, "<u4").tobytes()),)
 
-    return _apply(encoded, model_path, id_col, ids_col, "array<int>", "text string", one, [pa.string()])
+    def many(codec, values):
+        return [one(codec, ids) for ids in values]
+
+    return _apply(encoded, model_path, id_col, ids_col, "array<int>", "text string", many, [pa.string()])
 
 
 def encoding_digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,17 +315,18 @@ def encoding_digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
     round_trip is true if decoding gives the text back, the marker character
     read as the blank it stands for. Null texts count as empty.
     """
-    def one(codec, text):
-        text = text or ""
-        ids = codec.encode(text)
-        arr = np.frombuffer(ids, "<u4")
-        as_bytes = codec.__dict__.setdefault("byte_ids", np.isin(np.arange(len(codec.model.pieces)), list(codec.model.bytes_at.values())))
-        return len(arr), int(as_bytes[arr].sum()), zlib.crc32(ids), codec.decode(ids) == text.replace(SPACE, " ")
+    def many(codec, texts):
+        as_bytes = codec.__dict__.setdefault("byte_pieces", np.isin(np.arange(len(codec.model.pieces)), list(codec.model.bytes_at.values())))
+        texts, rows = [t or "" for t in texts], []
+        for text, ids in zip(texts, codec.encode_all(texts)):
+            arr = np.frombuffer(ids, "<u4")
+            rows.append((len(arr), int(as_bytes[arr].sum()), zlib.crc32(ids), codec.decode(ids) == text.replace(SPACE, " ")))
+        return rows
 
-    return _apply(docs, model_path, id_col, text_col, "string", "n_pieces long, n_byte_pieces long, ids_crc32 long, round_trip boolean", one, [pa.int64(), pa.int64(), pa.int64(), pa.bool_()])
+    return _apply(docs, model_path, id_col, text_col, "string", "n_pieces long, n_byte_pieces long, ids_crc32 long, round_trip boolean", many, [pa.int64(), pa.int64(), pa.int64(), pa.bool_()])
 
 
-def _apply(df, model_path, id_col, col, col_type, schema, one, types):
+def _apply(df, model_path, id_col, col, col_type, schema, many, types):
     model = df.sparkSession.sparkContext.broadcast(UnigramModel(model_path))  # the vocabulary's size
     names = [x.split()[0] for x in schema.split(", ")]
     id_type = df.schema[id_col].dataType.simpleString()
@@ -252,7 +334,9 @@ def _apply(df, model_path, id_col, col, col_type, schema, one, types):
     def run(batches):
         codec = UnigramCodec(model.value)
         for b in batches:
-            rows = [one(codec, x) for x in b.column(1).to_pylist()]
+            rows = []
+            for lo in range(0, len(b), ROWS_AT_ONCE):
+                rows += many(codec, b.column(1).slice(lo, ROWS_AT_ONCE).to_pylist())
             cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["_id", *names])
 
