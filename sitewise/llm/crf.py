@@ -9,6 +9,7 @@ blocks side by side.
 
 from __future__ import annotations
 
+import re
 from array import array
 from zlib import crc32
 
@@ -20,14 +21,50 @@ FEATURE_BITS = 18
 CACHE_WORDS = 200_000
 
 
+#: Scripts written without blanks: there a word is two letters.
+_ASTRAL = "\U00020000"
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+#: Characters that count as numbers without being digits, such as fractions.
+NUMERALS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+
+
+class Words:
+    """The lower-cased words of a text and their places in it: runs of ``one``,
+    the pattern of a character, that hold none of the characters ``without``."""
+
+    def __init__(self, one: str, without: str = ""):
+        self._plain = re.compile(f"{one}+")
+        # One bitmap, as long as no character lies beyond the basic plane.
+        self._odd = re.compile(f"[{_UNSPACED.split(_ASTRAL)[0]}{''.join(c for c in without if c <= '\uffff')}]")
+        own = f"(?:(?![{without}]){one})" if without else one
+        self._short = re.compile(f"(?:(?=[{_UNSPACED}]){own}){{1,2}}|(?:(?![{_UNSPACED}]){own})+")
+
+    def _pattern(self, text: str) -> re.Pattern:
+        if text.isascii() or not (self._odd.search(text) or len(text.encode("utf-16-le")) > 2 * len(text)):
+            return self._plain
+        return self._short
+
+    def words(self, text: str) -> list[str]:
+        low = text.lower()
+        if len(low) == len(text):
+            return self._pattern(low).findall(low)
+        return [w.lower() for w in self._pattern(text).findall(text)]  # some letter is longer in lower case
+
+    def places(self, text: str) -> list[tuple[int, int]]:
+        """Start and end of each of ``words``, in code points of the text."""
+        low = text.lower()
+        own = low if len(low) == len(text) else text
+        return [m.span() for m in self._pattern(own).finditer(own)]
+
+
 def affix_features(word: str) -> list[int]:
-    """Hashed features: the word, prefixes of 3 to 9 bytes, suffixes of 2 to 5, and inner trigrams."""
+    """Hashed features: the word, prefixes of 3 to 9 bytes, suffixes of 2 to 5, and all inner trigrams."""
     b, mask = word.encode(), (1 << FEATURE_BITS) - 1
     n = len(b)
     out = [crc32(b) & mask]
     out += [crc32(b[:k], 1) & mask for k in range(3, min(9, n) + 1)]
     out += [crc32(b[-k:], 2) & mask for k in range(2, min(5, n) + 1)]
-    out += [crc32(b[i : i + 3], 3) & mask for i in range(min(n - 2, 24))]
+    out += [crc32(b[i : i + 3], 3) & mask for i in range(n - 2)]
     return out
 
 

@@ -8,7 +8,6 @@ over the words of a text, give its main language.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -17,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, crc_fold
-from .crf import ChainModel, ChainScorer
+from .crf import NUMERALS, ChainModel, ChainScorer, Words
 
 #: The bounded sample the model is fitted on: texts of each language, by a hash
-#: of the id, and the longest text among them.
+#: of the id, texts in all, the longest text among them, and languages: the
+#: commonest, as a label takes a column of weights. Rarer ones are not learned.
 SAMPLE_PER_LANGUAGE = 300
-SAMPLE_LANGUAGES = 64
+SAMPLE_TEXTS = 12_000
+SAMPLE_LANGUAGES = 256
 SAMPLE_CHARS = 8000
 #: A word is in a language's lexicon if it stands in so many sampled texts and
 #: so large a share of them is in that language.
@@ -32,11 +33,9 @@ LEXICON_WORDS = 20_000
 WORDS_AT_ONCE = 300_000
 UNDETERMINED = "und"
 
-_word = re.compile(r"[^\W\d_]+")
-
-
-def words_of(text: str) -> list[str]:
-    return _word.findall(text.lower())
+#: Runs of letters alone: numerals such as fractions are no words.
+_words = Words(r"[^\W\d_]", NUMERALS)
+words_of = _words.words
 
 
 def _lexicons(texts: list[list[str]], tags: list[int], k: int) -> dict[str, list[int]]:
@@ -75,17 +74,17 @@ def fit_languages(docs: DataFrame, fold: int = 2, folds: int = 4, id_col: str =
     if not langs:
         return None
     # Half again as many as are asked for, by hash; the smallest hashes stay.
-    span = 1 << 30
+    span, each = 1 << 30, max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE_TEXTS // len(langs)))
     bound = F.lit(0)
     for lang, n in sorted(langs.items()):
-        bound = F.when(F.col("l") == lang, min(span, int(1.5 * SAMPLE_PER_LANGUAGE / n * span) + 1)).otherwise(bound)
+        bound = F.when(F.col("l") == lang, min(span, int(1.5 * each / n * span) + 1)).otherwise(bound)
     picked = rows.withColumn("h", F.pmod(F.xxhash64("i"), F.lit(span))).where(F.col("h") < bound)
-    found = picked.limit(4 * SAMPLE_PER_LANGUAGE * len(langs)).select("l", "h", "i", "t").collect()
+    found = picked.limit(4 * each * len(langs)).select("l", "h", "i", "t").collect()
     found.sort(key=lambda r: (r["l"], r["h"], str(r["i"]), r["t"]))
     kept, have = [], Counter()
     for r in found:
         have[r["l"]] += 1
-        if have[r["l"]] <= SAMPLE_PER_LANGUAGE:
+        if have[r["l"]] <= each:
             kept.append(r)
     return train_language_model([r["t"] for r in kept], [r["l"] for r in kept])
 
@@ -97,7 +96,8 @@ def label_languages(docs: DataFrame, model: ChainModel | None, id_col: str = "do
     smaller language code. Neighbouring words with one label make a span, in
     code points of the text. A null text, a text without a letter, and any text
     if nothing was learned give "und" with score 0 and no spans. Null and
-    repeated ids keep their rows; other columns play no part.
+    repeated ids keep their rows; an empty table gives no rows; other columns
+    play no part. Texts of any length are labelled whole.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
@@ -127,9 +127,6 @@ def label_languages(docs: DataFrame, model: ChainModel | None, id_col: str = "do
 
 
 def _spans(text: str, best: np.ndarray, labels: list[str]) -> list[dict]:
-    low = text.lower()
-    if len(low) != len(text):  # lower-casing moved the offsets
-        return []
-    at = [x.span() for x in _word.finditer(low)]
+    at = _words.places(text)
     cuts = np.flatnonzero(np.diff(best)) + 1
     return [{"start": at[a][0], "end": at[z - 1][1], "lang": labels[best[a]]} for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(best)])]
