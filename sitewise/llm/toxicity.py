@@ -10,7 +10,6 @@ least one half.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, crc_fold, hashed_sample
-from .crf import ChainModel, ChainScorer
+from .crf import ChainModel, ChainScorer, Words
 
 #: The bounded sample the model is fitted on: documents of each class, taken in
 #: the order of a hash of the id, and the longest text among them.
@@ -31,11 +30,8 @@ SAMPLE_CHARS = 5000
 CUE_CHANCE = 0.02
 WORDS_AT_ONCE = 400_000
 
-_word = re.compile(r"[^\W_]+")
-
-
-def words_of(text: str) -> list[str]:
-    return _word.findall(text.lower())
+_words = Words(r"[^\W_]")
+words_of = _words.words
 
 
 def _cues(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
@@ -108,13 +104,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 0, folds: int =
     """Fit on a bounded sample of labelled rows outside the held-out fold.
 
     An id labelled twice counts as toxic if one label says so; null labels,
-    null ids and ids without a document are left out.
+    null ids and ids without a document are left out. Of several documents of
+    one id the first in the order of texts is taken.
     """
     rows = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isin(0, 1)).where(crc_fold("i", folds) != fold)
     rows = rows.groupBy("i").agg(F.max("y").alias("y"))
     picked = [hashed_sample(rows.where(F.col("y") == y), "i", n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # at most the two sample sizes
-    found = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.length("t").between(1, SAMPLE_CHARS)).join(ids, "i").select("i", "y", "t").collect()
+    found = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.length("t").between(1, SAMPLE_CHARS)).join(ids, "i").groupBy("i", "y").agg(F.min("t").alias("t")).collect()
     found.sort(key=lambda r: (r["i"], r["t"]))
     return ToxicityModel([r["t"] for r in found if r["y"] == 1], [r["t"] for r in found if r["y"] == 0])
 
@@ -124,7 +121,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
     Offsets are code points of the text. Null and empty texts score as a text
     without toxic words and have no spans. Null and repeated ids keep their
-    rows; an empty table gives no rows; other columns play no part.
+    rows; an empty table gives no rows; other columns play no part. Texts of any
+    length are scored whole.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
@@ -143,8 +141,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
                     score[i] = model.score(m)
                     hit = np.flatnonzero(m[:, 1] >= 0.5)
                     spans[i] = []
-                    if len(hit) and len(texts[i].lower()) == len(texts[i]):
-                        at = [x.span() for x in _word.finditer(texts[i].lower())]
+                    if len(hit):
+                        at = _words.places(texts[i])
                         spans[i] = [{"start": at[j][0], "end": at[j][1], "probability": float(m[j, 1])} for j in hit.tolist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32()), pa.array(spans, pa.list_(span))], ["_id", "score", "predicted", "spans"])
 
