@@ -45,7 +45,8 @@ class ByteLevelEncoder:
 
     Where each merge's result has a larger id than the one before, the merge
     order is the id order and the rank-based encoder gives the same ids several
-    times faster; any other file goes through its own library.
+    times faster; any other file goes through its own library, as do texts that
+    the encoder refuses, such as a million blanks.
     """
 
     def __init__(self, path: str):
@@ -62,14 +63,25 @@ class ByteLevelEncoder:
             specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
             ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in specials}
             encoding = tiktoken.Encoding("byte-level", pat_str=_PRETOKEN, mergeable_ranks=ranks, special_tokens=specials)
-            self.encode = lambda text: encoding.encode_to_numpy(text, allowed_special="all").tobytes()
+            self._ranked = lambda text: encoding.encode_to_numpy(text, allowed_special="all").tobytes()
         else:
+            self._ranked = None
+        self._path, self._library = path, None
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit."""
+        if self._ranked:
+            try:
+                return self._ranked(text)
+            except ValueError:  # a run of blanks too long for its pattern's stack
+                pass
+        if self._library is None:
             from tokenizers import Tokenizer
 
-            tok = Tokenizer.from_file(path)
-            tok.no_truncation()
-            tok.no_padding()
-            self.encode = lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            self._library = Tokenizer.from_file(self._path)
+            self._library.no_truncation()
+            self._library.no_padding()
+        return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -199,7 +211,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     sequence_id, offset (gapless from 0 in each sequence) and, with
     ``keep_ids``, ids: little-endian unsigned 32-bit. A null or empty text is
     the end token alone. Rows with null or repeated ids are packed as rows of
-    their own. An empty table gives no rows. Other columns play no part.
+    their own. An empty table gives no rows. Other columns play no part. A text
+    of any length is encoded whole.
     """
     spark = docs.sparkSession
     pieces = materialize(tokenized_pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, keep_ids))
