@@ -82,18 +82,29 @@ class PretokenCounter:
         return sum(map(self.lengths.__getitem__, found)) + special
 
 
-def frequent_pretokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", entries: int = TABLE_ENTRIES, warm: int = WARM_DOCUMENTS) -> dict[str, int]:
-    """The first tier: at most ``entries`` pre-tokens of ``warm`` documents."""
+def frequent_pretokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", entries: int = TABLE_ENTRIES, warm: int = WARM_DOCUMENTS) -> dict[str, int]:
+    """The first tier: at most ``entries`` pre-tokens of about ``warm`` documents.
+
+    The documents are drawn by a hash of the id and tallied where they are read;
+    of a repeated id no task takes more than ``warm``.
+    """
+    total, span = docs.count(), 1 << 30
+    if not total:
+        return {}
+    drawn = docs.where(F.pmod(F.xxhash64(id_col), F.lit(span)) < min(span, 1 + int(span * warm / total)))
 
     def tally(batches):
-        counter, seen = PretokenCounter(tokenizer_path), Counter()
+        counter, seen, left = PretokenCounter(tokenizer_path), Counter(), warm
         for b in batches:
-            for text in b.column(0).to_pylist():
+            for text in b.column(0).slice(0, left).to_pylist():
                 seen.update(counter.pretokens(text or "")[0])
+            left -= min(left, len(b))
+            if len(seen) > 4 * entries:
+                seen = Counter(dict(seen.most_common(2 * entries)))
         top = seen.most_common(entries)
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["pretoken", "n"])
 
-    parts = docs.select(F.col(text_col).alias("text")).limit(warm).mapInArrow(tally, "pretoken string, n long")
+    parts = drawn.select(F.col(text_col).alias("text")).mapInArrow(tally, "pretoken string, n long")
     top = parts.groupBy("pretoken").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pretoken").limit(entries).collect()
     counter = PretokenCounter(tokenizer_path)
     words = [r["pretoken"] for r in top]
@@ -106,10 +117,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     Null texts count as empty (0, 0, false). Rows with a null or repeated id
     each keep their own row; other columns of ``docs`` play no part. An empty
-    table gives an empty result.
+    table gives an empty result. Texts of any length are counted whole.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    first = frequent_pretokens(docs, tokenizer_path, text_col)
+    first = frequent_pretokens(docs, tokenizer_path, id_col, text_col)
     # The compact form: one joined string and one byte per length.
     words = list(first)
     shipped = docs.sparkSession.sparkContext.broadcast(("\n".join(words), bytes(min(first[w], 255) for w in words)))
