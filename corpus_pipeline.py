@@ -16,6 +16,7 @@ from sitewise.llm.packing import pack_documents
 from sitewise.llm.quality import fit_quality, keep_good
 from sitewise.llm.queries import tokenizer_path
 from sitewise.llm.secrets import labelled_strings, markov_ratio, redact_secrets
+from sitewise.llm.simhash import simhash_fingerprints
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,15 +32,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: that of the smallest id.
 
-    Documents are linked if their sets of five-word shingles have a Jaccard
-    similarity of 0.8 or more, found by op8's exact join rather than by
-    fingerprints: at 0.8 those differ in ten bits of 64, too many for blocks.
-    Documents that line dedup left without a word are copies of each other. Each
-    row is a document of its own, whatever its id; rows without an id come last.
+    SimHash fingerprints of five-word shingles link documents that differ in
+    three bits at most. Documents whose shingle sets have a Jaccard similarity of
+    0.8 differ in ten bits of 64, too many for blocks of a fingerprint: op8's
+    exact join adds every link from that similarity on. Documents that line dedup
+    left without a word are copies of each other. Each row is a document of its
+    own, whatever its id; rows without an id come last.
     """
     rows = numbered(docs)
-    copies = near_copies(rows.select("_rid", "_id", F.col("_row.text").alias("_text")), percent=80)
-    return rows.join(copies, "_rid", "left_anti").select("_row.*")
+    texts = rows.select("_rid", "_id", F.col("_row.text").alias("_text"))
+    prints = simhash_fingerprints(texts, "_rid", "_text", words=5)
+    copies = near_copies(texts, percent=80, prints=prints, most=3)
+    return rows.join(copies.hint("merge"), "_rid", "left_anti").select("_row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
