@@ -362,3 +362,46 @@ def test_queries_are_registered_and_top_k_equals_sql(spark, duck, sf):
     assert {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES} == set(range(1, 11))
     got = sorted(tuple(r) for r in queries.QUERIES["op3_exact_top_k"](spark, sf).collect())
     assert got == sorted(duck.sql(queries.ORACLE_SQL["op3_exact_top_k"]).fetchall())
+
+
+def test_long_runs_are_packed(spark):
+    from tokenizers import Tokenizer
+
+    from sitewise.llm.queries import tokenizer_path
+
+    texts = [" " * 1_000_000, "\n" * 200_000 + "x"]
+    path = tokenizer_path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    encoder = packing.ByteLevelEncoder(path)
+    for t in texts:
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_long_secrets_and_clashing_columns(spark):
+    rng = random.Random(2)
+    run = "".join(rng.choices(secrets.ALPHABET, k=300_000))
+    many = " ".join("secret=" + "".join(rng.choices("abcXYZ0189", k=16)) for _ in range(3000))
+    docs = spark.createDataFrame([(1, run, "u"), (2, many, "v"), (3, None, "w")], "doc_id long, text string, _spans string")
+    ratio = secrets.markov_ratio(secrets.labelled_strings(docs))
+    found = {r["doc_id"]: sum(s["kind"] == 0 for s in r["found"]) for r in secrets.scan_secrets(docs, ratio).collect()}
+    assert found[2] == 3000 and found[3] == 0
+    cut = {r["doc_id"]: r for r in secrets.redact_secrets(docs, ratio).collect()}
+    assert [cut[i]["_spans"] for i in (1, 2, 3)] == ["u", "v", "w"]
+    assert cut[2]["text"] == " ".join(["[SECRET]"] * 3000) and cut[3]["text"] is None
+
+
+def test_words_are_letters_and_places_survive():
+    from sitewise.llm.language_id import _words
+
+    text = "½² ① Hello İstanbul 你好世界 a½b"
+    assert _words.words(text) == ["hello", "i̇stanbul", "你好", "世界", "a", "b"]
+    assert [text[a:z].lower() for a, z in _words.places(text)] == _words.words(text)
+
+
+def test_words_side_by_side_take_the_viterbi_path():
+    from sitewise.llm.queries import tokenizer_path
+
+    codec = unigram.UnigramCodec(unigram.UnigramModel(tokenizer_path("piece_bpe_32k.model")))
+    rng = random.Random(5)
+    words = list({"".join(rng.choices("abcdet▁éß漢🙂\x00½", k=rng.randint(1, 20))) for _ in range(400)})
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec._side_by_side(words)] == [codec.viterbi(w) for w in words]
