@@ -45,6 +45,26 @@ def confident(rows: DataFrame, least: float = 70.0, confidence: str = "confidenc
     return rows.where(~F.col(predicted) | (F.col(confidence) >= least))
 
 
+def structure_records(records: DataFrame, predicted: bool = False, record: str = "id") -> DataFrame:
+    """Alignment records of a solved structure, and of a predicted one if asked for.
+
+    A null id is no structure's.
+    """
+    solved = F.col(record).contains("|pdb|")
+    return records.where(solved | F.col(record).contains("|sp|") if predicted else solved)
+
+
+def sequence_records(records: DataFrame, predicted: bool = False, record: str = "id") -> DataFrame:
+    """Alignment records named by a chain alone, without a bar in the id.
+
+    Unless predicted structures are asked for, what stands before the first
+    underscore has to be a four-character code. A null id is no chain's.
+    """
+    plain = ~F.col(record).contains("|")
+    coded = F.length(F.split_part(F.col(record), F.lit("_"), F.lit(1))) == 4
+    return records.where(plain if predicted else plain & coded)
+
+
 def without_self(db: DataFrame, queries: DataFrame, db_pdb: str = "pdb", query_pdb: str = "pdb") -> DataFrame:
     """Database rows whose four-character code is no query's."""
     codes = queries.select(F.substring(query_pdb, 1, 4).alias("_code")).distinct()
@@ -61,3 +81,12 @@ def clean_atoms(atoms: DataFrame, chain: str | None = None, hetero_residues: boo
 def with_suffix(df: DataFrame, suffix: str, columns: Iterable[str] | None = None) -> DataFrame:
     names = set(df.columns if columns is None else columns)
     return df.select(*[F.col(c).alias(c + suffix) if c in names else F.col(c) for c in df.columns])
+
+
+def to_unbound(pairs: DataFrame, sides: Iterable[str] = ("0", "1")) -> DataFrame:
+    """Pairs with the subunits and structures of both sides named as unbound ones."""
+    named = {}
+    for side in sides:
+        named[f"subunit{side}"] = F.replace(f"subunit{side}", F.lit("bound"), F.lit("unbound"))
+        named[f"structure{side}"] = F.replace(f"structure{side}", F.lit("_b_"), F.lit("_u_"))
+    return pairs.withColumns(named)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import tables
-from ..operators import sampling
+from ..operators import filters, sampling
 from ..registry import query
 from .standins import DB_SQL, site_db, table
 
@@ -182,6 +184,24 @@ def resid_parts(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", C.resid_letter(resid).alias("letter"), C.resid_number(resid).alias("number"), F.substring("c_name", 1, 4).alias("code"), other.alias("other"))
 
 
+RECORD_SQL = "SELECT s_suppkey AS id_key, ['gi|12|pdb|1ABC|A', 'gi|7|sp|P69905|HBA', '1abc_A', 'P69905_A', '2xyz'][s_suppkey % 5 + 1] AS id FROM supplier"
+
+
+@query("record_classes", f"WITH r AS ({RECORD_SQL}) SELECT id_key, 'structure' AS class, false AS predicted FROM r WHERE contains(id, '|pdb|') UNION ALL SELECT id_key, 'structure', true FROM r WHERE contains(id, '|pdb|') OR contains(id, '|sp|') UNION ALL SELECT id_key, 'sequence', false FROM r WHERE NOT contains(id, '|') AND length(split_part(id, '_', 1)) = 4 UNION ALL SELECT id_key, 'sequence', true FROM r WHERE NOT contains(id, '|')")
+def record_classes(spark, sf_dir):
+    names = F.array(*[F.lit(n) for n in ("gi|12|pdb|1ABC|A", "gi|7|sp|P69905|HBA", "1abc_A", "P69905_A", "2xyz")])
+    r = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id_key"), F.element_at(names, (F.col("s_suppkey") % 5 + 1).cast("int")).alias("id"))
+    kinds = {"structure": filters.structure_records, "sequence": filters.sequence_records}
+    parts = [keep(r, p).select("id_key", F.lit(k).alias("class"), F.lit(p).alias("predicted")) for k, keep in kinds.items() for p in (False, True)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("unbound_names", "SELECT p_partkey, 'l_unbound' AS subunit0, 'x' || p_partkey || '_u_1' AS structure0, 'r_unbound' AS subunit1, p_name AS structure1 FROM part")
+def unbound_names(spark, sf_dir):
+    pairs = table(spark, sf_dir, "part").select("p_partkey", F.lit("l_bound").alias("subunit0"), F.concat(F.lit("x"), F.col("p_partkey").cast("string"), F.lit("_b_1")).alias("structure0"), F.lit("r_bound").alias("subunit1"), F.col("p_name").alias("structure1"))
+    return filters.to_unbound(pairs)
+
+
 def _case(col: str, mapping: dict, default: str) -> str:
     return f"CASE {col} " + " ".join(f"WHEN '{k}' THEN {v if isinstance(v, int) else repr(v)}" for k, v in mapping.items()) + f" ELSE {default} END"
 

@@ -41,6 +41,26 @@ def read_site_coordinates(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("pdb", *[F.try_element_at("r.c", F.lit(i + 1)).alias(c) for i, c in enumerate("xyz")], F.col("r.l").alias("label"))
 
 
+def read_id_lists(spark: SparkSession, path: str) -> DataFrame:
+    """pdb, ord (from 0), resid of JSON objects of residue id lists by pdb, one a line.
+
+    Empty and null lists give no row; a line that is no such object gives none.
+    """
+    whole = spark.read.text(path).select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("pdb", "ids"))
+    return whole.select("pdb", F.posexplode("ids").alias("ord", "resid"))
+
+
+def write_id_lists(df: DataFrame, path: str, key: str = "pdb", order: str = "ord", value: str = "resid") -> None:
+    """One JSON object a line, each of one key and its list in order: {"1abc": ["A1", ...]}.
+
+    A list is one structure's, so it fits in a row. Rows without a key or an id
+    are left out.
+    """
+    lists = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("_l"))
+    entry = F.create_map(F.col(key).cast("string"), F.transform("_l", lambda x: x[value]))
+    lists.select(F.to_json(entry).alias("value")).write.text(path)
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """path, ord (place of the record in the partition's reading order), id, description, seq.
 

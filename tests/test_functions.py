@@ -145,3 +145,14 @@ def test_ema_schedule_folds_every_user(spark, tmp_path):
         want[user] = want.get(user, 0.0) * 0.9 + value * 0.1
     got = {r["user_id"]: r["state"] for r in registry.queries()["ema_schedule"](spark, str(tmp_path)).collect()}
     assert set(got) == set(range(45)) and all(abs(got[u] - want[u]) < 2e-6 for u in want)
+
+
+def test_record_filters_and_unbound_names(spark):
+    ids = spark.createDataFrame([("a|pdb|1ABC|A",), ("a|sp|P1|B",), ("1abc_A",), ("P69905_A",), ("",), (None,)], "id string")
+    got = {(f.__name__, p): {r.id for r in f(ids, p).collect()} for f in (filters.structure_records, filters.sequence_records) for p in (False, True)}
+    assert got == {
+        ("structure_records", False): {"a|pdb|1ABC|A"}, ("structure_records", True): {"a|pdb|1ABC|A", "a|sp|P1|B"},
+        ("sequence_records", False): {"1abc_A"}, ("sequence_records", True): {"1abc_A", "P69905_A", ""},
+    }
+    pairs = spark.createDataFrame([("l_bound", "x_b_1", None, "y_b_b_")], "subunit0 string, structure0 string, subunit1 string, structure1 string")
+    assert tuple(filters.to_unbound(pairs).first()) == ("l_unbound", "x_u_1", None, "y_u_b_")

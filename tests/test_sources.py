@@ -89,3 +89,16 @@ def test_keyed_union_and_resume(spark):
     b = spark.createDataFrame([(2, "b")], "k int, v string")
     assert sorted(tuple(r) for r in tables.keyed_union([a, b], ["k"]).collect()) == [(1, "a"), (2, "b")]
     assert [r["k"] for r in tables.new_records(a, b, ["k"]).collect()] == [1]
+
+
+def test_id_lists(spark, tmp_path):
+    rows = [("1abc", 1, "G2"), ("1abc", 0, "A1"), ("2xyz", 0, "H9\""), (None, 0, "A1"), ("3nul", 0, None)]
+    out = str(tmp_path / "ids")
+    tables.write_id_lists(spark.createDataFrame(rows, "pdb string, ord int, resid string"), out)
+    want = [("1abc", 0, "A1"), ("1abc", 1, "G2"), ("2xyz", 0, "H9\"")]
+    assert sorted(map(tuple, tables.read_id_lists(spark, out).collect())) == want
+    (tmp_path / "more.json").write_text('{"4abc": ["A1"], "5emp": [], "6nul": null}\nno object\n\n')
+    assert [tuple(r) for r in tables.read_id_lists(spark, str(tmp_path / "more.json")).collect()] == [("4abc", 0, "A1")]
+    empty = spark.createDataFrame([], "pdb string, ord int, resid string")
+    tables.write_id_lists(empty, str(tmp_path / "none"))
+    assert tables.read_id_lists(spark, str(tmp_path / "none")).count() == 0
