@@ -89,6 +89,12 @@ def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), max_n=5, least=100, top=2000)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hard_negatives import hard_negatives
 
@@ -108,6 +114,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_unigram_pieces": op10_unigram_pieces,
+    "op12_collocations": op12_collocations,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -128,6 +135,46 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op12_collocations": """
+        WITH d AS (
+            SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+        ), pieces AS (
+            SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w
+            FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d)
+        ), words AS (
+            SELECT lang, p, unnest(w) AS w, unnest(range(len(w))) AS i FROM pieces
+        ), runs AS (
+            SELECT lang, w AS a, lead(w) OVER s AS b, lead(w, 2) OVER s AS c, lead(w, 3) OVER s AS d, lead(w, 4) OVER s AS e
+            FROM words WINDOW s AS (PARTITION BY p ORDER BY i)
+        ), f AS (
+            SELECT lang, 1 AS k, a AS phrase, count(*) AS n FROM runs GROUP BY ALL
+            UNION ALL SELECT lang, 2, a || ' ' || b, count(*) FROM runs WHERE b IS NOT NULL GROUP BY ALL
+            UNION ALL SELECT lang, 3, concat_ws(' ', a, b, c), count(*) FROM runs WHERE c IS NOT NULL GROUP BY ALL
+            UNION ALL SELECT lang, 4, concat_ws(' ', a, b, c, d), count(*) FROM runs WHERE d IS NOT NULL GROUP BY ALL
+            UNION ALL SELECT lang, 5, concat_ws(' ', a, b, c, d, e), count(*) FROM runs WHERE e IS NOT NULL GROUP BY ALL
+        ), total AS (
+            SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+        ), g AS MATERIALIZED (
+            SELECT * FROM f WHERE n >= 100
+        ), c AS (
+            SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM g WHERE k >= 2
+        ), cut AS (
+            SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS p, array_to_string(w[j + 1:], ' ') AS q FROM c, range(1, 5) s(j) WHERE j < k
+        ), scored AS (
+            SELECT cut.lang, cut.phrase, cut.a, cut.j, x.n AS l, y.n AS r, t.n,
+                   CAST((CAST(1000 AS HUGEINT) * cut.a * t.n) // (CAST(x.n AS HUGEINT) * y.n) AS BIGINT) AS score
+            FROM cut JOIN g x ON x.lang = cut.lang AND x.phrase = cut.p JOIN g y ON y.lang = cut.lang AND y.phrase = cut.q JOIN total t ON t.lang = cut.lang
+        ), best AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+        ), inner_phrases AS (
+            SELECT c.lang, array_to_string(c.w[x.i:x.i + y.m - 1], ' ') AS phrase, max(c.a) AS most
+            FROM c, range(1, 5) x(i), range(2, 5) y(m) WHERE x.i + y.m - 1 <= c.k AND y.m < c.k GROUP BY ALL
+        ), kept AS (
+            SELECT b.* FROM best b LEFT JOIN inner_phrases i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.most IS NULL OR 100 * i.most < 100 * b.a
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM kept QUALIFY rank <= 2000
+    """,
     "op13_hard_negatives": """
         WITH v AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
