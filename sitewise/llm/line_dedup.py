@@ -159,9 +159,11 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tokenizer:
-    """Token sets of lines, as sorted arrays of TOKEN_BITS-bit numbers."""
+    """Token sets of lines, as sorted arrays of TOKEN_BITS-bit numbers. A token is
+    a shingle of ``width`` words, five at most."""
 
-    def __init__(self, ranked: list[int] | None = None):
+    def __init__(self, ranked: list[int] | None = None, width: int = SHINGLE_WORDS):
+        self.width = width
         hashes = np.array(ranked or [], np.uint64)
         self._order = np.argsort(hashes)
         self._ranked = hashes[self._order]
@@ -169,24 +171,24 @@ class Tokenizer:
         self._hint[hashes & np.uint64((1 << 20) - 1)] = True
 
     @staticmethod
-    def shingles(lines: Lines, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def shingles(lines: Lines, pick: np.ndarray, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
         """The line (a place in ``pick``) and the hash of every shingle."""
         sizes = lines.words[pick]
         starts = (np.cumsum(lines.words) - lines.words)[pick]
-        n = np.where(sizes > 0, np.maximum(sizes - SHINGLE_WORDS + 1, 1), 0)
+        n = np.where(sizes > 0, np.maximum(sizes - width + 1, 1), 0)
         line = np.repeat(np.arange(len(pick)), n)
         h, total = lines.hashes, len(lines.hashes)
         mixed = np.zeros(len(line), np.uint64)
-        if total >= SHINGLE_WORDS:  # all runs of five words, then those within a line
-            runs = h[: total - SHINGLE_WORDS + 1] * _odd[0]
-            for k in range(1, SHINGLE_WORDS):
-                runs += h[k : total - SHINGLE_WORDS + 1 + k] * _odd[k]
+        if total >= width:  # all runs of so many words, then those within a line
+            runs = h[: total - width + 1] * _odd[0]
+            for k in range(1, width):
+                runs += h[k : total - width + 1 + k] * _odd[k]
             at = np.arange(len(line)) + np.repeat(starts - (np.cumsum(n) - n), n)
             mixed = runs[np.minimum(at, len(runs) - 1)]
-        short = np.flatnonzero((sizes > 0) & (sizes < SHINGLE_WORDS))
+        short = np.flatnonzero((sizes > 0) & (sizes < width))
         if len(short):
             part = np.zeros(len(short), np.uint64)
-            for k in range(SHINGLE_WORDS - 1):
+            for k in range(width - 1):
                 part += np.where(sizes[short] > k, h[np.minimum(starts[short] + k, total - 1)] * _odd[k], np.uint64(0))
             mixed[(np.cumsum(n) - n)[short]] = part
         return line, _mix(mixed) >> np.uint64(64 - TOKEN_BITS + 1)
@@ -198,7 +200,7 @@ class Tokenizer:
         with the top bit set, so it sorts after all others, and a rarer one
         before a more frequent one.
         """
-        line, token = self.shingles(lines, pick)
+        line, token = self.shingles(lines, pick, self.width)
         if len(self._ranked) and len(token):
             maybe = np.flatnonzero(self._hint[token & np.uint64(len(self._hint) - 1)])
             i = np.minimum(np.searchsorted(self._ranked, token[maybe]), len(self._ranked) - 1)
@@ -283,9 +285,10 @@ def _joined(parts: list) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*parts)]
 
 
-def _prefix_blobs(docs: DataFrame, text_col: str, ranked, percent: int, ranges: int) -> DataFrame:
+def _prefix_blobs(docs: DataFrame, text_col: str, ranked, percent: int, ranges: int, width: int = SHINGLE_WORDS, prefixes=None) -> DataFrame:
     """Prefix rows as blobs of one range (r) of tokens, a token as its place in
     an order that mixes frequent tokens among the others."""
+    prefixes = prefixes or _prefixes
 
     def flush(held):
         token, *rest = _joined(held)
@@ -302,9 +305,9 @@ def _prefix_blobs(docs: DataFrame, text_col: str, ranked, percent: int, ranges:
         return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(blobs, pa.binary())], ["r", "blob"])
 
     def run(batches):
-        tok, held, size = Tokenizer(ranked.value), [], 0
+        tok, held, size = Tokenizer(ranked.value, width), [], 0
         for b in batches:
-            for found in _prefixes(tok, b.column(0).to_pylist(), percent):
+            for found in prefixes(tok, b.column(0).to_pylist(), percent):
                 held.append(found)
                 size += len(found[0])
                 if size >= ROWS_AT_ONCE:

@@ -89,6 +89,12 @@ def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_groups import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"), percent=90, width=3)
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .collocations import collocations
 
@@ -114,6 +120,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_unigram_pieces": op10_unigram_pieces,
+    "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
     "op12_collocations": op12_collocations,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -135,6 +142,27 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op11_ngram_jaccard_join": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), words AS (
+            SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i, len(w) AS m FROM d
+        ), runs AS (
+            SELECT doc_id, m, w AS a, lead(w) OVER s AS b, lead(w, 2) OVER s AS c, i FROM words WINDOW s AS (PARTITION BY doc_id ORDER BY i)
+        ), g AS MATERIALIZED (
+            SELECT DISTINCT doc_id, concat_ws(' ', a, b, c) AS t FROM runs WHERE c IS NOT NULL OR (m < 3 AND i = 0)
+        ), n AS MATERIALIZED (
+            SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+        ), pairs AS MATERIALIZED (
+            SELECT x.doc_id AS a, y.doc_id AS b FROM g x JOIN g y ON x.t = y.t AND x.doc_id <> y.doc_id JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id
+            GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 90 * (p.n + q.n - count(*))
+        ), reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents
+            UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b
+        )
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id
+        JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id
+    """,
     "op12_collocations": """
         WITH d AS (
             SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
