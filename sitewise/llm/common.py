@@ -76,6 +76,14 @@ def row_order(*more: str) -> Column:
     return F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_rid").alias("rid"), *more)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with as many underscores before it as make it no column's."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a materialised table that nothing will read again."""
     files = df.inputFiles()

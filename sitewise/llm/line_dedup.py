@@ -699,9 +699,9 @@ def _masks(gone: DataFrame) -> DataFrame:
     return gone.select("_rid", "lines").mapInArrow(run, "_rid long, n long, gone array<boolean>")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``docs`` with its columns, without the lines that repeat earlier ones, and
-    _n_lines and _n_removed at the end.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, counts: str | None = None) -> DataFrame:
+    """``docs`` with its columns, without the lines that repeat earlier ones. With
+    ``counts``, a name that no column has, a struct of n_lines and n_removed at the end.
 
     Lines without a word stay. A null text stays null and has no lines. Each row
     is a document of its own, in the order of ids; null ids come last. Rows that
@@ -710,6 +710,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     read in chunks cut between lines, so a long text is no different from others;
     only a line longer than a chunk is read in one.
     """
+    if counts is not None and counts.lower() in [c.lower() for c in docs.columns]:
+        raise ValueError(f"there is a column {counts} already")
     data = numbered(docs, id_col)
     gone = _masks(_repeated(data.select("_rid", "_id", F.col("_row").getField(text_col).alias("_text")), percent))
     joined = data.select("_row", "_rid").join(gone.hint("merge"), "_rid", "left").select("_row", "n", "gone")
@@ -717,13 +719,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.coalesce(F.get("gone", i), F.lit(False)))
     cut = F.when(F.col("n") > 0, F.array_join(kept, "\n")).otherwise(text)
     n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    rows = joined.select("_row", cut.alias("_text"), F.coalesce(n_lines, F.lit(0)).cast("long").alias("_n_lines"), F.coalesce("n", F.lit(0)).cast("long").alias("_n_removed"))
+    removed = F.coalesce("n", F.lit(0)).cast("long")
+    rows = joined.select("_row", cut.alias("_text"), F.struct(F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), removed.alias("n_removed")).alias("_counts"))
     cols = []
     for c in docs.columns:
         if c == text_col:
             cols.append(F.col("_text").alias(c))
         elif c == "n_chars":
-            cols.append(F.when(F.col("_n_removed") > 0, F.length("_text").cast(docs.schema[c].dataType)).otherwise(F.col("_row").getField(c)).alias(c))
+            cols.append(F.when(F.col("_counts.n_removed") > 0, F.length("_text").cast(docs.schema[c].dataType)).otherwise(F.col("_row").getField(c)).alias(c))
         else:
             cols.append(F.col("_row").getField(c).alias(c))
-    return rows.select(*cols, "_n_lines", "_n_removed")
+    return rows.select(*cols, *([F.col("_counts").alias(counts)] if counts else []))

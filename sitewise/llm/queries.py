@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, table
+from .common import crc_fold, free_name, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -73,8 +73,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
-    kept = dedup_lines(table(spark, sf_dir, "documents"), percent=80)
-    return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    docs = table(spark, sf_dir, "documents")
+    counts = free_name(docs, "counts")
+    kept = dedup_lines(docs, percent=80, counts=counts)
+    return kept.select("doc_id", F.col(f"{counts}.n_lines").alias("n_lines"), F.col(f"{counts}.n_removed").alias("n_removed"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
