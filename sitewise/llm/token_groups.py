@@ -2,16 +2,20 @@
 
 A document's set is that of its shingles; equal sets count once. Sets are put in
 groups of similar ones, by the order of their min-hashes, and the matrix holds
-each group's token union and which member has which token. A set is similar to a
-member of a group only if it shares as many tokens with the group's union as it
-would have to share with the member: groups whose overlap falls short are never
-opened, the others are compared member by member, exactly.
+each group's token union and which member has which token. A set that is similar
+to a member of a group lacks few of its tokens there, so groups whose overlap
+falls short are never opened; in the others members are bounded one by one, and
+the pairs that are left are compared by their whole sets, exactly.
+
+The matrix keeps one column in SLICE, and tells its tokens apart by 32 bits. Both
+only loosen the bound: a set that may lack d tokens of a member lacks d at most
+of those with a column too, and tokens that fall together count as shared.
 
 Which groups a set is bounded against follows from its rarest tokens: similar
-sets share one of those (prefix filter). Sets that share none are in no group.
-Links are found twice: with a set's own group and the first group of each of its
-tokens, which joins most copies, and then with all groups that hold members not
-joined to it yet.
+sets share one of those (prefix filter), and sets that share none are in no
+group. Links are found twice: with the likeliest member of a set's own group and
+of the first group of each of its tokens, which joins most copies, and then with
+all members not joined to it yet.
 """
 
 from __future__ import annotations
@@ -30,7 +34,9 @@ from .line_dedup import (
 
 SHINGLE_WORDS = 3
 PERCENT = 90
-#: Sets and different tokens of a group at most; one set may have more tokens.
+#: Columns of the matrix: one token in so many.
+SLICE = 6
+#: Sets and their tokens with a column of a group at most; one set may have more.
 GROUP_SETS = 64
 GROUP_TOKENS = 1 << 16
 #: Tokens of the groups that a task makes, on average.
@@ -118,8 +124,12 @@ def _prefixes(tok: Tokenizer, texts: list, percent: int):
             yield s.token[own], s.key[line], s.n[line], pos[own]
 
 
-def _token_sets(docs: DataFrame, ranked, maybe, width: int) -> DataFrame:
-    """key, n, two min-hashes and toks of the sets whose key the filter lets through."""
+def _token_sets(docs: DataFrame, ranked, keys: DataFrame, width: int, sliced: bool) -> DataFrame:
+    """key, n and toks of the sets with the keys (and a few others); if ``sliced``
+    two min-hashes too, and of the tokens those with a column, as 32 bits."""
+    bits = min(max(1 << (16 * keys.count()).bit_length(), LEAST_FILTER_BITS), MOST_FILTER_BITS)
+    maybe = docs.sparkSession.sparkContext.broadcast(_key_filter(keys, bits))
+    kind = "m1 long, m2 long, toks array<int>" if sliced else "toks array<long>"
 
     def run(batches):
         tok, bits = Tokenizer(ranked.value, width), np.frombuffer(maybe.value, np.uint8)
@@ -131,40 +141,32 @@ def _token_sets(docs: DataFrame, ranked, maybe, width: int) -> DataFrame:
                     use[np.unique(s.key, return_index=True)[1]] = True
                     for place in _places(s.key, 8 * len(bits)):
                         use &= (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                    n = s.n[use]
-                    toks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(s.token[use[s.line]].astype(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(s.key[use]), pa.array(n.astype(np.int64)), pa.array(s.least(0xD6E8FEB86659FD93)[use]), pa.array(s.least(0xC2B2AE3D27D4EB4F)[use]), toks], ["key", "n", "m1", "m2", "toks"])
-
-    return docs.select("_text").mapInArrow(run, "key long, n long, m1 long, m2 long, toks array<long>").dropDuplicates(["key"])
-
-
-def _parts(overlap: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
-    """Of each member of a group the first that it is linked to, over other members or at once."""
-    near = 100 * overlap >= percent * (n[:, None] + n - overlap)
-    part = np.full(len(n), -1)
-    for s in range(len(n)):
-        if part[s] < 0:
-            part[s], stack = s, [s]
-            while stack:
-                found = np.flatnonzero(near[stack.pop()] & (part < 0))
-                part[found] = s
-                stack.extend(found.tolist())
-    return part
-
-
-def _matrix(sets: DataFrame, percent: int, tasks: int) -> DataFrame:
+                    own = use[s.line]
+                    cols = [s.key[use], s.n[use].astype(np.int64)]
+                    if sliced:
+                        cols += [s.least(0xD6E8FEB86659FD93)[use], s.least(0xC2B2AE3D27D4EB4F)[use]]
+                        mixed = _mix(s.token * np.uint64(0x9E3779B97F4A7C15))
+                        own &= (mixed >> np.uint64(32)) % np.uint64(SLICE) == 0
+                        toks = (mixed & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)[own]
+                    else:
+                        toks = s.token[own].astype(np.int64)
+                    size = np.bincount(s.line[own], minlength=len(pick))[use]
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(toks))
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), lists], names)
+
+    names = ["key", "n", *["m1", "m2"][: 2 * sliced], "toks"]
+    return docs.select("_text").mapInArrow(run, f"key long, n long, {kind}").dropDuplicates(["key"])
+
+
+def _matrix(sets: DataFrame, tasks: int) -> DataFrame:
     """The groups: gid, union (their different tokens, sorted) and of each member
-    its key, n, part (place of the first member it is linked to) and the places of
-    its tokens in the union, one member after the other (at)."""
+    its key, n, held (how many tokens it has there) and their places in the
+    union, one member after the other (at)."""
 
     def record(gid, held):
         keys, n, toks = (list(x) for x in zip(*held))
         union, at = np.unique(np.concatenate(toks), return_inverse=True)
-        member = np.repeat(np.arange(len(n)), n)
-        has = np.zeros((len(n), len(union)), np.float32)
-        has[member, at] = 1
-        part = _parts(np.rint(has @ has.T).astype(np.int64), np.array(n), percent)
-        return {"gid": gid, "union": union, "keys": keys, "n": n, "part": part.tolist(), "at": at.astype(np.int32)}
+        return {"gid": gid, "union": union, "keys": keys, "n": n, "held": [len(t) for t in toks], "at": at.astype(np.int32)}
 
     def run(batches):
         from pyspark import TaskContext
@@ -173,55 +175,72 @@ def _matrix(sets: DataFrame, percent: int, tasks: int) -> DataFrame:
         for b in batches:
             toks = b.column(2)
             for i, (key, n) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                if held and (len(held) == GROUP_SETS or size + n > GROUP_TOKENS):
+                own = toks[i].values.to_numpy()
+                if held and (len(held) == GROUP_SETS or size + len(own) > GROUP_TOKENS):
                     yield pa.RecordBatch.from_pylist([record(gid, held)], schema)
                     gid, held, size = gid + 1, [], 0
-                held.append((key, n, toks[i].values.to_numpy()))
-                size += n
+                held.append((key, n, own))
+                size += len(own)
         if held:
             yield pa.RecordBatch.from_pylist([record(gid, held)], schema)
 
-    lists = {"union": pa.int64(), "keys": pa.int64(), "n": pa.int64(), "part": pa.int32(), "at": pa.int32()}
+    lists = {"union": pa.int32(), "keys": pa.int64(), "n": pa.int64(), "held": pa.int32(), "at": pa.int32()}
     schema = pa.schema([("gid", pa.int64()), *[(c, pa.list_(t)) for c, t in lists.items()]])
     near = sets.select("key", "n", "toks", "m1", "m2").repartitionByRange(tasks, "m1", "m2", "key").sortWithinPartitions("m1", "m2", "key")
-    return near.mapInArrow(run, "gid long, union array<long>, keys array<long>, n array<long>, part array<int>, at array<int>")
+    return near.mapInArrow(run, "gid long, union array<int>, keys array<long>, n array<long>, held array<int>, at array<int>")
 
 
-def _opened(asked: DataFrame, sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Links a, b of the sets ``asked`` (key, gid) with members of the group; one
-    for each part of the group that holds a member similar to the set."""
-    sized = asked.join(sets.select("key", "n"), "key")
-    load = sized.groupBy("gid").agg(F.greatest(F.ceil(F.count("*") / ASKED_SETS), F.ceil(F.sum("n") / ASKED_TOKENS)).cast("long").alias("chunks"))
-    placed = materialize(asked.join(load, "gid").select("key", "gid", F.pmod(F.xxhash64("key"), F.col("chunks")).alias("chunk")))
+def _bounded(asked: DataFrame, sets: DataFrame, groups: DataFrame, percent: int, likeliest: bool) -> DataFrame:
+    """Pairs a, b of the sets ``asked`` (key, gid) and members of the group that
+    the bounds leave; of each set and group the likeliest alone, if so asked."""
+    sized = asked.join(sets.select("key", F.size("toks").alias("size")), "key")
+    load = sized.groupBy("gid").agg(F.greatest(F.ceil(F.count("*") / ASKED_SETS), F.ceil(F.sum("size") / ASKED_TOKENS)).cast("long").alias("chunks"))
+    placed = materialize(asked.join(load, "gid").select("key", "gid", F.pmod(F.xxhash64("key"), F.greatest("chunks", F.lit(1))).alias("chunk")))
     left = placed.join(sets.select("key", "n", "toks"), "key")
     right = placed.select(F.col("gid").alias("to"), F.col("chunk").alias("part_of")).distinct().join(groups, F.col("to") == F.col("gid")).drop("gid")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def bounded(asking: pa.Table, group: pa.Table) -> pa.Table:
+    def bound(asking: pa.Table, group: pa.Table) -> pa.Table:
         a, b = [], []
         if len(asking) and len(group):
-            one = {c: group.column(c).combine_chunks()[0].values.to_numpy() for c in ("union", "keys", "n", "part", "at")}
-            has = np.zeros((len(one["n"]), len(one["union"])), bool)
-            has[np.repeat(np.arange(len(one["n"])), one["n"]), one["at"]] = True
+            one = {c: group.column(c).combine_chunks()[0].values.to_numpy() for c in ("union", "keys", "n", "held", "at")}
+            has = np.zeros((len(one["n"]), len(one["union"]) + 1), bool)
+            has[np.repeat(np.arange(len(one["n"])), one["held"]), one["at"]] = True
             toks = asking.column("toks").combine_chunks()
             for i, (key, n) in enumerate(zip(asking.column("key").to_pylist(), asking.column("n").to_pylist())):
                 own = toks[i].values.to_numpy()
-                at = np.minimum(np.searchsorted(one["union"], own), len(one["union"]) - 1)
-                at = at[one["union"][at] == own]
-                if 100 * len(at) < percent * n:
-                    continue  # no member can share enough
+                at = np.searchsorted(one["union"], own)
+                at = at[np.append(one["union"], 0)[at] == own]
+                at = at[at < len(one["union"])]
+                if len(own) - len(at) > n - -(-percent * n // 100):
+                    continue  # every member lacks more tokens than a similar one may
                 overlap = has[:, at].sum(1)
-                near = np.flatnonzero((100 * overlap >= percent * (n + one["n"] - overlap)) & (one["keys"] != key))
-                near = near[np.unique(one["part"][near], return_index=True)[1]]
+                need = -(-percent * (n + one["n"]) // (100 + percent))
+                near = np.flatnonzero((len(own) - overlap <= n - need) & (100 * np.minimum(n, one["n"]) >= percent * np.maximum(n, one["n"])) & (one["keys"] != key))
+                if likeliest and len(near):
+                    near = near[[np.lexsort((one["keys"][near], np.abs(one["n"][near] - n), -overlap[near]))[0]]]
                 a += [key] * len(near)
                 b += one["keys"][near].tolist()
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
-    found = materialize(left.groupBy("gid", "chunk").cogroup(right.groupBy("to", "part_of")).applyInArrow(bounded, "a long, b long"))
+    found = materialize(left.groupBy("gid", "chunk").cogroup(right.groupBy("to", "part_of")).applyInArrow(bound, "a long, b long"))
     discard(placed)
     return found
 
 
+def _similar(pairs: DataFrame, docs: DataFrame, ranked, percent: int, width: int) -> DataFrame:
+    """The pairs whose Jaccard similarity suffices, by their whole sets: those are
+    read again for the few texts that are left in pairs."""
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    sets = materialize(_token_sets(docs, ranked, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), width, sliced=False))
+    side = lambda k, x: sets.select(F.col("key").alias(k), F.col("toks").alias(x)).hint("merge")
+    both = F.size(F.array_intersect("x", "y"))
+    found = materialize(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(both * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("a", "b"))
+    for done in (pairs, sets):
+        discard(done)
+    return found
+
+
 def _asked(rows: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """key, gid of the sets and groups with a common prefix token whose lengths
     and places allow a link. ``held`` has of a token's groups the least and the
@@ -234,33 +253,30 @@ def _asked(rows: DataFrame, held: DataFrame, percent: int) -> DataFrame:
 def _links(found: DataFrame, docs: DataFrame, ranked, percent: int, width: int) -> DataFrame:
     """Links a, b between keys of different, similar sets, whose components are
     those of all such pairs. ``found`` has the prefix rows token, key, n, pos."""
-    keys = found.select("key").distinct()
-    count = keys.count()
-    bits = min(max(1 << (16 * count).bit_length(), LEAST_FILTER_BITS), MOST_FILTER_BITS)
-    maybe = docs.sparkSession.sparkContext.broadcast(_key_filter(keys, bits))
-    sets = materialize(_token_sets(docs, ranked, maybe, width))
-    tokens = sets.agg(F.sum("n")).first()[0] or 0
-    groups = materialize(_matrix(sets, percent, max(docs.sparkSession.sparkContext.defaultParallelism, tokens // TASK_TOKENS)))
-    member = F.explode(F.arrays_zip(F.col("keys").alias("key"), F.transform("part", lambda p: F.get("keys", p)).alias("first"))).alias("m")
-    members = groups.select("gid", member).select("gid", "m.key", "m.first")
-    own = members.where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    sets = materialize(_token_sets(docs, ranked, found.select("key").distinct(), width, sliced=True))
+    tokens = sets.agg(F.sum(F.size("toks"))).first()[0] or 0
+    groups = materialize(_matrix(sets, max(docs.sparkSession.sparkContext.defaultParallelism, tokens // TASK_TOKENS)))
+    home = groups.select("gid", F.explode("keys").alias("key"))
     buckets = bucket_count(found.count())
-    rows = materialize(found.join(members.select("key", "gid"), "key").repartition(buckets, "token"), "token", buckets)
+    rows = materialize(found.join(home, "key").repartition(buckets, "token"), "token", buckets)
 
     def held(rows, *more):
         return rows.groupBy("token", "gid").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"), *more)
 
     hub = held(rows).groupBy("token").agg(F.min(F.struct("gid", "least", "most", "rest")).alias("h")).select("token", F.col("h.gid").alias("to"), "h.least", "h.most", "h.rest")
-    near = _opened(_asked(rows, hub, percent).where("to <> gid").select("key", F.col("to").alias("gid")).distinct(), sets, groups, percent)
-    roots = connected_components(own.unionByName(near))
+    first = _asked(rows, hub, percent).select("key", F.col("to").alias("gid")).unionByName(rows.select("key", "gid")).distinct()
+    near = _similar(_bounded(first, sets, groups, percent, likeliest=True), docs, ranked, percent, width)
+    roots = connected_components(near)
     rooted = rows.join(roots.withColumnRenamed("v", "key").hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     placed = materialize(rooted.repartition(buckets, "token"), "token", buckets)
     mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
     apart = materialize(placed.join(mixed.hint("merge"), "token", "left_semi").repartition(buckets, "token"), "token", buckets)
     others = held(apart, F.min("root").alias("x"), F.max("root").alias("y")).withColumnRenamed("gid", "to")
-    rest = _opened(_asked(apart, others, percent).where("to < gid AND (x <> root OR y <> root)").select("key", F.col("to").alias("gid")).distinct(), sets, groups, percent)
-    links = materialize(own.unionByName(near).unionByName(rest))
-    for done in (sets, groups, rows, near, placed, apart, rest):
+    rest = _bounded(_asked(apart, others, percent).where("to <= gid AND (x <> root OR y <> root)").select("key", F.col("to").alias("gid")).distinct(), sets, groups, percent, likeliest=False)
+    root = apart.select("key", "root").distinct()
+    rest = rest.join(root.withColumnsRenamed({"key": "a", "root": "x"}), "a").join(root.withColumnsRenamed({"key": "b", "root": "y"}), "b").where("x <> y")
+    links = materialize(near.unionByName(_similar(rest.select("a", "b"), docs, ranked, percent, width)))
+    for done in (sets, groups, rows, near, placed, apart):
         discard(done)
     return links
 

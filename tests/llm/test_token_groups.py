@@ -6,7 +6,6 @@ import random
 import re
 from collections import Counter
 
-import numpy as np
 import pytest
 
 from sitewise.llm import token_groups as tg
@@ -67,7 +66,7 @@ def rows_of(seed, n=160):
 @pytest.mark.parametrize("small", [False, True])
 def test_equals_brute_force(spark, small, monkeypatch):
     if small:
-        for name, value in {"GROUP_SETS": 3, "GROUP_TOKENS": 200, "ASKED_SETS": 2, "ASKED_TOKENS": 50, "HOT_SHARE": 20}.items():
+        for name, value in {"GROUP_SETS": 3, "GROUP_TOKENS": 200, "ASKED_SETS": 2, "ASKED_TOKENS": 50, "HOT_SHARE": 20, "SLICE": 2}.items():
             monkeypatch.setattr(tg, name, value)
     rows = rows_of(5 if small else 6)
     df = spark.createDataFrame([(*r, 5, "k", 1, "t") for r in rows], "doc_id long, text string, n int, key string, _id int, _text string").repartition(3)
@@ -85,9 +84,3 @@ def test_no_rows_and_other_parameters(spark):
     rows = [r for r in rows_of(9, 60) if len(r[1] or "") < 2000]
     got = tg.similar_documents(spark.createDataFrame(rows, kind), percent=70, width=5)
     assert Counter(tuple(r) for r in got.collect()) == brute(rows, 70, 5)
-
-
-def test_parts_follow_chains():
-    overlap = np.array([[10, 9, 5], [9, 9, 9], [5, 9, 10]])
-    assert tg._parts(overlap, np.array([10, 9, 10]), 90).tolist() == [0, 0, 0]
-    assert tg._parts(overlap, np.array([10, 9, 10]), 95).tolist() == [0, 1, 2]
