@@ -164,7 +164,7 @@ class Tokenizer:
 
     def __init__(self, ranked: list[int] | None = None, width: int = SHINGLE_WORDS):
         self.width = width
-        hashes = np.array(ranked or [], np.uint64)
+        hashes = np.array([] if ranked is None else ranked, np.uint64)
         self._order = np.argsort(hashes)
         self._ranked = hashes[self._order]
         self._hint = np.zeros(1 << 20, bool)

@@ -28,12 +28,17 @@ from pyspark.sql import functions as F
 from .common import bucket_count, discard, materialize
 from .components import connected_components
 from .line_dedup import (
-    LEAST_FILTER_BITS, LINES_AT_ONCE, MOST_FILTER_BITS, RANGE_ROWS, RANGE_SLACK, RANKED_TOKENS, REPORTED, _RANKED,
-    Tokenizer, _key_filter, _mix, _places, _prefix_blobs, _runs, _shared_rows, chunks, prefix_length,
+    LEAST_FILTER_BITS, LINES_AT_ONCE, MOST_FILTER_BITS, RANGE_ROWS, RANGE_SLACK, REPORTED, _RANKED,
+    SKETCH_WORDS, Tokenizer, _alike, _key_filter, _mix, _places, _prefix_blobs, _runs, _shared_rows, _sketches, chunks, prefix_length,
 )
 
 SHINGLE_WORDS = 3
 PERCENT = 90
+#: Frequent tokens with a rank of their own, and tokens of a task among which one
+#: has to stand REPORTED times to be reported for ranking. Their order decides how
+#: much is compared, never what is found.
+RANKED_TOKENS = 1 << 18
+COUNTED_TOKENS = 1 << 22
 #: Columns of the matrix: one token in so many.
 SLICE = 6
 #: Sets and their tokens with a column of a group at most; one set may have more.
@@ -86,10 +91,18 @@ def _document_rows(docs: DataFrame, percent: int, width: int) -> DataFrame:
     id_type = docs.schema["_id"].dataType.simpleString()
     names = ["_id", "n", "key", "check", "token", "count"]
 
+    def reports(tokens, whole, id_type):
+        token, count = _runs(np.concatenate(tokens))
+        often = count >= REPORTED
+        token, count = np.append(token[often].astype(np.int64), -1), np.append(count[often], whole)
+        m = len(token)
+        return pa.RecordBatch.from_arrays([pa.nulls(m, id_type), *[pa.nulls(m, pa.int64())] * 3, pa.array(token), pa.array(count)], names)
+
     def run(batches):
-        tok = Tokenizer(width=width)
+        tok, kind, held, size, whole = Tokenizer(width=width), None, [], 0, 0
         for b in batches:
             texts, ids = b.column(1).to_pylist(), b.column(0)
+            kind = ids.type
             bare = np.ones(len(texts), bool)
             for lines in chunks(texts):
                 for pick in _picks(lines):
@@ -97,14 +110,17 @@ def _document_rows(docs: DataFrame, percent: int, width: int) -> DataFrame:
                     doc, m = lines.doc[pick], len(pick)
                     bare[doc] = False
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(s.n.astype(np.int64)), pa.array(s.key), pa.array(s.check), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names)
-                    token, count = _runs(s.token)
-                    often = count >= REPORTED
-                    token, count = np.append(token[often].astype(np.int64), -1), np.append(count[often], prefix_length(s.n, percent).sum())
-                    m = len(token)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(m, ids.type), *[pa.nulls(m, pa.int64())] * 3, pa.array(token), pa.array(count)], names)
+                    held.append(s.token)
+                    size += len(s.token)
+                    whole += int(prefix_length(s.n, percent).sum())
+                    if size >= COUNTED_TOKENS:
+                        yield reports(held, whole, kind)
+                        held, size, whole = [], 0, 0
             doc = np.flatnonzero(bare)
             m = len(doc)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(np.zeros(m, np.int64)), *[pa.nulls(m, pa.int64())] * 4], names)
+        if held:
+            yield reports(held, whole, kind)
 
     return docs.mapInArrow(run, f"_id {id_type}, n long, key long, check long, token long, count long")
 
@@ -126,10 +142,10 @@ def _prefixes(tok: Tokenizer, texts: list, percent: int):
 
 def _token_sets(docs: DataFrame, ranked, keys: DataFrame, width: int, sliced: bool) -> DataFrame:
     """key, n and toks of the sets with the keys (and a few others); if ``sliced``
-    two min-hashes too, and of the tokens those with a column, as 32 bits."""
+    two min-hashes and a sketch too, and of the tokens those with a column, as 32 bits."""
     bits = min(max(1 << (16 * keys.count()).bit_length(), LEAST_FILTER_BITS), MOST_FILTER_BITS)
     maybe = docs.sparkSession.sparkContext.broadcast(_key_filter(keys, bits))
-    kind = "m1 long, m2 long, toks array<int>" if sliced else "toks array<long>"
+    kind = "m1 long, m2 long, sketch array<long>, toks array<int>" if sliced else "toks array<long>"
 
     def run(batches):
         tok, bits = Tokenizer(ranked.value, width), np.frombuffer(maybe.value, np.uint8)
@@ -142,9 +158,11 @@ def _token_sets(docs: DataFrame, ranked, keys: DataFrame, width: int, sliced: bo
                     for place in _places(s.key, 8 * len(bits)):
                         use &= (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
                     own = use[s.line]
-                    cols = [s.key[use], s.n[use].astype(np.int64)]
+                    sketch, cols = None, [s.key[use], s.n[use].astype(np.int64)]
                     if sliced:
                         cols += [s.least(0xD6E8FEB86659FD93)[use], s.least(0xC2B2AE3D27D4EB4F)[use]]
+                        flat = _sketches(s.line, s.token, len(pick)).reshape(len(pick), SKETCH_WORDS)[use].reshape(-1)
+                        sketch = pa.ListArray.from_arrays(pa.array(np.arange(use.sum() + 1) * SKETCH_WORDS, pa.int32()), pa.array(flat))
                         mixed = _mix(s.token * np.uint64(0x9E3779B97F4A7C15))
                         own &= (mixed >> np.uint64(32)) % np.uint64(SLICE) == 0
                         toks = (mixed & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)[own]
@@ -152,9 +170,9 @@ def _token_sets(docs: DataFrame, ranked, keys: DataFrame, width: int, sliced: bo
                         toks = s.token[own].astype(np.int64)
                     size = np.bincount(s.line[own], minlength=len(pick))[use]
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(toks))
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), lists], names)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), *[sketch] * sliced, lists], names)
 
-    names = ["key", "n", *["m1", "m2"][: 2 * sliced], "toks"]
+    names = ["key", "n", *["m1", "m2", "sketch"][: 3 * sliced], "toks"]
     return docs.select("_text").mapInArrow(run, f"key long, n long, {kind}").dropDuplicates(["key"])
 
 
@@ -228,10 +246,11 @@ def _bounded(asked: DataFrame, sets: DataFrame, groups: DataFrame, percent: int,
     return found
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, ranked, percent: int, width: int) -> DataFrame:
+def _similar(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, ranked, percent: int, width: int) -> DataFrame:
     """The pairs whose Jaccard similarity suffices, by their whole sets: those are
-    read again for the few texts that are left in pairs."""
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    read again for the few texts that sketches leave in pairs."""
+    pairs = pairs.select(F.least("a", "b").alias("late"), F.greatest("a", "b").alias("early")).distinct()
+    pairs = materialize(_alike(pairs, sketches.select("key", "n", "sketch"), percent).select(F.col("late").alias("a"), F.col("early").alias("b")))
     sets = materialize(_token_sets(docs, ranked, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), width, sliced=False))
     side = lambda k, x: sets.select(F.col("key").alias(k), F.col("toks").alias(x)).hint("merge")
     both = F.size(F.array_intersect("x", "y"))
@@ -265,7 +284,7 @@ def _links(found: DataFrame, docs: DataFrame, ranked, percent: int, width: int)
 
     hub = held(rows).groupBy("token").agg(F.min(F.struct("gid", "least", "most", "rest")).alias("h")).select("token", F.col("h.gid").alias("to"), "h.least", "h.most", "h.rest")
     first = _asked(rows, hub, percent).select("key", F.col("to").alias("gid")).unionByName(rows.select("key", "gid")).distinct()
-    near = _similar(_bounded(first, sets, groups, percent, likeliest=True), docs, ranked, percent, width)
+    near = _similar(_bounded(first, sets, groups, percent, likeliest=True), sets, docs, ranked, percent, width)
     roots = connected_components(near)
     rooted = rows.join(roots.withColumnRenamed("v", "key").hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     placed = materialize(rooted.repartition(buckets, "token"), "token", buckets)
@@ -275,7 +294,7 @@ def _links(found: DataFrame, docs: DataFrame, ranked, percent: int, width: int)
     rest = _bounded(_asked(apart, others, percent).where("to <= gid AND (x <> root OR y <> root)").select("key", F.col("to").alias("gid")).distinct(), sets, groups, percent, likeliest=False)
     root = apart.select("key", "root").distinct()
     rest = rest.join(root.withColumnsRenamed({"key": "a", "root": "x"}), "a").join(root.withColumnsRenamed({"key": "b", "root": "y"}), "b").where("x <> y")
-    links = materialize(near.unionByName(_similar(rest.select("a", "b"), docs, ranked, percent, width)))
+    links = materialize(near.unionByName(_similar(rest.select("a", "b"), sets, docs, ranked, percent, width)))
     for done in (sets, groups, rows, near, placed, apart):
         discard(done)
     return links
@@ -299,8 +318,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     texts = docs.select(F.col(id_col).alias("_id"), F.replace(F.col(text_col), F.lit("\n"), F.lit(" ")).alias("_text"))
     all_rows = materialize(_document_rows(texts, percent, width))
-    often = all_rows.where("token >= 0").groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(RANKED_TOKENS).collect()
-    ranked = docs.sparkSession.sparkContext.broadcast([r["token"] for r in often])  # RANKED_TOKENS numbers
+    often = all_rows.where("token >= 0").groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(RANKED_TOKENS).select("token").toArrow()
+    ranked = docs.sparkSession.sparkContext.broadcast(often.column(0).to_numpy().astype(np.uint64))  # RANKED_TOKENS numbers
     expected = all_rows.where("token = -1").agg(F.sum("count")).first()[0] or 0
     own = all_rows.where("token IS NULL").select("_id", "n", "key", "check")
     ranges = min(max(64, expected // RANGE_ROWS), 1 << 20)
