@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
+from .settle import settle
+
 # The p-values for which cutoffs are kept.
 P_VALUES = [
     0.01, 0.009, 0.008, 0.007, 0.006, 0.005, 0.004, 0.003, 0.002, 0.001,
@@ -18,13 +21,16 @@ P_VALUES = [
 def quantile_cutoffs(scores: DataFrame, group: Sequence[str], score: str = "cos", p_values: Sequence[float] = P_VALUES, combined: bool = False) -> DataFrame:
     """The 1 - p quantiles of each group, linearly interpolated: group, p, cutoff.
 
-    With ``combined``, the quantiles of all rows come too, with null groups.
+    With ``combined``, the quantiles of all rows come too, with null groups. No
+    task holds a group's scores.
     """
-    levels = F.array(*[F.lit(1 - p) for p in p_values])
-    agg = F.percentile(score, levels).alias("q")
-    found = (scores.rollup(*group) if combined else scores.groupBy(*group)).agg(agg)
-    pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in p_values]).alias("p"), F.col("q").alias("cutoff"))
-    return found.where("q is not null").select(*group, F.explode(pairs).alias("x")).select(*group, "x.p", "x.cutoff")
+    rows = settle(scores.select(*group, score)) if combined else scores
+    found = ranks.quantiles(rows, group, score, [1 - p for p in p_values])
+    if combined:
+        every = ranks.quantiles(rows, [], score, [1 - p for p in p_values])
+        found = found.unionByName(every.select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in group], "level", "quantile"))
+    p = F.create_map(*[x for p in p_values for x in (F.lit(1 - p), F.lit(float(p)))])
+    return found.select(*group, F.element_at(p, F.col("level")).alias("p"), F.col("quantile").alias("cutoff"))
 
 
 def moments(scores: DataFrame, group: Sequence[str], score: str = "cos", combined: bool = False) -> DataFrame:
@@ -43,28 +49,12 @@ def cutoff_of(cutoffs: DataFrame, p: float, tolerance: float = 1e-12) -> DataFra
 def percentile_scores(scores: DataFrame, background: DataFrame, score: str = "cos", background_score: str = "cos", name: str = "percentile") -> DataFrame:
     """Adds the share of background values strictly below each score, exactly.
 
-    Values of both sides are ranked together within ranges of the score, and
-    the counts of lower ranges are added, so no task holds them all. Without a
+    Different values of both sides are ordered together, in ranges that a sample
+    of them sets: an outlier takes no more room than any other value. Without a
     background the share is null.
     """
     own = scores.select(F.col(score).cast("double").alias("v")).distinct()
-    both = own.select("v", F.lit(0).alias("w")).unionAll(background.select(F.col(background_score).cast("double").alias("v"), F.lit(1).alias("w")))
-    both = both.where("v is not null").groupBy("v").agg(F.sum("w").alias("w"))
-    span = both.agg(F.min("v").alias("a"), F.max("v").alias("b")).first()
-    low, width = (span["a"] or 0.0), max((span["b"] or 0.0) - (span["a"] or 0.0), 1e-300)
-    buckets = 1024
-    bucket = F.least(F.lit(buckets - 1), F.floor((F.col("v") - F.lit(low)) / F.lit(width) * buckets).cast("int"))
-    placed = both.withColumn("bucket", bucket)
-    sums = placed.groupBy("bucket").agg(F.sum("w").alias("n"))
-    before = sums.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = before.agg(F.sum("n").alias("total"))
-    within = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.withColumn("inside", F.coalesce(F.sum("w").over(within), F.lit(0))).join(F.broadcast(before.select("bucket", "before")), "bucket")
-    share = F.try_divide((F.col("before") + F.col("inside")).cast("double"), F.col("total"))
-    ecdf = ranked.join(F.broadcast(total)).select(F.col("v").alias("_v"), share.alias(name))
+    both = own.select("v", F.lit(0).cast("long").alias("w")).unionAll(background.select(F.col(background_score).cast("double").alias("v"), F.lit(1).cast("long").alias("w")))
+    ranked = ranks.running(both.where("v is not null").groupBy("v").agg(F.sum("w").alias("w")), ["v"], sums={"below": F.col("w")})
+    ecdf = ranked.select(F.col("v").alias("_v"), F.try_divide(F.col("below").cast("double"), F.col("total_below")).alias(name))
     return scores.join(ecdf, F.col(score).cast("double") == F.col("_v"), "left").drop("_v")
-
-
-def within_cell(id_a: Column, id_b: Column, draws: int, modulus: int = 2_147_483_647) -> Column:
-    """A seeded, engine-independent hash of two integer ids, below ``draws``."""
-    return F.pmod(F.pmod(id_a * 48271 + id_b * 69621 + 12345, F.lit(modulus)), F.lit(draws))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import sigmoid
+from .ranks import running
 
 
 def _by_score(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
@@ -17,20 +17,16 @@ def _by_score(df: DataFrame, keys: Sequence[str], label: str, score: str) -> Dat
 
 def auroc(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve; ties count one half; null if a class is missing."""
-    t = _by_score(df, keys, label, score)
-    w = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    below = t.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    below = running(_by_score(df, keys, label, score), ["s"], keys, {"below": F.col("n")})
     won = F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0))
     return below.groupBy(*keys).agg(F.try_divide(won, F.sum("p") * F.sum("n").cast("double")).alias("auroc"))
 
 
 def average_precision(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """Sum of precision over steps of recall, scores falling, ties as one step."""
-    t = _by_score(df, keys, label, score)
-    part = Window.partitionBy(*(keys or [F.lit(1)]))
-    w = part.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = t.withColumn("tp", F.sum("p").over(w)).withColumn("all", F.sum(F.col("p") + F.col("n")).over(w)).withColumn("pos", F.sum("p").over(part))
-    return steps.groupBy(*keys).agg(F.sum(F.try_divide(F.col("p").cast("double"), F.col("pos")) * F.col("tp") / F.col("all")).alias("average_precision"))
+    steps = running(_by_score(df, keys, label, score), [F.desc("s")], keys, {"tp": F.col("p"), "all": F.col("p") + F.col("n")})
+    precision = (F.col("tp") + F.col("p")) / (F.col("all") + F.col("p") + F.col("n"))
+    return steps.groupBy(*keys).agg(F.sum(F.try_divide(F.col("p").cast("double"), F.col("total_tp")) * precision).alias("average_precision"))
 
 
 def weighted_log_loss(df: DataFrame, label: str, logit: str, positive_weight: float = 1.0, keys: Sequence[str] = ()) -> DataFrame:
@@ -41,11 +37,6 @@ def weighted_log_loss(df: DataFrame, label: str, logit: str, positive_weight: fl
     return df.groupBy(*keys).agg(F.avg((1 - y) * x + weight * softplus).alias("loss"))
 
 
-def accuracy_at(df: DataFrame, label: str, logit: str, keys: Sequence[str] = ()) -> DataFrame:
-    hit = ((sigmoid(F.col(logit)) >= 0.5).cast("int") == F.col(label)).cast("double")
-    return df.groupBy(*keys).agg(F.avg(hit).alias("accuracy"))
-
-
 def replicate_stats(df: DataFrame, run: Sequence[str], value: str) -> DataFrame:
     """Mean and population deviation over runs of each run's mean."""
     per_run = df.groupBy(*run).agg(F.avg(value).alias("v"))

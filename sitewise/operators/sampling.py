@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .settle import settle
+from .ranks import running
 
 
 def mixed(key: Column, seed: int = 0) -> Column:
@@ -25,20 +25,10 @@ def array_split(rank: Column, total: Column, parts: int) -> Column:
     return F.when(rank < head, F.floor(rank / (q + 1))).otherwise(r + F.floor((rank - head) / F.greatest(q, F.lit(1)))).cast("int")
 
 
-def ranked(df: DataFrame, order: Sequence, keys: Sequence[str] = (), buckets: int = 256) -> DataFrame:
-    """Adds rn (from 0) and total within the keys.
-
-    Without keys, rows are ranked in ranges of the order, and the counts of
-    lower ranges added: no task sees all rows.
-    """
-    if keys:
-        w = Window.partitionBy(*keys)
-        return df.withColumn("rn", F.row_number().over(w.orderBy(*order)) - 1).withColumn("total", F.count("*").over(w))
-    spread = settle(df.repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id()))
-    sizes = spread.groupBy("_p").agg(F.count("*").alias("_n"))
-    base = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("total"))
-    local = spread.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
-    return local.join(F.broadcast(base), "_p").withColumn("rn", F.col("_base") + F.col("_r")).drop("_p", "_r", "_base")
+def ranked(df: DataFrame, order: Sequence, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds rn (from 0) and total within the keys, ranked in ranges of keys and
+    order: no task sees all rows of a key. The order must tell rows apart."""
+    return running(df, order, keys).withColumnRenamed("total_rn", "total")
 
 
 def group_folds(df: DataFrame, group: str, order: str, folds: int) -> DataFrame:
@@ -49,24 +39,56 @@ def group_folds(df: DataFrame, group: str, order: str, folds: int) -> DataFrame:
 
 
 def stratified_folds(df: DataFrame, stratum: str, key: str, folds: int, seed: int = 2) -> DataFrame:
-    """Adds fold: rows of each stratum dealt out in hash order."""
-    w = Window.partitionBy(stratum).orderBy(mixed(F.col(key), seed), key)
-    return df.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(folds)).cast("int"))
+    """Adds fold: rows of each stratum dealt out in hash order, ties by key."""
+    placed = ranked(df, [mixed(F.col(key), seed), key], [stratum])
+    return placed.withColumn("fold", F.pmod("rn", F.lit(folds)).cast("int")).drop("rn", "total")
+
+
+def nested_folds(df: DataFrame, stratum: str, key: str, outer: int = 5, inner: int = 5, seed: int = 2, held_back: int | None = None, positive=1) -> DataFrame:
+    """Outer and inner folds of each stratum: the outer fold a row is tested in,
+    and of every other outer fold the inner one it validates: key, stratum, outer,
+    role (test, train), inner (null for tests) and extra.
+
+    Both folds come from one rank: it is dealt out to the outer folds in turn, and
+    what is left without one of them to the inner folds in turn. With
+    ``held_back``, only so many rows of the ``positive`` stratum, the first by
+    hash, are dealt out; the others are in no fold's training rows but in every
+    outer fold's validation, once (extra true, inner null).
+    """
+    placed = ranked(df.select(key, stratum), [mixed(F.col(key), seed), key], [stratum])
+    spare = (F.col(stratum) == F.lit(positive)) & (F.col("rn") >= held_back) if held_back is not None else F.lit(False)
+    own = F.pmod("rn", F.lit(outer))
+    each = placed.withColumn("extra", F.coalesce(spare, F.lit(False))).withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(outer - 1))))
+    # The rank among the rows that the outer fold does not test.
+    rest = F.floor(F.col("rn") / F.lit(outer)) * (outer - 1) + own - (own > F.col("outer")).cast("long")
+    test = ~F.col("extra") & (own == F.col("outer"))
+    role = F.when(F.col("extra"), "validation").when(test, "test").otherwise("train")
+    inner_fold = F.when(~F.col("extra") & ~test, F.pmod(rest, F.lit(inner)).cast("int"))
+    return each.select(key, stratum, "outer", role.alias("role"), inner_fold.alias("inner"))
 
 
 def take_hashed(df: DataFrame, n: int, key: str, keys: Sequence[str] = (), seed: int = 0) -> DataFrame:
     """n rows of each group, without replacement, the smallest hashes first."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
     if not keys:
         return df.orderBy(mixed(F.col(key), seed), key).limit(n)
+    w = Window.partitionBy(*keys)
     return df.withColumn("_r", F.row_number().over(w.orderBy(mixed(F.col(key), seed), key))).where(F.col("_r") <= n).drop("_r")
 
 
+def _numbered_draws(groups: DataFrame, n: int, at_once: int = 10_000) -> DataFrame:
+    """Each group with draw, the numbers from 0 to n - 1, spread over the tasks."""
+    runs = groups.withColumn("_run", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // at_once))))
+    if n > at_once:
+        runs = runs.repartition(F.xxhash64(*groups.columns, "_run"))
+    first = F.col("_run") * at_once
+    return runs.withColumn("draw", F.explode(F.sequence(first, F.least(first + (at_once - 1), F.lit(n - 1))))).drop("_run")
+
+
 def draws(df: DataFrame, n: int, key: str, keys: Sequence[str], seed: int = 0) -> DataFrame:
     """n draws with replacement from each group's rows: draw and the row's columns."""
     placed = ranked(df, [key], keys)
     sizes = placed.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(key).alias("_k"))
-    picks = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("rn", F.pmod(mixed(F.col("_k") * n + F.col("draw"), seed), F.col("_n")))
+    picks = _numbered_draws(sizes, n).withColumn("rn", F.pmod(mixed(F.col("_k") * n + F.col("draw"), seed), F.col("_n")))
     return picks.select(*keys, "draw", F.col("rn").cast("long")).join(placed.withColumn("rn", F.col("rn").cast("long")).drop("total"), [*keys, "rn"]).drop("rn")
 
 
@@ -77,7 +99,7 @@ def random_pairs(df: DataFrame, n: int, key: str, group: str, seed: int = 0) ->
     """
     placed = ranked(df.select(group, key), [key], [group])
     sizes = placed.groupBy(group).agg(F.count("*").alias("_n"), F.min(key).alias("_k")).where("_n > 1")
-    drawn = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    drawn = _numbered_draws(sizes, n)
     i = F.pmod(mixed(F.col("_k") * n + F.col("draw"), seed), F.col("_n"))
     j = F.pmod(mixed(F.col("_k") * n + F.col("draw"), seed + 1), F.col("_n") - 1)
     drawn = drawn.select(group, "draw", i.cast("long").alias("_i"), F.when(j >= i, j + 1).otherwise(j).cast("long").alias("_j"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .settle import settle
-from .vectors import DIGITS, similarity_join, unit_vectors
+from .vectors import DIGITS, packed, similarity_join, unit_vectors
 
 
 def iterative_search(db: DataFrame, seeds: DataFrame, cutoffs: DataFrame, iterations: int = 3, group: str = "letter", spread_all: bool = False) -> DataFrame:
@@ -20,13 +20,14 @@ def iterative_search(db: DataFrame, seeds: DataFrame, cutoffs: DataFrame, iterat
     frontier (all hits of the round, if ``spread_all``). One row per hit:
     query, id, cos, iter. An empty frontier ends the search.
     """
+    blocks = packed(db, "id", group)  # every round searches the same rows
     frontier = seeds.select("id", "u", group)
     used = seeds.select("id")
     out = None
     for i in range(1, iterations + 1):
         asked = frontier.join(F.broadcast(cutoffs.select(group, "cutoff")), group)
         asked = asked.select(F.col("id").alias("query"), "u", group, "cutoff")
-        hits = settle(similarity_join(asked, db, "cutoff", "query", "id", group).withColumn("iter", F.lit(i)))
+        hits = settle(similarity_join(asked, db, "cutoff", "query", "id", group, blocks=blocks).select("query", "id", "cos").withColumn("iter", F.lit(i)))
         out = hits if out is None else out.unionByName(hits)
         reached = hits.select("id").distinct()
         fresh = settle(reached.join(used, "id", "left_anti"))

@@ -1,8 +1,12 @@
 """Similarity joins and statistics of embedding vectors.
 
-A join scores blocks of one side against blocks of the other by matrix products.
-A block has a bounded number of rows, and each pair of blocks is a task's work of
-its own: nothing is broadcast or sent to the driver, and the plan does not grow.
+A join packs each side into blocks of near vectors and scores block against block
+by matrix products. Blocks meet on a grid of strips: a block of one side goes to
+each strip of the other, so it is copied about as often as the square root of
+the number of tasks, however many blocks the other side has; within a task the
+pairs of blocks stream. A pair of blocks whose centroids are too far apart for
+any of their rows to reach the cutoff is left out (triangle inequality on the
+sphere). Nothing is collected but a bounded number of pivots.
 """
 
 from __future__ import annotations
@@ -16,12 +20,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.columns import doubles, unit
+from .settle import settle
 
-BLOCK_ROWS = 4096
-CHUNK_ROWS = 1024
+#: Rows and components of a block at most.
+BLOCK_ROWS = 1024
+BLOCK_VALUES = 1 << 17
+#: Pairs of blocks that a task scores, on average, once there are tasks enough.
+TASK_PAIRS = 4096
+#: Vectors that rows are sorted by, so that blocks are of near ones. They decide
+#: which blocks can be left out, never what is found.
+PIVOTS = 64
 #: Cosines are compared after rounding to so many digits, so that the order of
 #: a sum's terms does not decide.
 DIGITS = 9
+#: An angle's room for rounding, far above it.
+SLACK = 1e-6
 
 
 def unit_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -29,8 +42,8 @@ def unit_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return df.withColumn("u", unit(doubles(F.col(vector))))
 
 
-def similarity_join(queries: DataFrame, db: DataFrame, cutoff: float | str, query_id: str, db_id: str, group: str | None = None, block_rows: int = BLOCK_ROWS, best: int | None = None, folds: int | None = None) -> DataFrame:
-    """Pairs with a cosine above the cutoff: query_id, db_id, cos.
+def similarity_join(queries: DataFrame, db: DataFrame, cutoff: float | str, query_id: str, db_id: str, group: str | None = None, block_rows: int = BLOCK_ROWS, best: int | None = None, folds: int | None = None, blocks: DataFrame | None = None) -> DataFrame:
+    """Pairs with a cosine above the cutoff: query_id, db_id, cos, and the group.
 
     Both sides have a column u of unit vectors. ``cutoff`` is a number or a
     column of the queries. With ``group``, a column of both sides must agree.
@@ -38,65 +51,177 @@ def similarity_join(queries: DataFrame, db: DataFrame, cutoff: float | str, quer
     length, match nothing. With ``best``, a query keeps of each block its pairs
     of the so many highest cosines, ties included: enough for its nearest rows
     over all blocks; itself, or with ``folds`` its fold (id modulo folds), is none.
+    A side that is searched again and again can be packed once (``blocks``).
     """
     cut = F.lit(float(cutoff)) if not isinstance(cutoff, str) else F.col(cutoff)
-    q_type, d_type = queries.schema[query_id].dataType.simpleString(), db.schema[db_id].dataType.simpleString()
-    q = _grouped(queries, query_id, "q", group).select("q", "u", "g", cut.cast("double").alias("cut"))
-    d = _grouped(db, db_id, "d", group).select("d", F.col("u").alias("v"), F.col("g").alias("h"))
-    n, m = (max(1, -(-x.count() // block_rows)) for x in (q, d))
-    # Every block of one side meets every block of the other in a task of its own.
-    place = lambda c, v, k: F.pmod(F.xxhash64(c, v), F.lit(k)).cast("int")
-    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = q.withColumn("i", place("q", "u", n)).withColumn("j", each(m))
-    right = d.withColumn("l", place("d", "v", m)).withColumn("k", each(n))
-    out = pa.schema([("q", to_arrow_type(queries.schema[query_id].dataType)), ("d", to_arrow_type(db.schema[db_id].dataType)), ("cos", pa.float64())])
-    pairs = left.groupBy("g", "i", "j").cogroup(right.groupBy("h", "k", "l")).applyInArrow(_match(best, folds, out), f"q {q_type}, d {d_type}, cos double")
-    return pairs.withColumnsRenamed({"q": query_id, "d": db_id})
+    pivots = _pivots(db, group)
+    left = _blocks(queries.withColumn("_cut", cut.cast("double")), query_id, group, block_rows, pivots)
+    right = packed(db, db_id, group, block_rows, pivots) if blocks is None else blocks
+    return _scored(left, right, _kind(queries, query_id), _kind(db, db_id), query_id, db_id, group, best=best, folds=folds)
+
+
+def packed(db: DataFrame, db_id: str, group: str | None = None, block_rows: int = BLOCK_ROWS, pivots: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """The blocks of a side that is searched, for ``similarity_join``."""
+    return _blocks(db.withColumn("_cut", F.lit(0.0)), db_id, group, block_rows, _pivots(db, group) if pivots is None else pivots)
+
+
+def similar_pairs(df: DataFrame, cutoff: float, id_col: str, group: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Unordered pairs a < b with a cosine above the cutoff: a, b, cos, and the group.
+
+    Each pair of blocks is scored once. Rows with equal ids are no pair.
+    """
+    blocks = _blocks(df.withColumn("_cut", F.lit(float(cutoff))), id_col, group, block_rows, _pivots(df, group))
+    kind = _kind(df, id_col)
+    found = _scored(blocks, blocks, kind, kind, "_q", "_d", group, once=True)
+    return found.select(F.least("_q", "_d").alias("a"), F.greatest("_q", "_d").alias("b"), "cos", *([group] if group else []))
+
 
+def _kind(df: DataFrame, col: str):
+    return df.schema[col].dataType
 
-def _grouped(df: DataFrame, id_col: str, name: str, group: str | None) -> DataFrame:
-    """``df`` with its id as ``name`` and g, the group and the vector's length."""
+
+def _taking_part(df: DataFrame, group: str | None) -> DataFrame:
     own = df.where(F.col("u").isNotNull() & ~F.exists("u", lambda x: x.isNull()))
-    if group:
-        own = own.where(F.col(group).isNotNull())
-    size = F.size("u").cast("string")
-    return own.withColumn(name, F.col(id_col)).withColumn("g", F.concat_ws(":", size, F.col(group).cast("string")) if group else size)
-
-
-def _match(best: int | None, folds: int | None, schema: pa.Schema):
-    def matrix(t: pa.Table, name: str) -> np.ndarray:
-        flat = t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return flat.reshape(len(t), -1)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return schema.empty_table()
-        q_ids, d_ids = left.column("q").combine_chunks(), right.column("d").combine_chunks()
-        q, d, cut = matrix(left, "u"), matrix(right, "v"), np.round(left.column("cut").to_numpy(), DIGITS)
-        parts = []
-        for lo in range(0, len(q), CHUNK_ROWS):
-            own = slice(lo, lo + CHUNK_ROWS)
-            cos = q[own] @ d.T
-            shown = np.round(cos, DIGITS)
-            ok = shown > cut[own, None]
-            if best is not None:
-                a, b = q_ids.slice(lo, CHUNK_ROWS).to_numpy(zero_copy_only=False), d_ids.to_numpy(zero_copy_only=False)
-                ok &= (a[:, None] != b) if folds is None else (a % folds)[:, None] != b % folds
-                if len(d) > best:
-                    ranked = np.where(ok, shown, -np.inf)
-                    ok &= ranked >= np.partition(ranked, len(d) - best, axis=1)[:, len(d) - best, None]
-            i, j = np.nonzero(ok)
-            parts.append((i + lo, j, cos[i, j]))
-        i, j, cos = (np.concatenate(x) for x in zip(*parts))
-        return pa.table([q_ids.take(pa.array(i)), d_ids.take(pa.array(j)), pa.array(cos)], schema=schema)
-
-    return run
-
-
-def similar_pairs(df: DataFrame, cutoff: float, id_col: str, group: str | None = None) -> DataFrame:
-    """Unordered pairs a < b with a cosine above the cutoff: a, b, cos."""
-    own = df.withColumn("a", F.col(id_col)).withColumn("b", F.col(id_col))
-    return similarity_join(own, own, cutoff, "a", "b", group).where(F.col("a") < F.col("b"))
+    return own.where(F.col(group).isNotNull()) if group else own
+
+
+def _pivots(df: DataFrame, group: str | None) -> dict[int, np.ndarray]:
+    """PIVOTS vectors at most, those with the smallest hashes, by length, each near
+    the one before: what is sorted by their number is sorted by place."""
+    rows = _taking_part(df, group).select("u").orderBy(F.xxhash64("u")).limit(PIVOTS).collect()
+    by: dict[int, list] = {}
+    for r in rows:
+        by.setdefault(len(r["u"]), []).append(r["u"])
+    return {n: _toured(np.array(v)) for n, v in by.items()}
+
+
+def _toured(u: np.ndarray) -> np.ndarray:
+    """From the first vector on always the nearest that is left."""
+    cos, order, left = u @ u.T, [0], set(range(1, len(u)))
+    while left:
+        order.append(max(left, key=lambda j: (cos[order[-1], j], -j)))
+        left.remove(order[-1])
+    return u[order]
+
+
+def _blocks(df: DataFrame, id_col: str, group: str | None, block_rows: int, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """Blocks of near rows of one group: block, size (of a vector), grp, ids, cuts,
+    least (the smallest cutoff), flat (the vectors), center and reach (the angle
+    of its farthest row)."""
+    grp = F.col(group) if group else F.lit(0)
+    rows = _taking_part(df, group).select(grp.alias("grp"), F.size("u").alias("size"), F.col(id_col).alias("id"), F.col("_cut").alias("cut"), "u")
+    g_type, i_type = rows.schema["grp"].dataType, rows.schema["id"].dataType
+
+    def matrix(col) -> np.ndarray:
+        return col.flatten().to_numpy(zero_copy_only=False)
+
+    def near(batches):
+        for b in batches:
+            size = b.column(1).to_numpy()
+            flat, starts = matrix(b.column(4)), np.cumsum(size) - size
+            p, s = np.zeros(len(size), np.int32), np.zeros(len(size))
+            for n, of in pivots.items():
+                own = np.flatnonzero(size == n)
+                if len(own) and n:
+                    cos = flat[starts[own][:, None] + np.arange(n)] @ of.T
+                    p[own], s[own] = cos.argmax(1), cos.max(1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array(s)], [*b.schema.names, "p", "s"])
+
+    def pack(batches):
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 40
+        for b in batches:
+            size, grp = b.column(1).to_numpy(), b.column(0).dictionary_encode().indices.to_numpy()
+            cuts = np.flatnonzero((np.diff(size) != 0) | (np.diff(grp) != 0)) + 1
+            for lo, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(size)]):
+                n = int(size[lo]) if end > lo else 0
+                step = max(1, min(block_rows, BLOCK_VALUES // max(n, 1)))
+                for a in range(lo, end, step):
+                    own = b.slice(a, min(step, end - a))
+                    u = matrix(own.column(4)).reshape(own.num_rows, n)
+                    mean = u.mean(0)
+                    length = float(np.linalg.norm(mean))
+                    center = mean / length if length > 0 else mean
+                    reach = float(np.arccos(np.clip((u @ center).min(), -1, 1))) if length > 0 else float(np.pi)
+                    cut = own.column(3).to_numpy(zero_copy_only=False)
+                    yield pa.RecordBatch.from_pydict({
+                        "block": [block], "size": [n], "grp": own.column(0).slice(0, 1), "ids": pa.ListArray.from_arrays(pa.array([0, own.num_rows], pa.int32()), own.column(2)),
+                        "cuts": [cut.tolist()], "least": [float(np.nanmin(cut)) if not np.isnan(cut).all() else None], "flat": pa.ListArray.from_arrays(pa.array([0, u.size], pa.int32()), pa.array(u.reshape(-1))),
+                        "center": [center.tolist()], "reach": [reach],
+                    }, schema=schema)
+                    block += 1
+
+    g_arrow, i_arrow = to_arrow_type(g_type), to_arrow_type(i_type)
+    schema = pa.schema([("block", pa.int64()), ("size", pa.int32()), ("grp", g_arrow), ("ids", pa.list_(i_arrow)), ("cuts", pa.list_(pa.float64())), ("least", pa.float64()), ("flat", pa.list_(pa.float64())), ("center", pa.list_(pa.float64())), ("reach", pa.float64())])
+    g, i = g_type.simpleString(), i_type.simpleString()
+    placed = rows.mapInArrow(near, f"grp {g}, size int, id {i}, cut double, u array<double>, p int, s double")
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = placed.repartitionByRange(tasks, "grp", "size", "p", "s", "id").sortWithinPartitions("grp", "size", "p", "s", "id")
+    return settle(dealt.mapInArrow(pack, f"block long, size int, grp {g}, ids array<{i}>, cuts array<double>, least double, flat array<double>, center array<double>, reach double"))
+
+
+def strips(left_blocks: int, right_blocks: int, tasks: int) -> tuple[int, int]:
+    """Strips of either side: as many pairs of them as tasks, or as tasks of
+    TASK_PAIRS pairs of blocks, and no more strips than blocks. A left block is
+    copied once per right strip and a right one once per left strip."""
+    wanted = max(tasks, -(-left_blocks * right_blocks // TASK_PAIRS))
+    share = (left_blocks / max(right_blocks, 1)) ** 0.5
+    a = min(max(1, round(wanted**0.5 * share)), max(left_blocks, 1))
+    return a, min(max(1, -(-wanted // a)), max(right_blocks, 1))
+
+
+def block_pairs(left: DataFrame, right: DataFrame, once: bool = False) -> DataFrame:
+    """Pairs of blocks of one group that may hold rows above the cutoff, the
+    columns suffixed 0 and 1; with ``once``, of two equal sides, each pair once."""
+    spark = left.sparkSession
+    a, b = strips(left.count(), right.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    place = lambda k: F.pmod(F.xxhash64("block"), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    one = left.withColumn("i", place(a)).withColumn("j", each(b)).withColumnsRenamed({c: c + "0" for c in left.columns})
+    two = right.withColumn("l", place(b)).withColumn("k", each(a)).withColumnsRenamed({c: c + "1" for c in right.columns})
+    apart = F.acos(F.least(F.greatest(F.aggregate(F.zip_with("center0", "center1", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), F.lit(-1.0)), F.lit(1.0)))
+    closest = F.cos(F.greatest(apart - F.col("reach0") - F.col("reach1") - F.lit(SLACK), F.lit(0.0)))
+    fits = (F.col("grp0") == F.col("grp1")) & (F.col("size0") == F.col("size1")) & (F.col("i") == F.col("k")) & (F.col("j") == F.col("l")) & (closest + F.lit(SLACK) > F.col("least0"))
+    if once:
+        fits = fits & (F.col("block0") <= F.col("block1"))
+    return one.join(two.hint("merge"), fits)
+
+
+def _scored(left: DataFrame, right: DataFrame, q_type, d_type, query_id: str, db_id: str, group: str | None, best: int | None = None, folds: int | None = None, once: bool = False) -> DataFrame:
+    g_type = left.schema["grp"].dataType
+    q, d, g = (t.simpleString() for t in (q_type, d_type, g_type))
+    schema = pa.schema([("q", to_arrow_type(q_type)), ("d", to_arrow_type(d_type)), ("cos", pa.float64()), ("grp", to_arrow_type(g_type))])
+
+    def run(batches):
+        for b in batches:
+            at = {c: b.column(i) for i, c in enumerate(b.schema.names)}
+            for r in range(b.num_rows):
+                n = at["size0"][r].as_py()
+                q_ids, d_ids = at["ids0"][r].values, at["ids1"][r].values
+                u = at["flat0"][r].values.to_numpy(zero_copy_only=False).reshape(len(q_ids), n)
+                v = at["flat1"][r].values.to_numpy(zero_copy_only=False).reshape(len(d_ids), n)
+                cut = np.round(at["cuts0"][r].values.to_numpy(zero_copy_only=False), DIGITS)
+                cos = u @ v.T
+                shown = np.round(cos, DIGITS)
+                ok = shown > cut[:, None]
+                if once:
+                    x, y = q_ids.to_numpy(zero_copy_only=False), d_ids.to_numpy(zero_copy_only=False)
+                    ok &= (x[:, None] < y) if at["block0"][r].as_py() == at["block1"][r].as_py() else (x[:, None] != y)
+                if best is not None:
+                    x, y = q_ids.to_numpy(zero_copy_only=False), d_ids.to_numpy(zero_copy_only=False)
+                    ok &= (x[:, None] != y) if folds is None else (x % folds)[:, None] != y % folds
+                    if len(d_ids) > best:
+                        ranked = np.where(ok, shown, -np.inf)
+                        ok &= ranked >= np.partition(ranked, len(d_ids) - best, axis=1)[:, len(d_ids) - best, None]
+                i, j = np.nonzero(ok)
+                if len(i):
+                    same = pa.array(np.zeros(len(i), np.int32))
+                    yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(i)), d_ids.take(pa.array(j)), pa.array(cos[i, j]), at["grp0"].slice(r, 1).take(same)], schema=schema)
+
+    pairs = block_pairs(left, right, once).select("block0", "block1", "size0", "grp0", "ids0", "ids1", "cuts0", "flat0", "flat1")
+    found = pairs.mapInArrow(run, f"q {q}, d {d}, cos double, grp {g}").withColumnsRenamed({"q": query_id, "d": db_id})
+    return found.withColumnRenamed("grp", group) if group else found.drop("grp")
 
 
 def nearest_vote(df: DataFrame, id_col: str, label: str, k: int = 5, folds: int | None = None) -> DataFrame:

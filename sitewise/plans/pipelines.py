@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import tables
 from ..operators import calibrate, sampling, sequence, spatial, vectors
+from ..operators.settle import settle
 
 Encoder = Callable[[pd.DataFrame], list]
 
@@ -106,10 +107,15 @@ def embed_pocket(atoms: DataFrame, pocket: DataFrame, encoder: Encoder, **option
 
 
 def build_background(db: DataFrame, draws: int = 1_000_000, group: str = "letter", seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Cutoffs and moments by group and for all, of sampled pairs of each group."""
+    """Cutoffs and moments by group and for all, of sampled pairs of each group.
+
+    The pairs of a draw meet their vectors by joins on the row's id; their scores
+    are written once, and no task holds a group's rows or scores.
+    """
     pairs = sampling.random_pairs(db, draws, "id", group, seed)
     side = lambda n: db.select(F.col("id").alias(n), F.col("u").alias("u_" + n))
-    cos = pairs.join(side("a"), "a").join(side("b"), "b").select(group, C.dot(F.col("u_a"), F.col("u_b")).alias("cos"))
+    scored = pairs.join(side("a"), "a").join(side("b"), "b").select(group, C.dot(F.col("u_a"), F.col("u_b")).alias("cos"))
+    cos = settle(scored)
     return calibrate.quantile_cutoffs(cos, [group], combined=True), calibrate.moments(cos, [group], combined=True)
 
 
@@ -117,7 +123,7 @@ def build_site_db(sites: DataFrame, background: DataFrame, group: str = "letter"
     """Sites with mean_cos, std_cos and quantiles (array of p, cutoff) against
     all background vectors of their residue type. Types without one are left out.
     """
-    pairs = vectors.similarity_join(sites, background, -2.0, "site_id", "id", group)
+    pairs = settle(vectors.similarity_join(sites, background, -2.0, "site_id", "id", group).select("site_id", "cos"))
     q = calibrate.quantile_cutoffs(pairs, ["site_id"]).groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("p", "cutoff"))).alias("quantiles"))
     m = calibrate.moments(pairs, ["site_id"]).select("site_id", F.col("mean").alias("mean_cos"), F.col("std").alias("std_cos"))
     return sites.join(m, "site_id").join(q, "site_id")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import calibrate, metrics, sampling, search, vectors
+from ..operators import calibrate, metrics, ranks, sampling, search, vectors
+from ..operators.settle import settle
 from ..registry import query
 from .standins import DB_SQL, site_db, table
 
@@ -19,9 +20,7 @@ LEVELS = (0.01, 0.005, 0.001, 0.0001)
 
 
 def _label_pairs(spark, sf_dir):
-    db = site_db(spark, sf_dir)
-    pairs = vectors.similar_pairs(db, -2.0, "id", "letter")
-    return pairs.join(db.select(F.col("id").alias("a"), "letter"), "a")
+    return vectors.similar_pairs(site_db(spark, sf_dir), -2.0, "id", "letter")
 
 
 @query("unit_normalize", f"""WITH {DB_SQL}
@@ -44,7 +43,7 @@ def cosine_pairs(spark, sf_dir):
 def cosine_range_search(spark, sf_dir):
     db = site_db(spark, sf_dir)
     q = db.where("id % 50 = 0").withColumnRenamed("id", "query")
-    return vectors.similarity_join(q, db, 0.2, "query", "id", "letter").withColumn("cos", F.round("cos", 6))
+    return vectors.similarity_join(q, db, 0.2, "query", "id", "letter").select("query", "id", F.round("cos", 6).alias("cos"))
 
 
 @query("knn_vote", f"""WITH {DB_SQL}, near AS (
@@ -88,6 +87,33 @@ def background_moments(spark, sf_dir):
     return m.select("letter", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
 
 
+DRAWN_SQL = f"""{DB_SQL}, p AS (
+        SELECT id, letter, e, row_number() OVER (PARTITION BY letter ORDER BY id) - 1 AS rn, count(*) OVER (PARTITION BY letter) AS n, min(id) OVER (PARTITION BY letter) AS k FROM db
+    ), g AS (SELECT DISTINCT letter, n, k FROM p WHERE n > 1), d AS (
+        SELECT letter, n, t.i AS draw, ((((k * 3000 + t.i) * 48271 + 11) % 2147483647) * 69621 + 1) % 2147483647 % n AS i,
+               ((((k * 3000 + t.i) * 48271 + 7930) % 2147483647) * 69621 + 1) % 2147483647 % (n - 1) AS j
+        FROM g, range(3000) t(i)
+    ), drawn AS (
+        SELECT d.letter, list_cosine_similarity(a.e, b.e) AS cos
+        FROM d JOIN p a ON a.letter = d.letter AND a.rn = d.i JOIN p b ON b.letter = d.letter AND b.rn = CASE WHEN d.j >= d.i THEN d.j + 1 ELSE d.j END
+    )"""
+GRID_SQL = f"grid AS (SELECT unnest({list(map(float, calibrate.P_VALUES))}::DOUBLE[]) AS p, unnest(range(1, {len(calibrate.P_VALUES) + 1})) AS i)"
+GRID_LEVELS = [1 - p for p in calibrate.P_VALUES]
+
+
+@query("build_background", f"""WITH {DRAWN_SQL}, {GRID_SQL}, q AS (
+        SELECT letter, quantile_cont(cos, {GRID_LEVELS}) AS q, avg(cos) AS mean, stddev_pop(cos) AS std, count(*) AS n FROM drawn GROUP BY GROUPING SETS ((letter), ())
+    ) SELECT letter, p, round(q[i], 6) AS cutoff, round(mean, 6) AS mean, round(std, 6) AS std, n FROM q, grid""")
+def build_background(spark, sf_dir):
+    """The background of sampled pairs: every quantile of the grid, by type and for all."""
+    from .pipelines import build_background as build
+
+    cutoffs, moments = build(site_db(spark, sf_dir), draws=3000)
+    m = moments.withColumnRenamed("letter", "l")
+    both = cutoffs.join(m, F.col("letter").eqNullSafe(F.col("l")))
+    return both.select("letter", "p", *[F.round(c, 6).alias(c) for c in ("cutoff", "mean", "std")], "n")
+
+
 SITE_BG_SQL = f"""{DB_SQL}, s AS (
     SELECT s.id AS site_id, list_cosine_similarity(s.e, b.e) AS cos FROM db s JOIN db b ON s.letter = b.letter WHERE s.id % 3 = 0 AND b.id % 3 <> 0
 )"""
@@ -102,10 +128,23 @@ def _site_background(spark, sf_dir):
 @query("site_background", f"""WITH {SITE_BG_SQL}
     SELECT site_id, round(avg(cos), 6) AS mean_cos, round(stddev_pop(cos), 6) AS std_cos, round(quantile_cont(cos, 0.99), 6) AS q99, round(quantile_cont(cos, 0.999), 6) AS q999 FROM s GROUP BY site_id""")
 def site_background(spark, sf_dir):
-    s = _site_background(spark, sf_dir)
-    q = F.percentile("cos", F.array(F.lit(0.99), F.lit(0.999)))
-    out = s.groupBy("site_id").agg(F.avg("cos").alias("m"), F.stddev_pop("cos").alias("d"), q.alias("q"))
-    return out.select("site_id", F.round("m", 6).alias("mean_cos"), F.round("d", 6).alias("std_cos"), F.round(F.col("q")[0], 6).alias("q99"), F.round(F.col("q")[1], 6).alias("q999"))
+    s = settle(_site_background(spark, sf_dir).select("site_id", "cos"))
+    at = lambda x: F.round(F.max(F.when(F.col("level") == x, F.col("quantile"))), 6)
+    q = ranks.quantiles(s, ["site_id"], "cos", [0.99, 0.999]).groupBy("site_id").agg(at(0.99).alias("q99"), at(0.999).alias("q999"))
+    out = s.groupBy("site_id").agg(F.round(F.avg("cos"), 6).alias("mean_cos"), F.round(F.stddev_pop("cos"), 6).alias("std_cos"))
+    return out.join(q, "site_id")
+
+
+@query("build_site_db", f"""WITH {SITE_BG_SQL}, {GRID_SQL}, q AS (SELECT site_id, quantile_cont(cos, {GRID_LEVELS}) AS q, avg(cos) AS mean, stddev_pop(cos) AS std FROM s GROUP BY site_id)
+    SELECT site_id, letter, round(mean, 6) AS mean_cos, round(std, 6) AS std_cos, p, round(q.q[i], 6) AS cutoff FROM q JOIN db ON db.id = q.site_id, grid""")
+def build_site_db(spark, sf_dir):
+    """Every site with its own cutoffs over the whole grid."""
+    from .pipelines import build_site_db as build
+
+    db = site_db(spark, sf_dir)
+    built = build(db.where("id % 3 = 0").withColumnRenamed("id", "site_id"), db.where("id % 3 <> 0"))
+    flat = built.select("site_id", "letter", "mean_cos", "std_cos", F.explode("quantiles").alias("q"))
+    return flat.select("site_id", "letter", *[F.round(c, 6).alias(c) for c in ("mean_cos", "std_cos")], "q.p", F.round("q.cutoff", 6).alias("cutoff"))
 
 
 def _round(i: int) -> str:
@@ -123,9 +162,9 @@ SEARCH_SQL = f"""{PAIRS_SQL}, cut AS (SELECT letter, quantile_cont(cos, 0.99) AS
     hits AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3)"""
 
 
-def _hits(spark, sf_dir, iterations=3):
+def _hits(spark, sf_dir, pairs, iterations=3):
     db = site_db(spark, sf_dir)
-    cutoffs = calibrate.quantile_cutoffs(_label_pairs(spark, sf_dir), ["letter"], p_values=[0.01])
+    cutoffs = calibrate.quantile_cutoffs(pairs, ["letter"], p_values=[0.01])
     return search.iterative_search(db, db.where("id = 7"), cutoffs, iterations), db
 
 
@@ -137,9 +176,10 @@ def _hits(spark, sf_dir, iterations=3):
     FROM one o LEFT JOIN nation n ON n.n_nationkey = o.pdb % 30""")
 def iterative_site_search(spark, sf_dir):
     """Seed, search rounds, first hit by structure, percentile, metadata."""
-    hits, db = _hits(spark, sf_dir)
+    pairs = settle(_label_pairs(spark, sf_dir))  # once, for cutoffs and percentiles
+    hits, db = _hits(spark, sf_dir, pairs)
     one = search.first_hits(hits.join(db.select("id", "pdb"), "id"), "pdb", ["iter", "query", "id"])
-    background = _label_pairs(spark, sf_dir).withColumn("cos", F.round("cos", vectors.DIGITS))
+    background = pairs.withColumn("cos", F.round("cos", vectors.DIGITS))
     scored = calibrate.percentile_scores(one.withColumn("cos", F.round("cos", vectors.DIGITS)), background)
     meta = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("description"))
     out = scored.join(meta, (F.col("pdb") % 30) == F.col("k"), "left")
@@ -148,7 +188,7 @@ def iterative_site_search(spark, sf_dir):
 
 @query("search_hits_by_iteration", f"""WITH {SEARCH_SQL} SELECT iter, query, id, round(cos, 6) AS cos FROM hits""")
 def search_hits_by_iteration(spark, sf_dir):
-    return _hits(spark, sf_dir)[0].select("iter", "query", "id", F.round("cos", 6).alias("cos"))
+    return _hits(spark, sf_dir, _label_pairs(spark, sf_dir))[0].select("iter", "query", "id", F.round("cos", 6).alias("cos"))
 
 
 LABEL_SQL = "CASE WHEN letter = (SELECT letter FROM db WHERE id = 7) THEN CASE WHEN id % 3 = 0 THEN 'FN' ELSE 'TP' END ELSE CASE WHEN id % 3 = 0 THEN 'FP' ELSE 'TN' END END"
@@ -198,7 +238,7 @@ def search_metrics(spark, sf_dir):
     FROM pairs GROUP BY ALL""")
 def annotate_sites(spark, sf_dir):
     db = site_db(spark, sf_dir).withColumn("code", F.lpad(F.col("pdb").cast("string"), 4, "0"))
-    own = _site_background(spark, sf_dir).groupBy("site_id").agg(F.percentile("cos", F.lit(0.98)).alias("site_cutoff"))
+    own = ranks.quantiles(_site_background(spark, sf_dir), ["site_id"], "cos", [0.98]).select("site_id", F.col("quantile").alias("site_cutoff"))
     sites = db.select(F.col("id").alias("site_id"), F.col("code").alias("pdb"), F.col("id").cast("string").alias("resid"), F.col("letter").cast("string").alias("site"), (F.col("id") % 2).cast("string").alias("source"), "u").join(own, "site_id")
     residues = db.where("id % 3 <> 0").select(F.col("id").alias("res_id"), F.col("code").alias("pdb"), F.concat_ws("_", F.col("letter").cast("string"), F.col("id").cast("string")).alias("chain_resid"), "u")
     return search.annotate(residues, sites, 0.15).withColumn("evidence", F.array_join("evidence", ", "))
