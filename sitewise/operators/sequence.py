@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import residue_to_letter
+from .ranks import running
 
 GAP = "-"
 
@@ -55,11 +56,10 @@ def alignment_cells(df: DataFrame, keys: Sequence[str], seq: str, width: Column
 
 def column_entropy(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Shannon entropy (bits) and conservation 1 / (1 + H) of each column; gaps don't count, an all-gap column has entropy 0."""
-    counts = cells.groupBy(*keys, "col", "ch").agg(F.count("*").alias("n")).withColumn("n", F.when(F.col("ch") != GAP, F.col("n")))
-    total = counts.groupBy(*keys, "col").agg(F.sum("n").alias("t"))
-    p = F.col("n") / F.col("t")
-    h = counts.join(total, [*keys, "col"]).groupBy(*keys, "col").agg(F.coalesce(-F.sum(p * F.log2(p)), F.lit(0.0)).alias("entropy"))
-    return h.withColumn("conservation", 1 / (F.col("entropy") + 1))
+    counts = cells.where(F.col("ch").isNotNull()).groupBy(*keys, "col", "ch").agg(F.count("*").alias("n")).withColumn("n", F.when(F.col("ch") != GAP, F.col("n")))
+    sums = counts.groupBy(*keys, "col").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2(F.col("n").cast("double"))).alias("s"))
+    h = F.greatest(F.coalesce(F.log2(F.col("t").cast("double")) - F.col("s") / F.col("t"), F.lit(0.0)), F.lit(0.0))
+    return sums.select(*keys, "col", h.alias("entropy")).withColumn("conservation", 1 / (F.col("entropy") + 1))
 
 
 def ungapped_positions(cells: DataFrame, row: Sequence[str]) -> DataFrame:
@@ -116,11 +116,98 @@ def chain_sequences(residues: DataFrame, keys: Sequence[str], order: str, resnam
     return grouped.select(*keys, F.array_join(F.transform("rows", lambda s: s["l"]), "").alias("sequence"), F.transform("rows", lambda s: F.concat(s["l"], s["r"])).alias("resids"), F.size("rows").alias("n"))
 
 
-def match_records(sequences: DataFrame, records: DataFrame, key: str, record_id: str, order: str) -> DataFrame:
-    """For each sequence the first record whose id contains its key."""
-    pairs = sequences.join(records, F.contains(F.col(record_id), F.col(key)))
-    w = Window.partitionBy(key).orderBy(order)
-    return pairs.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+def _grams(c: Column, n: int) -> Column:
+    """The different runs of n characters of a text."""
+    return F.array_distinct(F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.expr("cast(array() as array<string>)")))
+
+
+def match_records(sequences: DataFrame, records: DataFrame, key: str, record_id: str, order: str, gram: int = 4) -> DataFrame:
+    """For each sequence the first record whose id contains its key, with the
+    columns of both sides.
+
+    Ids are indexed by their runs of ``gram`` characters (shorter ones too, if a
+    key is shorter). A key is looked up under the run of its own that the fewest
+    ids have, and what is found there is compared in full. A null key or id
+    matches nothing, an empty key every id.
+    """
+    keys = sequences.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull()).distinct()
+    sized = keys.withColumn("_size", F.least(F.length("_key"), F.lit(gram)))
+    ids = records.select(F.col(record_id).alias("_rid"), F.struct(*[F.col(c) for c in records.columns]).alias("_rec"), F.col(order).alias("_ord")).where(F.col("_rid").isNotNull())
+    sizes = [r["_size"] for r in sized.select("_size").distinct().collect()]  # ``gram`` + 1 numbers at most
+    grams = [n for n in sizes if n] or [gram]
+    listed = F.array_distinct(F.flatten(F.array(*[_grams(F.col("_rid"), n) for n in grams])))
+    index = ids.select(F.explode(listed).alias("_gram"), "_rid", "_rec", "_ord")
+    of_key = F.coalesce(*[F.when(F.col("_size") == n, _grams(F.col("_key"), n)) for n in grams])
+    probes = sized.where("_size > 0").select("_key", F.explode(of_key).alias("_gram"))
+    common = index.groupBy("_gram").agg(F.count("*").alias("_n"))
+    rarest = probes.join(common, "_gram", "left").groupBy("_key").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("p"))
+    chosen = rarest.where("p.n > 0").select("_key", F.col("p.gram").alias("_gram"))
+    hits = chosen.join(index, "_gram").where(F.contains("_rid", "_key")).groupBy("_key").agg(F.min_by("_rec", F.struct("_ord", "_rid")).alias("_rec"))
+    if 0 in sizes:
+        first = ids.groupBy().agg(F.min_by("_rec", F.struct("_ord", "_rid")).alias("_rec")).where("_rec IS NOT NULL")
+        hits = hits.unionByName(first.select(F.lit("").alias("_key"), "_rec"))
+    return sequences.join(hits, F.col(key) == F.col("_key")).select(*[sequences[c] for c in sequences.columns], "_rec.*")
+
+
+def close_records(records: DataFrame, id_col: str, seq: str, edits: int, gram: int = 3) -> DataFrame:
+    """Unordered pairs a < b of records at most ``edits`` edits apart, with the
+    edit distance and its share of the longer one.
+
+    An edit spoils ``gram`` runs of a text at most, so of any gram * edits + 1 of
+    its runs (told apart by how often they came before) one is left in a near
+    text: the rarest are looked up. Texts with fewer runs can be near anything
+    of about their length: they meet by length. Lengths differ by ``edits`` at
+    most. Null texts are near nothing.
+    """
+    own = records.select(F.col(id_col).alias("id"), F.col(seq).alias("s")).where(F.col("s").isNotNull()).withColumn("len", F.length("s"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.col("len") - (gram - 1), F.lit(1))), lambda i: F.substring(F.col("s"), i, F.lit(gram)))
+    kept = gram * edits + 1
+    long = F.col("len") - (gram - 1) >= kept
+    listed = own.where(long).select("id", "s", "len", F.posexplode(runs).alias("_i", "_g"))
+    # The second, third ... time a run stands in a text it counts as another one.
+    again = Window.partitionBy("id", "s", "_g").orderBy("_i")
+    listed = listed.withColumn("_t", F.row_number().over(again)).drop("_i")
+    common = listed.groupBy("_g", "_t").agg(F.count("*").alias("_n"))
+    rare = Window.partitionBy("id", "s").orderBy("_n", "_g", "_t")
+    # All texts order their runs alike, so of two near ones the rarest meet.
+    probes = listed.join(common, ["_g", "_t"]).withColumn("_r", F.row_number().over(rare)).where(F.col("_r") <= kept)
+    short = own.where(~long).select("id", "s", "len")
+    side = lambda d, x: d.withColumnsRenamed({c: c + x for c in d.columns})
+    one, two = (side(probes.select("id", "s", "len", "_g", "_t"), x) for x in "12")
+    met = one.join(two, (F.col("_g1") == F.col("_g2")) & (F.col("_t1") == F.col("_t2")) & (F.col("id1") < F.col("id2")) & (F.abs(F.col("len1") - F.col("len2")) <= edits))
+    by_length = side(own.withColumn("at", F.explode(F.sequence(F.col("len") - edits, F.col("len") + edits))), "2")
+    few = side(short, "1").join(by_length, F.col("len1") == F.col("at2")).where("id1 <> id2")
+    pairs = met.select("id1", "s1", "id2", "s2").unionByName(few.select("id1", "s1", "id2", "s2"))
+    first = F.col("id1") < F.col("id2")
+    pairs = pairs.select(F.least("id1", "id2").alias("a"), F.when(first, F.col("s1")).otherwise(F.col("s2")).alias("x"), F.greatest("id1", "id2").alias("b"), F.when(first, F.col("s2")).otherwise(F.col("s1")).alias("y")).distinct()
+    near = pairs.withColumn("edits", F.levenshtein("x", "y")).where(F.col("edits") <= edits)
+    return near.select("a", "b", "edits", F.coalesce(F.try_divide(F.col("edits").cast("double"), F.greatest(F.length("x"), F.length("y"))), F.lit(0.0)).alias("distance"))
+
+
+def scheduled_average(df: DataFrame, keys: Sequence[str], order: Sequence, value: str, beta: float, period: float = 5000.0) -> DataFrame:
+    """An exponential average along each group whose decay changes with the steps:
+    keys and state.
+
+    The first value is the first state. At step k (from 1) the share of the new
+    value is multiplied by (cos(pi k / period) + 1) / 2, from 1 - ``beta`` on, and
+    the state is beta * state + (1 - beta) * value. Such steps compose, so a
+    value's weight is a product of decays, which is a difference of running sums
+    of logarithms: many tasks share a long group. The order must tell rows apart.
+    """
+    own = df.select(*keys, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(value).cast("double").alias("_v"))
+    by = [f"_o{i}" for i in range(len(order))]
+    steps = running(own, by, keys, {"k": F.lit(1).cast("long")}).drop("total_k")
+    factor = (F.cos(F.lit(math.pi) * F.col("k") / F.lit(float(period))) + 1) / 2
+    shrink = F.when((F.col("k") > 0) & (factor > 0), F.ln(factor)).otherwise(F.lit(0.0))
+    ended = ((F.col("k") > 0) & (factor <= 0)).cast("long")
+    shares = running(steps.withColumns({"_c": shrink, "_e": ended}), by, keys, {"c": F.col("_c"), "e": F.col("_e")})
+    share = F.when(F.col("e") + F.col("_e") > 0, F.lit(0.0)).otherwise((1 - F.lit(float(beta))) * F.exp(F.col("c") + F.col("_c")))
+    shares = shares.select(*keys, *by, "_v", "k", share.alias("_w")).withColumn("_b", F.when(F.col("k") > 0, 1 - F.col("_w")).otherwise(F.lit(1.0)))
+    decays = {"b": F.when(F.col("_b") > 0, F.ln("_b")).otherwise(F.lit(0.0)), "z": (F.col("_b") <= 0).cast("long")}
+    last = running(shares.withColumns({"_lb": decays["b"], "_lz": decays["z"]}), by, keys, {"b": F.col("_lb"), "z": F.col("_lz")})
+    later = F.when(F.col("total_z") > F.col("z") + F.col("_lz"), F.lit(0.0)).otherwise(F.exp(F.col("total_b") - F.col("b") - F.col("_lb")))
+    weight = F.when(F.col("k") == 0, F.lit(1.0)).otherwise(F.col("_w")) * later
+    return last.groupBy(*keys).agg(F.sum(weight * F.col("_v")).alias("state"))
 
 
 def ordered_fold(df: DataFrame, keys: Sequence[str], order: str, value: str, start: float, step) -> DataFrame:

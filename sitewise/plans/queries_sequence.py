@@ -165,6 +165,26 @@ def ema_schedule(spark, sf_dir):
     return sequence.ordered_fold(e, ["user_id"], "o", "value", 0.0, lambda s, v: s * 0.9 + v * 0.1).withColumn("state", F.round("state", 6))
 
 
+@query("ema_decaying_schedule", """WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events),
+    f AS (SELECT user_id, k, value AS s, CAST(0.1 AS DOUBLE) AS w FROM o WHERE k = 0
+        UNION ALL SELECT f.user_id, o.k, f.s * (1 - f.w * (cos(pi() * o.k / 60) + 1) / 2) + f.w * (cos(pi() * o.k / 60) + 1) / 2 * o.value, f.w * (cos(pi() * o.k / 60) + 1) / 2 FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)
+    SELECT user_id, round(arg_max(s, k), 6) AS state FROM f GROUP BY user_id""")
+def ema_decaying_schedule(spark, sf_dir):
+    """The average with a decay that changes along every user's events."""
+    e = table(spark, sf_dir, "events")
+    return sequence.scheduled_average(e, ["user_id"], ["ts", "event_id"], "value", beta=0.9, period=60.0).withColumn("state", F.round("state", 6))
+
+
+@query("close_records", """WITH r AS (SELECT p_partkey AS id, p_name || ' ' || p_partkey AS s FROM part)
+    SELECT a.id AS a, b.id AS b, CAST(levenshtein(a.s, b.s) AS INTEGER) AS edits, round(levenshtein(a.s, b.s) / CAST(greatest(length(a.s), length(b.s)) AS DOUBLE), 6) AS distance
+    FROM r a JOIN r b ON a.id < b.id WHERE levenshtein(a.s, b.s) <= 2""")
+def close_records(spark, sf_dir):
+    """All pairs of records within two edits, found by their rarest runs."""
+    p = table(spark, sf_dir, "part")
+    rows = p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("s"))
+    return sequence.close_records(rows, "id", "s", 2).withColumn("distance", F.round("distance", 6))
+
+
 @query("running_mean", "SELECT event_id, user_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 10) AS mean FROM events")
 def running_mean(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)

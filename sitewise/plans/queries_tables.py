@@ -57,6 +57,16 @@ def subsample_positives(spark, sf_dir):
     return table(spark, sf_dir, "labels").select("doc_id", "quality", part.alias("part"))
 
 
+@query("nested_folds", f"""WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {H.format(k='doc_id', s=2 * 7919 + 11)}, doc_id) - 1 AS rn FROM labels), o AS (SELECT CAST(unnest(range(5)) AS INTEGER) AS outer_fold),
+    x AS (SELECT *, quality = 1 AND rn >= 100 AS extra, rn % 5 AS own FROM r, o)
+    SELECT doc_id, quality, outer_fold, CASE WHEN extra THEN 'validation' WHEN own = outer_fold THEN 'test' ELSE 'train' END AS role,
+           CAST(CASE WHEN NOT extra AND own <> outer_fold THEN (rn // 5 * 4 + own - CASE WHEN own > outer_fold THEN 1 ELSE 0 END) % 5 END AS INTEGER) AS inner_fold FROM x""")
+def nested_folds(spark, sf_dir):
+    """Outer and inner folds of one rank; positives beyond 100 join every validation."""
+    out = sampling.nested_folds(table(spark, sf_dir, "labels"), "quality", "doc_id", 5, 5, held_back=100)
+    return out.withColumnsRenamed({"outer": "outer_fold", "inner": "inner_fold"})
+
+
 @query("residue_sample", """WITH p AS (SELECT l_orderkey % 20 AS g, l_partkey AS k, row_number() OVER (PARTITION BY l_orderkey % 20 ORDER BY l_partkey) - 1 AS rn, count(*) OVER (PARTITION BY l_orderkey % 20) AS n, min(l_partkey) OVER (PARTITION BY l_orderkey % 20) AS lo FROM (SELECT DISTINCT l_orderkey % 20 AS l_orderkey, l_partkey FROM lineitem)),
     d AS (SELECT DISTINCT g, n, lo FROM p) SELECT d.g, CAST(t.i AS INTEGER) AS draw, p.k FROM d, range(5) t(i), p WHERE p.g = d.g AND p.rn = """ + H.format(k="d.lo * 5 + t.i", s=11) + " % d.n")
 def residue_sample(spark, sf_dir):
