@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .ranks import running
 
 
-def mixed(key: Column, seed: int = 0) -> Column:
+def mixed(key: Column, seed: int | Column = 0) -> Column:
     """An integer hash that any SQL engine can compute: two rounds modulo a prime."""
     p = 2_147_483_647
     one = F.pmod(key.cast("long") * 48271 + (seed * 7919 + 11), F.lit(p))
@@ -108,6 +108,37 @@ def random_pairs(df: DataFrame, n: int, key: str, group: str, seed: int = 0) ->
     return left.join(row.select(group, F.col("rn").alias("_j"), F.col(key).alias("b")), [group, "_j"]).select(group, "draw", "a", "b")
 
 
+def drawn_negatives(left: DataFrame, right: DataFrame, positives: DataFrame, wanted: DataFrame, residue: Sequence[str], keys: Sequence[str], seed: int = 0, start: Column | None = None) -> DataFrame:
+    """``wanted`` (keys, wanted) pairs of each group that are no positive ones, or
+    all there are: keys and the residue's columns, suffixed 0 and 1.
+
+    A pair has a number: that of its left residue times the right ones, plus that
+    of its right one. Numbers are drawn in steps of a prime that doesn't divide
+    their count, so none comes twice: as many as are wanted and positive hold
+    enough negative ones. No product of the sides is made.
+    """
+    primes = (2_147_483_647, 48_271, 69_623)
+    sides, sizes = [], wanted
+    for side, x in (("0", left), ("1", right)):
+        own = ranked(x.select(*keys, *residue).distinct(), residue, keys)
+        sides.append(own.select(*keys, *[F.col(c).alias(c + side) for c in residue], F.col("rn").alias("_r" + side)))
+        sizes = sizes.join(own.groupBy(*keys).agg(F.count("*").alias("_n" + side)), list(keys))
+    known = positives.select(*keys, *[c + s for s in "01" for c in residue]).distinct()
+    sizes = sizes.join(known.groupBy(*keys).agg(F.count("*").alias("_pos")), list(keys), "left").fillna(0, ["_pos"])
+    total = F.col("_n0") * F.col("_n1")
+    sizes = sizes.withColumn("wanted", F.least(F.col("wanted"), total - F.col("_pos")))
+    draws_ = sizes.where("wanted > 0").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("wanted") + F.col("_pos") - 1)))
+    step = F.coalesce(*[F.when(total % p != 0, F.lit(p).cast("long")) for p in primes], F.lit(1).cast("long"))
+    if start is None:
+        start = F.pmod(F.xxhash64(*keys), F.lit(1_000_003)) if keys else F.lit(0)
+    place = F.pmod(step * F.col("_i") + mixed(start, seed), total)
+    placed = draws_.select(*keys, "wanted", "_i", F.floor(place / F.col("_n1")).alias("_r0"), F.pmod(place, F.col("_n1")).alias("_r1"))
+    pairs = placed.join(sides[0], [*keys, "_r0"]).join(sides[1], [*keys, "_r1"])
+    free = pairs.join(known, [*keys, *[c + s for s in "01" for c in residue]], "left_anti")
+    first = Window.partitionBy(*keys).orderBy("_i")
+    return free.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= F.col("wanted")).select(*keys, *[c + s for s in "01" for c in residue])
+
+
 def label_sample(positives: DataFrame, negatives: DataFrame, key: str, n: int = 10, ratio: int = 1, seed: int = 0) -> DataFrame:
     """Up to n positives and ratio times as many negatives, with label 1 and 0."""
     pos = take_hashed(positives, n, key, seed=seed).withColumn("label", F.lit(1))

@@ -38,6 +38,57 @@ def iterative_search(db: DataFrame, seeds: DataFrame, cutoffs: DataFrame, iterat
     return out
 
 
+def search_grid(db: DataFrame, seeds: DataFrame, cutoffs: dict[float, float], iterations: int = 5) -> DataFrame:
+    """Searches of many samples at many cutoffs at once: sample, p, iter, id and
+    n_query, the number of rows that the round asked with.
+
+    ``seeds`` has sample and id; ``cutoffs`` gives p-values their cosine. All hits
+    of a round are the next frontier. A round is one similarity join whatever the
+    number of searches: each frontier row is asked once, at the lowest cutoff of
+    those that ask it, and its hits go to the searches whose cutoff they pass.
+    """
+    blocks = packed(db, "id")
+    grid = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(float(c)).alias("cutoff")) for p, c in cutoffs.items()])).alias("g")
+    frontier = seeds.select("sample", "id", grid).select("sample", "g.p", "g.cutoff", "id").distinct()
+    run, out = ["sample", "p", "cutoff"], None
+    for i in range(1, iterations + 1):
+        asked = frontier.groupBy("id").agg(F.min("cutoff").alias("cutoff")).join(db.select("id", "u"), "id").withColumnRenamed("id", "query")
+        hits = similarity_join(asked, db, "cutoff", "query", "id", blocks=blocks).select("query", "id", "cos")
+        reached = frontier.withColumnRenamed("id", "query").join(hits, "query").where(F.round("cos", DIGITS) > F.round("cutoff", DIGITS))
+        reached = settle(reached.select(*run, "id").distinct())
+        size = frontier.groupBy(*run).agg(F.count("*").alias("n_query"))
+        found = settle(reached.join(size, run).select("sample", "p", F.lit(i).alias("iter"), "id", "n_query"))
+        out = found if out is None else out.unionByName(found)
+        frontier = reached
+    return out
+
+
+def grid_metrics(found: DataFrame, truth: DataFrame, iterations: int = 5) -> DataFrame:
+    """Of each search and round, over the ids found so far: recall, recall of TP,
+    shares of the structures with a FN or FP that were hit, precision, n_query.
+
+    A structure is hit if any of its rows is found. Shares without a denominator
+    are null.
+    """
+    pdbs = truth.groupBy("pdb").agg(F.max((F.col("label") == "FN").cast("int")).alias("has_fn"), F.max((F.col("label") == "FP").cast("int")).alias("has_fp"))
+    marked = truth.join(pdbs, "pdb")
+    pos = F.col("label").isin("TP", "FN")
+    sizes = marked.agg(
+        F.count(F.when(pos, 1)).alias("n_pos"), F.count(F.when(F.col("label") == "TP", 1)).alias("n_tp"),
+        F.countDistinct(F.when(F.col("has_fn") == 1, F.col("pdb"))).alias("n_fn"), F.countDistinct(F.when(F.col("has_fp") == 1, F.col("pdb"))).alias("n_fp"),
+    )
+    rounds = found.groupBy("sample", "p", "iter").agg(F.max("n_query").alias("n_query"))
+    seen = found.groupBy("sample", "p", "id").agg(F.min("iter").alias("first"))
+    so_far = seen.withColumn("iter", F.explode(F.sequence(F.col("first"), F.lit(iterations)))).drop("first")
+    got = so_far.join(marked, "id").groupBy("sample", "p", "iter").agg(
+        F.count("*").alias("n_found"), F.count(F.when(pos, 1)).alias("hit_pos"), F.count(F.when(F.col("label") == "TP", 1)).alias("hit_tp"),
+        F.countDistinct(F.when(F.col("has_fn") == 1, F.col("pdb"))).alias("hit_fn"), F.countDistinct(F.when(F.col("has_fp") == 1, F.col("pdb"))).alias("hit_fp"),
+    )
+    r = rounds.join(got, ["sample", "p", "iter"]).join(F.broadcast(sizes))
+    share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b))
+    return r.select("sample", "p", "iter", "n_query", "n_found", share("hit_pos", "n_pos").alias("recall"), share("hit_tp", "n_tp").alias("tp_recall"), share("hit_fn", "n_fn").alias("fn_recall"), share("hit_fp", "n_fp").alias("fp_rate"), share("hit_pos", "n_found").alias("precision"))
+
+
 def first_hits(hits: DataFrame, key: str, order: Sequence) -> DataFrame:
     """The first hit of each key in the given order."""
     w = Window.partitionBy(key).orderBy(*order)
@@ -80,4 +131,4 @@ def annotate(residues: DataFrame, sites: DataFrame, cutoff: float) -> DataFrame:
     return rows.groupBy("query_pdb", "site", "source", "chain_resid").agg(F.countDistinct(evidence).alias("n_hits"), F.countDistinct("pdb").alias("n_pdbs"), F.sort_array(F.collect_set(evidence)).alias("evidence"))
 
 
-__all__ = ["annotate", "first_hits", "iterative_search", "search_metrics", "unit_vectors"]
+__all__ = ["annotate", "first_hits", "grid_metrics", "iterative_search", "search_grid", "search_metrics", "unit_vectors"]

@@ -112,10 +112,11 @@ def ca_centers(atoms: DataFrame, residue: Sequence[str], order: str = "atom_idx"
     return atoms.where(F.col(name) == "CA").groupBy(*residue).agg(first).select(*residue, "c.x", "c.y", "c.z")
 
 
-def interface_pairs(left: DataFrame, right: DataFrame, cutoff: float, residue: Sequence[str], distinct: bool = True) -> DataFrame:
-    """Residue pairs of two subunits nearer than ``cutoff``, columns suffixed 0 and 1."""
-    near = radius_join(left, right, cutoff, strict=True)
-    pairs = near.select(*[F.col(c).alias(c + "0") for c in residue], *[F.col("p_" + c).alias(c + "1") for c in residue])
+def interface_pairs(left: DataFrame, right: DataFrame, cutoff: float, residue: Sequence[str], distinct: bool = True, keys: Sequence[str] = ()) -> DataFrame:
+    """Residue pairs of two subunits (of one group of the keys) nearer than
+    ``cutoff``, columns suffixed 0 and 1."""
+    near = radius_join(left, right, cutoff, keys, strict=True)
+    pairs = near.select(*keys, *[F.col(c).alias(c + "0") for c in residue], *[F.col("p_" + c).alias(c + "1") for c in residue])
     return pairs.distinct() if distinct else pairs
 
 

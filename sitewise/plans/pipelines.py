@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -168,20 +168,29 @@ def subunits(ensembles: DataFrame, keys: list[str], name: str = "subunit") -> Da
     return checked.select(*keys, pick("ligand_bound", "a"), pick("receptor_bound", "b"), pick("ligand_unbound", "a"), pick("receptor_unbound", "b"))
 
 
-def interface_examples(left: DataFrame, right: DataFrame, cutoff: float, n: int = 10, ratio: int = 1, radius: float = 10.0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Labelled residue pairs of two subunits, and the environments of both sides.
-
-    Residues have a whole number; environments are centered at their CA.
-    """
-    pos = spatial.interface_pairs(left, right, cutoff, ["residue"])
-    neg = spatial.negative_pairs(left, right, pos, ["residue"])
-    key = (F.col("residue0") * 1_000_003 + F.col("residue1")).alias("k")
-    pairs = sampling.label_sample(pos.select("*", key), neg.select("*", key), "k", n, ratio).drop("k")
+def interface_labels(left: DataFrame, right: DataFrame, cutoff: float, residue: list[str], keys: list[str], n: int = 10, ratio: int = 1, seed: int = 0, pair_key: Column | None = None, start: Column | None = None) -> DataFrame:
+    """Labelled residue pairs of every ensemble (keys): up to n positive ones, the
+    first by hash, and ``ratio`` times as many negative ones. What is hashed can be
+    given: a whole number of the pair (``pair_key``) and of the ensemble (``start``)."""
+    near = settle(spatial.interface_pairs(left, right, cutoff, residue, keys=keys))
+    columns = [c + s for s in "01" for c in residue]
+    hashed = F.pmod(F.xxhash64(*columns), F.lit(1_000_003)) if pair_key is None else pair_key
+    order = Window.partitionBy(*keys).orderBy(sampling.mixed(hashed, seed), hashed, *columns)
+    pos = settle(near.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_k"))
+    wanted = pos.groupBy(*keys).agg((F.count("*") * ratio).alias("wanted"))
+    neg = sampling.drawn_negatives(left, right, near, wanted, residue, keys, seed, start)
+    return pos.select(*keys, *columns, F.lit(1).alias("label")).unionByName(neg.select(*keys, *columns, F.lit(0).alias("label")))
+
+
+def interface_examples(left: DataFrame, right: DataFrame, cutoff: float, residue: list[str], keys: list[str], n: int = 10, ratio: int = 1, radius: float = 10.0, seed: int = 0, **hashed: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The labelled pairs of every ensemble, and the environments of both sides:
+    atoms of the ensemble's subunit around the CA of each residue in a pair."""
+    pairs = settle(interface_labels(left, right, cutoff, residue, keys, n, ratio, seed, **hashed))
     sides = []
     for side, atoms in (("0", left), ("1", right)):
-        wanted = pairs.select(F.col("residue" + side).alias("residue")).distinct()
-        centers = spatial.ca_centers(atoms.join(wanted, "residue", "left_semi"), ["residue"])
-        sides.append(spatial.radius_join(centers, atoms, radius))
+        wanted = pairs.select(*keys, *[F.col(c + side).alias(c) for c in residue]).distinct()
+        centers = spatial.ca_centers(atoms.join(wanted, [*keys, *residue], "left_semi"), [*keys, *residue])
+        sides.append(spatial.radius_join(centers, atoms, radius, keys))
     return pairs, sides[0], sides[1]
 
 

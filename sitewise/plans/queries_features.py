@@ -238,10 +238,54 @@ def mutation_environments(spark, sf_dir):
     SELECT a.residue, b.atom_idx AS atom FROM c a JOIN l b ON {D} <= 0.3""")
 def interface_examples(spark, sf_dir):
     """Environments of the first side of sampled interface pairs."""
+    left, right = _sides(spark, sf_dir)
+    pos = spatial.interface_pairs(left, right, 0.2, ["residue"])
+    key = (F.col("residue0") * 1_000_003 + F.col("residue1")).alias("k")
+    pairs = sampling.label_sample(pos.select("*", key), spatial.negative_pairs(left, right, pos, ["residue"]).select("*", key), "k", 10)
+    centers = spatial.ca_centers(left.join(pairs.select(F.col("residue0").alias("residue")).distinct(), "residue", "left_semi"), ["residue"])
+    return spatial.radius_join(centers, left, 0.3).select("residue", F.col("p_atom_idx").alias("atom"))
+
+
+M = "(({k} * 48271 + 11) % 2147483647 * 69621 + 1) % 2147483647"
+STREAM_SQL = f"""WITH {NAMED_SQL}, pos AS (
+        SELECT DISTINCT a.model, a.chain AS chain0, a.residue AS residue0, b.chain AS chain1, b.residue AS residue1 FROM named a JOIN named b ON a.model = b.model AND a.structure = '0' AND b.structure = '1' AND {D} < 0.1
+    ), kp AS (SELECT *, (residue0 * 10 + chain0) * 1000003 + residue1 * 10 + chain1 AS k, count(*) OVER (PARTITION BY model) AS c FROM pos
+    ), hp AS (SELECT * FROM kp QUALIFY row_number() OVER (PARTITION BY model ORDER BY {M.format(k='k')}, k) <= 10
+    ), l AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY chain, residue) - 1 AS rn, count(*) OVER (PARTITION BY model) AS n FROM (SELECT DISTINCT model, chain, residue FROM named WHERE structure = '0')
+    ), r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY chain, residue) - 1 AS rn, count(*) OVER (PARTITION BY model) AS n FROM (SELECT DISTINCT model, chain, residue FROM named WHERE structure = '1')
+    ), size AS (SELECT h.model, max(h.c) AS c, max(l.n) AS n, max(r.n) AS m, least(count(DISTINCT h.k), max(l.n) * max(r.n) - max(h.c)) AS wanted FROM hp h JOIN l ON l.model = h.model JOIN r ON r.model = h.model GROUP BY h.model
+    ), d AS (SELECT *, unnest(range(wanted + c)) AS i FROM size
+    ), p AS (SELECT model, wanted, m, i, (2147483647 * i + {M.format(k='CAST(model AS BIGINT)')}) % (n * m) AS place FROM d
+    ), neg AS (
+        SELECT p.model, p.wanted, p.i, l.chain AS chain0, l.residue AS residue0, r.chain AS chain1, r.residue AS residue1 FROM p JOIN l ON l.model = p.model AND l.rn = p.place // p.m JOIN r ON r.model = p.model AND r.rn = p.place % p.m
+        ANTI JOIN pos ON pos.model = p.model AND pos.chain0 = l.chain AND pos.residue0 = l.residue AND pos.chain1 = r.chain AND pos.residue1 = r.residue
+    ), hn AS (SELECT * FROM neg QUALIFY row_number() OVER (PARTITION BY model ORDER BY i) <= wanted)"""
+
+
+@query("interface_stream", f"""{STREAM_SQL}
+    SELECT model AS ensemble, chain0, residue0, chain1, residue1, CAST(1 AS INTEGER) AS label FROM hp UNION ALL SELECT model, chain0, residue0, chain1, residue1, CAST(0 AS INTEGER) FROM hn""")
+def interface_stream(spark, sf_dir):
+    """Labelled residue pairs of the two subunits of every ensemble, all chains."""
+    return _stream(spark, sf_dir)[0]
+
+
+@query("interface_stream_environments", f"""{STREAM_SQL}, x AS (
+        SELECT model, '0' AS structure, chain0 AS chain, residue0 AS residue FROM hp UNION SELECT model, '0', chain0, residue0 FROM hn UNION SELECT model, '1', chain1, residue1 FROM hp UNION SELECT model, '1', chain1, residue1 FROM hn
+    ), c AS (SELECT model, structure, chain, residue, arg_min(x, atom_idx) AS x, arg_min(y, atom_idx) AS y, arg_min(z, atom_idx) AS z FROM named JOIN x USING (model, structure, chain, residue) WHERE name = 'CA' GROUP BY ALL)
+    SELECT a.model AS ensemble, CAST(a.structure AS INTEGER) AS side, a.chain, a.residue, b.atom_idx AS atom FROM c a JOIN named b ON a.model = b.model AND a.structure = b.structure AND {D} <= 0.3""")
+def interface_stream_environments(spark, sf_dir):
+    """The environments of both sides of those pairs."""
+    _, one, two = _stream(spark, sf_dir)
+    sides = [e.select("ensemble", F.lit(i).alias("side"), "chain", "residue", F.col("p_atom_idx").alias("atom")) for i, e in enumerate((one, two))]
+    return sides[0].unionByName(sides[1])
+
+
+def _stream(spark, sf_dir):
     from .pipelines import interface_examples as build
 
-    left, right = _sides(spark, sf_dir)
-    return build(left, right, 0.2, radius=0.3)[1].select("residue", F.col("p_atom_idx").alias("atom"))
+    a = named(spark, sf_dir).withColumnRenamed("model", "ensemble")
+    key = (F.col("residue0") * 10 + F.col("chain0")) * 1_000_003 + F.col("residue1") * 10 + F.col("chain1")
+    return build(a.where("structure = '0'"), a.where("structure = '1'"), 0.1, ["chain", "residue"], ["ensemble"], radius=0.3, pair_key=key, start=F.col("ensemble"))
 
 
 @query("site_neighbor_environments", f"""WITH {NAMED_SQL}, near AS (SELECT DISTINCT b.chain, b.residue FROM named a JOIN named b ON {D} <= 0.1 WHERE a.residue % 25 = 0),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -226,6 +227,46 @@ def search_metrics(spark, sf_dir):
     return m.select("iter", "n_found", *[F.round(c, 6).alias(c) for c in ("recall", "tp_recall", "fn_recall", "fp_rate", "precision")])
 
 
+#: Cosines that stand for the p-values of a background.
+GRID_CUTOFFS = {0.005: 0.28, 0.001: 0.32, 0.0005: 0.36, 0.0001: 0.40, 0.00001: 0.45}
+
+
+def _grid_round(i: int) -> str:
+    return f"""h{i} AS MATERIALIZED (SELECT DISTINCT f.sample, f.p, f.cutoff, c.id FROM h{i - 1} f JOIN near c ON c.query = f.id AND c.cos > f.cutoff),
+    s{i} AS (SELECT sample, p, {i} AS iter, count(*) AS n_query FROM h{i - 1} GROUP BY sample, p)"""
+
+
+@query("search_grid", f"""WITH {DB_SQL}, near AS MATERIALIZED (
+        SELECT a.id AS query, b.id, round(list_cosine_similarity(a.e, b.e), 9) AS cos FROM db a JOIN db b ON round(list_cosine_similarity(a.e, b.e), 9) > {min(GRID_CUTOFFS.values())}
+    ), f0 AS (SELECT * FROM db WHERE id = 7), truth AS (SELECT id, pdb, {LABEL_SQL} AS label FROM db),
+    marked AS (SELECT t.*, max(CASE WHEN label = 'FN' THEN 1 ELSE 0 END) OVER (PARTITION BY pdb) AS has_fn, max(CASE WHEN label = 'FP' THEN 1 ELSE 0 END) OVER (PARTITION BY pdb) AS has_fp FROM truth t),
+    r AS (SELECT s.i AS sample, id, row_number() OVER (PARTITION BY s.i ORDER BY ((id * 48271 + (s.i * 7919 + 11)) % 2147483647 * 69621 + 1) % 2147483647, id) AS k FROM truth, range(10) s(i) WHERE label = 'TP'),
+    g AS (SELECT unnest({list(GRID_CUTOFFS)}::DOUBLE[]) AS p, unnest({list(GRID_CUTOFFS.values())}::DOUBLE[]) AS cutoff),
+    h0 AS (SELECT sample, p, cutoff, id FROM r, g WHERE k <= 3), {', '.join(_grid_round(i) for i in range(1, 6))},
+    found AS (SELECT sample, p, 1 AS iter, id FROM h1 UNION SELECT sample, p, 2, id FROM h2 UNION SELECT sample, p, 3, id FROM h3 UNION SELECT sample, p, 4, id FROM h4 UNION SELECT sample, p, 5, id FROM h5),
+    asked AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4 UNION ALL SELECT * FROM s5),
+    so_far AS (SELECT DISTINCT a.sample, a.p, a.iter, a.n_query, f.id FROM asked a JOIN found f ON f.sample = a.sample AND f.p = a.p AND f.iter <= a.iter),
+    t AS (SELECT s.*, m.pdb, m.label, m.has_fn, m.has_fp FROM so_far s JOIN marked m ON m.id = s.id)
+    SELECT CAST(sample AS INTEGER) AS sample, p, CAST(iter AS INTEGER) AS iter, n_query, count(*) AS n_found,
+      round(count(*) FILTER (label IN ('TP', 'FN')) / CAST((SELECT count(*) FROM truth WHERE label IN ('TP', 'FN')) AS DOUBLE), 6) AS recall,
+      round(count(*) FILTER (label = 'TP') / CAST((SELECT count(*) FROM truth WHERE label = 'TP') AS DOUBLE), 6) AS tp_recall,
+      round(count(DISTINCT pdb) FILTER (has_fn = 1) / CAST((SELECT count(DISTINCT pdb) FROM truth WHERE label = 'FN') AS DOUBLE), 6) AS fn_recall,
+      round(count(DISTINCT pdb) FILTER (has_fp = 1) / CAST((SELECT count(DISTINCT pdb) FROM truth WHERE label = 'FP') AS DOUBLE), 6) AS fp_rate,
+      round(count(*) FILTER (label IN ('TP', 'FN')) / CAST(count(*) AS DOUBLE), 6) AS precision
+    FROM t GROUP BY sample, p, iter, n_query""")
+def search_grid(spark, sf_dir):
+    """Ten samples of three seeds at five cutoffs, five rounds: five joins."""
+    db = site_db(spark, sf_dir)
+    same = F.col("letter") == db.where("id = 7").select("letter").first()["letter"]
+    third = F.col("id") % 3 == 0
+    truth = db.select("id", "pdb", F.when(same, F.when(third, "FN").otherwise("TP")).otherwise(F.when(third, "FP").otherwise("TN")).alias("label"))
+    each = truth.where("label = 'TP'").select("id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("sample"))
+    order = Window.partitionBy("sample").orderBy(sampling.mixed(F.col("id"), F.col("sample")), "id")
+    seeds = each.withColumn("k", F.row_number().over(order)).where("k <= 3").select("sample", "id")
+    m = search.grid_metrics(search.search_grid(db, seeds, GRID_CUTOFFS, 5), truth, 5)
+    return m.select("sample", "p", "iter", "n_query", "n_found", *[F.round(c, 6).alias(c) for c in ("recall", "tp_recall", "fn_recall", "fp_rate", "precision")])
+
+
 @query("annotate_sites", f"""WITH {SITE_BG_SQL}, own AS (SELECT site_id, quantile_cont(cos, 0.98) AS site_cutoff FROM s GROUP BY site_id),
     sites AS (SELECT d.*, o.site_cutoff, d.id % 2 AS source FROM db d JOIN own o ON d.id = o.site_id),
     pairs AS (
