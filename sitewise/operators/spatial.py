@@ -95,13 +95,17 @@ def site_neighbors(site_atoms: DataFrame, atoms: DataFrame, radius: float, resid
     return near.select(*[F.col("p_" + c).alias(c) for c in residue]).distinct()
 
 
-def functional_centers(atoms: DataFrame, residue: Sequence[str], resname: str = "resname", name: str = "name") -> DataFrame:
+def functional_centers(atoms: DataFrame, residue: Sequence[str], resname: str = "resname", name: str = "name", choose: Column | None = None) -> DataFrame:
     """Mean place of each residue's functional atoms, else of its CA; null without either.
 
-    ``residue`` identifies a residue and includes its name.
+    ``residue`` identifies a residue and includes its name. With ``choose``, a
+    whole number of the residue, only one of its groups of atoms counts: that of
+    the number modulo how many there are.
     """
-    key = F.create_map(*[x for r in tables.STANDARD_RESIDUES for x in (F.lit(r), F.array(*[F.lit(a) for g in tables.key_atoms(r) for a in g]))])
-    is_key = F.coalesce(F.array_contains(F.try_element_at(key, F.col(resname)), F.col(name)), F.lit(False))
+    groups = F.create_map(*[x for r in tables.STANDARD_RESIDUES for x in (F.lit(r), F.array(*[F.array(*[F.lit(a) for a in g]) for g in tables.key_atoms(r)]))])
+    own = F.try_element_at(groups, F.col(resname))
+    used = F.flatten(own) if choose is None else F.get(own, F.pmod(choose, F.size(own)).cast("int"))
+    is_key = F.coalesce(F.array_contains(used, F.col(name)), F.lit(False))
     means = [F.coalesce(F.avg(F.when(is_key, F.col(c))), F.avg(F.when(F.col(name) == "CA", F.col(c)))).alias(c) for c in XYZ]
     return atoms.groupBy(*residue).agg(*means)
 

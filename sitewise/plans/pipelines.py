@@ -220,3 +220,46 @@ def alignment_column_pairs(cells: DataFrame, residues: DataFrame, keys: list[str
     conserved = sequence.column_entropy(cells, keys).select(*keys, "col", "conservation")
     placed = sequence.ungapped_positions(cells, [*keys, row]).where("seq_pos >= 0")
     return placed.join(conserved, [*keys, "col"]).join(residues, [row, "seq_pos"])
+
+
+def positive_pairs(records: DataFrame, family: str, rec: str, seq: str, letters: list[str], n_pairs: int = 1, seed: int = 0) -> DataFrame:
+    """Residues that two records of a family have in one alignment column: family,
+    col, rec0, rec1, pos0, pos1, letter0, letter1, conservation.
+
+    Of each family two records are drawn, and of the columns where both have one
+    of the ``letters``, ``n_pairs``; without replacement, the smallest hashes
+    first. A position leaves out the gaps and X's before it. Families of one
+    record, and pairs without a common column, give no rows.
+    """
+    own = records.where(F.length(seq) > 0).select(family, rec, seq)
+    two = sampling.take_hashed(own, 2, rec, [family], seed)
+    order = F.struct(sampling.mixed(F.col(rec), seed).alias("h"), F.col(rec).alias("r"))
+    row = F.struct(F.col(rec).alias("rec"), F.col(seq).alias("seq"))
+    both = two.groupBy(family).agg(F.count("*").alias("n"), F.min_by(row, order).alias("x"), F.max_by(row, order).alias("y")).where("n = 2")
+    columns = sequence.valid_pair_columns(F.col("x.seq"), F.col("y.seq"), letters)
+    ranked = F.array_sort(F.transform(columns, lambda c: F.struct(sampling.mixed(c, seed).alias("h"), c.alias("col"))))
+    drawn = both.select(family, "x", "y", F.explode(F.slice(ranked, 1, n_pairs)).alias("c"))
+    before = lambda side: F.length(F.translate(F.substring(F.col(f"{side}.seq"), F.lit(1), F.col("c.col")), "-X", ""))
+    letter = lambda side: F.substring(F.col(f"{side}.seq"), F.col("c.col") + 1, F.lit(1))
+    pairs = settle(drawn.select(
+        family, F.col("c.col").alias("col"), F.col("x.rec").alias("rec0"), F.col("y.rec").alias("rec1"),
+        before("x").alias("pos0"), before("y").alias("pos1"), letter("x").alias("letter0"), letter("y").alias("letter1"),
+    ))
+    # Only the drawn columns of a family's records are looked at.
+    cells = own.join(pairs.select(family, "col"), family).where(F.length(seq) > F.col("col")).select(family, "col", F.substring(F.col(seq), F.col("col") + 1, F.lit(1)).alias("ch"))
+    return pairs.join(sequence.column_entropy(cells, [family]).select(family, "col", "conservation"), [family, "col"])
+
+
+def pair_environments(pairs: DataFrame, family: str, residues: DataFrame, atoms: DataFrame, residue: list[str], radius: float = 10.0, keys: tuple = (), choose=None) -> DataFrame:
+    """The environments of both sides of such pairs: family, col, side (0 or 1) and
+    the columns of a ball query around each side's functional centre.
+
+    ``residues`` tells which residue a record has at a position: rec, pos and the
+    residue's columns, the name included. With ``choose`` one group of functional
+    atoms is drawn for each residue. Residues without a place have no environment.
+    """
+    sides = [pairs.select(family, "col", F.lit(i).alias("side"), F.col(f"rec{i}").alias("rec"), F.col(f"pos{i}").alias("pos")) for i in (0, 1)]
+    wanted = settle(sides[0].unionByName(sides[1]).join(residues, ["rec", "pos"]))
+    own = atoms.join(wanted.select(*residue).distinct(), residue, "left_semi")
+    centers = spatial.functional_centers(own, residue, choose=choose).where("x is not null")
+    return spatial.radius_join(wanted.join(centers, residue), atoms, radius, keys)

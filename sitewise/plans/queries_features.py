@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import tables
 from ..operators import filters, sampling, spatial
+from ..operators.settle import settle
 from ..registry import query
-from .standins import ATOMS_SQL, atoms, table
+from .standins import ATOMS_SQL, aligned_rows, atoms, table
 
 D = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
 #: Atoms with residue, atom name and residue name, made of the atom's number.
@@ -298,6 +300,41 @@ def site_neighbor_environments(spark, sf_dir):
     return build(a.where("residue % 25 = 0"), a, ["chain", "residue"], 0.1, 0.2).select("chain", "residue", F.col("p_atom_idx").alias("atom"))
 
 
+LOWER20 = [x.lower() for x in tables.LETTERS[:20]]
+
+
+@query("positive_pairs", f"""WITH {NAMED_SQL}, msa AS (SELECT doc_id, lang, translate(text, ' ' || chr(10), '--') AS seq FROM documents WHERE length(text) > 0),
+    two AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY ((doc_id * 48271 + 11) % 2147483647 * 69621 + 1) % 2147483647, doc_id) AS k FROM msa QUALIFY k <= 2),
+    p AS (SELECT x.lang, x.doc_id AS rec0, y.doc_id AS rec1, x.seq AS s, y.seq AS t FROM two x JOIN two y ON x.lang = y.lang AND x.k = 1 AND y.k = 2),
+    c AS (SELECT *, unnest(range(least(length(s), length(t)))) AS col FROM p),
+    v AS (SELECT *, substr(s, col + 1, 1) AS letter0, substr(t, col + 1, 1) AS letter1 FROM c),
+    d AS (SELECT * FROM v WHERE letter0 IN ({', '.join(f"'{x}'" for x in LOWER20)}) AND letter1 IN ({', '.join(f"'{x}'" for x in LOWER20)})
+        QUALIFY row_number() OVER (PARTITION BY lang ORDER BY ((col * 48271 + 11) % 2147483647 * 69621 + 1) % 2147483647, col) <= 20),
+    q AS (SELECT lang, col, rec0, rec1, length(replace(replace(substr(s, 1, col), '-', ''), 'X', '')) AS pos0, length(replace(replace(substr(t, 1, col), '-', ''), 'X', '')) AS pos1, letter0, letter1 FROM d),
+    n AS (SELECT q.lang, q.col, substr(m.seq, q.col + 1, 1) AS ch, count(*) AS n FROM q JOIN msa m ON m.lang = q.lang AND length(m.seq) > q.col GROUP BY ALL),
+    h AS (SELECT lang, col, 1 / (1 + log2(sum(n)) - sum(n * log2(n)) / sum(n)) AS conservation FROM n WHERE ch <> '-' GROUP BY lang, col),
+    k AS (SELECT *, (resname = 'CYS' AND name = 'SG') OR (resname = 'GLY' AND name = 'CA') OR (resname = 'ALA' AND name = 'CB') AS is_key FROM named),
+    ctr AS (SELECT residue, coalesce(avg(x) FILTER (is_key), avg(x) FILTER (name = 'CA')) AS x, coalesce(avg(y) FILTER (is_key), avg(y) FILTER (name = 'CA')) AS y, coalesce(avg(z) FILTER (is_key), avg(z) FILTER (name = 'CA')) AS z FROM k GROUP BY residue),
+    env AS (SELECT a.residue, count(*) AS n FROM ctr a JOIN named b ON {D} <= 0.25 GROUP BY a.residue)
+    SELECT q.lang, CAST(q.col AS INTEGER) AS col, rec0, rec1, CAST(pos0 AS INTEGER) AS pos0, CAST(pos1 AS INTEGER) AS pos1, letter0, letter1, round(conservation, 6) AS conservation, e0.n AS atoms0, e1.n AS atoms1
+    FROM q JOIN h ON h.lang = q.lang AND h.col = q.col LEFT JOIN env e0 ON e0.residue = (rec0 * 7 + pos0) % 100 LEFT JOIN env e1 ON e1.residue = (rec1 * 7 + pos1) % 100""")
+def positive_pairs(spark, sf_dir):
+    """Twenty common columns of two records of each family, with the conservation
+    of the column and the environments of both residues."""
+    from .pipelines import pair_environments
+    from .pipelines import positive_pairs as draw
+
+    pairs = settle(draw(aligned_rows(spark, sf_dir), "lang", "doc_id", "seq", LOWER20, 20))
+    a = named(spark, sf_dir)
+    place = lambda i: pairs.select(F.col(f"rec{i}").alias("rec"), F.col(f"pos{i}").alias("pos"), ((F.col(f"rec{i}") * 7 + F.col(f"pos{i}")) % 100).alias("residue"))
+    residues = place(0).unionByName(place(1)).distinct().join(a.select("residue", "resname").distinct(), "residue")
+    env = pair_environments(pairs, "lang", residues, a, ["residue", "resname"], 0.25, choose=F.lit(0))
+    sizes = env.groupBy("lang", "col", "side").agg(F.count("*").alias("n"))
+    for i in (0, 1):
+        pairs = pairs.join(sizes.where(f"side = {i}").select("lang", "col", F.col("n").alias(f"atoms{i}")), ["lang", "col"], "left")
+    return pairs.withColumn("conservation", F.round("conservation", 6))
+
+
 @query("labelled_sites", f"""WITH {ATOMS_SQL}, r AS (SELECT a.atom_idx AS site, a.chain AS pdb, b.atom_idx, {D} AS dist, row_number() OVER (PARTITION BY a.atom_idx ORDER BY {D}, b.atom_idx) AS k FROM atoms a JOIN atoms b ON a.chain = b.chain AND b.atom_idx % 9 <> 0 WHERE a.atom_idx % 9 = 0)
     SELECT site, pdb, atom_idx, round(dist, 6) AS dist, CASE WHEN site % 2 = 1 THEN 'TP' ELSE 'TN' END AS kind FROM r WHERE k = 1""")
 def labelled_sites(spark, sf_dir):
