@@ -47,6 +47,7 @@ RANGE_SLACK = 4
 #: that can be broadcast: beyond it more lines pass, and none is lost.
 LEAST_FILTER_BITS, MOST_FILTER_BITS = 1 << 20, 1 << 30
 SEGMENT_BITS = 1 << 20
+COLLECTED_BITS = 1 << 27
 #: Bytes of text analysed at once; longer texts are cut between lines.
 CHUNK_BYTES = 1 << 18
 #: Keys of more than one line in so many are joined by broadcast: fewer keys than that.
@@ -431,7 +432,9 @@ def _key_filter(keys: DataFrame, bits: int) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())], ["seg", "bits"])
 
     merged = keys.mapInArrow(mark, "seg int, at binary").repartition("seg").mapInArrow(merge, "seg int, bits binary")
-    parts = {row["seg"]: row["bits"] for row in merged.toLocalIterator()}  # MOST_FILTER_BITS bits at most
+    # MOST_FILTER_BITS bits at most; a small filter comes in one job, not one a partition.
+    rows = merged.collect() if bits <= COLLECTED_BITS else merged.toLocalIterator()
+    parts = {row["seg"]: row["bits"] for row in rows}
     return b"".join(parts.get(i, bytes(SEGMENT_BITS // 8)) for i in range(bits // SEGMENT_BITS))
 
 
