@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from .plans import queries_features, queries_search, queries_sequence, queries_tables  # noqa: F401
+    from .plans import queries_features, queries_search, queries_sequence, queries_sources, queries_tables  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gzip
 import shlex
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -82,32 +83,74 @@ def parse_structure(path: str, content: bytes) -> list[dict]:
     return [a | {"path": path, "ensemble": name, "structure": name, "atom_idx": i} for i, a in enumerate(atoms)]
 
 
+def _tried(path: str, content: bytes | None) -> tuple[list[dict], str | None]:
+    """The atoms of a file, and why there are none if it can't be read."""
+    if not content:
+        return [], "empty file"
+    try:
+        rows = parse_structure(path, content)
+    except (EOFError, OSError, ValueError, zlib.error) as e:  # a cut or damaged archive, numbers that are none
+        return [], f"{type(e).__name__}: {e}"
+    return rows, None if rows else "no atoms"
+
+
 def atoms_of(files: DataFrame) -> DataFrame:
-    """The atom table of rows path, content (binary); unreadable rows give none."""
+    """The atom table of rows path, content (binary); files that can't be read
+    give no rows, and ``file_report`` names them."""
 
     def run(batches):
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if content:
-                    rows = parse_structure(path or "", content)
-                    if rows:
-                        yield pa.Table.from_pylist([{f: r[f] for f in _FIELDS} for r in rows], schema=_arrow()).to_batches()[0]
+                rows, _ = _tried(path or "", content)
+                if rows:
+                    yield from pa.Table.from_pylist([{f: r[f] for f in _FIELDS} for r in rows], schema=_arrow()).to_batches()
 
     return files.select("path", "content").mapInArrow(run, ATOM_SCHEMA)
 
 
+def file_report(files: DataFrame) -> DataFrame:
+    """path, n_atoms and problem (null if there is none) of rows path, content."""
+
+    def run(batches):
+        for b in batches:
+            tried = [_tried(p or "", c) for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(r) for r, _ in tried], pa.int64()), pa.array([e for _, e in tried], pa.string())], ["path", "n_atoms", "problem"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, n_atoms long, problem string")
+
+
 def _arrow() -> pa.Schema:
     kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "long": pa.int64()}
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ATOM_SCHEMA.split(", "))])
 
 
+def structure_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """path and content of all files below ``path`` whose name fits."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "content")
+
+
 def read_structures(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """The atom table of all structure files below ``path`` whose name fits."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return atoms_of(files)
+    return atoms_of(structure_files(spark, path, glob))
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """path, pdb and is_predicted of all files below ``path``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path")
+    files = structure_files(spark, path, glob).select("path")
     return files.select("path", structure_id(F.col("path")).alias("pdb"), is_predicted(F.col("path")).alias("is_predicted"))
+
+
+def pdb_lines(atoms: DataFrame) -> DataFrame:
+    """Adds value: each atom as a line of PDB's fixed columns, places to three digits."""
+    text = F.format_string(
+        "%-6s%5d %-4s %3s %1s%4d    %8.3f%8.3f%8.3f%6.2f%6.2f          %2s",
+        F.when(F.col("hetero") == " ", "ATOM").otherwise("HETATM"), F.col("atom_idx") % 100_000, "name", "resname", F.col("chain").cast("string"),
+        F.col("residue") % 10_000, "x", "y", "z", F.lit(1.0), F.coalesce("bfactor", F.lit(0.0)), "element",
+    )
+    return atoms.withColumn("value", text)
+
+
+def write_structures(atoms: DataFrame, path: str, key: str = "structure", compression: str = "none") -> None:
+    """One PDB file for each structure below ``path``, its atoms in order."""
+    lines = pdb_lines(atoms).select(key, "atom_idx", "value").repartition(key).sortWithinPartitions(key, "atom_idx")
+    lines.select(key, "value").write.partitionBy(key).option("compression", compression).text(path)
