@@ -4,8 +4,9 @@ A document's set is that of its shingles; equal sets count once. Sets are put in
 groups of similar ones, by the order of their min-hashes, and the matrix holds
 each group's token union and which member has which token. A set that is similar
 to a member of a group lacks few of its tokens there, so groups whose overlap
-falls short are never opened; in the others members are bounded one by one, and
-the pairs that are left are compared by their whole sets, exactly.
+falls short are never opened; in the others members are bounded one by one, by their tokens
+there and by a sketch of all of them, and the pairs that are left are compared by
+their whole sets, exactly.
 
 The matrix keeps one column in SLICE, and tells its tokens apart by 32 bits. Both
 only loosen the bound: a set that may lack d tokens of a member lacks d at most
@@ -29,7 +30,7 @@ from .common import bucket_count, discard, materialize
 from .components import connected_components
 from .line_dedup import (
     LEAST_FILTER_BITS, LINES_AT_ONCE, MOST_FILTER_BITS, RANGE_ROWS, RANGE_SLACK, REPORTED, _RANKED,
-    SKETCH_WORDS, Tokenizer, _alike, _key_filter, _mix, _places, _prefix_blobs, _runs, _shared_rows, _sketches, chunks, prefix_length,
+    SKETCH_WORDS, Tokenizer, _key_filter, _mix, _places, _prefix_blobs, _runs, _shared_rows, _sketches, chunks, prefix_length,
 )
 
 SHINGLE_WORDS = 3
@@ -37,7 +38,7 @@ PERCENT = 90
 #: Frequent tokens with a rank of their own, and tokens of a task among which one
 #: has to stand REPORTED times to be reported for ranking. Their order decides how
 #: much is compared, never what is found.
-RANKED_TOKENS = 1 << 18
+RANKED_TOKENS = 1 << 20
 COUNTED_TOKENS = 1 << 22
 #: Columns of the matrix: one token in so many.
 SLICE = 6
@@ -59,6 +60,9 @@ class _Sets:
     """The sets of some texts' lines: line, token (sorted, rarest first), n, key, check."""
 
     def __init__(self, tok: Tokenizer, lines, pick: np.ndarray):
+        if len(tok._hint) < 8 * len(tok._ranked):  # a hint table as large as the ranks ask for
+            tok._hint = np.zeros(1 << (8 * len(tok._ranked)).bit_length(), bool)
+            tok._hint[tok._ranked & np.uint64(len(tok._hint) - 1)] = True
         self.line, self.token = tok.sets(lines, pick)
         self.n = np.bincount(self.line, minlength=len(pick))
         self.first = np.cumsum(self.n) - self.n
@@ -178,54 +182,65 @@ def _token_sets(docs: DataFrame, ranked, keys: DataFrame, width: int, sliced: bo
 
 def _matrix(sets: DataFrame, tasks: int) -> DataFrame:
     """The groups: gid, union (their different tokens, sorted) and of each member
-    its key, n, held (how many tokens it has there) and their places in the
-    union, one member after the other (at)."""
+    its key, n, sketch, held (how many tokens it has there) and their places in
+    the union, one member after the other (at)."""
 
     def record(gid, held):
-        keys, n, toks = (list(x) for x in zip(*held))
+        keys, n, sketch, toks = (list(x) for x in zip(*held))
         union, at = np.unique(np.concatenate(toks), return_inverse=True)
-        return {"gid": gid, "union": union, "keys": keys, "n": n, "held": [len(t) for t in toks], "at": at.astype(np.int32)}
+        return {"gid": gid, "union": union, "keys": keys, "n": n, "sketch": np.concatenate(sketch), "held": [len(t) for t in toks], "at": at.astype(np.int32)}
 
     def run(batches):
         from pyspark import TaskContext
 
         gid, held, size = TaskContext.get().partitionId() << 40, [], 0
         for b in batches:
-            toks = b.column(2)
+            sketch, toks = b.column(2), b.column(3)
             for i, (key, n) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 own = toks[i].values.to_numpy()
                 if held and (len(held) == GROUP_SETS or size + len(own) > GROUP_TOKENS):
                     yield pa.RecordBatch.from_pylist([record(gid, held)], schema)
                     gid, held, size = gid + 1, [], 0
-                held.append((key, n, own))
+                held.append((key, n, sketch[i].values.to_numpy(), own))
                 size += len(own)
         if held:
             yield pa.RecordBatch.from_pylist([record(gid, held)], schema)
 
-    lists = {"union": pa.int32(), "keys": pa.int64(), "n": pa.int64(), "held": pa.int32(), "at": pa.int32()}
+    lists = {"union": pa.int32(), "keys": pa.int64(), "n": pa.int64(), "sketch": pa.int64(), "held": pa.int32(), "at": pa.int32()}
     schema = pa.schema([("gid", pa.int64()), *[(c, pa.list_(t)) for c, t in lists.items()]])
-    near = sets.select("key", "n", "toks", "m1", "m2").repartitionByRange(tasks, "m1", "m2", "key").sortWithinPartitions("m1", "m2", "key")
-    return near.mapInArrow(run, "gid long, union array<int>, keys array<long>, n array<long>, held array<int>, at array<int>")
+    near = sets.select("key", "n", "sketch", "toks", "m1", "m2").repartitionByRange(tasks, "m1", "m2", "key").sortWithinPartitions("m1", "m2", "key")
+    return near.mapInArrow(run, "gid long, union array<int>, keys array<long>, n array<long>, sketch array<long>, held array<int>, at array<int>")
 
 
-def _bounded(asked: DataFrame, sets: DataFrame, groups: DataFrame, percent: int, likeliest: bool) -> DataFrame:
+def _bounded(asked: DataFrame, sets: DataFrame, groups: DataFrame, percent: int, roots: DataFrame | None = None) -> DataFrame:
     """Pairs a, b of the sets ``asked`` (key, gid) and members of the group that
-    the bounds leave; of each set and group the likeliest alone, if so asked."""
+    the bounds leave: of each set and group the likeliest alone or, with ``roots``
+    (key, root), all with different roots."""
     sized = asked.join(sets.select("key", F.size("toks").alias("size")), "key")
     load = sized.groupBy("gid").agg(F.greatest(F.ceil(F.count("*") / ASKED_SETS), F.ceil(F.sum("size") / ASKED_TOKENS)).cast("long").alias("chunks"))
     placed = materialize(asked.join(load, "gid").select("key", "gid", F.pmod(F.xxhash64("key"), F.greatest("chunks", F.lit(1))).alias("chunk")))
-    left = placed.join(sets.select("key", "n", "toks"), "key")
+    left = placed.join(sets.select("key", "n", "sketch", "toks"), "key")
+    if roots is None:
+        left, groups = left.withColumn("root", F.lit(None).cast("long")), groups.withColumn("roots", F.lit(None).cast("array<long>"))
+    else:
+        left = left.join(roots, "key")
+        members = groups.select("gid", F.posexplode("keys").alias("i", "key")).join(roots, "key")
+        members = members.groupBy("gid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "root"))), lambda x: x["root"]).alias("roots"))
+        groups = groups.join(members, "gid")
     right = placed.select(F.col("gid").alias("to"), F.col("chunk").alias("part_of")).distinct().join(groups, F.col("to") == F.col("gid")).drop("gid")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def bound(asking: pa.Table, group: pa.Table) -> pa.Table:
         a, b = [], []
         if len(asking) and len(group):
-            one = {c: group.column(c).combine_chunks()[0].values.to_numpy() for c in ("union", "keys", "n", "held", "at")}
+            one = {c: group.column(c).combine_chunks()[0].values.to_numpy() for c in ("union", "keys", "n", "sketch", "held", "at")}
+            parity = one["sketch"].reshape(len(one["n"]), SKETCH_WORDS)
             has = np.zeros((len(one["n"]), len(one["union"]) + 1), bool)
             has[np.repeat(np.arange(len(one["n"])), one["held"]), one["at"]] = True
-            toks = asking.column("toks").combine_chunks()
-            for i, (key, n) in enumerate(zip(asking.column("key").to_pylist(), asking.column("n").to_pylist())):
+            likeliest = group.column("roots")[0].as_py() is None
+            roots = None if likeliest else group.column("roots").combine_chunks()[0].values.to_numpy()
+            toks, sketch = (asking.column(c).combine_chunks() for c in ("toks", "sketch"))
+            for i, (key, n, root) in enumerate(zip(*(asking.column(c).to_pylist() for c in ("key", "n", "root")))):
                 own = toks[i].values.to_numpy()
                 at = np.searchsorted(one["union"], own)
                 at = at[np.append(one["union"], 0)[at] == own]
@@ -234,9 +249,13 @@ def _bounded(asked: DataFrame, sets: DataFrame, groups: DataFrame, percent: int,
                     continue  # every member lacks more tokens than a similar one may
                 overlap = has[:, at].sum(1)
                 need = -(-percent * (n + one["n"]) // (100 + percent))
-                near = np.flatnonzero((len(own) - overlap <= n - need) & (100 * np.minimum(n, one["n"]) >= percent * np.maximum(n, one["n"])) & (one["keys"] != key))
+                near = np.flatnonzero((len(own) - overlap <= n - need) & (100 * np.minimum(n, one["n"]) >= percent * np.maximum(n, one["n"])) & ((one["keys"] != key) if likeliest else (roots != root)))
+                # A token flips one bit of a sketch, so as many bits differ as tokens do at most.
+                differ = np.bitwise_count((parity[near] ^ sketch[i].values.to_numpy()).view(np.uint64)).sum(1, dtype=np.int64)
+                fits = n + one["n"][near] - differ >= 2 * need[near]
+                near, differ = near[fits], differ[fits]
                 if likeliest and len(near):
-                    near = near[[np.lexsort((one["keys"][near], np.abs(one["n"][near] - n), -overlap[near]))[0]]]
+                    near = near[[np.lexsort((one["keys"][near], differ))[0]]]
                 a += [key] * len(near)
                 b += one["keys"][near].tolist()
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
@@ -246,11 +265,10 @@ def _bounded(asked: DataFrame, sets: DataFrame, groups: DataFrame, percent: int,
     return found
 
 
-def _similar(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, ranked, percent: int, width: int) -> DataFrame:
+def _similar(pairs: DataFrame, docs: DataFrame, ranked, percent: int, width: int) -> DataFrame:
     """The pairs whose Jaccard similarity suffices, by their whole sets: those are
-    read again for the few texts that sketches leave in pairs."""
-    pairs = pairs.select(F.least("a", "b").alias("late"), F.greatest("a", "b").alias("early")).distinct()
-    pairs = materialize(_alike(pairs, sketches.select("key", "n", "sketch"), percent).select(F.col("late").alias("a"), F.col("early").alias("b")))
+    read again for the few texts that are left in pairs."""
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     sets = materialize(_token_sets(docs, ranked, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), width, sliced=False))
     side = lambda k, x: sets.select(F.col("key").alias(k), F.col("toks").alias(x)).hint("merge")
     both = F.size(F.array_intersect("x", "y"))
@@ -284,17 +302,17 @@ def _links(found: DataFrame, docs: DataFrame, ranked, percent: int, width: int)
 
     hub = held(rows).groupBy("token").agg(F.min(F.struct("gid", "least", "most", "rest")).alias("h")).select("token", F.col("h.gid").alias("to"), "h.least", "h.most", "h.rest")
     first = _asked(rows, hub, percent).select("key", F.col("to").alias("gid")).unionByName(rows.select("key", "gid")).distinct()
-    near = _similar(_bounded(first, sets, groups, percent, likeliest=True), sets, docs, ranked, percent, width)
+    near = _similar(_bounded(first, sets, groups, percent), docs, ranked, percent, width)
     roots = connected_components(near)
     rooted = rows.join(roots.withColumnRenamed("v", "key").hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     placed = materialize(rooted.repartition(buckets, "token"), "token", buckets)
     mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
     apart = materialize(placed.join(mixed.hint("merge"), "token", "left_semi").repartition(buckets, "token"), "token", buckets)
     others = held(apart, F.min("root").alias("x"), F.max("root").alias("y")).withColumnRenamed("gid", "to")
-    rest = _bounded(_asked(apart, others, percent).where("to <= gid AND (x <> root OR y <> root)").select("key", F.col("to").alias("gid")).distinct(), sets, groups, percent, likeliest=False)
-    root = apart.select("key", "root").distinct()
-    rest = rest.join(root.withColumnsRenamed({"key": "a", "root": "x"}), "a").join(root.withColumnsRenamed({"key": "b", "root": "y"}), "b").where("x <> y")
-    links = materialize(near.unionByName(_similar(rest.select("a", "b"), sets, docs, ranked, percent, width)))
+    asked = _asked(apart, others, percent).where("to <= gid AND (x <> root OR y <> root)").select("key", F.col("to").alias("gid")).distinct()
+    root = home.select("key").join(roots.withColumnRenamed("v", "key").hint("merge"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
+    rest = _bounded(asked, sets, groups, percent, root)
+    links = materialize(near.unionByName(_similar(rest, docs, ranked, percent, width)))
     for done in (sets, groups, rows, near, placed, apart):
         discard(done)
     return links
