@@ -37,10 +37,10 @@ def running(df: DataFrame, order: Sequence, keys: Sequence[str] = (), sums: dict
     own = dealt(df.withColumns({f"_v_{c}": v for c, v in sums.items()}), keys, order, ranges)
     parts = own.groupBy(*keys, "_p").agg(*[F.sum(f"_v_{c}").alias(c) for c in sums])
     # A key has one element for each range it reaches into.
-    lists = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_p", *sums))).alias("_l"))
-    below = lambda p, c: F.aggregate(F.filter("_l", lambda x: x["_p"] < p["_p"]), F.lit(0).cast(parts.schema[c].dataType), lambda s, x: s + F.coalesce(x[c], F.lit(0)))
-    whole = lambda c: F.aggregate("_l", F.lit(0).cast(parts.schema[c].dataType), lambda s, x: s + F.coalesce(x[c], F.lit(0)))
-    placed = F.transform("_l", lambda p: F.struct(p["_p"].alias("_p"), *[below(p, c).alias(f"_b_{c}") for c in sums]))
+    lists = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_p", *sums))).alias("_ranges"))
+    below = lambda p, c: F.aggregate(F.filter("_ranges", lambda x: x["_p"] < p["_p"]), F.lit(0).cast(parts.schema[c].dataType), lambda s, x: s + F.coalesce(x[c], F.lit(0)))
+    whole = lambda c: F.aggregate("_ranges", F.lit(0).cast(parts.schema[c].dataType), lambda s, x: s + F.coalesce(x[c], F.lit(0)))
+    placed = F.transform("_ranges", lambda p: F.struct(p["_p"].alias("_p"), *[below(p, c).alias(f"_b_{c}") for c in sums]))
     base = lists.select(*keys, *[whole(c).alias(f"total_{c}") for c in sums], F.explode(placed).alias("_b")).select(*keys, *[f"total_{c}" for c in sums], "_b.*")
     before = Window.partitionBy("_p", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = own.withColumns({f"_s_{c}": F.coalesce(F.sum(f"_v_{c}").over(before), F.lit(0)) for c in sums})

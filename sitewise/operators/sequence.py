@@ -196,17 +196,17 @@ def scheduled_average(df: DataFrame, keys: Sequence[str], order: Sequence, value
     """
     own = df.select(*keys, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(value).cast("double").alias("_v"))
     by = [f"_o{i}" for i in range(len(order))]
-    steps = running(own, by, keys, {"k": F.lit(1).cast("long")}).drop("total_k")
-    factor = (F.cos(F.lit(math.pi) * F.col("k") / F.lit(float(period))) + 1) / 2
-    shrink = F.when((F.col("k") > 0) & (factor > 0), F.ln(factor)).otherwise(F.lit(0.0))
-    ended = ((F.col("k") > 0) & (factor <= 0)).cast("long")
-    shares = running(steps.withColumns({"_c": shrink, "_e": ended}), by, keys, {"c": F.col("_c"), "e": F.col("_e")})
-    share = F.when(F.col("e") + F.col("_e") > 0, F.lit(0.0)).otherwise((1 - F.lit(float(beta))) * F.exp(F.col("c") + F.col("_c")))
-    shares = shares.select(*keys, *by, "_v", "k", share.alias("_w")).withColumn("_b", F.when(F.col("k") > 0, 1 - F.col("_w")).otherwise(F.lit(1.0)))
-    decays = {"b": F.when(F.col("_b") > 0, F.ln("_b")).otherwise(F.lit(0.0)), "z": (F.col("_b") <= 0).cast("long")}
-    last = running(shares.withColumns({"_lb": decays["b"], "_lz": decays["z"]}), by, keys, {"b": F.col("_lb"), "z": F.col("_lz")})
-    later = F.when(F.col("total_z") > F.col("z") + F.col("_lz"), F.lit(0.0)).otherwise(F.exp(F.col("total_b") - F.col("b") - F.col("_lb")))
-    weight = F.when(F.col("k") == 0, F.lit(1.0)).otherwise(F.col("_w")) * later
+    steps = running(own, by, keys, {"_k": F.lit(1).cast("long")}).drop("total__k")
+    factor = (F.cos(F.lit(math.pi) * F.col("_k") / F.lit(float(period))) + 1) / 2
+    later_step = F.col("_k") > 0
+    steps = steps.withColumn("_c", F.when(later_step & (factor > 0), F.ln(factor)).otherwise(F.lit(0.0))).withColumn("_e", (later_step & (factor <= 0)).cast("long"))
+    shares = running(steps, by, keys, {"_cs": F.col("_c"), "_es": F.col("_e")})
+    share = F.when(F.col("_es") + F.col("_e") > 0, F.lit(0.0)).otherwise((1 - F.lit(float(beta))) * F.exp(F.col("_cs") + F.col("_c")))
+    decays = shares.select(*keys, *by, "_v", "_k", share.alias("_w")).withColumn("_b", F.when(later_step, 1 - F.col("_w")).otherwise(F.lit(1.0)))
+    decays = decays.withColumn("_l", F.when(F.col("_b") > 0, F.ln("_b")).otherwise(F.lit(0.0))).withColumn("_z", (F.col("_b") <= 0).cast("long"))
+    last = running(decays, by, keys, {"_ls": F.col("_l"), "_zs": F.col("_z")})
+    kept = F.when(F.col("total__zs") > F.col("_zs") + F.col("_z"), F.lit(0.0)).otherwise(F.exp(F.col("total__ls") - F.col("_ls") - F.col("_l")))
+    weight = F.when(later_step, F.col("_w")).otherwise(F.lit(1.0)) * kept
     return last.groupBy(*keys).agg(F.sum(weight * F.col("_v")).alias("state"))
 
 

@@ -20,7 +20,8 @@ def _structures(spark, sf_dir, compression="none"):
     return path
 
 
-FILE = F.regexp_extract("path", r"file=(\d+)", 1).cast("long").alias("file")
+def _file():
+    return F.regexp_extract("path", r"file=(\d+)", 1).cast("long").alias("file")
 
 
 @query("source_structures", f"""{HUNDREDS} SELECT file, row_number() OVER (PARTITION BY file ORDER BY atom_idx) - 1 AS ord, CAST(chain AS VARCHAR) AS chain, CAST(residue AS INTEGER) AS residue, resname, name, element,
@@ -28,14 +29,14 @@ FILE = F.regexp_extract("path", r"file=(\d+)", 1).cast("long").alias("file")
 def source_structures(spark, sf_dir):
     """Structure files, packed, and their atoms again."""
     atoms = structures.read_structures(spark, _structures(spark, sf_dir, "gzip"), "*.gz")
-    return atoms.select(FILE, F.col("atom_idx").alias("ord"), "chain", "residue", "resname", "name", "element", "x", "y", "z")
+    return atoms.select(_file(), F.col("atom_idx").alias("ord"), "chain", "residue", "resname", "name", "element", "x", "y", "z")
 
 
 @query("source_file_report", f"{HUNDREDS} SELECT file, count(*) AS n_atoms, TRUE AS fine FROM s GROUP BY file")
 def source_file_report(spark, sf_dir):
     """How many atoms each file holds, and whether it could be read."""
     report = structures.file_report(structures.structure_files(spark, _structures(spark, sf_dir), "*.txt"))
-    return report.select(FILE, "n_atoms", F.col("problem").isNull().alias("fine"))
+    return report.select(_file(), "n_atoms", F.col("problem").isNull().alias("fine"))
 
 
 @query("source_residue_list", """SELECT lower(source) AS pdb, chr(65 + CAST(doc_id % 4 AS INTEGER)) AS chain, CASE WHEN doc_id % 9 = 0 THEN doc_id || 'A' ELSE CAST(doc_id AS VARCHAR) END AS residue FROM documents""")
