@@ -114,19 +114,21 @@ def search_metrics(results: DataFrame, truth: DataFrame) -> DataFrame:
     return r.select("iter", "n_found", share("hit_pos", "n_pos").alias("recall"), share("hit_tp", "n_tp").alias("tp_recall"), share("hit_fn", "n_fn_pdb").alias("fn_recall"), share("hit_fp", "n_fp_pdb").alias("fp_rate"), share("hit_pos", "n_found").alias("precision"))
 
 
-def annotate(residues: DataFrame, sites: DataFrame, cutoff: float) -> DataFrame:
+def annotate(residues: DataFrame, sites: DataFrame, cutoff: float, structure: str | None = None) -> DataFrame:
     """Residues similar to a site above the global and the site's own cutoff.
 
     ``residues`` has res_id, pdb, chain_resid and u; ``sites`` has site_id, pdb,
     resid, site, source, u and site_cutoff. A site of the residue's own
-    structure (first four characters) does not count. One row per site, source,
-    structure and residue: n_hits (distinct "pdb: resid"), n_pdbs, evidence.
+    structure (first four characters of pdb, or the column ``structure`` of both
+    sides) does not count. One row per site, source, structure and residue: n_hits
+    (distinct "pdb: resid"), n_pdbs, evidence.
     """
+    whole = (F.substring("pdb", 1, 4) if structure is None else F.col(structure)).alias
     r = residues.select("res_id", F.col("pdb").alias("query_pdb"), "chain_resid", "u")
     pairs = similarity_join(r, sites, cutoff, "res_id", "site_id")
-    rows = pairs.join(residues.select("res_id", F.col("pdb").alias("query_pdb"), "chain_resid"), "res_id")
-    rows = rows.join(sites.select("site_id", "pdb", "resid", "site", "source", "site_cutoff"), "site_id")
-    rows = rows.where(F.round("cos", DIGITS) > F.round("site_cutoff", DIGITS)).where(F.substring("query_pdb", 1, 4) != F.substring("pdb", 1, 4))
+    rows = pairs.join(residues.select("res_id", F.col("pdb").alias("query_pdb"), "chain_resid", whole("_own")), "res_id")
+    rows = rows.join(sites.select("site_id", "pdb", "resid", "site", "source", "site_cutoff", whole("_of")), "site_id")
+    rows = rows.where(F.round("cos", DIGITS) > F.round("site_cutoff", DIGITS)).where(F.col("_own") != F.col("_of"))
     evidence = F.concat_ws(": ", "pdb", "resid")
     return rows.groupBy("query_pdb", "site", "source", "chain_resid").agg(F.countDistinct(evidence).alias("n_hits"), F.countDistinct("pdb").alias("n_pdbs"), F.sort_array(F.collect_set(evidence)).alias("evidence"))
 

@@ -280,9 +280,10 @@ def search_grid(spark, sf_dir):
 def annotate_sites(spark, sf_dir):
     db = site_db(spark, sf_dir).withColumn("code", F.lpad(F.col("pdb").cast("string"), 4, "0"))
     own = ranks.quantiles(_site_background(spark, sf_dir), ["site_id"], "cos", [0.98]).select("site_id", F.col("quantile").alias("site_cutoff"))
-    sites = db.select(F.col("id").alias("site_id"), F.col("code").alias("pdb"), F.col("id").cast("string").alias("resid"), F.col("letter").cast("string").alias("site"), (F.col("id") % 2).cast("string").alias("source"), "u").join(own, "site_id")
-    residues = db.where("id % 3 <> 0").select(F.col("id").alias("res_id"), F.col("code").alias("pdb"), F.concat_ws("_", F.col("letter").cast("string"), F.col("id").cast("string")).alias("chain_resid"), "u")
-    return search.annotate(residues, sites, 0.15).withColumn("evidence", F.array_join("evidence", ", "))
+    sites = db.select(F.col("id").alias("site_id"), F.col("code").alias("pdb"), F.col("id").cast("string").alias("resid"), F.col("letter").cast("string").alias("site"), (F.col("id") % 2).cast("string").alias("source"), F.col("pdb").alias("structure"), "u").join(own, "site_id")
+    residues = db.where("id % 3 <> 0").select(F.col("id").alias("res_id"), F.col("code").alias("pdb"), F.concat_ws("_", F.col("letter").cast("string"), F.col("id").cast("string")).alias("chain_resid"), F.col("pdb").alias("structure"), "u")
+    # Codes have four characters; structures are told apart by their whole number.
+    return search.annotate(residues, sites, 0.15, "structure").withColumn("evidence", F.array_join("evidence", ", "))
 
 
 @query("ecdf_percentile", """WITH s AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS score FROM documents), b AS (SELECT CAST(l_quantity * 60 AS DOUBLE) AS v FROM lineitem)
