@@ -13,26 +13,38 @@ from ..functions.columns import residue_to_letter
 from .ranks import running
 
 GAP = "-"
+#: Positions that are smoothed together.
+CHUNK = 1024
 
 
 def gaussian_smooth(df: DataFrame, keys: Sequence[str], pos: str, value: str, sigma: float = 5.0, truncate: float = 4.0) -> DataFrame:
     """Adds smooth: a Gaussian weighted mean around each position, 0 to n-1.
 
-    Beyond an end the sequence is mirrored with the end value repeated.
+    Beyond an end the sequence is mirrored with the end value repeated. Sequences
+    are smoothed in chunks of CHUNK positions with their surroundings, so a value
+    is copied only near the ends of a chunk.
     """
     radius = int(truncate * sigma + 0.5)
     weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
     total = sum(weights)
-    w = F.array(*[F.lit(x / total) for x in weights])
-    n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    # Each value is sent to the positions it counts for, its own mirror images too.
-    around = F.explode(F.transform(F.sequence(F.lit(-radius), F.lit(radius)), lambda k: F.struct(k.alias("k"), F.try_element_at(w, k + radius + 1).alias("w")))).alias("o")
-    at = F.pmod(F.col(pos) + F.col("o.k"), 2 * F.col("_n"))
-    place = F.when(at >= F.col("_n"), 2 * F.col("_n") - 1 - at).otherwise(at)
-    wanted = df.join(n, list(keys)).select(*keys, pos, "_n", around).select(*keys, pos, place.alias("_at"), F.col("o.w").alias("_w"))
-    source = df.select(*keys, F.col(pos).cast("long").alias("_at"), F.col(value).alias("_v"))
-    smooth = wanted.withColumn("_at", F.col("_at").cast("long")).join(source, [*keys, "_at"]).groupBy(*keys, pos).agg(F.sum(F.col("_w") * F.col("_v")).alias("smooth"))
-    return df.join(smooth, [*keys, pos])
+    n = df.groupBy(*keys).agg(F.count("*").cast("long").alias("_n"))
+    # A value stands at its own position and at its mirror images beyond the ends,
+    # in the chunk of each and in the one beside it, if that is near.
+    at, twice = F.col(pos).cast("long"), 2 * F.col("_n")
+    rounds = F.sequence(-(F.lit(radius) / twice).cast("long") - 1, (F.lit(radius) / twice).cast("long") + 1)
+    images = F.flatten(F.transform(rounds, lambda k: F.array(k * twice + at, k * twice - 1 - at)))
+    images = F.filter(images, lambda q: (q >= -radius) & (q < F.col("_n") + radius))
+    inner = (at >= radius) & (at < F.col("_n") - radius)
+    placed = df.join(n, list(keys)).withColumn("_q", F.explode(F.when(inner, F.array(at)).otherwise(images)))
+    chunk = lambda q: F.floor(q / CHUNK)
+    chunks = F.sequence(F.greatest(chunk(F.col("_q") - radius), F.lit(0)), F.least(chunk(F.col("_q") + radius), chunk(F.col("_n") - 1)))
+    placed = placed.withColumn("_c", F.explode(chunks))
+    w = Window.partitionBy(*keys, "_c").orderBy("_q")
+    near = [f"_w{k}" for k in range(2 * radius + 1)]
+    placed = placed.withColumns({c: F.lag(F.col(value), radius - k).over(w) for k, c in enumerate(near)})
+    smooth = sum((F.coalesce(F.col(c) * (x / total), F.lit(0.0)) for c, x in zip(near, weights)), F.lit(0.0))
+    own = placed.where((F.col("_q") == at) & (F.col("_c") == chunk(at)))
+    return own.withColumn("smooth", F.when(F.coalesce(*near).isNotNull(), smooth)).select(*df.columns, "smooth")
 
 
 def high_runs(df: DataFrame, keys: Sequence[str], pos: str, value: str, least: float = 70.0, longer_than: int = 50) -> DataFrame:

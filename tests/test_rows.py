@@ -73,3 +73,24 @@ def test_characters_are_not_shuffled(name, spark, sf):
 def test_column_counts(texts):
     cells = sequence.alignment_cells(texts, ["f"], "seq")
     same(rows.column_counts(texts, ["f"], "seq"), cells.groupBy("f", "col", "ch").agg(F.count("*").alias("n")))
+
+
+def test_smoothing_copies_no_value_per_weight(spark):
+    """Chunks, mirrors of short rows and nulls, against the plain sum; and no join per position."""
+    import math
+
+    rng = random.Random(5)
+    own = {n: [None if rng.random() < 0.05 else rng.random() for _ in range(n)] for n in (1, 2, 7, 20, 41, 1023, 1024, 1045, 2100)}
+    df = spark.createDataFrame([(n, i, v) for n, vs in own.items() for i, v in enumerate(vs)], "k int, pos long, v double").repartition(3)
+    found = sequence.gaussian_smooth(df, ["k"], "pos", "v")
+    got = {(r["k"], r["pos"]): r["smooth"] for r in found.collect()}
+    w = [math.exp(-0.5 * (j / 5) ** 2) for j in range(-20, 21)]
+    assert len(got) == sum(own)
+    for n, vs in own.items():
+        for i in range(n):
+            at = [(i + j) % (2 * n) for j in range(-20, 21)]
+            used = [(x, vs[a if a < n else 2 * n - 1 - a]) for x, a in zip(w, at)]
+            want = sum(x * v for x, v in used if v is not None) / sum(w) if any(v is not None for _, v in used) else None
+            assert (got[n, i] is None) == (want is None) and (want is None or abs(got[n, i] - want) < 1e-12), (n, i)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # with the sizes of the sequences
