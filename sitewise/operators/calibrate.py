@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ranks
+from .pair_scores import PairScores
 from .settle import settle
 
 # The p-values for which cutoffs are kept.
@@ -29,10 +30,19 @@ def quantile_cutoffs(scores: DataFrame, group: Sequence[str], score: str = "cos"
     if combined:
         every = ranks.quantiles(rows, [], score, [1 - p for p in p_values])
         found = found.unionByName(every.select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in group], "level", "quantile"))
+    return _by_p(found, group, p_values)
+
+
+def _by_p(found: DataFrame, group: Sequence[str], p_values: Sequence[float]) -> DataFrame:
     p = F.create_map(*[x for p in p_values for x in (F.lit(1 - p), F.lit(float(p)))])
     return found.select(*group, F.element_at(p, F.col("level")).alias("p"), F.col("quantile").alias("cutoff"))
 
 
+def pair_cutoffs(pairs: PairScores, p_values: Sequence[float] = P_VALUES, combined: bool = False) -> DataFrame:
+    """The same of all pairs of each group, which are never written."""
+    return _by_p(pairs.quantiles([1 - p for p in p_values], combined), [pairs.group], p_values)
+
+
 def moments(scores: DataFrame, group: Sequence[str], score: str = "cos", combined: bool = False) -> DataFrame:
     """Mean and population deviation of each group: group, mean, std, n."""
     aggs = [F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.count(score).alias("n")]

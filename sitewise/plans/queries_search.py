@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import calibrate, metrics, ranks, sampling, search, vectors
+from ..operators.pair_scores import PairScores
 from ..operators.settle import settle
 from ..registry import query
 from .standins import DB_SQL, site_db, table
@@ -77,7 +78,7 @@ def knn_accuracy(spark, sf_dir):
     UNION ALL SELECT NULL, CAST(0.001 AS DOUBLE), round(quantile_cont(cos, 0.999), 6) FROM pairs
     UNION ALL SELECT NULL, CAST(0.0001 AS DOUBLE), round(quantile_cont(cos, 0.9999), 6) FROM pairs""")
 def background_quantiles(spark, sf_dir):
-    q = calibrate.quantile_cutoffs(_label_pairs(spark, sf_dir), ["letter"], p_values=LEVELS, combined=True)
+    q = calibrate.pair_cutoffs(PairScores(site_db(spark, sf_dir), "id", "letter"), LEVELS, combined=True)
     return q.withColumn("cutoff", F.round("cutoff", 6))
 
 
@@ -163,10 +164,11 @@ SEARCH_SQL = f"""{PAIRS_SQL}, cut AS (SELECT letter, quantile_cont(cos, 0.99) AS
     hits AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3)"""
 
 
-def _hits(spark, sf_dir, pairs, iterations=3):
+def _hits(spark, sf_dir, iterations=3):
     db = site_db(spark, sf_dir)
-    cutoffs = calibrate.quantile_cutoffs(pairs, ["letter"], p_values=[0.01])
-    return search.iterative_search(db, db.where("id = 7"), cutoffs, iterations), db
+    pairs = PairScores(db, "id", "letter")
+    cutoffs = calibrate.pair_cutoffs(pairs, [0.01])
+    return search.iterative_search(db, db.where("id = 7"), cutoffs, iterations), db, pairs
 
 
 @query("iterative_site_search", f"""WITH {SEARCH_SQL}, best AS (
@@ -177,11 +179,9 @@ def _hits(spark, sf_dir, pairs, iterations=3):
     FROM one o LEFT JOIN nation n ON n.n_nationkey = o.pdb % 30""")
 def iterative_site_search(spark, sf_dir):
     """Seed, search rounds, first hit by structure, percentile, metadata."""
-    pairs = settle(_label_pairs(spark, sf_dir))  # once, for cutoffs and percentiles
-    hits, db = _hits(spark, sf_dir, pairs)
+    hits, db, pairs = _hits(spark, sf_dir)
     one = search.first_hits(hits.join(db.select("id", "pdb"), "id"), "pdb", ["iter", "query", "id"])
-    background = pairs.withColumn("cos", F.round("cos", vectors.DIGITS))
-    scored = calibrate.percentile_scores(one.withColumn("cos", F.round("cos", vectors.DIGITS)), background)
+    scored = pairs.share_below(settle(one), "cos", "percentile")
     meta = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("description"))
     out = scored.join(meta, (F.col("pdb") % 30) == F.col("k"), "left")
     return out.select("pdb", "id", "query", "iter", F.round("cos", 6).alias("cosine"), F.round("percentile", 4).alias("percentile"), "description")
@@ -189,7 +189,7 @@ def iterative_site_search(spark, sf_dir):
 
 @query("search_hits_by_iteration", f"""WITH {SEARCH_SQL} SELECT iter, query, id, round(cos, 6) AS cos FROM hits""")
 def search_hits_by_iteration(spark, sf_dir):
-    return _hits(spark, sf_dir, _label_pairs(spark, sf_dir))[0].select("iter", "query", "id", F.round("cos", 6).alias("cos"))
+    return _hits(spark, sf_dir)[0].select("iter", "query", "id", F.round("cos", 6).alias("cos"))
 
 
 LABEL_SQL = "CASE WHEN letter = (SELECT letter FROM db WHERE id = 7) THEN CASE WHEN id % 3 = 0 THEN 'FN' ELSE 'TP' END ELSE CASE WHEN id % 3 = 0 THEN 'FP' ELSE 'TN' END END"
