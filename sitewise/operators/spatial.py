@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from ..functions.columns import distance
 from .settle import settle
 
 XYZ = ("x", "y", "z")
+#: Pairs that a task looks at together, to leave out those too far to count.
+RUN = 1 << 18
 
 
 def _cell(c: Column, radius: float) -> Column:
@@ -47,17 +52,48 @@ def radius_graph(nodes: DataFrame, radius: float, node: str, env: Sequence[str]
     """Directed edges src, dst between different nodes of one environment within
     ``radius``, with dist and the unit vector ux, uy, uz from dst to src.
 
-    With ``most``, a node keeps so many nearest neighbours, ties by node.
+    With ``most``, a node keeps so many nearest neighbours, ties by node. Tasks
+    leave out what can't be among them before anything is sorted or shuffled.
     """
     own = nodes.select(*env, node, *XYZ)
     pairs = radius_join(own, own, radius, keys=env).where(F.col(node) != F.col("p_" + node))
     if most is not None:
+        pairs = _thinned(pairs, [*env, node], ["dist", "p_" + node], most)
         w = Window.partitionBy(*env, node).orderBy("dist", "p_" + node)
         pairs = pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
     units = [F.coalesce(F.try_divide(F.col(c) - F.col("p_" + c), F.col("dist")), F.lit(0.0)).alias("u" + c) for c in XYZ]
     return pairs.select(*env, F.col(node).alias("src"), F.col("p_" + node).alias("dst"), "dist", *units)
 
 
+def _thinned(pairs: DataFrame, keys: Sequence[str], order: Sequence[str], most: int) -> DataFrame:
+    """Of each run of pairs the first ``most`` of each key: no fewer than its first
+    ones overall. A join gives a row's matches in a cell one after the other, so
+    what is left grows with the rows and not with the pairs. No nulls in keys."""
+
+    def first(batches: list) -> pa.Table:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        t = t.take(pc.sort_indices(t, [(c, "ascending") for c in (*keys, *order)]))
+        new = np.arange(t.num_rows) == 0
+        for c in keys:
+            new[1:] |= np.diff(t.column(c).combine_chunks().dictionary_encode().indices.to_numpy()) != 0
+        start = np.flatnonzero(new)
+        rank = np.arange(t.num_rows) - np.repeat(start, np.diff([*start, t.num_rows]))
+        return t.filter(pa.array(rank < most))
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= RUN:
+                yield from first(held).to_batches()
+                held, size = [], 0
+        if size:
+            yield from first(held).to_batches()
+
+    return pairs.mapInArrow(run, pairs.schema)
+
+
 def nearest_point(queries: DataFrame, points: DataFrame, query: str, point: str, radius: float | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """For each query the nearest point, ties by the smaller ``point``.
 
