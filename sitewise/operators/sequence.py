@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,10 @@ from .ranks import running
 GAP = "-"
 #: Positions that are smoothed together.
 CHUNK = 1024
+#: Remains of a text (with few characters taken out) by which it meets others at
+#: most, and texts whose remains are made together.
+VARIANTS = 600
+TEXTS_AT_ONCE = 1000
 
 
 def gaussian_smooth(df: DataFrame, keys: Sequence[str], pos: str, value: str, sigma: float = 5.0, truncate: float = 4.0) -> DataFrame:
@@ -170,35 +177,100 @@ def close_records(records: DataFrame, id_col: str, seq: str, edits: int, gram: i
     """Unordered pairs a < b of records at most ``edits`` edits apart, with the
     edit distance and its share of the longer one.
 
+    Equal texts are looked at once. Two near texts become equal if at most
+    ``edits`` characters are taken out of each, so texts of at most VARIANTS such
+    remains meet by a hash of each of them: how many meet does not depend on how
+    common their parts are. Longer ones meet by their rarest runs. The edit
+    distance decides. Null texts are near nothing.
+    """
+    own = records.select(F.col(id_col).alias("id"), F.col(seq).alias("s")).where(F.col("s").isNotNull()).distinct()
+    # A number of tasks of its own: small texts make many times their size of remains.
+    tasks = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    texts = own.select("s").repartition(tasks, "s").distinct().withColumn("len", F.length("s"))
+    longest = max((n for n in range(4 * VARIANTS) if sum(math.comb(n, k) for k in range(edits + 1)) <= VARIANTS), default=0)
+    left = texts.where(F.col("len") <= longest).select("s").mapInArrow(_remains(edits), "h long, s string")
+    near = left.select("h", F.col("s").alias("x")).join(left.select("h", F.col("s").alias("y")).hint("merge"), "h")
+    near = near.where(F.col("x") < F.col("y")).withColumn("edits", F.levenshtein("x", "y", edits)).where(F.col("edits") >= 0).select("x", "y", "edits")
+    met = _sharing_runs(texts.where(F.col("len") > longest - edits), edits, gram, longest)
+    near = near.unionByName(met.withColumn("edits", F.levenshtein("x", "y", edits)).where(F.col("edits") >= 0)).distinct()
+    side = lambda i, c: own.select(F.col("id").alias(f"id{i}"), F.col("s").alias(c))
+    pairs = near.join(side(1, "x"), "x").join(side(2, "y"), "y")
+    equal = side(1, "x").join(side(2, "y"), F.col("x") == F.col("y")).where("id1 < id2").withColumn("edits", F.lit(0))
+    pairs = pairs.where("id1 <> id2").select("id1", "id2", "x", "y", "edits").unionByName(equal.select("id1", "id2", "x", "y", "edits"))
+    share = F.coalesce(F.try_divide(F.col("edits").cast("double"), F.greatest(F.length("x"), F.length("y"))), F.lit(0.0))
+    return pairs.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), "edits", share.alias("distance"))
+
+
+def _remains(edits: int):
+    """Of each text the different 64-bit hashes of what is left when at most
+    ``edits`` characters are taken out. Equal hashes only mean that texts meet."""
+    base = 0x9E3779B97F4A7C15
+    back = np.uint64(pow(base, -1, 1 << 64))
+
+    def hashes(codes: np.ndarray) -> np.ndarray:
+        n = codes.shape[1]
+        powers = np.array([pow(base, i, 1 << 64) for i in range(n)], np.uint64)
+        mixed = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(29)
+        upto = np.zeros((len(codes), n + 1), np.uint64)
+        np.cumsum(mixed * powers, axis=1, out=upto[:, 1:])
+        found = []
+        for k in range(min(edits, n) + 1):
+            for out in combinations(range(n), k):
+                h, shift, at = np.full(len(codes), n - k, np.uint64), np.uint64(1), 0
+                for i in (*out, n):
+                    h += (upto[:, i] - upto[:, at]) * shift
+                    shift, at = shift * back, i + 1
+                found.append(h)
+        return np.sort(np.stack(found, 1), axis=1)
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            size = np.array([len(t) for t in texts])
+            for n in np.unique(size).tolist():
+                every = np.flatnonzero(size == n)
+                for lo in range(0, len(every), TEXTS_AT_ONCE):
+                    own = every[lo : lo + TEXTS_AT_ONCE]
+                    codes = np.frombuffer("".join(texts[i] for i in own).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(own), n)
+                    with np.errstate(over="ignore"):
+                        h = hashes(codes)
+                    new = np.ones(h.shape, bool)
+                    new[:, 1:] = h[:, 1:] != h[:, :-1]
+                    row = pa.array(np.repeat(own, new.sum(1)))
+                    yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), b.column(0).take(row)], ["h", "s"])
+
+    return run
+
+
+def _sharing_runs(texts: DataFrame, edits: int, gram: int, longer_than: int) -> DataFrame:
+    """Pairs x < y of different texts (s, len), one longer than a number, that may
+    be near.
+
     An edit spoils ``gram`` runs of a text at most, so of any gram * edits + 1 of
     its runs (told apart by how often they came before) one is left in a near
     text: the rarest are looked up. Texts with fewer runs can be near anything
     of about their length: they meet by length. Lengths differ by ``edits`` at
-    most. Null texts are near nothing.
+    most.
     """
-    own = records.select(F.col(id_col).alias("id"), F.col(seq).alias("s")).where(F.col("s").isNotNull()).withColumn("len", F.length("s"))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.col("len") - (gram - 1), F.lit(1))), lambda i: F.substring(F.col("s"), i, F.lit(gram)))
     kept = gram * edits + 1
     long = F.col("len") - (gram - 1) >= kept
-    listed = own.where(long).select("id", "s", "len", F.posexplode(runs).alias("_i", "_g"))
+    listed = texts.where(long).select("s", "len", F.posexplode(runs).alias("_i", "_g"))
     # The second, third ... time a run stands in a text it counts as another one.
-    again = Window.partitionBy("id", "s", "_g").orderBy("_i")
+    again = Window.partitionBy("s", "_g").orderBy("_i")
     listed = listed.withColumn("_t", F.row_number().over(again)).drop("_i")
     common = listed.groupBy("_g", "_t").agg(F.count("*").alias("_n"))
-    rare = Window.partitionBy("id", "s").orderBy("_n", "_g", "_t")
+    rare = Window.partitionBy("s").orderBy("_n", "_g", "_t")
     # All texts order their runs alike, so of two near ones the rarest meet.
     probes = listed.join(common, ["_g", "_t"]).withColumn("_r", F.row_number().over(rare)).where(F.col("_r") <= kept)
-    short = own.where(~long).select("id", "s", "len")
     side = lambda d, x: d.withColumnsRenamed({c: c + x for c in d.columns})
-    one, two = (side(probes.select("id", "s", "len", "_g", "_t"), x) for x in "12")
-    met = one.join(two, (F.col("_g1") == F.col("_g2")) & (F.col("_t1") == F.col("_t2")) & (F.col("id1") < F.col("id2")) & (F.abs(F.col("len1") - F.col("len2")) <= edits))
-    by_length = side(own.withColumn("at", F.explode(F.sequence(F.col("len") - edits, F.col("len") + edits))), "2")
-    few = side(short, "1").join(by_length, F.col("len1") == F.col("at2")).where("id1 <> id2")
-    pairs = met.select("id1", "s1", "id2", "s2").unionByName(few.select("id1", "s1", "id2", "s2"))
-    first = F.col("id1") < F.col("id2")
-    pairs = pairs.select(F.least("id1", "id2").alias("a"), F.when(first, F.col("s1")).otherwise(F.col("s2")).alias("x"), F.greatest("id1", "id2").alias("b"), F.when(first, F.col("s2")).otherwise(F.col("s1")).alias("y")).distinct()
-    near = pairs.withColumn("edits", F.levenshtein("x", "y")).where(F.col("edits") <= edits)
-    return near.select("a", "b", "edits", F.coalesce(F.try_divide(F.col("edits").cast("double"), F.greatest(F.length("x"), F.length("y"))), F.lit(0.0)).alias("distance"))
+    one, two = (side(probes.select("s", "len", "_g", "_t"), x) for x in "12")
+    met = one.join(two, (F.col("_g1") == F.col("_g2")) & (F.col("_t1") == F.col("_t2")) & (F.col("s1") < F.col("s2")) & (F.abs(F.col("len1") - F.col("len2")) <= edits))
+    by_length = side(texts.withColumn("at", F.explode(F.sequence(F.col("len") - edits, F.col("len") + edits))), "2")
+    few = side(texts.where(~long), "1").join(by_length, F.col("len1") == F.col("at2")).where("s1 <> s2")
+    pairs = met.select("s1", "len1", "s2", "len2").unionByName(few.select("s1", "len1", "s2", "len2"))
+    return pairs.where(F.greatest("len1", "len2") > longer_than).select(F.least("s1", "s2").alias("x"), F.greatest("s1", "s2").alias("y")).distinct()
 
 
 def scheduled_average(df: DataFrame, keys: Sequence[str], order: Sequence, value: str, beta: float, period: float = 5000.0) -> DataFrame:

@@ -56,6 +56,20 @@ def test_close_records(spark):
         assert got == want and want
 
 
+def test_close_records_of_common_parts(spark):
+    """Numbered texts of one name: each meets those near its number, not all."""
+    rng = random.Random(9)
+    rows = [(i, f"large ring {i:06d}") for i in rng.sample(range(1_000_000), 1500)] + [(2_000_000, "large ring 000000")]
+    rows += [(3_000_000 + i, "x" * n + "y" * (i % 2)) for i, n in enumerate((31, 32, 33, 34, 35, 36, 37, 38))]
+    df = spark.createDataFrame(rows, "id int, s string")
+    met = df.select("s").mapInArrow(sequence._remains(2), "h long, s string").groupBy("h").count().selectExpr("sum(count * (count - 1) / 2)").first()[0]
+    assert met < len(rows) ** 2 / 20
+    got = {(r["a"], r["b"]): r["edits"] for r in sequence.close_records(df, "id", "s", 2).collect()}
+    near = lambda s, t: abs(len(s) - len(t)) <= 2 and sum(x != y for x, y in zip(s[-6:], t[-6:])) + (s[-1] == "y") + (t[-1] == "y") <= 6
+    want = {(i, j): d for i, s in rows for j, t in rows if i < j and near(s, t) and sum(s.count(c) != t.count(c) for c in "0123456789") <= 4 and (d := edits(s, t)) <= 2}
+    assert got == want
+
+
 @pytest.mark.parametrize("beta, period", [(0.9, 5000.0), (0.5, 4.0), (0.0, 7.0)])
 def test_scheduled_average(spark, beta, period):
     rng = random.Random(6)
