@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .settle import settle
-from .vectors import DIGITS, packed, similarity_join, unit_vectors
+from .vectors import DIGITS, marked_reach, near_pivots, packed, similarity_join, unit_vectors
+
+#: Bits of a word that searches travel in.
+WORD = 63
 
 
 def iterative_search(db: DataFrame, seeds: DataFrame, cutoffs: DataFrame, iterations: int = 3, group: str = "letter", spread_all: bool = False) -> DataFrame:
@@ -38,53 +41,79 @@ def iterative_search(db: DataFrame, seeds: DataFrame, cutoffs: DataFrame, iterat
     return out
 
 
-def search_grid(db: DataFrame, seeds: DataFrame, cutoffs: dict[float, float], iterations: int = 5) -> DataFrame:
-    """Searches of many samples at many cutoffs at once: sample, p, iter, id and
-    n_query, the number of rows that the round asked with.
+def search_grid(db: DataFrame, seeds: DataFrame, cutoffs: dict[float, float], iterations: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Searches of many samples at many cutoffs at once: what each reaches, with
+    the round that reached it first (sample, p, id, iter), and of each search and
+    round that reached anything the number of rows it asked with (sample, p, iter,
+    n_query).
 
     ``seeds`` has sample and id; ``cutoffs`` gives p-values their cosine. All hits
-    of a round are the next frontier. A round is one similarity join whatever the
-    number of searches: each frontier row is asked once, at the lowest cutoff of
-    those that ask it, and its hits go to the searches whose cutoff they pass.
+    of a round are the next frontier. A hit is similar to itself, so a frontier
+    holds the one before: only what the last round added is asked, and only for
+    what a search has not reached. Searches travel as bits of a row, and pairs are
+    never written. The samples, few, come to the driver.
     """
-    blocks = packed(db, "id")
-    grid = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(float(c)).alias("cutoff")) for p, c in cutoffs.items()])).alias("g")
-    frontier = seeds.select("sample", "id", grid).select("sample", "g.p", "g.cutoff", "id").distinct()
-    run, out = ["sample", "p", "cutoff"], None
+    names = [r["sample"] for r in seeds.select("sample").distinct().orderBy("sample").collect()]
+    runs = [(s, float(p), float(c)) for s in names for p, c in cutoffs.items()]
+    spark, width = db.sparkSession, -(-len(runs) // WORD)
+    words = lambda at: [sum(1 << (r % WORD) for r in at if r // WORD == w) for w in range(width)]
+    levels = [(c, words([r for r, x in enumerate(runs) if x[2] == c])) for c in sorted(set(map(float, cutoffs.values())))]
+    listed = lambda at: F.array(*[F.lit(w).cast("long") for w in words(at)])
+    kinds = f"run int, sample {seeds.schema['sample'].dataType.simpleString()}, p double"
+    if not runs:
+        none = spark.createDataFrame([], kinds).drop("run")
+        return none.crossJoin(db.select("id").limit(0)).withColumn("iter", F.lit(1)), none.withColumns({"iter": F.lit(1), "n_query": F.lit(0).cast("long")})
+    numbered = spark.createDataFrame([(i, s, p) for i, (s, p, _) in enumerate(runs)], kinds)
+    either = lambda df: df.groupBy("id").agg(*[F.bit_or(F.col("marks")[w]).alias(f"w{w}") for w in range(width)]).select("id", F.array(*[f"w{w}" for w in range(width)]).alias("marks"))
+    without = lambda a, b: F.zip_with(a, F.coalesce(b, listed([])), lambda x, y: x.bitwiseAND(F.bitwise_not(y)))
+    some = F.exists("marks", lambda x: x != 0)
+    of_sample = F.coalesce(*[F.when(F.col("sample").eqNullSafe(F.lit(s)), listed([r for r, x in enumerate(runs) if x[0] == s])) for s in names])
+    rows = db.select("id", "u")
+    start = settle(either(seeds.select("id", of_sample.alias("marks"))))
+    fresh, reached, found, pivots = start, None, None, near_pivots(rows)
     for i in range(1, iterations + 1):
-        asked = frontier.groupBy("id").agg(F.min("cutoff").alias("cutoff")).join(db.select("id", "u"), "id").withColumnRenamed("id", "query")
-        hits = similarity_join(asked, db, "cutoff", "query", "id", blocks=blocks).select("query", "id", "cos")
-        reached = frontier.withColumnRenamed("id", "query").join(hits, "query").where(F.round("cos", DIGITS) > F.round("cutoff", DIGITS))
-        reached = settle(reached.select(*run, "id").distinct())
-        size = frontier.groupBy(*run).agg(F.count("*").alias("n_query"))
-        found = settle(reached.join(size, run).select("sample", "p", F.lit(i).alias("iter"), "id", "n_query"))
-        out = found if out is None else out.unionByName(found)
-        frontier = reached
-    return out
-
-
-def grid_metrics(found: DataFrame, truth: DataFrame, iterations: int = 5) -> DataFrame:
-    """Of each search and round, over the ids found so far: recall, recall of TP,
-    shares of the structures with a FN or FP that were hit, precision, n_query.
+        other = F.lit(None).cast("array<long>") if reached is None else F.col("old")
+        left = (rows if reached is None else rows.join(reached.withColumnRenamed("marks", "old"), "id", "left")).select("id", "u", without(listed(range(len(runs))), other).alias("marks"))
+        new = settle(marked_reach(rows.join(fresh, "id"), left.where(some), levels, pivots=pivots))
+        places = F.explode(F.array_compact(F.array(*[F.when(F.col("marks")[r // WORD].bitwiseAND(F.lit(1 << (r % WORD)).cast("long")) != 0, r) for r in range(len(runs))])))
+        first = new.select("id", places.alias("run"), F.lit(i).alias("iter"))
+        found = first if found is None else found.unionByName(first)
+        # What was asked as a seed needs no second time.
+        fresh = new if i > 1 else new.join(start.withColumnRenamed("marks", "old"), "id", "left").select("id", without(F.col("marks"), F.col("old")).alias("marks")).where(some)
+        reached = new if reached is None else settle(either(reached.unionByName(new)))
+        if new.isEmpty():
+            break
+    sizes = {(r["run"], r["iter"]): r["n"] for r in found.groupBy("run", "iter").agg(F.count("*").alias("n")).collect()}
+    given = {r["sample"]: r["n"] for r in seeds.distinct().groupBy("sample").agg(F.count("*").alias("n")).collect()}
+    asked = []
+    for r, (s, p, _) in enumerate(runs):
+        n = given[s]
+        for i in range(1, iterations + 1):
+            upto = sum(sizes.get((r, k), 0) for k in range(1, i + 1))
+            if upto:
+                asked.append((s, p, i, n))
+            n = upto
+    return found.join(F.broadcast(numbered), "run").select("sample", "p", "id", "iter"), spark.createDataFrame(asked, f"{kinds.split(', ', 1)[1]}, iter int, n_query long")
+
+
+def grid_metrics(found: DataFrame, rounds: DataFrame, truth: DataFrame) -> DataFrame:
+    """Of each search and round (the results of ``search_grid``), over the ids found
+    so far: recall, recall of TP, shares of the structures with a FN or FP that
+    were hit, precision, n_query.
 
     A structure is hit if any of its rows is found. Shares without a denominator
-    are null.
+    are null. Counts are taken by the first round and added up.
     """
     pdbs = truth.groupBy("pdb").agg(F.max((F.col("label") == "FN").cast("int")).alias("has_fn"), F.max((F.col("label") == "FP").cast("int")).alias("has_fp"))
-    marked = truth.join(pdbs, "pdb")
     pos = F.col("label").isin("TP", "FN")
-    sizes = marked.agg(
-        F.count(F.when(pos, 1)).alias("n_pos"), F.count(F.when(F.col("label") == "TP", 1)).alias("n_tp"),
-        F.countDistinct(F.when(F.col("has_fn") == 1, F.col("pdb"))).alias("n_fn"), F.countDistinct(F.when(F.col("has_fp") == 1, F.col("pdb"))).alias("n_fp"),
-    )
-    rounds = found.groupBy("sample", "p", "iter").agg(F.max("n_query").alias("n_query"))
-    seen = found.groupBy("sample", "p", "id").agg(F.min("iter").alias("first"))
-    so_far = seen.withColumn("iter", F.explode(F.sequence(F.col("first"), F.lit(iterations)))).drop("first")
-    got = so_far.join(marked, "id").groupBy("sample", "p", "iter").agg(
-        F.count("*").alias("n_found"), F.count(F.when(pos, 1)).alias("hit_pos"), F.count(F.when(F.col("label") == "TP", 1)).alias("hit_tp"),
-        F.countDistinct(F.when(F.col("has_fn") == 1, F.col("pdb"))).alias("hit_fn"), F.countDistinct(F.when(F.col("has_fp") == 1, F.col("pdb"))).alias("hit_fp"),
-    )
-    r = rounds.join(got, ["sample", "p", "iter"]).join(F.broadcast(sizes))
+    sizes = truth.agg(F.count(F.when(pos, 1)).alias("n_pos"), F.count(F.when(F.col("label") == "TP", 1)).alias("n_tp")).join(F.broadcast(pdbs.agg(F.sum("has_fn").alias("n_fn"), F.sum("has_fp").alias("n_fp"))))
+    # A structure's rows of one search and round at once.
+    parts = found.join(truth, "id").groupBy("sample", "p", "pdb", "iter").agg(F.count("*").alias("n_found"), F.count(F.when(pos, 1)).alias("hit_pos"), F.count(F.when(F.col("label") == "TP", 1)).alias("hit_tp"))
+    first = F.min("iter").over(Window.partitionBy("sample", "p", "pdb")) == F.col("iter")
+    parts = parts.withColumn("new", first.cast("int")).join(pdbs, "pdb")
+    counts = parts.groupBy("sample", "p", F.col("iter").alias("first")).agg(*[F.sum(c).alias(c) for c in ("n_found", "hit_pos", "hit_tp")], *[F.sum(F.col("new") * F.col(f"has_{c}")).alias(f"hit_{c}") for c in ("fn", "fp")])
+    got = rounds.join(counts, ["sample", "p"]).where("first <= iter").groupBy("sample", "p", "iter", "n_query").agg(*[F.sum(c).alias(c) for c in ("n_found", "hit_pos", "hit_tp", "hit_fn", "hit_fp")])
+    r = got.join(F.broadcast(sizes))
     share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b))
     return r.select("sample", "p", "iter", "n_query", "n_found", share("hit_pos", "n_pos").alias("recall"), share("hit_tp", "n_tp").alias("tp_recall"), share("hit_fn", "n_fn").alias("fn_recall"), share("hit_fp", "n_fp").alias("fp_rate"), share("hit_pos", "n_found").alias("precision"))
 

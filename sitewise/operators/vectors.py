@@ -33,6 +33,8 @@ PIVOTS = 64
 #: Cosines are compared after rounding to so many digits, so that the order of
 #: a sum's terms does not decide.
 DIGITS = 9
+#: Blocks whose marks a task adds up at once.
+HELD_BLOCKS = 256
 #: An angle's room for rounding, far above it.
 SLACK = 1e-6
 
@@ -85,6 +87,11 @@ def _taking_part(df: DataFrame, group: str | None) -> DataFrame:
     return own.where(F.col(group).isNotNull()) if group else own
 
 
+def near_pivots(df: DataFrame) -> dict[int, np.ndarray]:
+    """What a side without groups is sorted by, for ``marked_reach`` again and again."""
+    return _pivots(df, None)
+
+
 def _pivots(df: DataFrame, group: str | None) -> dict[int, np.ndarray]:
     """PIVOTS vectors at most, those with the smallest hashes, by length, each near
     the one before: what is sorted by their number is sorted by place."""
@@ -104,12 +111,13 @@ def _toured(u: np.ndarray) -> np.ndarray:
     return u[order]
 
 
-def _blocks(df: DataFrame, id_col: str, group: str | None, block_rows: int, pivots: dict[int, np.ndarray]) -> DataFrame:
+def _blocks(df: DataFrame, id_col: str, group: str | None, block_rows: int, pivots: dict[int, np.ndarray], marks: str | None = None) -> DataFrame:
     """Blocks of near rows of one group: block, size (of a vector), grp, ids, cuts,
     least (the smallest cutoff), flat (the vectors), center and reach (the angle
-    of its farthest row)."""
+    of its farthest row), and marks (of its rows, an array of longs each, if given)."""
     grp = F.col(group) if group else F.lit(0)
-    rows = _taking_part(df, group).select(grp.alias("grp"), F.size("u").alias("size"), F.col(id_col).alias("id"), F.col("_cut").alias("cut"), "u")
+    marked = F.col(marks) if marks else F.array().cast("array<long>")
+    rows = _taking_part(df, group).select(grp.alias("grp"), F.size("u").alias("size"), F.col(id_col).alias("id"), F.col("_cut").alias("cut"), "u", marked.alias("marks"))
     g_type, i_type = rows.schema["grp"].dataType, rows.schema["id"].dataType
 
     def matrix(col) -> np.ndarray:
@@ -144,21 +152,21 @@ def _blocks(df: DataFrame, id_col: str, group: str | None, block_rows: int, pivo
                     length = float(np.linalg.norm(mean))
                     center = mean / length if length > 0 else mean
                     reach = float(np.arccos(np.clip((u @ center).min(), -1, 1))) if length > 0 else float(np.pi)
-                    cut = own.column(3).to_numpy(zero_copy_only=False)
+                    cut, marks_ = own.column(3).to_numpy(zero_copy_only=False), own.column(5).flatten()
                     yield pa.RecordBatch.from_pydict({
                         "block": [block], "size": [n], "grp": own.column(0).slice(0, 1), "ids": pa.ListArray.from_arrays(pa.array([0, own.num_rows], pa.int32()), own.column(2)),
                         "cuts": [cut.tolist()], "least": [float(np.nanmin(cut)) if not np.isnan(cut).all() else None], "flat": pa.ListArray.from_arrays(pa.array([0, u.size], pa.int32()), pa.array(u.reshape(-1))),
-                        "center": [center.tolist()], "reach": [reach],
+                        "center": [center.tolist()], "reach": [reach], "marks": pa.ListArray.from_arrays(pa.array([0, len(marks_)], pa.int32()), marks_),
                     }, schema=schema)
                     block += 1
 
     g_arrow, i_arrow = to_arrow_type(g_type), to_arrow_type(i_type)
-    schema = pa.schema([("block", pa.int64()), ("size", pa.int32()), ("grp", g_arrow), ("ids", pa.list_(i_arrow)), ("cuts", pa.list_(pa.float64())), ("least", pa.float64()), ("flat", pa.list_(pa.float64())), ("center", pa.list_(pa.float64())), ("reach", pa.float64())])
+    schema = pa.schema([("block", pa.int64()), ("size", pa.int32()), ("grp", g_arrow), ("ids", pa.list_(i_arrow)), ("cuts", pa.list_(pa.float64())), ("least", pa.float64()), ("flat", pa.list_(pa.float64())), ("center", pa.list_(pa.float64())), ("reach", pa.float64()), ("marks", pa.list_(pa.int64()))])
     g, i = g_type.simpleString(), i_type.simpleString()
-    placed = rows.mapInArrow(near, f"grp {g}, size int, id {i}, cut double, u array<double>, p int, s double")
+    placed = rows.mapInArrow(near, f"grp {g}, size int, id {i}, cut double, u array<double>, marks array<long>, p int, s double")
     tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = placed.repartitionByRange(tasks, "grp", "size", "p", "s", "id").sortWithinPartitions("grp", "size", "p", "s", "id")
-    return settle(dealt.mapInArrow(pack, f"block long, size int, grp {g}, ids array<{i}>, cuts array<double>, least double, flat array<double>, center array<double>, reach double"))
+    return settle(dealt.mapInArrow(pack, f"block long, size int, grp {g}, ids array<{i}>, cuts array<double>, least double, flat array<double>, center array<double>, reach double, marks array<long>"))
 
 
 def strips(left_blocks: int, right_blocks: int, tasks: int) -> tuple[int, int]:
@@ -224,6 +232,72 @@ def _scored(left: DataFrame, right: DataFrame, q_type, d_type, query_id: str, db
     return found.withColumnRenamed("grp", group) if group else found.drop("grp")
 
 
+def marked_reach(queries: DataFrame, db: DataFrame, levels: Sequence[tuple[float, Sequence[int]]], id_col: str = "id", pivots: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """Bits that rows of ``db`` get from similar queries, one row per id with any:
+    id and marks.
+
+    Both sides have u and marks, words of 63 bits. A level is a cutoff with the
+    words of the bits that it rules: a row of ``db`` gets those of its own marks
+    that a query has whose cosine to it is above the cutoff. Pairs are never
+    written: a task adds up what its blocks reach and asks no further for bits
+    that a row has got.
+    """
+    pivots, width = _pivots(db, None) if pivots is None else pivots, len(levels[0][1])
+    has = lambda words: F.exists(F.arrays_zip("marks", F.array(*[F.lit(int(w)) for w in words]).alias("own")), lambda x: x["marks"].bitwiseAND(x["own"]) != 0)
+    lowest = F.array_min(F.array(*[F.when(has(words), F.lit(float(c))) for c, words in levels]))
+    left = _blocks(queries.withColumn("_cut", lowest), id_col, None, BLOCK_ROWS, pivots, "marks")
+    right = _blocks(db.withColumn("_cut", F.lit(0.0)), id_col, None, BLOCK_ROWS, pivots, "marks")
+    kind = _kind(db, id_col)
+    schema = pa.schema([("id", to_arrow_type(kind)), *[(f"w{i}", pa.int64()) for i in range(width)]])
+    bits = [(round(float(c), DIGITS), np.array(words, np.int64), [(i, b) for i, w in enumerate(words) for b in range(63) if w >> b & 1]) for c, words in levels]
+
+    def run(batches):
+        held: dict = {}
+
+        def given(block):
+            ids, wanted, got = held.pop(block)
+            some = np.flatnonzero(got.any(1))
+            if len(some):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(some)), *[pa.array(got[some, i]) for i in range(width)]], schema=schema)
+
+        for b in batches:
+            at = {c: b.column(i) for i, c in enumerate(b.schema.names)}
+            for r in range(b.num_rows):
+                n, block = at["size0"][r].as_py(), at["block1"][r].as_py()
+                array = lambda c: at[c][r].values.to_numpy(zero_copy_only=False)
+                fresh, u = array("marks0").reshape(-1, width), array("flat0").reshape(-1, n)
+                if block not in held:
+                    if len(held) >= HELD_BLOCKS:
+                        yield from given(next(iter(held)))
+                    wanted = array("marks1").reshape(-1, width).copy()
+                    held[block] = at["ids1"][r].values, wanted, np.zeros_like(wanted)
+                _, wanted, got = held[block]
+                asked, open_ = np.bitwise_or.reduce(fresh), np.bitwise_or.reduce(wanted)
+                i, j = np.flatnonzero((fresh & open_).any(1)), np.flatnonzero((wanted & asked).any(1))
+                if not len(i) or not len(j):
+                    continue
+                cos = np.round(u[i] @ array("flat1").reshape(-1, n)[j].T, DIGITS)
+                for cut, words, places in bits:
+                    q, d = np.flatnonzero((fresh[i] & open_ & words).any(1)), np.flatnonzero((wanted[j] & asked & words).any(1))
+                    if not len(q) or not len(d):
+                        continue
+                    hit = (cos[q][:, d] if len(q) < len(i) or len(d) < len(j) else cos) > cut
+                    own = np.stack([fresh[i[q], w] >> b & 1 for w, b in places], 1).astype(np.float32)
+                    reached = hit.T.astype(np.float32) @ own > 0
+                    new = np.zeros((len(d), width), np.int64)
+                    for k, (w, b) in enumerate(places):
+                        new[:, w] |= reached[:, k].astype(np.int64) << b
+                    new &= wanted[j[d]]
+                    got[j[d]] |= new
+                    wanted[j[d]] &= ~new
+        for block in list(held):
+            yield from given(block)
+
+    pairs = block_pairs(left, right).select("size0", "flat0", "marks0", "block1", "ids1", "flat1", "marks1")
+    found = pairs.mapInArrow(run, f"id {kind.simpleString()}, " + ", ".join(f"w{i} long" for i in range(width)))
+    return found.groupBy("id").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(width)]).select(F.col("id").alias(id_col), F.array(*[f"w{i}" for i in range(width)]).alias("marks"))
+
+
 def nearest_vote(df: DataFrame, id_col: str, label: str, k: int = 5, folds: int | None = None) -> DataFrame:
     """The majority label of each row's k most similar other rows; ties go to
     the smaller label, equal cosines to the smaller id. With ``folds``, rows of

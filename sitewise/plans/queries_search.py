@@ -255,7 +255,7 @@ def _grid_round(i: int) -> str:
       round(count(*) FILTER (label IN ('TP', 'FN')) / CAST(count(*) AS DOUBLE), 6) AS precision
     FROM t GROUP BY sample, p, iter, n_query""")
 def search_grid(spark, sf_dir):
-    """Ten samples of three seeds at five cutoffs, five rounds: five joins."""
+    """Ten samples of three seeds at five cutoffs, five rounds: five passes."""
     db = site_db(spark, sf_dir)
     same = F.col("letter") == db.where("id = 7").select("letter").first()["letter"]
     third = F.col("id") % 3 == 0
@@ -263,7 +263,7 @@ def search_grid(spark, sf_dir):
     each = truth.where("label = 'TP'").select("id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("sample"))
     order = Window.partitionBy("sample").orderBy(sampling.mixed(F.col("id"), F.col("sample")), "id")
     seeds = each.withColumn("k", F.row_number().over(order)).where("k <= 3").select("sample", "id")
-    m = search.grid_metrics(search.search_grid(db, seeds, GRID_CUTOFFS, 5), truth, 5)
+    m = search.grid_metrics(*search.search_grid(db, seeds, GRID_CUTOFFS, 5), truth)
     return m.select("sample", "p", "iter", "n_query", "n_found", *[F.round(c, 6).alias(c) for c in ("recall", "tp_recall", "fn_recall", "fp_rate", "precision")])
 
 
