@@ -297,11 +297,20 @@ def positive_pairs(records: DataFrame, family: str, rec: str, seq: str, letters:
         family, F.col("c.col").alias("col"), F.col("x.rec").alias("rec0"), F.col("y.rec").alias("rec1"),
         before("x").alias("pos0"), before("y").alias("pos1"), letter("x").alias("letter0"), letter("y").alias("letter1"),
     ))
-    # Only the drawn columns of a family's records are looked at.
-    cells = own.join(pairs.select(family, "col"), family).where(F.length(seq) > F.col("col")).select(family, "col", F.substring(F.col(seq), F.col("col") + 1, F.lit(1)).alias("ch"))
+    cells = drawn_cells(own, pairs, family, rec, seq)
     return pairs.join(sequence.column_entropy(cells, [family]).select(family, "col", "conservation"), [family, "col"])
 
 
+def drawn_cells(records: DataFrame, drawn: DataFrame, family: str, rec: str, seq: str) -> DataFrame:
+    """Only the drawn columns (family, col) of all records of a family: family, col,
+    ch. A family's records are spread over the tasks, however few families there are."""
+    parts = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1) * 4
+    asked = drawn.groupBy(family).agg(F.collect_set("col").alias("_cols")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = records.withColumn("_part", F.pmod(F.xxhash64(rec), F.lit(parts)).cast("int")).join(asked, [family, "_part"])
+    each = dealt.select(family, seq, F.explode(F.filter("_cols", lambda c: c < F.length(seq))).alias("col"))
+    return each.select(family, "col", F.substring(F.col(seq), F.col("col") + 1, F.lit(1)).alias("ch"))
+
+
 def pair_environments(pairs: DataFrame, family: str, residues: DataFrame, atoms: DataFrame, residue: list[str], radius: float = 10.0, keys: tuple = (), choose=None) -> DataFrame:
     """The environments of both sides of such pairs: family, col, side (0 or 1) and
     the columns of a ball query around each side's functional centre.
