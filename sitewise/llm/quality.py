@@ -2,8 +2,8 @@
 
 Base rules reject short and repetitive texts. Statistics of the others go to an
 isolation forest: random splits isolate odd rows on short paths. How short a
-path rejects a document is calibrated on labelled rows, so that hardly any row
-labelled good is lost.
+path rejects a document is calibrated on all labelled rows, each scored by trees
+that have not seen it, so that hardly any row labelled good is lost.
 """
 
 from __future__ import annotations
@@ -16,13 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample
+from .common import hashed_sample, materialize
 
-#: The bounded sample the forest is fitted and calibrated on: labelled rows by a
-#: hash of the id.
-SAMPLE_ROWS = 12_000
+#: Trees, and the rows that each of them draws, which is what makes it an isolation
+#: tree: together they can look at so many different rows and no more.
 TREES = 300
 TREE_ROWS = 256
+#: Labelled rows are dealt out to so many folds; a share of the trees does without each.
+FOLDS = 5
+#: Scores are told apart in steps of one part in so many.
+STEPS = 1 << 16
 #: The share of rows labelled good that the calibrated threshold may reject.
 CLEAN_LOSS = 0.005
 #: How many times a good row's loss weighs a bad row's.
@@ -144,37 +147,43 @@ class IsolationForest:
 
 
 class QualityModel:
-    """A forest and the score above which a document is rejected.
+    """Forests and the level of their mean score above which a document is rejected.
 
-    The trees grow on one half of the sample, the threshold is calibrated on the
-    other, whose rows they have not seen.
+    The k-th forest grows on the rows given that are not of the fold k; the threshold
+    is calibrated on counts of levels. Until then nothing is rejected.
     """
 
-    def __init__(self, ratios: np.ndarray, good: np.ndarray):
-        self.forest, self.threshold = None, np.inf
-        rng = np.random.default_rng(5)
-        half = rng.permutation(len(ratios)) % 2 == 0
-        bad = rng.permutation(np.flatnonzero(half & (good == 0)))[: max(1, int(CONTAMINATION * (half & (good == 1)).sum()))]
-        own = np.sort(np.concatenate([np.flatnonzero(half & (good == 1)), bad]))
-        if len(own) < 2:
+    def __init__(self, ratios: np.ndarray, good: np.ndarray, folds: np.ndarray | None = None):
+        self.forests, self.threshold = [], np.inf
+        for k in range(FOLDS if folds is not None else 0):
+            clean, junk = ratios[(folds != k) & (good == 1)], ratios[(folds != k) & (good == 0)]
+            own = np.concatenate([clean, junk[: max(1, int(CONTAMINATION * len(clean)))]])
+            if len(own) < 2:
+                self.forests = []
+                return
+            self.forests.append(IsolationForest(own, TREES // FOLDS, seed=7 + k))
+
+    def levels(self, ratios: np.ndarray, folds: np.ndarray | None = None) -> np.ndarray:
+        """The mean of all forests' scores, or of rows of known folds that of the
+        forest which has not seen them, in steps."""
+        score = np.array([f.score(ratios) for f in self.forests])
+        return np.floor((score.mean(0) if folds is None else score[folds, np.arange(len(ratios))]) * STEPS).astype(np.int64)
+
+    def calibrate(self, cuts: np.ndarray, clean: np.ndarray, junk: np.ndarray) -> None:
+        """By the counts of good and bad rows at each level, the levels rising."""
+        if not clean.sum() or not junk.sum():
             return
-        self.forest = IsolationForest(ratios[own])
-        s, y = self.forest.score(ratios[~half]), good[~half]
-        clean, junk = np.sort(s[y == 1]), np.sort(s[y == 0])
-        if not len(clean) or not len(junk):
-            return
-        cuts = np.unique(s)
-        lost = 1 - np.searchsorted(clean, cuts, "right") / len(clean)
-        missed = np.searchsorted(junk, cuts, "right") / len(junk)
+        lost = 1 - np.cumsum(clean) / clean.sum()
+        missed = np.cumsum(junk) / junk.sum()
         cost = np.where(lost <= CLEAN_LOSS, CLEAN_WEIGHT * lost + missed, np.inf)
         best = len(cuts) - 1 - int(np.argmin(cost[::-1]))
         if missed[best] < 1:
             self.threshold = float((cuts[best] + cuts[best + 1]) / 2)
 
     def rejects(self, ratios: np.ndarray) -> np.ndarray:
-        if self.forest is None or not len(ratios):
+        if not self.forests or not len(ratios):
             return np.zeros(len(ratios), bool)
-        return self.forest.score(ratios) > self.threshold
+        return self.levels(ratios) > self.threshold
 
 
 def _judged(texts: list, model: QualityModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,31 +197,61 @@ def _judged(texts: list, model: QualityModel) -> tuple[np.ndarray, np.ndarray, n
     return stats, failed, kept
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
-    """Fit on labelled rows that pass the base rules, SAMPLE_ROWS at most.
+def labelled_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """i, y, r (what the forest looks at) of every labelled row that passes the base rules.
 
     An id with two labels counts as good if one says so; of several documents of
-    an id the first in the order of texts is taken. Null labels and ids, and ids
-    without a document, are left out. Without rows of both labels the forest
-    rejects nothing.
+    an id the one of the smallest r counts. Null labels and ids, and ids without a
+    document, are left out. Texts are read where they lie: r alone is shuffled.
     """
     rows = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isin(0, 1))
-    ids = hashed_sample(rows.groupBy("i").agg(F.max("y").alias("y")), "i", SAMPLE_ROWS)
-    found = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), "i")  # SAMPLE_ROWS rows at most
-    found = found.groupBy("i", "y").agg(F.min("t").alias("t"))
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+
+    def run(batches):
+        for b in batches:
+            found = [statistics(t or "") for t in b.column(1).to_pylist()]
+            passed = np.array([not base_failed(s) for s, _ in found], bool)
+            keys = b.column(0).filter(pa.array(passed, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array([r for (_, r), ok in zip(found, passed) if ok], pa.list_(pa.float64()))], ["i", "r"])
+
+    measured = own.mapInArrow(run, f"i {own.schema['i'].dataType.simpleString()}, r array<double>")
+    return measured.join(rows.groupBy("i").agg(F.max("y").alias("y")), "i").groupBy("i", "y").agg(F.min("r").alias("r"))
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
+    """Fit on all labelled rows that pass the base rules (``labelled_ratios``).
+
+    A hash of the id deals them out to FOLDS folds. The trees' rows are drawn by
+    hash from all of them; no more come to the driver than all trees together can
+    hold. Every row counts for the threshold: tasks score it by the forest that did
+    without its fold, and counts of levels come to the driver, STEPS at most for
+    each label. Without rows of both labels the forests reject nothing.
+    """
+    # Another hash than that of hashed_sample, so that folds are drawn from evenly.
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "i"), F.lit(FOLDS)).cast("int")
+    rows = materialize(labelled_ratios(docs, labels, id_col, text_col, label_col).withColumn("fold", fold))
     width = len(statistics("")[1])
 
+    def drawn(y: int, most: int) -> list:
+        return sorted((r["r"], y, r["fold"]) for r in hashed_sample(rows.where(F.col("y") == y), "i", most).select("r", "fold").collect())
+
+    good = drawn(1, TREES * TREE_ROWS)
+    own = good + drawn(0, max(FOLDS, int(CONTAMINATION * len(good))))
+    model = QualityModel(np.array([r for r, _, _ in own]).reshape(-1, width), np.array([y for _, y, _ in own]), np.array([f for _, _, f in own]))
+    if not model.forests:
+        return model
+    shipped = rows.sparkSession.sparkContext.broadcast(model)  # fixed size
+
     def run(batches):
         for b in batches:
-            keys, good, ratios = [], [], []
-            for i, t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                stats, r = statistics(t or "")
-                if not base_failed(stats):
-                    keys.append(str(i)), good.append(y), ratios.append(r)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(good, pa.int32()), pa.array(ratios, pa.list_(pa.float64()))], ["k", "y", "r"])
-
-    got = sorted(found.select("i", "t", "y").mapInArrow(run, "k string, y int, r array<double>").collect(), key=lambda r: (r["k"], r["r"]))
-    return QualityModel(np.array([r["r"] for r in got]).reshape(-1, width), np.array([r["y"] for r in got]))
+            level = shipped.value.levels(np.array(b.column(2).to_pylist()).reshape(-1, width), b.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(level), b.column(0)], ["level", "y"])
+
+    levels = rows.select("y", "fold", "r").mapInArrow(run, "level long, y int")
+    of = lambda y: F.count(F.when(F.col("y") == y, True))
+    counts = sorted(tuple(r) for r in levels.groupBy("level").agg(of(1), of(0)).collect())
+    model.calibrate(*np.array(counts, np.int64).reshape(-1, 3).T)
+    return model
 
 
 def quality_rules(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
