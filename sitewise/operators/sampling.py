@@ -9,13 +9,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import running
+from .settle import settle
+
+#: The modulus and the two factors of ``mixed``.
+PRIME, ONE, TWO = 2_147_483_647, 48_271, 69_621
+#: Hashes are counted in runs of so many bits.
+RUN_BITS = 20
+#: Rows that are sent to every task rather than shuffled, at most.
+SENT_ROWS = 100_000
 
 
 def mixed(key: Column, seed: int | Column = 0) -> Column:
     """An integer hash that any SQL engine can compute: two rounds modulo a prime."""
-    p = 2_147_483_647
-    one = F.pmod(key.cast("long") * 48271 + (seed * 7919 + 11), F.lit(p))
-    return F.pmod(one * 69621 + 1, F.lit(p))
+    one = F.pmod(key.cast("long") * ONE + (seed * 7919 + 11), F.lit(PRIME))
+    return F.pmod(one * TWO + 1, F.lit(PRIME))
 
 
 def array_split(rank: Column, total: Column, parts: int) -> Column:
@@ -108,35 +115,111 @@ def random_pairs(df: DataFrame, n: int, key: str, group: str, seed: int = 0) ->
     return left.join(row.select(group, F.col("rn").alias("_j"), F.col(key).alias("b")), [group, "_j"]).select(group, "draw", "a", "b")
 
 
-def drawn_negatives(left: DataFrame, right: DataFrame, positives: DataFrame, wanted: DataFrame, residue: Sequence[str], keys: Sequence[str], seed: int = 0, start: Column | None = None) -> DataFrame:
+def drawn_negatives(left: DataFrame, right: DataFrame, positives: DataFrame, wanted: DataFrame, residue: Sequence[str], keys: Sequence[str], seed: int = 0, start: Column | None = None, distinct: bool = False) -> DataFrame:
     """``wanted`` (keys, wanted) pairs of each group that are no positive ones, or
     all there are: keys and the residue's columns, suffixed 0 and 1.
 
     A pair has a number: that of its left residue times the right ones, plus that
     of its right one. Numbers are drawn in steps of a prime that doesn't divide
     their count, so none comes twice: as many as are wanted and positive hold
-    enough negative ones. No product of the sides is made.
+    enough negative ones. No product of the sides is made, and draws are made a few
+    at first and more only where too many of them were positive. ``distinct`` says
+    that no positive pair comes twice.
     """
     primes = (2_147_483_647, 48_271, 69_623)
     sides, sizes = [], wanted
     for side, x in (("0", left), ("1", right)):
         own = ranked(x.select(*keys, *residue).distinct(), residue, keys)
-        sides.append(own.select(*keys, *[F.col(c).alias(c + side) for c in residue], F.col("rn").alias("_r" + side)))
-        sizes = sizes.join(own.groupBy(*keys).agg(F.count("*").alias("_n" + side)), list(keys))
-    known = positives.select(*keys, *[c + s for s in "01" for c in residue]).distinct()
+        sides.append(settle(own.select(*keys, *[F.col(c).alias(c + side) for c in residue], F.col("rn").alias("_r" + side))))
+        sizes = sizes.join(sides[-1].groupBy(*keys).agg(F.count("*").alias("_n" + side)), list(keys))
+    columns = [*keys, *[c + s for s in "01" for c in residue]]
+    known = positives.select(*columns)
+    if not distinct:
+        known = settle(known.distinct())
     sizes = sizes.join(known.groupBy(*keys).agg(F.count("*").alias("_pos")), list(keys), "left").fillna(0, ["_pos"])
     total = F.col("_n0") * F.col("_n1")
-    sizes = sizes.withColumn("wanted", F.least(F.col("wanted"), total - F.col("_pos")))
-    draws_ = sizes.where("wanted > 0").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("wanted") + F.col("_pos") - 1)))
     step = F.coalesce(*[F.when(total % p != 0, F.lit(p).cast("long")) for p in primes], F.lit(1).cast("long"))
     if start is None:
         start = F.pmod(F.xxhash64(*keys), F.lit(1_000_003)) if keys else F.lit(0)
-    place = F.pmod(step * F.col("_i") + mixed(start, seed), total)
-    placed = draws_.select(*keys, "wanted", "_i", F.floor(place / F.col("_n1")).alias("_r0"), F.pmod(place, F.col("_n1")).alias("_r1"))
-    pairs = placed.join(sides[0], [*keys, "_r0"]).join(sides[1], [*keys, "_r1"])
-    free = pairs.join(known, [*keys, *[c + s for s in "01" for c in residue]], "left_anti")
+    sizes = sizes.withColumn("wanted", F.least(F.col("wanted"), total - F.col("_pos"))).where("wanted > 0").withColumns({"_step": step, "_start": mixed(start, seed)})
+    # _to: the numbers drawn so far; all are at most those of wanted and positive pairs.
+    open_, found = settle(sizes.withColumn("_to", F.lit(0).cast("long"))), None
+    while not open_.isEmpty():
+        more = open_.withColumn("_from", F.col("_to")).withColumn("_to", F.least(F.col("_to") * 4 + F.col("wanted") * 2, F.col("wanted") + F.col("_pos")))
+        place = F.pmod(F.col("_step") * F.col("_i") + F.col("_start"), total)
+        draws_ = _numbers_between(more, "_from", "_to", keys).select(*keys, "_i", F.floor(place / F.col("_n1")).alias("_r0"), F.pmod(place, F.col("_n1")).alias("_r1"))
+        pairs = settle(draws_.join(sides[0], [*keys, "_r0"]).join(sides[1], [*keys, "_r1"]).select(*columns, "_i"))
+        free = settle(without(pairs, known, columns))
+        found = free if found is None else found.unionByName(free)
+        got = found.groupBy(*keys).agg(F.count("*").alias("_got"))
+        short = more.join(got, list(keys), "left") if keys else more.crossJoin(got)
+        open_ = settle(short.where((F.coalesce(F.col("_got"), F.lit(0)) < F.col("wanted")) & (F.col("_to") < F.col("wanted") + F.col("_pos"))).drop("_got", "_from"))
+    if found is None:
+        return sides[0].join(sides[1], list(keys)).select(*columns).limit(0) if keys else sides[0].crossJoin(sides[1]).select(*columns).limit(0)
     first = Window.partitionBy(*keys).orderBy("_i")
-    return free.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= F.col("wanted")).select(*keys, *[c + s for s in "01" for c in residue])
+    ranked_ = found.join(sizes.select(*keys, "wanted"), list(keys)) if keys else found.crossJoin(sizes.select("wanted"))
+    return ranked_.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= F.col("wanted")).select(*columns)
+
+
+def _numbers_between(groups: DataFrame, low: str, high: str, keys: Sequence[str], at_once: int = 10_000) -> DataFrame:
+    """Each group with _i, the numbers from ``low`` to ``high`` - 1, spread over the tasks."""
+    runs = groups.where(F.col(low) < F.col(high)).withColumn("_at", F.explode(F.sequence(F.col(low), F.col(high) - 1, F.lit(at_once).cast("long"))))
+    runs = runs.repartition(F.xxhash64(*keys, "_at"))
+    return runs.withColumn("_i", F.explode(F.sequence(F.col("_at"), F.least(F.col("_at") + at_once, F.col(high)) - 1))).drop("_at")
+
+
+def without(rows: DataFrame, known: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The settled ``rows`` that are not known; few of them go to every task, so
+    that the known ones, of which there may be many, are not shuffled."""
+    few = rows.count() <= SENT_ROWS
+    asked = rows.select(*columns).distinct()
+    hit = known.join(F.broadcast(asked) if few else asked, list(columns), "left_semi").distinct()
+    return rows.join(hit, list(columns), "left_anti")
+
+
+def first_hashed(df: DataFrame, n: int, hashed: Column, order: Sequence, keys: Sequence[str], seed: int = 0) -> DataFrame:
+    """n rows of each group, the smallest hashes of ``hashed`` first, ties by ``order``.
+
+    Hashes are counted in runs, and only rows of the runs that hold the first n are
+    ordered: no task sorts or holds a group's other rows.
+    """
+    own = df.withColumn("_h", mixed(hashed, seed))
+    run = F.coalesce(F.shiftright("_h", RUN_BITS), F.lit(-1))
+    counts = own.groupBy(*keys, run.alias("_run")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_run")) - F.col("_n")
+    last = counts.withColumn("_before", before).where(F.col("_before") < n).groupBy(*keys).agg(F.max("_run").alias("_last"))
+    near = own.join(F.broadcast(last), list(keys)).where(run <= F.col("_last"))
+    w = Window.partitionBy(*keys).orderBy("_h", *order)
+    return near.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).select(*df.columns)
+
+
+def hashed_negatives(left: DataFrame, right: DataFrame, positives: DataFrame, residue: str, scale: int, n: int, seed: int = 0) -> DataFrame:
+    """Of all pairs of the sides' residues (whole numbers) that are no positive ones,
+    the first n by the hash of k, the left number times ``scale`` plus the right
+    one: residue0, residue1, k. Positive pairs are distinct, of the sides' residues.
+
+    The hash of a sum is the sum of two hashes modulo a prime. So a left residue
+    meets the right ones whose hash leaves the sum below a bound, on runs of hashes
+    as long as it; the bound grows until n are found. No product is made.
+    """
+    one, two = residue + "0", residue + "1"
+    a = settle(left.select(F.col(residue).alias(one)).where(F.col(one).isNotNull()).distinct().withColumn("_u", mixed(F.col(one) * scale, seed)))
+    b = settle(right.select(F.col(residue).alias(two)).where(F.col(two).isNotNull()).distinct().withColumn("_v", F.pmod(F.pmod(F.col(two).cast("long") * ONE, F.lit(PRIME)) * TWO, F.lit(PRIME))))
+    known = positives.select(one, two)
+    free = a.count() * b.count() - known.count()
+    key = (F.col(one) * scale + F.col(two)).alias("k")
+    wanted, bound = min(n, free), PRIME if free <= 4 * n + 64 else PRIME * (4 * n + 64) // free + 1
+    while wanted > 0:
+        low = F.pmod(F.lit(PRIME) - F.col("_u"), F.lit(PRIME))
+        runs = lambda x, y: F.when(x < y, F.sequence(F.floor(x / bound), F.floor((y - 1) / bound))).otherwise(F.array().cast("array<bigint>"))
+        near = F.array_distinct(F.concat(runs(low, F.least(low + bound, F.lit(PRIME))), runs(F.lit(0).cast("long"), low + bound - PRIME)))
+        met = a.withColumn("_run", F.explode(near)).join(b.withColumn("_run", F.floor(F.col("_v") / bound)), "_run")
+        met = settle(met.withColumn("_h", F.pmod(F.col("_u") + F.col("_v"), F.lit(PRIME))).where(F.col("_h") < bound).select(one, two, "_h"))
+        found = settle(without(met, known, [one, two]).select(one, two, key, "_h"))
+        if bound >= PRIME or found.count() >= wanted:
+            return found.orderBy("_h", "k").limit(n).drop("_h")
+        bound = min(bound * 4, PRIME)
+    return a.crossJoin(b).select(one, two, key).limit(0)
 
 
 def label_sample(positives: DataFrame, negatives: DataFrame, key: str, n: int = 10, ratio: int = 1, seed: int = 0) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -224,10 +224,9 @@ def interface_labels(left: DataFrame, right: DataFrame, cutoff: float, residue:
     near = settle(spatial.interface_pairs(left, right, cutoff, residue, keys=keys))
     columns = [c + s for s in "01" for c in residue]
     hashed = F.pmod(F.xxhash64(*columns), F.lit(1_000_003)) if pair_key is None else pair_key
-    order = Window.partitionBy(*keys).orderBy(sampling.mixed(hashed, seed), hashed, *columns)
-    pos = settle(near.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_k"))
+    pos = settle(sampling.first_hashed(near, n, hashed, [hashed, *columns], keys, seed))
     wanted = pos.groupBy(*keys).agg((F.count("*") * ratio).alias("wanted"))
-    neg = sampling.drawn_negatives(left, right, near, wanted, residue, keys, seed, start)
+    neg = sampling.drawn_negatives(left, right, near, wanted, residue, keys, seed, start, distinct=True)
     return pos.select(*keys, *columns, F.lit(1).alias("label")).unionByName(neg.select(*keys, *columns, F.lit(0).alias("label")))
 
 
