@@ -1,4 +1,5 @@
-"""Statistics over the cosines of all pairs of a group, without writing the pairs.
+"""Statistics over the cosines of all pairs of a group, or of a row with a whole
+side, without writing the pairs.
 
 There are as many pairs as the square of the rows, so each pass scores the blocks
 of vectors again and hands on counts: histograms, made finer only where a wanted
@@ -26,6 +27,9 @@ LAST_VALUES = 1 << 16
 DEPTH = 4
 #: Histograms that a task holds at once.
 HELD = 64
+#: Highest values of one side's rows that a task holds at once, and values that are
+#: looked at together.
+HELD_VALUES = 1 << 22
 #: Cosines lie between these, rounding included.
 LOW, HIGH = -1.0 - 2.0**-20, 1.0 + 2.0**-20
 
@@ -193,3 +197,68 @@ class PairScores:
         total = int(n.sum())
         share = self.spark.createDataFrame([(float(s), float(c / total) if total else None) for s, c in zip(asked, np.cumsum(n))], f"_s double, {name} double")
         return scores.join(share, F.round(score, DIGITS) == F.col("_s"), "left").drop("_s")
+
+
+def top_statistics(sites: DataFrame, background: DataFrame, site_id: str, id_col: str, group: str, levels: Sequence[float]) -> DataFrame:
+    """Of each site's cosines to all background vectors of its group: site_id, n,
+    mean, std (of the population) and quantiles, an array of level and quantile,
+    linearly interpolated, exactly, in the levels' order. Sites without any are left out.
+
+    Each task scores blocks against blocks and hands on sums and the highest values
+    only, as many as the lowest level can ask for: give levels near 1.
+    """
+    right = packed(background, id_col, group)
+    lowest = float(min(levels))
+    sizes = [r["m"] for r in right.groupBy("grp", "size").agg(F.sum(F.size("ids")).alias("m")).agg(F.max("m").alias("m")).collect()]
+    copies = sites.groupBy(site_id).count().agg(F.max("count")).first()[0] or 1  # ids that come again share their rows
+    largest = int(sizes[0] or 0) * copies
+    held = min(largest, largest - int(np.floor(lowest * max(largest - 1, 0))))
+    left = packed(sites, site_id, group, max(1, min(BLOCK_ROWS, HELD_VALUES // max(held, 1)))).withColumn("least", F.lit(-2.0))
+    kind = sites.schema[site_id].dataType
+    fields = pa.schema([("id", to_arrow_type(kind)), ("n", pa.int64()), ("s", pa.float64()), ("q", pa.float64()), ("top", pa.list_(pa.float64()))])
+
+    def run(batches):
+        block, state = None, None
+
+        def given():
+            ids, n, s, q, top = state
+            offsets = np.arange(len(ids) + 1, dtype=np.int32) * top.shape[1]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(s), pa.array(q), pa.ListArray.from_arrays(pa.array(offsets), pa.array(top.reshape(-1)))], schema=fields)
+
+        for b in batches:
+            at = {c: b.column(i) for i, c in enumerate(b.schema.names)}
+            for r in range(b.num_rows):
+                width, ids = at["size0"][r].as_py(), at["ids0"][r].values
+                u, v = (at[f"flat{i}"][r].values.to_numpy(zero_copy_only=False).reshape(-1, width) for i in (0, 1))
+                if block != at["block0"][r].as_py():  # a join gives a block's pairs one after the other
+                    if state is not None:
+                        yield from given()
+                    block, state = at["block0"][r].as_py(), (ids, np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids)), np.zeros((len(ids), 0)))
+                cos = u @ v.T
+                ids, n, s, q, top = state
+                none = np.isnan(cos)
+                n = n + (~none).sum(1)
+                cos[none] = 0
+                s, q = s + cos.sum(1), q + (cos * cos).sum(1)
+                cos[none] = -np.inf
+                both = np.concatenate([top, cos], 1)
+                if both.shape[1] > held:
+                    both = np.partition(both, both.shape[1] - held, axis=1)[:, both.shape[1] - held :]
+                state = ids, n, s, q, np.ascontiguousarray(both)
+        if state is not None:
+            yield from given()
+
+    pairs = block_pairs(left, right).select("block0", "size0", "ids0", "flat0", "flat1")
+    parts = pairs.mapInArrow(run, f"id {kind.simpleString()}, n long, s double, q double, top array<double>")
+    whole = parts.groupBy("id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sort_array(F.flatten(F.collect_list("top")), asc=False).alias("top")).where("n > 0")
+    mean = F.col("s") / F.col("n")
+    # The value of a rank (from 0, rising) among the highest ones.
+    value = lambda rank: F.get("top", (F.col("n") - 1 - rank).cast("int"))
+
+    def quantile(x: float):
+        place = F.lit(float(x)) * (F.col("n") - 1)
+        low = F.floor(place)
+        a, b = value(low), value(F.least(low + 1, F.col("n") - 1))
+        return F.struct(F.lit(float(x)).alias("level"), (a + (b - a) * (place - low)).alias("quantile"))
+
+    return whole.select(F.col("id").alias(site_id), "n", mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("std"), F.array(*[quantile(x) for x in levels]).alias("quantiles"))

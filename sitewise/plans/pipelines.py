@@ -20,6 +20,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from ..functions import columns as C
 from ..functions import tables
 from ..operators import calibrate, rows, sampling, sequence, spatial, vectors
+from ..operators.pair_scores import top_statistics
 from ..operators.settle import settle
 
 Encoder = Callable[[pd.DataFrame], list]
@@ -172,10 +173,10 @@ def build_site_db(sites: DataFrame, background: DataFrame, group: str = "letter"
     """Sites with mean_cos, std_cos and quantiles (array of p, cutoff) against
     all background vectors of their residue type. Types without one are left out.
     """
-    pairs = settle(vectors.similarity_join(sites, background, -2.0, "site_id", "id", group).select("site_id", "cos"))
-    q = calibrate.quantile_cutoffs(pairs, ["site_id"]).groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("p", "cutoff"))).alias("quantiles"))
-    m = calibrate.moments(pairs, ["site_id"]).select("site_id", F.col("mean").alias("mean_cos"), F.col("std").alias("std_cos"))
-    return sites.join(m, "site_id").join(q, "site_id")
+    found = top_statistics(sites, background, "site_id", "id", group, [1 - p for p in calibrate.P_VALUES])
+    p = F.array(*[F.lit(float(p)) for p in calibrate.P_VALUES])
+    quantiles = F.array_sort(F.transform("quantiles", lambda q, i: F.struct(F.get(p, i).alias("p"), q["quantile"].alias("cutoff"))))
+    return sites.join(found.select("site_id", F.col("mean").alias("mean_cos"), F.col("std").alias("std_cos"), quantiles.alias("quantiles")), "site_id")
 
 
 def confident_residues(records: DataFrame, keys: list[str], pos: str = "pos", value: str = "confidence", least: float = 70.0, longer_than: int = 20) -> DataFrame:

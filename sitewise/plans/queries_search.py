@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import calibrate, metrics, ranks, sampling, search, vectors
-from ..operators.pair_scores import PairScores
+from ..operators.pair_scores import PairScores, top_statistics
 from ..operators.settle import settle
 from ..registry import query
 from .standins import DB_SQL, site_db, table
@@ -121,20 +121,13 @@ SITE_BG_SQL = f"""{DB_SQL}, s AS (
 )"""
 
 
-def _site_background(spark, sf_dir):
-    db = site_db(spark, sf_dir)
-    sites = db.where("id % 3 = 0").withColumnRenamed("id", "site_id")
-    return vectors.similarity_join(sites, db.where("id % 3 <> 0"), -2.0, "site_id", "id", "letter")
-
-
 @query("site_background", f"""WITH {SITE_BG_SQL}
     SELECT site_id, round(avg(cos), 6) AS mean_cos, round(stddev_pop(cos), 6) AS std_cos, round(quantile_cont(cos, 0.99), 6) AS q99, round(quantile_cont(cos, 0.999), 6) AS q999 FROM s GROUP BY site_id""")
 def site_background(spark, sf_dir):
-    s = settle(_site_background(spark, sf_dir).select("site_id", "cos"))
-    at = lambda x: F.round(F.max(F.when(F.col("level") == x, F.col("quantile"))), 6)
-    q = ranks.quantiles(s, ["site_id"], "cos", [0.99, 0.999]).groupBy("site_id").agg(at(0.99).alias("q99"), at(0.999).alias("q999"))
-    out = s.groupBy("site_id").agg(F.round(F.avg("cos"), 6).alias("mean_cos"), F.round(F.stddev_pop("cos"), 6).alias("std_cos"))
-    return out.join(q, "site_id")
+    db = site_db(spark, sf_dir)
+    found = top_statistics(db.where("id % 3 = 0").withColumnRenamed("id", "site_id"), db.where("id % 3 <> 0"), "site_id", "id", "letter", [0.99, 0.999])
+    r = lambda c, name: F.round(c, 6).alias(name)
+    return found.select("site_id", r("mean", "mean_cos"), r("std", "std_cos"), *[r(F.col("quantiles")[i]["quantile"], q) for i, q in enumerate(("q99", "q999"))])
 
 
 @query("build_site_db", f"""WITH {SITE_BG_SQL}, {GRID_SQL}, q AS (SELECT site_id, quantile_cont(cos, {GRID_LEVELS}) AS q, avg(cos) AS mean, stddev_pop(cos) AS std FROM s GROUP BY site_id)
@@ -279,7 +272,8 @@ def search_grid(spark, sf_dir):
     FROM pairs GROUP BY ALL""")
 def annotate_sites(spark, sf_dir):
     db = site_db(spark, sf_dir).withColumn("code", F.lpad(F.col("pdb").cast("string"), 4, "0"))
-    own = ranks.quantiles(_site_background(spark, sf_dir), ["site_id"], "cos", [0.98]).select("site_id", F.col("quantile").alias("site_cutoff"))
+    cosines = db.where("id % 3 = 0").withColumnRenamed("id", "site_id"), db.where("id % 3 <> 0")
+    own = top_statistics(*cosines, "site_id", "id", "letter", [0.98]).select("site_id", F.col("quantiles")[0]["quantile"].alias("site_cutoff"))
     sites = db.select(F.col("id").alias("site_id"), F.col("code").alias("pdb"), F.col("id").cast("string").alias("resid"), F.col("letter").cast("string").alias("site"), (F.col("id") % 2).cast("string").alias("source"), F.col("pdb").alias("structure"), "u").join(own, "site_id")
     residues = db.where("id % 3 <> 0").select(F.col("id").alias("res_id"), F.col("code").alias("pdb"), F.concat_ws("_", F.col("letter").cast("string"), F.col("id").cast("string")).alias("chain_resid"), F.col("pdb").alias("structure"), "u")
     # Codes have four characters; structures are told apart by their whole number.
