@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,9 @@ TASK_TOKENS = 1 << 23
 #: Sets bounded against one group in a task, and their tokens, on average.
 ASKED_SETS = 512
 ASKED_TOKENS = 1 << 20
+#: Prefix rows to a bucket of sets, and pairs to a bucket of whole sets.
+SET_BUCKET = 25_000
+PAIR_BUCKET = 2_000
 #: Sets of more than one document in so many are joined by broadcast.
 HOT_SHARE = 4096
 
@@ -144,9 +148,10 @@ def _prefixes(tok: Tokenizer, texts: list, percent: int):
             yield s.token[own], s.key[line], s.n[line], pos[own]
 
 
-def _token_sets(docs: DataFrame, ranked, keys: DataFrame, width: int, sliced: bool) -> DataFrame:
+def _token_sets(docs: DataFrame, ranked, keys: DataFrame, width: int, sliced: bool, buckets: int) -> DataFrame:
     """key, n and toks of the sets with the keys (and a few others); if ``sliced``
-    two min-hashes and a sketch too, and of the tokens those with a column, as 32 bits."""
+    two min-hashes and a sketch too, and of the tokens those with a column, as 32 bits.
+    They lie in buckets of the key, so that joins on it never shuffle the tokens."""
     bits = min(max(1 << (16 * keys.count()).bit_length(), LEAST_FILTER_BITS), MOST_FILTER_BITS)
     maybe = docs.sparkSession.sparkContext.broadcast(_key_filter(keys, bits))
     kind = "m1 long, m2 long, sketch array<long>, toks array<int>" if sliced else "toks array<long>"
@@ -177,7 +182,8 @@ def _token_sets(docs: DataFrame, ranked, keys: DataFrame, width: int, sliced: bo
                     yield pa.RecordBatch.from_arrays([*map(pa.array, cols), *[sketch] * sliced, lists], names)
 
     names = ["key", "n", *["m1", "m2", "sketch"][: 3 * sliced], "toks"]
-    return docs.select("_text").mapInArrow(run, f"key long, n long, {kind}").dropDuplicates(["key"])
+    made = docs.select("_text").mapInArrow(run, f"key long, n long, {kind}")
+    return materialize(made.repartition(buckets, "key").dropDuplicates(["key"]), "key", buckets)
 
 
 def _matrix(sets: DataFrame, tasks: int) -> DataFrame:
@@ -213,22 +219,29 @@ def _matrix(sets: DataFrame, tasks: int) -> DataFrame:
 
 
 def _bounded(asked: DataFrame, sets: DataFrame, groups: DataFrame, percent: int, roots: DataFrame | None = None) -> DataFrame:
-    """Pairs a, b of the sets ``asked`` (key, gid) and members of the group that
+    """Pairs a, b of the sets ``asked`` (key, gid, own) and members of the group that
     the bounds leave: of each set and group the likeliest alone or, with ``roots``
-    (key, root), all with different roots."""
+    (gid, key, root of every member; ``asked`` has root too), all with different roots.
+
+    A set that is a member itself (own) is asked without its tokens, which the group
+    has; roots come to a group as rows beside those that ask, so that the groups
+    are shuffled once.
+    """
     sized = asked.join(sets.select("key", F.size("toks").alias("size")), "key")
     load = sized.groupBy("gid").agg(F.greatest(F.ceil(F.count("*") / ASKED_SETS), F.ceil(F.sum("size") / ASKED_TOKENS)).cast("long").alias("chunks"))
-    placed = materialize(asked.join(load, "gid").select("key", "gid", F.pmod(F.xxhash64("key"), F.greatest("chunks", F.lit(1))).alias("chunk")))
-    left = placed.join(sets.select("key", "n", "sketch", "toks"), "key")
-    if roots is None:
-        left, groups = left.withColumn("root", F.lit(None).cast("long")), groups.withColumn("roots", F.lit(None).cast("array<long>"))
-    else:
-        left = left.join(roots, "key")
-        members = groups.select("gid", F.posexplode("keys").alias("i", "key")).join(roots, "key")
-        members = members.groupBy("gid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "root"))), lambda x: x["root"]).alias("roots"))
-        groups = groups.join(members, "gid")
-    right = placed.select(F.col("gid").alias("to"), F.col("chunk").alias("part_of")).distinct().join(groups, F.col("to") == F.col("gid")).drop("gid")
+    root = F.lit(None).cast("long").alias("root") if roots is None else F.col("root")
+    placed = materialize(asked.join(load, "gid").select("key", "gid", "own", F.pmod(F.xxhash64("key"), F.greatest("chunks", F.lit(1))).alias("chunk"), root))
+    parts = placed.select("gid", "chunk").distinct()
+    columns = ["key", "gid", "chunk", "root", "n", "sketch", "toks"]
+    without = [F.lit(None).cast(sets.schema[c].dataType).alias(c) for c in columns[4:]]
+    left = placed.where("NOT own").join(sets.select("key", "n", "sketch", "toks"), "key").select(*columns, F.lit(False).alias("member"))
+    left = left.unionByName(placed.where("own").select(*columns[:4], *without, F.lit(False).alias("member")))
+    if roots is not None:
+        left = left.unionByName(roots.join(parts, "gid").select(*columns[:4], *without, F.lit(True).alias("member")))
+    # One row a group, which has many sets or tokens: a small table.
+    right = groups.join(F.broadcast(parts.select(F.col("gid").alias("to"), F.col("chunk").alias("part_of"))), F.col("to") == F.col("gid")).drop("gid")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    likeliest = roots is None
 
     def bound(asking: pa.Table, group: pa.Table) -> pa.Table:
         a, b = [], []
@@ -237,21 +250,31 @@ def _bounded(asked: DataFrame, sets: DataFrame, groups: DataFrame, percent: int,
             parity = one["sketch"].reshape(len(one["n"]), SKETCH_WORDS)
             has = np.zeros((len(one["n"]), len(one["union"]) + 1), bool)
             has[np.repeat(np.arange(len(one["n"])), one["held"]), one["at"]] = True
-            likeliest = group.column("roots")[0].as_py() is None
-            roots = None if likeliest else group.column("roots").combine_chunks()[0].values.to_numpy()
-            toks, sketch = (asking.column(c).combine_chunks() for c in ("toks", "sketch"))
+            end = np.cumsum(one["held"])
+            place = {k: i for i, k in enumerate(one["keys"].tolist())}
+            members, asking = asking.filter(asking.column("member")), asking.filter(pc.invert(asking.column("member")))
+            if not likeliest:
+                of = dict(zip(members.column("key").to_pylist(), members.column("root").to_pylist()))
+                roots = np.array([of[k] for k in place], np.int64)
+            toks, sketches = (asking.column(c).combine_chunks() for c in ("toks", "sketch"))
             for i, (key, n, root) in enumerate(zip(*(asking.column(c).to_pylist() for c in ("key", "n", "root")))):
-                own = toks[i].values.to_numpy()
-                at = np.searchsorted(one["union"], own)
-                at = at[np.append(one["union"], 0)[at] == own]
-                at = at[at < len(one["union"])]
-                if len(own) - len(at) > n - -(-percent * n // 100):
+                if n is None:  # a member
+                    m = place[key]
+                    n, sketch, held = int(one["n"][m]), parity[m], one["held"][m]
+                    at = one["at"][end[m] - held : end[m]]
+                else:
+                    own, sketch = toks[i].values.to_numpy(), sketches[i].values.to_numpy()
+                    held = len(own)
+                    at = np.searchsorted(one["union"], own)
+                    at = at[np.append(one["union"], 0)[at] == own]
+                    at = at[at < len(one["union"])]
+                if held - len(at) > n - -(-percent * n // 100):
                     continue  # every member lacks more tokens than a similar one may
                 overlap = has[:, at].sum(1)
                 need = -(-percent * (n + one["n"]) // (100 + percent))
-                near = np.flatnonzero((len(own) - overlap <= n - need) & (100 * np.minimum(n, one["n"]) >= percent * np.maximum(n, one["n"])) & ((one["keys"] != key) if likeliest else (roots != root)))
+                near = np.flatnonzero((held - overlap <= n - need) & (100 * np.minimum(n, one["n"]) >= percent * np.maximum(n, one["n"])) & ((one["keys"] != key) if likeliest else (roots != root)))
                 # A token flips one bit of a sketch, so as many bits differ as tokens do at most.
-                differ = np.bitwise_count((parity[near] ^ sketch[i].values.to_numpy()).view(np.uint64)).sum(1, dtype=np.int64)
+                differ = np.bitwise_count((parity[near] ^ sketch).view(np.uint64)).sum(1, dtype=np.int64)
                 fits = n + one["n"][near] - differ >= 2 * need[near]
                 near, differ = near[fits], differ[fits]
                 if likeliest and len(near):
@@ -269,7 +292,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, ranked, percent: int, width: int
     """The pairs whose Jaccard similarity suffices, by their whole sets: those are
     read again for the few texts that are left in pairs."""
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    sets = materialize(_token_sets(docs, ranked, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), width, sliced=False))
+    sets = _token_sets(docs, ranked, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), width, sliced=False, buckets=max(8, pairs.count() // PAIR_BUCKET))
     side = lambda k, x: sets.select(F.col("key").alias(k), F.col("toks").alias(x)).hint("merge")
     both = F.size(F.array_intersect("x", "y"))
     found = materialize(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(both * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("a", "b"))
@@ -279,8 +302,8 @@ def _similar(pairs: DataFrame, docs: DataFrame, ranked, percent: int, width: int
 
 
 def _asked(rows: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """key, gid of the sets and groups with a common prefix token whose lengths
-    and places allow a link. ``held`` has of a token's groups the least and the
+    """The rows (a set with its own group, gid) and groups (to) with a common prefix
+    token whose lengths and places allow a link. ``held`` has of a token's groups the least and the
     largest set and the most tokens from the token on."""
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("least")) / F.lit(100 + percent))
     fits = (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") - F.col("pos") >= need) & (F.col("rest") >= need)
@@ -290,18 +313,19 @@ def _asked(rows: DataFrame, held: DataFrame, percent: int) -> DataFrame:
 def _links(found: DataFrame, docs: DataFrame, ranked, percent: int, width: int) -> DataFrame:
     """Links a, b between keys of different, similar sets, whose components are
     those of all such pairs. ``found`` has the prefix rows token, key, n, pos."""
-    sets = materialize(_token_sets(docs, ranked, found.select("key").distinct(), width, sliced=True))
+    prefixes = found.count()
+    sets = _token_sets(docs, ranked, found.select("key").distinct(), width, sliced=True, buckets=max(8, prefixes // SET_BUCKET))
     tokens = sets.agg(F.sum(F.size("toks"))).first()[0] or 0
     groups = materialize(_matrix(sets, max(docs.sparkSession.sparkContext.defaultParallelism, tokens // TASK_TOKENS)))
     home = groups.select("gid", F.explode("keys").alias("key"))
-    buckets = bucket_count(found.count())
+    buckets = bucket_count(prefixes)
     rows = materialize(found.join(home, "key").repartition(buckets, "token"), "token", buckets)
 
     def held(rows, *more):
         return rows.groupBy("token", "gid").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"), *more)
 
     hub = held(rows).groupBy("token").agg(F.min(F.struct("gid", "least", "most", "rest")).alias("h")).select("token", F.col("h.gid").alias("to"), "h.least", "h.most", "h.rest")
-    first = _asked(rows, hub, percent).select("key", F.col("to").alias("gid")).unionByName(rows.select("key", "gid")).distinct()
+    first = _asked(rows, hub, percent).select("key", F.col("to").alias("gid"), (F.col("to") == F.col("gid")).alias("own")).unionByName(rows.select("key", "gid", F.lit(True).alias("own"))).distinct()
     near = _similar(_bounded(first, sets, groups, percent), docs, ranked, percent, width)
     roots = connected_components(near)
     rooted = rows.join(roots.withColumnRenamed("v", "key").hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -309,8 +333,8 @@ def _links(found: DataFrame, docs: DataFrame, ranked, percent: int, width: int)
     mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
     apart = materialize(placed.join(mixed.hint("merge"), "token", "left_semi").repartition(buckets, "token"), "token", buckets)
     others = held(apart, F.min("root").alias("x"), F.max("root").alias("y")).withColumnRenamed("gid", "to")
-    asked = _asked(apart, others, percent).where("to <= gid AND (x <> root OR y <> root)").select("key", F.col("to").alias("gid")).distinct()
-    root = home.select("key").join(roots.withColumnRenamed("v", "key").hint("merge"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
+    asked = _asked(apart, others, percent).where("to <= gid AND (x <> root OR y <> root)").select("key", F.col("to").alias("gid"), (F.col("to") == F.col("gid")).alias("own"), "root").distinct()
+    root = home.join(roots.withColumnRenamed("v", "key").hint("merge"), "key", "left").select("gid", "key", F.coalesce("root", "key").alias("root"))
     rest = _bounded(asked, sets, groups, percent, root)
     links = materialize(near.unionByName(_similar(rest, docs, ranked, percent, width)))
     for done in (sets, groups, rows, near, placed, apart):

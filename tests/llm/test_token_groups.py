@@ -84,3 +84,22 @@ def test_no_rows_and_other_parameters(spark):
     rows = [r for r in rows_of(9, 60) if len(r[1] or "") < 2000]
     got = tg.similar_documents(spark.createDataFrame(rows, kind), percent=70, width=5)
     assert Counter(tuple(r) for r in got.collect()) == brute(rows, 70, 5)
+
+
+def test_members_are_asked_without_their_tokens_and_groups_shuffled_once(spark, monkeypatch):
+    asked = []
+
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    taken = PandasCogroupedOps.applyInArrow
+
+    def apply(self, f, schema):
+        asked.append((self._gd1._df.where("toks IS NOT NULL").select("key", "gid").collect(), self._gd1._df.where("toks IS NULL").count(), self._gd2._df._jdf.queryExecution().executedPlan().toString()))
+        return taken(self, f, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", apply)
+    rows = rows_of(7, 80)
+    found = tg.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(tuple(r) for r in found.collect()) == brute(rows)
+    assert len(asked) == 2 and all(bare > 0 for _, bare, _ in asked)
+    assert all("Exchange hashpartitioning" not in plan.split("BroadcastExchange")[0] for _, _, plan in asked)
