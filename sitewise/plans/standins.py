@@ -41,6 +41,13 @@ def aligned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "lang", F.translate("text", " \n", "--").alias("seq"))
 
 
+def empty_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, col and ch of rows with an empty text. SQL's unnest gives such a
+    row one cell: no character, in no column. The operators know no cell of theirs."""
+    d = table(spark, sf_dir, "documents").where(F.col("text") == "")
+    return d.select("doc_id", "lang", F.lit(None).cast("int").alias("col"), F.col("text").alias("ch"))
+
+
 MSA_SQL = """msa AS (
     SELECT doc_id, lang, translate(text, ' ' || chr(10), '--') AS seq FROM documents
 ), cells AS (
