@@ -152,14 +152,16 @@ def annotate(residues: DataFrame, sites: DataFrame, cutoff: float, structure: st
     sides) does not count. One row per site, source, structure and residue: n_hits
     (distinct "pdb: resid"), n_pdbs, evidence.
     """
-    whole = (F.substring("pdb", 1, 4) if structure is None else F.col(structure)).alias
-    r = residues.select("res_id", F.col("pdb").alias("query_pdb"), "chain_resid", "u")
-    pairs = similarity_join(r, sites, cutoff, "res_id", "site_id")
-    rows = pairs.join(residues.select("res_id", F.col("pdb").alias("query_pdb"), "chain_resid", whole("_own")), "res_id")
-    rows = rows.join(sites.select("site_id", "pdb", "resid", "site", "source", "site_cutoff", whole("_of")), "site_id")
-    rows = rows.where(F.round("cos", DIGITS) > F.round("site_cutoff", DIGITS)).where(F.col("_own") != F.col("_of"))
-    evidence = F.concat_ws(": ", "pdb", "resid")
-    return rows.groupBy("query_pdb", "site", "source", "chain_resid").agg(F.countDistinct(evidence).alias("n_hits"), F.countDistinct("pdb").alias("n_pdbs"), F.sort_array(F.collect_set(evidence)).alias("evidence"))
+    # The rows travel through the join as its ids, so that pairs, as many as a share of
+    # the product, meet no table again; those below a site's cutoff are not written.
+    whole = (F.substring("pdb", 1, 4) if structure is None else F.col(structure)).alias("whole")
+    r = residues.select(F.struct("res_id", F.col("pdb").alias("query_pdb"), "chain_resid", whole).alias("_res"), "u")
+    s = sites.where(F.col("site_cutoff").isNotNull()).select(F.struct("site_id", "pdb", "resid", "site", "source", whole).alias("_site"), "u", F.greatest(F.lit(float(cutoff)), "site_cutoff").alias("_least"))
+    pairs = similarity_join(s, r, "_least", "_site", "_res").where(F.col("_res.whole") != F.col("_site.whole"))
+    hit = F.struct("_site.pdb", F.concat_ws(": ", "_site.pdb", "_site.resid").alias("evidence"))
+    found = pairs.groupBy("_res.query_pdb", "_site.site", "_site.source", "_res.chain_resid").agg(F.collect_set(hit).alias("hits"))
+    evidence, pdbs = F.array_distinct("hits.evidence"), F.array_distinct(F.array_compact("hits.pdb"))
+    return found.select("query_pdb", "site", "source", "chain_resid", F.size(evidence).cast("long").alias("n_hits"), F.size(pdbs).cast("long").alias("n_pdbs"), F.sort_array(evidence).alias("evidence"))
 
 
 __all__ = ["annotate", "first_hits", "grid_metrics", "iterative_search", "search_grid", "search_metrics", "unit_vectors"]
