@@ -7,6 +7,7 @@ around its own that the ball reaches, and the exact distance decides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -72,19 +73,55 @@ def radius_graph(nodes: DataFrame, radius: float, node: str, env: Sequence[str]
     """Directed edges src, dst between different nodes of one environment within
     ``radius``, with dist and the unit vector ux, uy, uz from dst to src.
 
-    With ``most``, a node keeps so many nearest neighbours, ties by node. Tasks
-    leave out what can't be among them before anything is sorted or shuffled.
+    With ``most``, a node keeps so many nearest neighbours, ties by node; pairs are
+    then looked at only as far as a node's nearest may lie.
     """
     own = nodes.select(*env, node, *XYZ)
-    pairs = radius_join(own, own, radius, keys=env).where(F.col(node) != F.col("p_" + node))
-    if most is not None:
-        pairs = _thinned(pairs, [*env, node], ["dist", "p_" + node], most)
-        w = Window.partitionBy(*env, node).orderBy("dist", "p_" + node)
-        pairs = pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+    if most is None:
+        pairs = radius_join(own, own, radius, keys=env).where(F.col(node) != F.col("p_" + node))
+    else:
+        pairs = _nearest(own, radius, node, env, most)
     units = [F.coalesce(F.try_divide(F.col(c) - F.col("p_" + c), F.col("dist")), F.lit(0.0)).alias("u" + c) for c in XYZ]
     return pairs.select(*env, F.col(node).alias("src"), F.col("p_" + node).alias("dst"), "dist", *units)
 
 
+def _nearest(own: DataFrame, radius: float, node: str, env: Sequence[str], most: int) -> DataFrame:
+    """Each node with its first ``most`` others within the radius, by dist and node.
+
+    Balls begin small, about as large as to hold that many nodes where most nodes
+    are, and double: a node that has found enough is asked no more, as all that
+    lies farther comes later. Of nodes in one place only the first can be nearest.
+    Tasks leave out what can't be before anything is sorted or shuffled.
+    """
+    known = own.dropna(subset=[*env, *XYZ])
+    place = Window.partitionBy(*env, *XYZ).orderBy(node)
+    points = settle(known.withColumn("_k", F.dense_rank().over(place)).where(F.col("_k") <= most + 1).drop("_k"))
+    r, side = radius, math.inf
+    while r < side / 2 and r > radius / (1 << 20):  # cells much wider than the ball say little of its inside
+        side = r
+        cells = points.groupBy(*env, *[_cell(F.col(c), side).alias(f"_h{c}") for c in XYZ]).agg(F.count("*").alias("_m"))
+        reach = F.cbrt(F.lit(1.5 * (most + 1) / math.pi) / F.col("_m")) * side
+        r = min(cells.agg(F.percentile(reach, F.lit(0.5), F.col("_m"))).first()[0] or radius, radius)
+    left, found = known, None
+    while True:
+        r = radius if r > radius / 2 else r
+        pairs = radius_join(left, points, r, keys=env).where(F.col(node) != F.col("p_" + node))
+        pairs = _thinned(pairs, [*env, node], ["dist", "p_" + node], most)
+        w = Window.partitionBy(*env, node).orderBy("dist", "p_" + node)
+        first = pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+        if r >= radius:
+            last = first.drop("_r")
+            return last if found is None else found.unionByName(last)
+        first = settle(first)
+        done = first.where(F.col("_r") == most).select(*env, node)
+        got = first.join(done, [*env, node], "left_semi").drop("_r").select(*pairs.columns)
+        found = got if found is None else found.unionByName(got)
+        left = settle(left.join(done, [*env, node], "left_anti").select(*own.columns))
+        if left.isEmpty():
+            return found
+        r *= 2
+
+
 def _thinned(pairs: DataFrame, keys: Sequence[str], order: Sequence[str], most: int) -> DataFrame:
     """Of each run of pairs the first ``most`` of each key: no fewer than its first
     ones overall. A join gives a row's matches in a cell one after the other, so
