@@ -107,8 +107,8 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector of length one; a zero vector stays as it is."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)))
+    scaled = lambda n: F.transform(a, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)))
+    return F.get(F.transform(F.array(norm(a)), scaled), F.lit(0))  # the length is bound once, not once a component
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -35,6 +35,8 @@ PIVOTS = 64
 DIGITS = 9
 #: Blocks whose marks a task adds up at once.
 HELD_BLOCKS = 256
+#: Blocks of a side that a task holds, where they meet in its memory.
+STRIP_BLOCKS = 128
 #: An angle's room for rounding, far above it.
 SLACK = 1e-6
 
@@ -50,16 +52,19 @@ def similarity_join(queries: DataFrame, db: DataFrame, cutoff: float | str, quer
     Both sides have a column u of unit vectors. ``cutoff`` is a number or a
     column of the queries. With ``group``, a column of both sides must agree.
     Rows with a null group, and vectors that are null, hold a null or differ in
-    length, match nothing. With ``best``, a query keeps of each block its pairs
-    of the so many highest cosines, ties included: enough for its nearest rows
-    over all blocks; itself, or with ``folds`` its fold (id modulo folds), is none.
+    length, match nothing. With ``best``, a query keeps of each task its pairs
+    of the so many highest cosines, ties by whole-numbered db_id, other ties all:
+    enough for its nearest rows over all blocks, with rounded cosines; itself, or with
+    ``folds`` its fold (id modulo folds), is none.
     A side that is searched again and again can be packed once (``blocks``).
     """
     cut = F.lit(float(cutoff)) if not isinstance(cutoff, str) else F.col(cutoff)
     pivots = _pivots(db, group)
     left = _blocks(queries.withColumn("_cut", cut.cast("double")), query_id, group, block_rows, pivots)
     right = packed(db, db_id, group, block_rows, pivots) if blocks is None else blocks
-    return _scored(left, right, _kind(queries, query_id), _kind(db, db_id), query_id, db_id, group, best=best, folds=folds)
+    if best is not None:
+        return _nearest(left, right, _kind(queries, query_id), _kind(db, db_id), query_id, db_id, group, best, folds)
+    return _scored(left, right, _kind(queries, query_id), _kind(db, db_id), query_id, db_id, group)
 
 
 def packed(db: DataFrame, db_id: str, group: str | None = None, block_rows: int = BLOCK_ROWS, pivots: dict[int, np.ndarray] | None = None) -> DataFrame:
@@ -196,7 +201,7 @@ def block_pairs(left: DataFrame, right: DataFrame, once: bool = False) -> DataFr
     return one.join(two.hint("merge"), fits)
 
 
-def _scored(left: DataFrame, right: DataFrame, q_type, d_type, query_id: str, db_id: str, group: str | None, best: int | None = None, folds: int | None = None, once: bool = False) -> DataFrame:
+def _scored(left: DataFrame, right: DataFrame, q_type, d_type, query_id: str, db_id: str, group: str | None, once: bool = False) -> DataFrame:
     g_type = left.schema["grp"].dataType
     q, d, g = (t.simpleString() for t in (q_type, d_type, g_type))
     schema = pa.schema([("q", to_arrow_type(q_type)), ("d", to_arrow_type(d_type)), ("cos", pa.float64()), ("grp", to_arrow_type(g_type))])
@@ -216,12 +221,6 @@ def _scored(left: DataFrame, right: DataFrame, q_type, d_type, query_id: str, db
                 if once:
                     x, y = q_ids.to_numpy(zero_copy_only=False), d_ids.to_numpy(zero_copy_only=False)
                     ok &= (x[:, None] < y) if at["block0"][r].as_py() == at["block1"][r].as_py() else (x[:, None] != y)
-                if best is not None:
-                    x, y = q_ids.to_numpy(zero_copy_only=False), d_ids.to_numpy(zero_copy_only=False)
-                    ok &= (x[:, None] != y) if folds is None else (x % folds)[:, None] != y % folds
-                    if len(d_ids) > best:
-                        ranked = np.where(ok, shown, -np.inf)
-                        ok &= ranked >= np.partition(ranked, len(d_ids) - best, axis=1)[:, len(d_ids) - best, None]
                 i, j = np.nonzero(ok)
                 if len(i):
                     same = pa.array(np.zeros(len(i), np.int32))
@@ -232,6 +231,100 @@ def _scored(left: DataFrame, right: DataFrame, q_type, d_type, query_id: str, db
     return found.withColumnRenamed("grp", group) if group else found.drop("grp")
 
 
+def _strips_met(left: DataFrame, right: DataFrame, columns: Sequence[str], run, schema: str) -> DataFrame:
+    """What ``run`` makes of the blocks of a strip of either side (Arrow tables).
+
+    Blocks go to a task once and not once a pair: most of a pair's time would be its
+    way there. A task holds STRIP_BLOCKS blocks of a side on average at most.
+    """
+    n, m = left.count(), right.count()
+    a, b = strips(n, m, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    a, b = max(a, -(-n // STRIP_BLOCKS)), max(b, -(-m // STRIP_BLOCKS))
+    place = lambda k: F.pmod(F.xxhash64("block"), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    one = left.select(*columns, place(a).alias("i"), each(b).alias("j"))
+    two = right.select(*columns, each(a).alias("i"), place(b).alias("j"))
+    # As many tasks as pairs of strips, that a task has not many of them at once.
+    deal = lambda d: d.repartition(a * b, "i", "j").groupBy("i", "j")
+    return deal(one).cogroup(deal(two)).applyInArrow(run, schema)
+
+
+def _array(table: pa.Table, column: str, row: int) -> np.ndarray:
+    return table.column(column)[row].values.to_numpy(zero_copy_only=False)
+
+
+def _room(n: int) -> float:
+    """How far a cosine in single precision may be off, with room for rounding."""
+    return (n + 8) * 2.0**-22
+
+
+def _nearest(left: DataFrame, right: DataFrame, q_type, d_type, query_id: str, db_id: str, group: str | None, best: int, folds: int | None) -> DataFrame:
+    g_type = left.schema["grp"].dataType
+    schema = pa.schema([("q", to_arrow_type(q_type)), ("d", to_arrow_type(d_type)), ("cos", pa.float64()), ("grp", to_arrow_type(g_type))])
+
+    def highest(i, cos, d):
+        """Places of the first ``best`` of each i, by cos and then d."""
+        order = np.lexsort((d, -cos, i))
+        start = np.flatnonzero(np.diff(i[order], prepend=-1))
+        rank = np.arange(len(i)) - np.repeat(start, np.diff([*start, len(i)]))
+        if not np.issubdtype(d.dtype, np.integer):  # ties of other ids are all kept
+            last = np.minimum(start + best, np.append(start[1:], len(i))) - 1
+            return order[cos[order] >= np.repeat(cos[order][last], np.diff([*start, len(i)]))]
+        return order[rank < best]
+
+    def run(one, two):
+        made = []
+        y = [two.column("ids")[s].values.to_numpy(zero_copy_only=False) for s in range(two.num_rows)]
+        whole = all(np.issubdtype(x.dtype, np.integer) for x in y)
+        kinds, sizes = two.column("grp").to_pylist(), two.column("size").to_pylist()
+        v = [_array(two, "flat", s).reshape(len(y[s]), sizes[s]) for s in range(two.num_rows)]
+        v32 = [x.astype(np.float32) for x in v]
+        every, starts = pa.concat_arrays([two.column("ids")[s].values for s in range(two.num_rows)] or [pa.array([], schema.field("d").type)]), np.cumsum([0, *map(len, y)])
+        for r in range(one.num_rows):
+            n, kind, x, cut = one.column("size")[r].as_py(), one.column("grp")[r].as_py(), one.column("ids")[r].values.to_numpy(zero_copy_only=False), np.round(_array(one, "cuts", r), DIGITS)
+            u = _array(one, "flat", r).reshape(len(x), n)
+            u32, top = u.astype(np.float32), np.full((len(x), best), -np.inf)
+            held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64 if whole else float), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+            for s in range(two.num_rows):
+                if sizes[s] != n or kinds[s] != kind:
+                    continue
+                least = top.min(1)
+                hit = u32 @ v32[s].T >= (least - _room(n)).astype(np.float32)[:, None]
+                if np.count_nonzero(hit) > 16 * best * len(x):  # at first, or among many equal vectors
+                    shown = np.round(u @ v[s].T, DIGITS)
+                    apart = (x[:, None] != y[s]) if folds is None else (x % folds)[:, None] != y[s] % folds
+                    shown = np.where(apart & (shown > cut[:, None]), shown, -np.inf)
+                    kth = np.partition(shown, -best, axis=1)[:, -best, None] if shown.shape[1] > best else -np.inf
+                    i, j = np.nonzero((shown >= np.maximum(kth, least[:, None])) & (shown > -np.inf))
+                    cos = shown[i, j]
+                else:
+                    i, j = np.nonzero(hit)
+                    ok = (x[i] != y[s][j]) if folds is None else x[i] % folds != y[s][j] % folds
+                    i, j = i[ok], j[ok]
+                    cos = np.round(np.einsum("ij,ij->i", u[i], v[s][j]), DIGITS)
+                    ok = (cos > cut[i]) & (cos >= least[i])
+                    i, j, cos = i[ok], j[ok], cos[ok]
+                if not len(i):
+                    continue
+                d = y[s][j].astype(np.int64) if whole else np.zeros(len(j))
+                held = [np.concatenate(c) for c in zip(held, (i, cos, d, np.full(len(i), s), j))]
+                kept = highest(*held[:3])
+                held = [c[kept] for c in held]
+                start = np.flatnonzero(np.diff(held[0], prepend=-1))
+                rank = np.arange(len(kept)) - np.repeat(start, np.diff([*start, len(kept)]))
+                few = rank < best
+                top[held[0][few], rank[few]] = held[1][few]
+            i, cos, _, s, j = held
+            if len(i):
+                ids = every.take(pa.array(starts[s] + j))
+                made.append(pa.Table.from_arrays([one.column("ids")[r].values.take(pa.array(i)), ids, pa.array(cos), pa.array([kind] * len(i), schema.field("grp").type)], schema=schema))
+        return pa.concat_tables(made) if made else schema.empty_table()
+
+    q, d, g = (t.simpleString() for t in (q_type, d_type, g_type))
+    found = _strips_met(left, right, ["size", "grp", "ids", "cuts", "flat"], run, f"q {q}, d {d}, cos double, grp {g}").withColumnsRenamed({"q": query_id, "d": db_id})
+    return found.withColumnRenamed("grp", group) if group else found.drop("grp")
+
+
 def marked_reach(queries: DataFrame, db: DataFrame, levels: Sequence[tuple[float, Sequence[int]]], id_col: str = "id", pivots: dict[int, np.ndarray] | None = None) -> DataFrame:
     """Bits that rows of ``db`` get from similar queries, one row per id with any:
     id and marks.
