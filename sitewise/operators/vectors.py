@@ -33,8 +33,6 @@ PIVOTS = 64
 #: Cosines are compared after rounding to so many digits, so that the order of
 #: a sum's terms does not decide.
 DIGITS = 9
-#: Blocks whose marks a task adds up at once.
-HELD_BLOCKS = 256
 #: Blocks of a side that a task holds, where they meet in its memory.
 STRIP_BLOCKS = 128
 #: An angle's room for rounding, far above it.
@@ -342,52 +340,46 @@ def marked_reach(queries: DataFrame, db: DataFrame, levels: Sequence[tuple[float
     right = _blocks(db.withColumn("_cut", F.lit(0.0)), id_col, None, BLOCK_ROWS, pivots, "marks")
     kind = _kind(db, id_col)
     schema = pa.schema([("id", to_arrow_type(kind)), *[(f"w{i}", pa.int64()) for i in range(width)]])
-    bits = [(round(float(c), DIGITS), np.array(words, np.int64), [(i, b) for i, w in enumerate(words) for b in range(63) if w >> b & 1]) for c, words in levels]
+    bits = [(round(float(c), DIGITS), np.array(words, np.int64)) for c, words in levels]
 
-    def run(batches):
-        held: dict = {}
-
-        def given(block):
-            ids, wanted, got = held.pop(block)
-            some = np.flatnonzero(got.any(1))
-            if len(some):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(some)), *[pa.array(got[some, i]) for i in range(width)]], schema=schema)
-
-        for b in batches:
-            at = {c: b.column(i) for i, c in enumerate(b.schema.names)}
-            for r in range(b.num_rows):
-                n, block = at["size0"][r].as_py(), at["block1"][r].as_py()
-                array = lambda c: at[c][r].values.to_numpy(zero_copy_only=False)
-                fresh, u = array("marks0").reshape(-1, width), array("flat0").reshape(-1, n)
-                if block not in held:
-                    if len(held) >= HELD_BLOCKS:
-                        yield from given(next(iter(held)))
-                    wanted = array("marks1").reshape(-1, width).copy()
-                    held[block] = at["ids1"][r].values, wanted, np.zeros_like(wanted)
-                _, wanted, got = held[block]
+    def run(one, two):
+        made, asking = [], []
+        for r in range(one.num_rows):
+            if one.column("least")[r].is_valid:
+                u = _array(one, "flat", r).reshape(-1, one.column("size")[r].as_py())
+                asking.append((_array(one, "marks", r).reshape(-1, width), u, u.astype(np.float32), _array(one, "center", r), one.column("reach")[r].as_py(), one.column("least")[r].as_py()))
+        for s in range(two.num_rows):
+            n, center, reach = two.column("size")[s].as_py(), _array(two, "center", s), two.column("reach")[s].as_py()
+            v, wanted = _array(two, "flat", s).reshape(-1, n), _array(two, "marks", s).reshape(-1, width).copy()
+            v32, got = v.astype(np.float32), np.zeros_like(wanted)
+            for fresh, u, u32, at, around, least in asking:
+                if u.shape[1] != n:
+                    continue
                 asked, open_ = np.bitwise_or.reduce(fresh), np.bitwise_or.reduce(wanted)
-                i, j = np.flatnonzero((fresh & open_).any(1)), np.flatnonzero((wanted & asked).any(1))
-                if not len(i) or not len(j):
+                cuts = [(cut, words) for cut, words in bits if (asked & open_ & words).any()]
+                apart = np.arccos(np.clip(center @ at, -1, 1)) - reach - around - SLACK
+                if not cuts or np.cos(max(apart, 0)) + SLACK <= least:
                     continue
-                cos = np.round(u[i] @ array("flat1").reshape(-1, n)[j].T, DIGITS)
-                for cut, words, places in bits:
-                    q, d = np.flatnonzero((fresh[i] & open_ & words).any(1)), np.flatnonzero((wanted[j] & asked & words).any(1))
-                    if not len(q) or not len(d):
-                        continue
-                    hit = (cos[q][:, d] if len(q) < len(i) or len(d) < len(j) else cos) > cut
-                    own = np.stack([fresh[i[q], w] >> b & 1 for w, b in places], 1).astype(np.float32)
-                    reached = hit.T.astype(np.float32) @ own > 0
-                    new = np.zeros((len(d), width), np.int64)
-                    for k, (w, b) in enumerate(places):
-                        new[:, w] |= reached[:, k].astype(np.int64) << b
-                    new &= wanted[j[d]]
-                    got[j[d]] |= new
-                    wanted[j[d]] &= ~new
-        for block in list(held):
-            yield from given(block)
-
-    pairs = block_pairs(left, right).select("size0", "flat0", "marks0", "block1", "ids1", "flat1", "marks1")
-    found = pairs.mapInArrow(run, f"id {kind.simpleString()}, " + ", ".join(f"w{i} long" for i in range(width)))
+                i, j = np.flatnonzero((fresh & open_).any(1)), np.flatnonzero((wanted & asked).any(1))
+                single = v32[j] @ u32[i].T
+                d, q = np.nonzero(single > np.float32(min(cut for cut, _ in cuts) - _room(n)))
+                cos = single[d, q].astype(float)
+                near = np.flatnonzero(np.any([np.abs(cos - cut) <= _room(n) for cut, _ in cuts], axis=0))
+                cos[near] = np.round(np.einsum("ij,ij->i", v[j[d[near]]], u[i[q[near]]]), DIGITS)
+                for cut, words in cuts:
+                    above = np.flatnonzero(cos > cut)
+                    if len(above):
+                        start = np.flatnonzero(np.diff(d[above], prepend=-1))
+                        row = j[d[above[start]]]
+                        new = np.bitwise_or.reduceat(fresh[i[q[above]]] & words, start, axis=0) & wanted[row]
+                        got[row] |= new
+                        wanted[row] &= ~new
+            some = np.flatnonzero(got.any(1))
+            made.append(pa.Table.from_arrays([two.column("ids")[s].values.take(pa.array(some)), *[pa.array(got[some, w]) for w in range(width)]], schema=schema))
+        return pa.concat_tables(made) if made else schema.empty_table()
+
+    columns = ["size", "ids", "flat", "marks", "center", "reach", "least"]
+    found = _strips_met(left, right, columns, run, f"id {kind.simpleString()}, " + ", ".join(f"w{i} long" for i in range(width)))
     return found.groupBy("id").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(width)]).select(F.col("id").alias(id_col), F.array(*[f"w{i}" for i in range(width)]).alias("marks"))
 
 
